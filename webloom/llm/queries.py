@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import fingerprints, lines, mixing, sharding
 
 QUERIES = {
     "op1_hypergeometric_shards": sharding.op1_hypergeometric_shards,
+    "op4_line_first_rules": lines.op4_line_first_rules,
+    "op6_canonical_digest": fingerprints.op6_canonical_digest,
     "op9_pareto_mix": mixing.op9_pareto_mix,
 }
 
 ORACLES = {
+    "op4_line_first_rules": lines.OP4_SQL,
     "op9_pareto_mix": mixing.OP9_SQL,
 }
