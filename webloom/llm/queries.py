@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import fingerprints, lines, mixing, sharding, tokenfile
+from . import fingerprints, lines, mixing, packing, sharding, tokenfile
 
 QUERIES = {
     "op1_hypergeometric_shards": sharding.op1_hypergeometric_shards,
     "op2_directly_addressable": tokenfile.op2_directly_addressable,
     "op4_line_first_rules": lines.op4_line_first_rules,
     "op6_canonical_digest": fingerprints.op6_canonical_digest,
+    "op8_bin_completion": packing.op8_bin_completion,
     "op9_pareto_mix": mixing.op9_pareto_mix,
 }
 
