@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import fingerprints, lines, mixing, packing, sharding, tokenfile
+from . import fingerprints, jaccard, lines, mixing, packing, sharding, tokenfile
 
 QUERIES = {
     "op1_hypergeometric_shards": sharding.op1_hypergeometric_shards,
     "op2_directly_addressable": tokenfile.op2_directly_addressable,
+    "op3_multi_order_jaccard": jaccard.op3_multi_order_jaccard,
     "op4_line_first_rules": lines.op4_line_first_rules,
     "op6_canonical_digest": fingerprints.op6_canonical_digest,
     "op8_bin_completion": packing.op8_bin_completion,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_multi_order_jaccard": jaccard.OP3_SQL,
     "op4_line_first_rules": lines.OP4_SQL,
     "op9_pareto_mix": mixing.OP9_SQL,
 }
