@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, jaccard, lines, mixing, packing, sharding, tokenfile
+from . import classifier, fingerprints, jaccard, lines, mixing, packing, sharding, tokenfile
 
 QUERIES = {
     "op1_hypergeometric_shards": sharding.op1_hypergeometric_shards,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_canonical_digest": fingerprints.op6_canonical_digest,
     "op8_bin_completion": packing.op8_bin_completion,
     "op9_pareto_mix": mixing.op9_pareto_mix,
+    "op10_ftrl_quality": classifier.op10_ftrl_quality,
 }
 
 ORACLES = {
