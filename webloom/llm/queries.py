@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classifier, fingerprints, jaccard, lines, mixing, packing, sharding, tokenfile
+from . import classifier, fingerprints, jaccard, lines, mixing, packing, sharding, substrings, tokenfile
 
 QUERIES = {
     "op1_hypergeometric_shards": sharding.op1_hypergeometric_shards,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_multi_order_jaccard": jaccard.op3_multi_order_jaccard,
     "op4_line_first_rules": lines.op4_line_first_rules,
     "op6_canonical_digest": fingerprints.op6_canonical_digest,
+    "op7_collinear_chaining": substrings.op7_collinear_chaining,
     "op8_bin_completion": packing.op8_bin_completion,
     "op9_pareto_mix": mixing.op9_pareto_mix,
     "op10_ftrl_quality": classifier.op10_ftrl_quality,
