@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import classifier, fingerprints, jaccard, lines, mixing, packing, sharding, substrings, tokenfile
+from . import classifier, fingerprints, jaccard, licenses, lines, mixing, packing, sharding, substrings, tokenfile
 
 QUERIES = {
     "op1_hypergeometric_shards": sharding.op1_hypergeometric_shards,
     "op2_directly_addressable": tokenfile.op2_directly_addressable,
     "op3_multi_order_jaccard": jaccard.op3_multi_order_jaccard,
     "op4_line_first_rules": lines.op4_line_first_rules,
+    "op5_conditional_compression": licenses.op5_conditional_compression,
     "op6_canonical_digest": fingerprints.op6_canonical_digest,
     "op7_collinear_chaining": substrings.op7_collinear_chaining,
     "op8_bin_completion": packing.op8_bin_completion,
