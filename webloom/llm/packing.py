@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import read, written
-from .tokens import END_ID, encoder, slices
+from .tokens import END_ID, encoder
+from .wordhash import word_slices
 
 CAPACITY, NODES, GROUPS = 1024, 4000, 64
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -39,18 +40,19 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def pieces(batches):
-        own, end = encoder(vocabulary), np.array([END_ID], dtype="<u4").tobytes()
+        own = encoder(vocabulary)
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                rows = []
-                for name, ids in zip(doc_ids[a:b], own.encode(texts[a:b])):
-                    ids, start = ids + end, 0
-                    first = (len(ids) // 4 - 1) % capacity + 1
-                    for k, upto in enumerate(range(first, len(ids) // 4 + 1, capacity)):
-                        part = ids[4 * start : 4 * upto]
+            doc_ids = batch.column(0).to_pylist()
+            for a, words in word_slices(batch.column(1), 3 << 19, fold=False):
+                ids, ends = own.encode(words, END_ID)
+                raw, rows, begin = ids.tobytes(), [], 0
+                for name, end in zip(doc_ids[a : a + words.n_docs], ends.tolist()):
+                    start, first = 0, (end - begin - 1) % capacity + 1
+                    for k, upto in enumerate(range(first, end - begin + 1, capacity)):
+                        part = raw[4 * (begin + start) : 4 * (begin + upto)]
                         rows.append((name, k, start, upto - start, zlib.crc32(part), part))
                         start = upto
+                    begin = end
                 columns = list(zip(*rows))
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(columns[: len(names)], kinds)], names=names)
@@ -209,5 +211,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES, groups
     return ranked.mapInArrow(place, f"{kinds}, sequence_id bigint, offset bigint")
 
 
+def pack_documents(df: DataFrame, **options) -> DataFrame:
+    """The pieces of df's texts with their sequences and offsets."""
+    return pack(written(token_pieces(df, **options), "pieces"), options.get("capacity", CAPACITY))
+
+
 def op8_bin_completion(spark, sf_dir: str) -> DataFrame:
-    return pack(written(token_pieces(read(spark, sf_dir, "documents")), "pieces"))
+    return pack_documents(read(spark, sf_dir, "documents"))
