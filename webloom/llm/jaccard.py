@@ -1,20 +1,25 @@
-"""Exact Jaccard joins of word n-gram sets with several global token orders.
+"""Exact Jaccard joins of word n-gram sets by prefix filters under several global token orders.
 
 1. Each document's set of distinct k-word shingles is digested (128 bits and the set's size); documents of
-   equal sets form a class. The same pass counts the shingles of the corpus in 2**ORDER_BITS hashed buckets.
-2. Order 1 sorts shingles by the count of their bucket, rarest first, then by hash: any order that depends on
-   nothing but the shingle is exact, and rare ones in front keep common passages out of the prefixes. Sets
-   with similarity t or more share one of their first n - ceil(t n) + 1 shingles. Sets that share one are
-   tied to the least of them (never pair by pair), and the ties' components are the first cells.
-3. Order 2 (coarse counts, another hash) ties the sets of each cell again by their prefixes under it. A pair
-   stays a candidate only if both filters put it in one cell: the filters are intersected before verification.
+   equal sets form a class, and one of each class goes on.
+2. Order 1 is a hash of the shingles. A class of sizes cuts the order into ranges of a few shingles each; the
+   shingles that a set has in one range are one compound token. Sets x and y of similarity t or more differ
+   in at most H = |x| (1 - t) / t shingles, so among the first H + 1 compound tokens of the one whose prefix
+   ends first at least one is the other's too, and within its prefix. Compound tokens of a few shingles are
+   shared by hardly any other texts, even where a common passage is in a third of all documents. Sets are
+   tied to another set with the same token, never pair by pair, and the ties' components are the first cells.
+   (Tokens of one shingle, rare ones first, were tried: passages tied two thirds of the documents into one cell.)
+   Sets that have too few compound tokens for the bound are tied among themselves by single shingles.
+3. Order 2, another hash, ties the sets of each cell again. A pair stays a candidate only if both filters put
+   it in one cell: the filters are intersected before verification.
 4. Sets meet in the tasks of their cell and are compared exactly by their shingles. A cell with more than
    BLOCK sets is cut into blocks, and each pair of blocks is a task, so no task holds an unbounded cell and no
    pair is lost. Links are counted there and reduced to trees before they leave the task.
 5. The trees' components give each class its component and its links.
 
-What the driver and the broadcasts hold is bounded: the bucket counts (2 MB). Memory of a task is bounded by
-two blocks. Nothing is capped: large cells cost more tasks.
+Tokens are packed by hash partition before they are exchanged, each with one set of the partition that has
+it, so a token of any frequency costs a row a map task. Nothing is broadcast but ids behind a check of their
+number. Nothing is capped: large cells cost more tasks.
 
 Defined results: words are runs of anything but space and U+0009 to U+000D, A-Z folded; a document with
 fewer than k words has its whole sequence as one shingle; null and empty texts and texts without words have
@@ -34,17 +39,11 @@ from .common import broadcast_if_small, checkpoint, read, written
 from .components import components, roots
 from .wordhash import mix, word_slices
 
-ORDER_BITS = 18
-CHUNKS = 64
 BLOCK = 512
 MOST_BROADCAST = 2_000_000
 _SALT = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707345, 0xA4093822299F31D1, 0x082EFA98EC4E6C89)]
 
 
-def bucket_of(h: np.ndarray, bits: int) -> np.ndarray:
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
-
-
 def set_digests(h: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(size, first and second half of the digest) of each document's set."""
     size = np.bincount(doc, minlength=n_docs)
@@ -62,51 +61,110 @@ def prefix_length(size: np.ndarray, percent: int) -> np.ndarray:
     return np.where(size > 0, size + (-percent * size) // 100 + 1, 0)
 
 
-def prefixes(h: np.ndarray, doc: np.ndarray, size: np.ndarray, counts: np.ndarray, order: int, percent: int) -> np.ndarray:
-    """Indices of the prefix shingles of each set under one of the global orders."""
-    bits = len(counts).bit_length() - 1
-    weight = counts[bucket_of(h, bits)]
-    if order > 1:
-        weight = np.log2(weight + 1).astype(np.int64)
-    by = np.lexsort((mix(h ^ _SALT[1 + order]), weight, doc))
-    place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
-    return by[place < np.repeat(prefix_length(size, percent), size)]
-
-
-def _signatures(k: int, bits: int):
+def compound_tokens(h: np.ndarray, doc: np.ndarray, size: np.ndarray, order: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(token, set) for the prefix of each set under a global order; h by set, size of each set.
+
+    least: shingles that make a compound token; mean: shingles a range holds on average for the least size of its
+    class; ratio: greatest to least size of a class. A set also takes part in the next class if a set of that
+    class may be similar to it."""
+    least, mean, ratio = (3, 3.5, 2.0) if percent >= 90 else (2, 1.6, 2.0**0.5) if percent >= 75 else (1, 1.0, 2.0**0.5)
+    value = mix(h ^ _SALT[1 + order])
+    by = np.lexsort((value, doc))
+    value, owner = value[by], doc[by]
+    n_class = np.floor(np.log(np.maximum(size, 1)) / np.log(ratio) + 1e-9).astype(np.int64)
+    allowed = size * (100 - percent) // percent
+    tokens, sets = [], []
+    for step in (0, 1):
+        class_ = n_class + step
+        takes = size > 0
+        if step:
+            takes &= size * 100 >= percent * np.floor(ratio**class_)
+        mine = takes[owner]
+        v, d = value[mine], owner[mine]
+        if not len(v):
+            continue
+        ranges = np.maximum(1, np.round(ratio ** class_.astype(float) / mean)).astype(np.uint64)
+        cell = ((v >> np.uint64(32)) * ranges[d]) >> np.uint64(32)
+        first = np.flatnonzero((np.diff(d, prepend=-1) != 0) | (np.diff(cell.astype(np.int64), prepend=-1) != 0))
+        count = np.diff(first, append=len(v))
+        whole = np.add.reduceat(mix(v ^ _SALT[0]), first)
+        usable = count >= least
+        at, whole, own = first[usable], whole[usable], d[first[usable]]
+        have = np.bincount(own, minlength=len(size))
+        place = np.arange(len(own)) - np.repeat(np.cumsum(have) - have, have)
+        taken = place <= allowed[own]
+        tokens.append(mix(whole[taken] + mix(cell[at[taken]] ^ mix(class_[own[taken]].astype(np.uint64)))))
+        sets.append(own[taken])
+        short = takes & (have <= allowed)  # too few: single shingles, among sets that are short as well
+        if short.any():
+            mine = short[d]
+            v, d = v[mine], d[mine]
+            n = np.bincount(d, minlength=len(size))
+            place = np.arange(len(d)) - np.repeat(np.cumsum(n) - n, n)
+            taken = place < prefix_length(size, percent)[d]
+            tokens.append(mix(v[taken] ^ mix(class_[d[taken]].astype(np.uint64) + np.uint64(1 << 32))))
+            sets.append(d[taken])
+    if not tokens:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    return np.concatenate(tokens), np.concatenate(sets)
+
+
+def _signatures(k: int):
     def run(batches):
-        counts = np.zeros(1 << bits, dtype=np.int64)
-        names = ["doc_id", "n", "d1", "d2", "chunk", "counts"]
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
             for a, words in word_slices(batch.column(1)):
                 h, doc = words.shingle_sets(k)
-                counts += np.bincount(bucket_of(h, bits), minlength=1 << bits)
                 size, d1, d2 = set_digests(h, doc, words.n_docs)
-                none = pa.nulls(words.n_docs, pa.int32()), pa.nulls(words.n_docs, pa.binary())
-                yield pa.record_batch([batch.column(0).slice(a, words.n_docs), pa.array(size), pa.array(d1), pa.array(d2), *none], names=names)
-        parts = np.split(counts.astype("<i8"), CHUNKS)
-        none = [pa.nulls(CHUNKS, pa.int64())] * 4
-        yield pa.record_batch([*none, pa.array(range(CHUNKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], schema=schema)
+                yield pa.record_batch([batch.column(0).slice(a, words.n_docs), pa.array(size), pa.array(d1), pa.array(d2)], names=["doc_id", "n", "d1", "d2"])
 
     return run
 
 
-def _sum_counts(batches):
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            sums[chunk] = sums.get(chunk, 0) + np.frombuffer(raw, "<i8")
-    if sums:
-        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["chunk", "counts"])
-
-
-def _prefix_ties(k: int, percent: int, counts: np.ndarray, most_seen: int = 500_000):
-    """(token, node) for the prefix shingles of order 1; the node is half of the set's digest. Copies that a
-    partition has already seen add nothing."""
+class _Packer:
+    """Collects (token, node) and packs them by hash partition; of one token it sends one node, and links the others to it."""
+
+    def __init__(self, parts: int, most: int = 1 << 19):
+        self.parts, self.most, self.held, self.rows = parts, most, [], 0
+
+    def add(self, token: np.ndarray, node: np.ndarray):
+        self.held.append((token, node))
+        self.rows += len(token)
+        if self.rows >= self.most:
+            yield self.flush()
+
+    def flush(self) -> pa.RecordBatch:
+        token, node = (np.concatenate(x) for x in zip(*self.held)) if self.held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.held, self.rows = [], 0
+        token, node, a, b = ties(token, node)
+        part = (token >> np.uint64(40)).astype(np.int64) % self.parts
+        order = np.argsort(part, kind="stable")
+        both = np.stack([token[order].view(np.int64), node[order]], axis=1).astype("<i8")
+        cuts = np.searchsorted(part[order], np.arange(self.parts + 1))
+        parts = [p for p in range(self.parts) if cuts[p] < cuts[p + 1]]
+        packs = [both[cuts[p] : cuts[p + 1]].tobytes() for p in parts]
+        links = np.stack([a, b], axis=1).astype("<i8").tobytes()
+        return pa.record_batch([pa.array([*parts, -1], pa.int32()), pa.array([*packs, links], pa.binary())], names=["part", "pack"])
+
+
+def ties(token: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(token, least node) for each token, and links (a, b) from its other nodes to that one."""
+    order = np.lexsort((node, token))
+    token, node = token[order], node[order]
+    first = np.ones(len(token), dtype=bool)
+    first[1:] = token[1:] != token[:-1]
+    hub = node[np.maximum.accumulate(np.where(first, np.arange(len(token)), 0))] if len(token) else node
+    other = node != hub
+    a, b = np.unique(np.stack([node[other], hub[other]], axis=1), axis=0).T if other.any() else (node[:0], node[:0])
+    return token[first], node[first], a, b
+
+
+def _prefix_ties(k: int, percent: int, parts: int, most_seen: int = 500_000):
+    """Packed (token, node) under order 1; the node is half of the set's digest. Copies that a partition has
+    already seen add nothing."""
 
     def run(batches):
         seen: set[int] = set()
+        packer = _Packer(parts)
         for batch in batches:
             for _, words in word_slices(batch.column(0)):
                 h, doc = words.shingle_sets(k)
@@ -118,9 +176,9 @@ def _prefix_ties(k: int, percent: int, counts: np.ndarray, most_seen: int = 500_
                 if len(seen) > most_seen:
                     seen.clear()
                 own = fresh[doc]
-                h, doc, size = h[own], doc[own], np.where(fresh, size, 0)
-                at = prefixes(h, doc, size, counts, 1, percent)
-                yield pa.record_batch([pa.array(h[at].view(np.int64)), pa.array(node[doc[at]])], names=["token", "node"])
+                token, at = compound_tokens(h[own], doc[own], np.where(fresh, size, 0), 1, percent)
+                yield from packer.add(token, node[at])
+        yield packer.flush()
 
     return run
 
@@ -143,25 +201,46 @@ def _cell_sets(k: int):
     return run
 
 
-def _cell_ties(percent: int, counts: np.ndarray):
-    """(cell, token, node) for the prefix shingles of order 2."""
+def _cell_ties(percent: int, parts: int):
+    """Packed (token, node) under order 2; a token counts within its cell only."""
 
     def run(batches):
+        packer = _Packer(parts)
         for batch in batches:
             cells, reps, raws = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
             for a in range(0, len(raws), 256):
                 sets = [np.frombuffer(r, "<u8") for r in raws[a : a + 256]]
                 size = np.array([len(s) for s in sets])
-                doc = np.repeat(np.arange(len(sets)), size)
-                h = np.concatenate(sets)
-                at = prefixes(h, doc, size, counts, 2, percent)
-                own = doc[at] + a
-                token = mix(h[at] ^ mix(cells[own].view(np.uint64)))  # a token counts within its cell only
-                yield pa.record_batch([pa.array(token.view(np.int64)), pa.array(reps[own])], names=["token", "node"])
+                token, at = compound_tokens(np.concatenate(sets), np.repeat(np.arange(len(sets)), size), size, 2, percent)
+                own = at + a
+                yield from packer.add(mix(token ^ mix(cells[own].view(np.uint64))), reps[own])
+        yield packer.flush()
 
     return run
 
 
+def _links(batches):
+    """Packs of a partition -> links; a pack of part -1 holds links already."""
+    held: dict[int, list[bytes]] = {}
+    for batch in batches:
+        for part, pack in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if part < 0:
+                both = np.frombuffer(pack, "<i8").reshape(-1, 2)
+                yield pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+            else:
+                held.setdefault(part, []).append(pack)
+    for part in list(held):
+        both = np.frombuffer(b"".join(held.pop(part)), "<i8").reshape(-1, 2)
+        _, _, a, b = ties(both[:, 0].view(np.uint64), both[:, 1])
+        yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _tied(packs: DataFrame, parts: int) -> DataFrame:
+    """Components of the links between sets that share a token. Links made on the map side stay there."""
+    salt = F.when(F.col("part") < 0, F.pmod(F.xxhash64("pack"), F.lit(parts))).otherwise(F.col("part")).cast("int")
+    return components(packs.withColumn("to", salt).repartition(parts, "to").select("part", "pack").mapInArrow(_links, "a bigint, b bigint"))
+
+
 def similar_pairs(sets: list[np.ndarray], percent: int, left: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs i < j of the sets with 100 * shared >= percent * union; left: pairs must differ in it."""
     m, size = len(sets), np.array([len(s) for s in sets], dtype=np.int64)
@@ -229,34 +308,21 @@ def _verify(percent: int):
     return run
 
 
-def _hubs(ties: DataFrame) -> DataFrame:
-    """Links each node to the least node of every token that it shares."""
-    least = ties.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("token", "hub")
-    return ties.join(least, "token").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-
-
-def jaccard_components(df: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", order_bits: int = ORDER_BITS, block: int = BLOCK) -> DataFrame:
+def jaccard_components(df: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """A row for each row of df: doc_id, n_shingles, component_id, n_links (documents linked to it)."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    both = written(docs.mapInArrow(_signatures(k, order_bits), "doc_id bigint, n bigint, d1 bigint, d2 bigint, chunk int, counts binary"), "signatures")
-    own = both.where("chunk IS NULL").select("doc_id", "n", "d1", "d2")
-    partial = both.where("chunk IS NOT NULL").select("chunk", "counts").repartition(CHUNKS, "chunk")
-    counts = np.zeros((CHUNKS, (1 << order_bits) // CHUNKS), dtype=np.int64)
-    for chunk, raw in partial.mapInArrow(_sum_counts, "chunk int, counts binary").collect():  # CHUNKS rows
-        counts[chunk] = np.frombuffer(raw, "<i8")
-    counts = counts.reshape(-1)
+    own = written(docs.mapInArrow(_signatures(k), "doc_id bigint, n bigint, d1 bigint, d2 bigint"), "signatures")
+    parts = max(16, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     classes = own.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"))
-    ties = docs.select("text").mapInArrow(_prefix_ties(k, percent, counts), "token bigint, node bigint")
-    cells = components(_hubs(ties))
+    cells = _tied(docs.select("text").mapInArrow(_prefix_ties(k, percent, parts), "part int, pack binary"), parts)
     members = classes.where("rep IS NOT NULL").join(cells.select(F.col("node").alias("d1"), F.col("root").alias("cell")), "d1")
     members = checkpoint(members.select("cell", "rep", "weight", "d1", "d2", "n"))
     wanted = broadcast_if_small(members, members.count(), MOST_BROADCAST)
     texts = docs.join(wanted, F.col("doc_id") == F.col("rep")).select("text", "cell", "rep", "weight", "d1", "d2", "n")
     sets = written(texts.mapInArrow(_cell_sets(k), "cell bigint, rep bigint, weight bigint, d1 bigint, d2 bigint, n bigint, tokens binary"), "cells")
 
-    second = components(_hubs(sets.select("cell", "rep", "tokens").mapInArrow(_cell_ties(percent, counts), "token bigint, node bigint")))
-    second = checkpoint(second)
+    second = checkpoint(_tied(sets.select("cell", "rep", "tokens").mapInArrow(_cell_ties(percent, parts), "part int, pack binary"), parts))
     crowd = second.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     placed = second.join(crowd, "root").select(F.col("node").alias("rep"), "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
     tasks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
