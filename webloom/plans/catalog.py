@@ -1,10 +1,418 @@
-"""Registered queries and the SQL that checks them."""
+"""Registered queries, each over its whole tables, and the SQL that checks those that SQL can express."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import content, metadata, relational, robots, seo, structure, terms
+from ..operators import text_analysis as ta
+from ..sources.dom import elements
+from ..sources.readers import table
+from . import oracles as o
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def flagship(spark, sf_dir: str):
-    return QUERIES["page_report"](spark, sf_dir)
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def documents(spark, sf_dir: str) -> DataFrame:
+    return ta.prepare(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def parsed(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    pages = table(spark, sf_dir, "pages")
+    return pages, elements(pages)
+
+
+STATS = ["doc_id", "word_count", "character_count", "characters_with_spaces", "sentence_count", "paragraph_count", "avg_sentence_length", "avg_word_length", "lexical_diversity", "punctuation_count", "number_count", "long_word_count", "punctuation_density", "long_word_percent"]
+READ = ["doc_id", "syllable_count", "complex_words", "flesch_reading_ease", "flesch_kincaid_grade", "gunning_fog", "smog_index", "automated_readability_index", "coleman_liau_index", "flesch_ru", "fog_ru", "overall_readability", "readability_level"]
+
+
+@query(o.TEXT + o.STATS)
+def doc_text_stats(spark, sf_dir):
+    return ta.statistics(documents(spark, sf_dir)).select(*STATS)
+
+
+@query(o.TEXT + o.READ + o.READ_OUT)
+def doc_readability(spark, sf_dir):
+    return ta.readability(documents(spark, sf_dir)).select(*READ)
+
+
+@query(o.TEXT + o.QUALITY)
+def doc_quality_score(spark, sf_dir):
+    return ta.quality(ta.readability(ta.statistics(documents(spark, sf_dir)))).select("doc_id", "overall_quality")
+
+
+@query(o.TEXT + o.BASIC_RULES)
+def doc_recommendations_basic(spark, sf_dir):
+    df = ta.readability(ta.statistics(documents(spark, sf_dir)))
+    return ta.rules(df, ta.basic_rules(df))
+
+
+@query(o.TEXT + o.TOP_TERMS)
+def doc_top_terms(spark, sf_dir):
+    return terms.top_terms(documents(spark, sf_dir))
+
+
+@query(o.TEXT + o.DENSITY)
+def doc_keyword_density(spark, sf_dir):
+    return terms.keyword_density(documents(spark, sf_dir)).select("doc_id", "term", "frequency", "rank", F.col("word_count").cast("long"), "density")
+
+
+@query(o.TEXT + o.TFIDF)
+def doc_tfidf_top(spark, sf_dir):
+    return terms.tfidf(documents(spark, sf_dir))
+
+
+@query(o.TEXT + o.BIGRAMS)
+def doc_bigrams(spark, sf_dir):
+    return terms.bigrams(documents(spark, sf_dir))
+
+
+@query(o.TEXT + o.ENTITIES)
+def doc_entities(spark, sf_dir):
+    return terms.entities(documents(spark, sf_dir))
+
+
+@query(o.TEXT + o.GRAPH)
+def doc_entity_cooccurrence(spark, sf_dir):
+    return terms.entity_graph(documents(spark, sf_dir))
+
+
+@query(o.TEXT + o.USAGE)
+def doc_keyword_usage(spark, sf_dir):
+    return terms.keyword_usage(documents(spark, sf_dir))
+
+
+@query(o.TEXT + o.STUFFED)
+def doc_keyword_stuffing(spark, sf_dir):
+    return terms.keyword_stuffing(documents(spark, sf_dir))
+
+
+@query(o.TEXT + o.SENTIMENT)
+def doc_sentiment(spark, sf_dir):
+    return ta.sentiment(documents(spark, sf_dir)).select("doc_id", "compound", "sentiment", "positive_share", "negative_share", "neutral_share")
+
+
+@query(o.TEXT + o.EMOTIONS)
+def doc_emotions(spark, sf_dir):
+    return ta.emotions(documents(spark, sf_dir)).select("doc_id", "joy", "sadness", "anger", "fear", "surprise", "dominant_emotion", "emotional_intensity")
+
+
+@query(o.TEXT + o.CTA)
+def doc_calls_to_action(spark, sf_dir):
+    return ta.calls_to_action(documents(spark, sf_dir)).select("doc_id", "cta_count", F.array_join("cta_triggers", ",").alias("cta_triggers"), "cta_effectiveness")
+
+
+@query(o.TEXT + o.UX)
+def doc_ux_score(spark, sf_dir):
+    return ta.user_experience(documents(spark, sf_dir)).select("doc_id", "long_sentences", "clarity", "caps", "exclamations", "ellipses", "repeated_trigrams", "distraction_level", "audience_fit", "ux_score")
+
+
+@query(o.TEXT + o.COHERENCE)
+def doc_coherence(spark, sf_dir):
+    return ta.coherence(documents(spark, sf_dir)).select("doc_id", F.round("coherence", 6).alias("coherence"))
+
+
+@query()
+def doc_language(spark, sf_dir):
+    return ta.language(table(spark, sf_dir, "documents")).select("doc_id", "lang", "detected_lang")
+
+
+@query()
+def doc_recommendations_all(spark, sf_dir):
+    """Basic, sentiment and UX rules in one shape, by priority and then in the order found."""
+    df = ta.user_experience(ta.calls_to_action(ta.emotions(ta.sentiment(ta.readability(ta.statistics(documents(spark, sf_dir)))))))
+    return relational.recommendations(ta.rules(df, ta.basic_rules(df) + ta.experience_rules()))
+
+
+@query(o.TEXT.replace("FROM documents", "FROM (SELECT row_number() OVER (ORDER BY conv_id, turn) AS doc_id, '' AS lang, text FROM conversations)") + o.SENTIMENT.replace("SELECT doc_id, compound,", "SELECT (SELECT count(*) FROM c)::BIGINT AS turns, count(*)::BIGINT AS n, sentiment FROM (SELECT doc_id, compound,", 1) + ") GROUP BY sentiment")
+def conversation_sentiment(spark, sf_dir):
+    df = ta.sentiment(ta.prepare(table(spark, sf_dir, "conversations")))
+    per = df.groupBy("sentiment").agg(F.count(F.lit(1)).alias("n"))
+    return per.withColumn("turns", F.lit(df.count()))
+
+
+@query(o.TEXT + o.QUALITY.replace("\nSELECT o.doc_id,", ", qq AS (SELECT o.doc_id,", 1) + ") SELECT quality, count(*) AS n, round(avg(overall_quality), 6) AS mean_quality FROM qq JOIN labels USING (doc_id) GROUP BY quality")
+def label_quality_report(spark, sf_dir):
+    scored = doc_quality_score(spark, sf_dir)
+    return scored.join(table(spark, sf_dir, "labels"), "doc_id").groupBy("quality").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("overall_quality"), 6).alias("mean_quality"))
+
+
+# Pages.
+
+
+@query(o.PAGE_BARE + """, a AS (SELECT page_id, url, unnest(regexp_extract_all(bare, '<a href="([^"]*)"', 1)) AS href FROM h)
+SELECT page_id, count(*) AS total, count(*) FILTER (href LIKE '#%') AS anchor, count(*) FILTER (href LIKE 'mailto:%') AS mailto FROM a GROUP BY 1""")
+def page_link_types(spark, sf_dir):
+    return structure.link_summary(parsed(spark, sf_dir)[1]).select("page_id", "total", "anchor", "mailto")
+
+
+@query()
+def page_links(spark, sf_dir):
+    pages, e = parsed(spark, sf_dir)
+    return structure.links(pages, e).select("page_id", "pre", "url", "text", "rel", "title", "host", "internal", "nofollow", "loc")
+
+
+@query()
+def page_top_paths(spark, sf_dir):
+    return structure.top_paths(structure.links(*parsed(spark, sf_dir)))
+
+
+@query()
+def page_external_domains(spark, sf_dir):
+    return structure.external_summary(structure.links(*parsed(spark, sf_dir)))
+
+
+@query(o.PAGE_BARE + """SELECT page_id, len(regexp_extract_all(bare, '<h1[ >]'))::BIGINT AS h1, len(regexp_extract_all(bare, '<h2[ >]'))::BIGINT AS h2, len(regexp_extract_all(bare, '<h[1-6][ >]'))::BIGINT AS total
+FROM h WHERE regexp_matches(bare, '<h[1-6][ >]')""")
+def page_headings(spark, sf_dir):
+    return structure.headings(parsed(spark, sf_dir)[1]).select("page_id", "h1", "h2", "total")
+
+
+@query(o.PAGE_BARE + r"""SELECT page_id, nullif(replace(replace(replace(replace(trim(regexp_extract(bare, '<title>([^<]*)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&'), '') AS title_tag, nullif(regexp_extract(bare, '<html lang="([^"]*)"', 1), '') AS language, nullif(regexp_extract(bare, '<meta charset="([^"]*)"', 1), '') AS charset FROM h""")
+def page_title_lang_charset(spark, sf_dir):
+    return metadata.metadata(*parsed(spark, sf_dir)).select("page_id", F.col("title").alias("title_tag"), "language", "charset")
+
+
+@query(o.PAGE_BARE + r"""SELECT page_id, len(regexp_extract_all(bare, '<[a-zA-Z][^>]*>'))::BIGINT AS elements, len(regexp_extract_all(bare, '<p[ >]'))::BIGINT AS p, len(regexp_extract_all(bare, '<li[ >]'))::BIGINT AS li, len(regexp_extract_all(bare, '<script[ >]'))::BIGINT AS scripts
+FROM h WHERE len(regexp_extract_all(bare, '<[a-zA-Z][^>]*>')) > 0""")
+def page_tag_counts(spark, sf_dir):
+    e = parsed(spark, sf_dir)[1]
+    return e.groupBy("page_id").agg(F.count(F.lit(1)).alias("elements"), F.count_if(F.col("tag") == "p").alias("p"), F.count_if(F.col("tag") == "li").alias("li"), F.count_if(F.col("tag") == "script").alias("scripts"))
+
+
+@query(r"""
+WITH u AS (SELECT page_id, url, regexp_extract(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*(.*)$', 1) AS path FROM pages),
+s AS (SELECT *, list_filter(string_split(path, '/'), lambda s: s <> '') AS segs FROM u),
+n AS (SELECT *, (length(path) > 100)::INTEGER + coalesce(list_sum(list_transform(segs, lambda s: regexp_matches(s, '[A-Z]')::INTEGER + regexp_matches(s, '[^a-zA-Z0-9-]')::INTEGER + (length(s) > 30)::INTEGER)), 0) AS k FROM s)
+SELECT page_id, length(path)::BIGINT AS path_length, len(segs)::BIGINT AS segment_count, k::BIGINT AS url_issue_count, greatest(0.0::DOUBLE, 1.0::DOUBLE - 0.15::DOUBLE * k) AS url_score FROM n""")
+def page_url_seo(spark, sf_dir):
+    return seo.url_score(table(spark, sf_dir, "pages")).select("page_id", "path_length", "segment_count", "url_issue_count", "url_score")
+
+
+@query(o.PAGE_BARE + r""", t AS (SELECT page_id, coalesce(nullif(replace(replace(replace(replace(trim(regexp_extract(bare, '<title>([^<]*)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&'), ''), '') AS t FROM h)
+SELECT page_id, length(t)::BIGINT AS title_length, greatest(0.0::DOUBLE, 1.0::DOUBLE - 0.2::DOUBLE * (CASE WHEN t = '' OR length(t) < 30 OR length(t) > 60 THEN 1 ELSE 0 END + 1)) AS meta_score FROM t""")
+def page_meta_seo(spark, sf_dir):
+    m = seo.meta_score(metadata.metadata(*parsed(spark, sf_dir)))
+    return m.select("page_id", F.length(F.coalesce("title", F.lit(""))).cast("long").alias("title_length"), "meta_score")
+
+
+@query(r"""SELECT page_id, url, regexp_matches(coalesce(html, ''), 'ng-app|react-app|data-vue|ember-application|<nuxt|__NEXT_DATA__|ng-controller|v-if|v-for|v-model|v-on|\.load\(|\.ajax\(|fetch\(|new XMLHttpRequest\(\)|axios|class="[^"]*loading[^"]*"|id="[^"]*loading[^"]*"|skeleton|placeholder|lazy-load')
+  OR (len(regexp_extract_all(coalesce(html, ''), '(?i)<script[\s>]')) > 10 AND len(regexp_extract_all(coalesce(html, ''), '(?i)<(p|div|article|section)[\s>]')) < 5) AS is_dynamic FROM pages""")
+def page_dynamic_flag(spark, sf_dir):
+    return content.dynamic_pages(table(spark, sf_dir, "pages"))
+
+
+@query()
+def page_metadata_full(spark, sf_dir):
+    m = metadata.metadata(*parsed(spark, sf_dir))
+    return m.select(*[F.to_json(c).alias(c) if m.schema[c].dataType.typeName() in ("map", "struct", "array") else F.col(c) for c in m.columns])
+
+
+@query()
+def page_structure_full(spark, sf_dir):
+    pages, e = parsed(spark, sf_dir)
+    return metadata.with_all(pages, structure.page_counts(e)).join(structure.headings(e).withColumnRenamed("total", "headings"), "page_id", "left").join(structure.link_summary(e).withColumnRenamed("total", "links"), "page_id", "left")
+
+
+@query()
+def page_main_content(spark, sf_dir):
+    return content.main_content(*parsed(spark, sf_dir)).select("page_id", "how", "pre", F.length("text").alias("text_length"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query()
+def page_navigation(spark, sf_dir):
+    return structure.navigation(parsed(spark, sf_dir)[1])
+
+
+@query()
+def page_lists(spark, sf_dir):
+    return structure.lists(parsed(spark, sf_dir)[1])
+
+
+@query()
+def page_tables(spark, sf_dir):
+    return structure.tables(parsed(spark, sf_dir)[1])
+
+
+@query()
+def page_forms(spark, sf_dir):
+    return structure.forms(parsed(spark, sf_dir)[1])
+
+
+@query()
+def page_calls_to_action(spark, sf_dir):
+    return structure.calls_to_action(parsed(spark, sf_dir)[1])
+
+
+@query()
+def page_breadcrumbs(spark, sf_dir):
+    return structure.breadcrumbs(parsed(spark, sf_dir)[1])
+
+
+@query()
+def page_content_blocks(spark, sf_dir):
+    return structure.content_blocks(parsed(spark, sf_dir)[1])
+
+
+@query()
+def page_headers(spark, sf_dir):
+    return structure.regions(parsed(spark, sf_dir)[1], "header")
+
+
+@query()
+def page_footers(spark, sf_dir):
+    return structure.regions(parsed(spark, sf_dir)[1], "footer")
+
+
+@query()
+def page_sidebars(spark, sf_dir):
+    return structure.sidebars(parsed(spark, sf_dir)[1])
+
+
+@query()
+def page_search_boxes(spark, sf_dir):
+    return structure.search_boxes(parsed(spark, sf_dir)[1])
+
+
+@query()
+def page_structured_content(spark, sf_dir):
+    """Definitions, quotations and code blocks in one list."""
+    e = parsed(spark, sf_dir)[1]
+    d = content.definitions(e).select("page_id", "pre", F.lit("definition").alias("kind"), F.col("definition").alias("text"), F.col("term").alias("note"))
+    q = content.blockquotes(e).select("page_id", "pre", F.lit("quotation").alias("kind"), "text", F.col("cite").alias("note"))
+    return d.unionByName(q).unionByName(content.code_blocks(e).select("page_id", "pre", F.lit("code").alias("kind"), F.col("code").alias("text"), F.col("language").alias("note")))
+
+
+@query()
+def page_microdata(spark, sf_dir):
+    return metadata.microdata(parsed(spark, sf_dir)[1]).withColumn("properties", F.to_json("properties"))
+
+
+@query()
+def page_report(spark, sf_dir):
+    """The flagship: structure, metadata and SEO scores of every page."""
+    pages, e = parsed(spark, sf_dir)
+    df = metadata.metadata(pages, e).join(structure.headings(e), "page_id", "left").join(structure.page_counts(e).select("page_id", "elements", "max_nesting", "complexity", "images", "scripts"), "page_id", "left")
+    df = df.join(structure.link_summary(e).select("page_id", F.col("total").alias("links")), "page_id", "left").join(content.body_text(e), "page_id", "left")
+    df = seo.relevance_score(seo.url_score(seo.heading_score(seo.meta_score(df))), "body_text")
+    df = seo.overall(seo.optimisation_score(df.withColumn("keyword_score", F.lit(1.0)).withColumn("max_density", F.lit(0.0))))
+    return df.select("page_id", "url", "title", "language", "h1", F.col("total").alias("headings"), "links", "elements", "max_nesting", "complexity", "meta_score", "heading_score", "url_score", "relevance_score", "optimisation", "seo_score")
+
+
+@query()
+def page_seo_recommendations(spark, sf_dir):
+    pages, e = parsed(spark, sf_dir)
+    df = metadata.metadata(pages, e).join(structure.headings(e), "page_id", "left")
+    return seo.recommendations(seo.url_score(seo.heading_score(seo.meta_score(df))))
+
+
+# Tables.
+
+
+@query("SELECT count(*) AS n FROM orders")
+def rel_count(spark, sf_dir):
+    return relational.count(table(spark, sf_dir, "orders"))
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_custkey = 42")
+def rel_lookup(spark, sf_dir):
+    return relational.get(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey", 42)
+
+
+@query("SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 50 OFFSET 100")
+def rel_page_offset(spark, sf_dir):
+    return relational.get_multi(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), ["c_custkey"], 100, 50)
+
+
+@query("SELECT o.o_orderkey, o.o_orderpriority FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE n.n_name = (SELECT min(n_name) FROM nation)")
+def rel_ownership(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    mine = nation.orderBy("n_name").limit(1)
+    own = table(spark, sf_dir, "customer").join(F.broadcast(mine), F.col("c_nationkey") == F.col("n_nationkey"), "left_semi")  # one row
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_custkey").join(own, F.col("o_custkey") == F.col("c_custkey"), "left_semi").drop("o_custkey")
+
+
+@query("SELECT count(*) AS lineitems FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'))")
+def rel_cascade_delete(spark, sf_dir):
+    customer, orders, items = (table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
+    left = relational.remove_cascade(customer, "c_custkey", customer.where("c_mktsegment = 'BUILDING'"), (orders, "o_custkey", "o_orderkey"), (items, "l_orderkey", "l_linenumber"))
+    return left[2].agg(F.count(F.lit(1)).alias("lineitems"))
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS r FROM orders) WHERE r = 1")
+def rel_latest_by_key(spark, sf_dir):
+    return relational.latest(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment, c_nationkey FROM customer")
+def rel_upsert(spark, sf_dir):
+    base = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    patch = base.where("c_custkey % 10 = 0").select("c_custkey", F.lit(None).cast("string").alias("c_mktsegment"))
+    return relational.update(base, patch, "c_custkey")
+
+
+@query("SELECT o_orderpriority, CASE WHEN o_orderstatus = 'O' THEN 'parsing' WHEN o_orderstatus = 'F' THEN 'analyzed' ELSE 'error' END AS status, count(*) AS n FROM orders GROUP BY 1, 2")
+def rel_status_steps(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select("o_orderpriority", F.when(F.col("o_orderstatus") == "O", "pending").otherwise("parsing").alias("old"), F.when(F.col("o_orderstatus") == "O", "parsing").when(F.col("o_orderstatus") == "F", "analyzed").otherwise("error").alias("wanted"))
+    return df.withColumn("status", relational.step(F.col("old"), F.col("wanted"))).groupBy("o_orderpriority", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*) AS live FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
+def cache_ttl(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    now = events.agg(F.max("ts")).first()[0]
+    return relational.live(events, F.lit(now).cast("timestamp")).agg(F.count(F.lit(1)).alias("live"))
+
+
+@query("SELECT event_id FROM (SELECT event_id, ts FROM events ORDER BY ts DESC, event_id LIMIT 800)")
+def cache_evict(spark, sf_dir):
+    return relational.evict(table(spark, sf_dir, "events").select("event_id", "ts"), key="event_id").select("event_id")
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'en' THEN 'url_' || md5('doc' || doc_id) ELSE 'text_' || md5(substr(coalesce(text, ''), 1, 1000)) END AS key FROM documents")
+def cache_key(spark, sf_dir):
+    url = F.when(F.col("lang") == "en", F.concat(F.lit("doc"), F.col("doc_id").cast("string")))
+    return table(spark, sf_dir, "documents").select("doc_id", relational.cache_key(url, F.col("text")).alias("key"))
+
+
+@query("SELECT date_trunc('day', ts)::DATE::VARCHAR AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def events_daily(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return e.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+ROBOTS = "User-agent: *\nDisallow: /private\nDisallow: /*.pdf\nAllow: /private/open\n\nUser-agent: webloom\nDisallow: /tmp/\n"
+
+
+@query()
+def robots_eval(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    host = F.lower(F.expr("try_parse_url(url, 'HOST')"))
+    files = pages.select(host.alias("host")).where("host IS NOT NULL").distinct().withColumn("content", F.lit(ROBOTS))
+    return robots.allowed(pages, robots.rules(files), "otherbot/1.0")
+
+
+@query()
+def crawl_reach(spark, sf_dir):
+    """Pages of the first page's host that links reach from it in three steps."""
+    pages, e = parsed(spark, sf_dir)
+    start = pages.orderBy("page_id").select("url").first()
+    edges = structure.links(pages, e).where("internal").select(F.col("base").alias("src"), F.col("url").alias("dst")).distinct()
+    return relational.crawl(edges, start[0] if start else "", 3)
+
+
+def flagship(spark, sf_dir: str) -> DataFrame:
+    return page_report(spark, sf_dir)
