@@ -4,8 +4,8 @@ A bin's contents matter only by their lengths, so the search runs over the histo
 `capacity` numbers, whatever the corpus holds. It builds bins around the largest length that is left. Its
 undominated fillings (no single length or pair replaces a part of one without wasting less) are tried from
 the least waste on, each as often as counts allow; a branch ends when its bins and the bound on what is left
-(the words left over divided by capacity, rounded up) cannot beat the incumbent, which starts as best-fit
-decreasing over the same histogram. The search stops at the lower bound, else after `nodes` nodes with the
+(the lengths left over divided by capacity, rounded up) cannot beat the incumbent, which starts as best-fit
+decreasing over the same histogram. The search stops at the lower bound (Martello and Toth's), else after `nodes` nodes with the
 best packing found.
 
 The plan (patterns of lengths with how often each is used) is bounded by the histogram too. Pieces are then
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import read, written
+from .common import read, tidy, written
 from .tokens import END_ID, encoder
 from .wordhash import word_slices
 
@@ -39,11 +39,12 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """A row for each piece; with_ids adds its ids as little-endian unsigned 32-bit integers."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
+    @tidy
     def pieces(batches):
         own = encoder(vocabulary)
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for a, words in word_slices(batch.column(1), 3 << 19, fold=False):
+            for a, words in word_slices(batch.column(1), fold=False):
                 ids, ends = own.encode(words, END_ID)
                 raw, rows, begin = ids.tobytes(), [], 0
                 for name, end in zip(doc_ids[a : a + words.n_docs], ends.tolist()):
@@ -93,10 +94,23 @@ def fillings(counts: list[int], room: int, most: int = 6) -> list[tuple[int, ...
     return sorted(found, key=lambda f: (-found[f], len(f), tuple(-x for x in f)))[:most]
 
 
+def lower_bound(counts: list[int], capacity: int) -> int:
+    """Martello and Toth's bound: lengths over half a bin never meet, and what is over `small` fits only into their gaps."""
+    size, n = np.arange(capacity + 1), np.array(counts, dtype=np.int64)
+    upto, filled = np.cumsum(n), np.cumsum(n * size)
+    half, best = capacity // 2, 0
+    for small in range(1, half + 1):
+        alone = upto[capacity] - upto[capacity - small]
+        large, gaps = upto[capacity - small] - upto[half], (upto[capacity - small] - upto[half]) * capacity - (filled[capacity - small] - filled[half])
+        rest = filled[half] - filled[small - 1]
+        best = max(best, int(alone + large + max(0, -(-(rest - gaps) // capacity))))
+    return max(best, -(-int(filled[capacity]) // capacity))
+
+
 def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths, each at most capacity) and how often each is used: few sequences in all."""
     counts = [histogram.get(s, 0) for s in range(capacity + 1)]
-    bound = -(-sum(s * n for s, n in enumerate(counts)) // capacity)
+    bound = lower_bound(counts, capacity)
     best: list[tuple[tuple[int, ...], int]] = []
     best_bins = [0]
     left = [nodes]
@@ -191,6 +205,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES, groups
     tables = {s: tuple(np.array(c, dtype=np.int64) for c in zip(*rows)) for s, rows in spans.items()}
     names = [c for c in tagged.columns if c != "_pk_g"]
 
+    @tidy
     def place(batches):
         for batch in batches:
             length = batch.column("length").to_numpy()

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from .common import release
+
 _RNG = np.random.default_rng(20240607)
 _BYTES = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FOLDED = _BYTES.copy()
@@ -97,3 +99,4 @@ def word_slices(texts, most_bytes: int = 1 << 20, fold: bool = True):
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most_bytes, side="right")) - 1)
         yield a, Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], fold)
         a = b
+    release()
