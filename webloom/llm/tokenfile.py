@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import read, written
-from .tokens import END_ID, encoder, slices
+from .common import read, tidy, written
+from .tokens import END_ID, encoder
+from .wordhash import word_slices
 
 MAGIC = b"WDAC"
 BLOCK_TOKENS = 1 << 18
@@ -106,28 +107,29 @@ BLOCKS = "part int, block int, doc_ids array<bigint>, n_tokens bigint, image bin
 def write_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Writes the token blocks of df in the shared folder; returns the written table."""
 
+    @tidy
     def blocks(batches):
         from pyspark import TaskContext
 
         part, block, own = TaskContext.get().partitionId(), 0, encoder(vocabulary)
-        end, held, names, total = np.array([END_ID], dtype="<u4").tobytes(), [], [], 0
+        held, sizes, names, total = [], [], [], 0
         schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("image", pa.binary())])
 
         def image():
-            ids = np.frombuffer(b"".join(held), "<u4")
-            ends = np.cumsum([len(x) // 4 for x in held], dtype=np.uint64)
+            ids, ends = np.concatenate(held), np.cumsum(np.concatenate(sizes), dtype=np.uint64)
             return pa.record_batch([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([names], pa.list_(pa.int64())), pa.array([len(ids)], pa.int64()), pa.array([encode_block(ids, ends)], pa.binary())], schema=schema)
 
         for batch in batches:
-            texts, doc_ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            for a, b in slices(texts):
-                for name, ids in zip(doc_ids[a:b], own.encode(texts[a:b])):
-                    held.append(ids + end)
-                    names.append(name)
-                    total += len(held[-1]) // 4
-                    if total >= block_tokens:
-                        yield image()
-                        block, held, names, total = block + 1, [], [], 0
+            doc_ids = batch.column(0).to_pylist()
+            for a, words in word_slices(batch.column(1), fold=False):
+                ids, ends = own.encode(words, END_ID)
+                held.append(ids)
+                sizes.append(np.diff(ends, prepend=0))
+                names += doc_ids[a : a + words.n_docs]
+                total += len(ids)
+                if total >= block_tokens:
+                    yield image()
+                    block, held, sizes, names, total = block + 1, [], [], [], 0
         if held:
             yield image()
 
@@ -145,6 +147,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
     places = files.select("part", "block", F.coalesce(F.sum("n_tokens").over(in_part), F.lit(0)).alias("within")).join(parts, "part")
     places = places.select("part", "block", (F.col("before") + F.col("within")).alias("before"))
 
+    @tidy
     def documents(batches):
         for batch in batches:
             for doc_ids, image, before in zip(*(batch.column(k).to_pylist() for k in range(3))):
