@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, read
+from .common import checkpoint, read, tidy
 from .wordhash import Words, mix, word_slices
 
 BITS, MOST_LABELLED, EPOCHS = 18, 8_000, 5
@@ -81,6 +81,7 @@ class Ftrl:
 
 
 def _sparse(bits: int):
+    @tidy
     def run(batches):
         for batch in batches:
             for a, words in word_slices(batch.column(2), fold=False):
@@ -130,6 +131,7 @@ def score(df: DataFrame, weights: np.ndarray, text_col: str = "text", out: str =
     names = [c for c in df.columns if c != out]
     k = names.index(text_col)
 
+    @tidy
     def run(batches):
         for batch in batches:
             logits = []

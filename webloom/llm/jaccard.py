@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, checkpoint, read, written
+from .common import broadcast_if_small, checkpoint, read, tidy, written
 from .components import components, roots
 from .wordhash import mix, word_slices
 
@@ -110,6 +110,7 @@ def compound_tokens(h: np.ndarray, doc: np.ndarray, size: np.ndarray, order: int
 
 
 def _signatures(k: int):
+    @tidy
     def run(batches):
         for batch in batches:
             for a, words in word_slices(batch.column(1)):
@@ -123,7 +124,7 @@ def _signatures(k: int):
 class _Packer:
     """Collects (token, node) and packs them by hash partition; of one token it sends one node, and links the others to it."""
 
-    def __init__(self, parts: int, most: int = 1 << 19):
+    def __init__(self, parts: int, most: int = 1 << 18):
         self.parts, self.most, self.held, self.rows = parts, most, [], 0
 
     def add(self, token: np.ndarray, node: np.ndarray):
@@ -158,10 +159,11 @@ def ties(token: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return token[first], node[first], a, b
 
 
-def _prefix_ties(k: int, percent: int, parts: int, most_seen: int = 500_000):
+def _prefix_ties(k: int, percent: int, parts: int, most_seen: int = 100_000):
     """Packed (token, node) under order 1; the node is half of the set's digest. Copies that a partition has
     already seen add nothing."""
 
+    @tidy
     def run(batches):
         seen: set[int] = set()
         packer = _Packer(parts)
@@ -184,6 +186,7 @@ def _prefix_ties(k: int, percent: int, parts: int, most_seen: int = 500_000):
 
 
 def _cell_sets(k: int):
+    @tidy
     def run(batches):
         names = ["cell", "rep", "weight", "d1", "d2", "n", "tokens"]
         for batch in batches:
@@ -204,6 +207,7 @@ def _cell_sets(k: int):
 def _cell_ties(percent: int, parts: int):
     """Packed (token, node) under order 2; a token counts within its cell only."""
 
+    @tidy
     def run(batches):
         packer = _Packer(parts)
         for batch in batches:
@@ -219,6 +223,7 @@ def _cell_ties(percent: int, parts: int):
     return run
 
 
+@tidy
 def _links(batches):
     """Packs of a partition -> links; a pack of part -1 holds links already."""
     held: dict[int, list[bytes]] = {}
@@ -287,6 +292,7 @@ def _verify(percent: int):
         has = links > 0
         return [*zip(node.tolist(), root.tolist(), [None] * len(node))] + [*zip(rep[has].tolist(), [None] * int(has.sum()), links[has].astype(int).tolist())]
 
+    @tidy
     def run(batches):
         task, rows, out = None, [], []
         for batch in batches:
