@@ -377,7 +377,7 @@ def cache_ttl(spark, sf_dir):
     return relational.live(events, F.lit(now).cast("timestamp")).agg(F.count(F.lit(1)).alias("live"))
 
 
-@query("SELECT event_id FROM (SELECT event_id, ts FROM events ORDER BY ts DESC, event_id LIMIT 800)")
+@query("SELECT event_id FROM (SELECT event_id, ts FROM events ORDER BY ts DESC, event_id LIMIT (SELECT CASE WHEN count(*) > 1000 THEN 800 ELSE count(*) END FROM events))")
 def cache_evict(spark, sf_dir):
     return relational.evict(table(spark, sf_dir, "events").select("event_id", "ts"), key="event_id").select("event_id")
 
