@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, read, tidy
+from .common import checkpoint, limit_batches, read, tidy
 from .wordhash import Words, mix, word_slices
 
 BITS, MOST_LABELLED, EPOCHS = 18, 8_000, 5
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.002
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.001, 0.0005
 ACCEPT = 0.7
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -70,11 +70,11 @@ class Ftrl:
         z, n = self.z[at], self.n[at]
         return np.where(np.abs(z) <= self.l1, 0.0, (np.sign(z) * self.l1 - z) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
 
-    def learn(self, place: np.ndarray, value: np.ndarray, label: int, weight: float = 1.0) -> None:
+    def learn(self, place: np.ndarray, value: np.ndarray, label: int) -> None:
         at, x = np.append(place, len(self.z) - 1), np.append(value, 1.0)
         w = self.weights(at)
         p = 1.0 / (1.0 + np.exp(-np.clip(w @ x, -35, 35)))
-        g = weight * (p - label) * x
+        g = (p - label) * x
         sigma = (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / self.alpha
         self.z[at] += g - sigma * w
         self.n[at] += g * g
@@ -109,23 +109,23 @@ def bounded(df: DataFrame, rank: str, most: int) -> DataFrame:
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", most: int = MOST_LABELLED, bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:
     """Weights from at most `most` labelled rows; as many numbers as hashed places, and the intercept."""
+    limit_batches(labelled.sparkSession)
     rows = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).withColumn("_rank", _rank(F.col(id_col)))
     rows = rows.select(F.col("_rank").alias("rank"), F.col(label_col).cast("int").alias("label"), F.col(text_col).alias("text"))
     sample = bounded(rows, "rank", most).mapInArrow(_sparse(bits), "rank bigint, label int, places binary, `values` binary").toArrow().sort_by([("rank", "ascending"), ("places", "ascending")])
     if not sample.num_rows:
         return np.zeros((1 << bits) + 1)
     labels, places, values = sample.column("label").to_numpy(), sample.column("places").to_pylist(), sample.column("values").to_pylist()
-    share = labels.mean()
-    weight = {1: (0.5 / max(share, 1e-9)) ** 0.5, 0: (0.5 / max(1 - share, 1e-9)) ** 0.5}  # between each row and each class counting alike
     model = Ftrl(bits)
     for _ in range(epochs):
         for k in range(len(labels)):
-            model.learn(np.frombuffer(places[k], "<i4"), np.frombuffer(values[k], "<f4"), int(labels[k]), weight[int(labels[k])])
+            model.learn(np.frombuffer(places[k], "<i4"), np.frombuffer(values[k], "<f4"), int(labels[k]))
     return model.weights()
 
 
 def score(df: DataFrame, weights: np.ndarray, text_col: str = "text", out: str = "score") -> DataFrame:
     """df with the probability of label 1."""
+    limit_batches(df.sparkSession)
     bits = (len(weights) - 1).bit_length() - 1
     weights = weights.astype(np.float32)
     names = [c for c in df.columns if c != out]
