@@ -88,3 +88,63 @@ def keyword_stuffing(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     top = _top(counted, id_col, "frequency", 5).join(df.select(id_col, F.size("words").alias("n")), id_col)
     hit = (F.length("term") > 3) & (F.col("frequency") * 10 > F.col("n"))
     return top.groupBy(id_col).agg(F.max(hit.cast("int")).alias("stuffed"))
+
+
+def stop_words_removed(df: DataFrame, col: str = "words", out: str = "content_words") -> DataFrame:
+    return df.withColumn(out, F.filter(tx.lower(F.col(col)), lambda w: ~w.isin(*lex.STOPWORDS)))
+
+
+def lemmas(df: DataFrame, col: str = "words", out: str = "lemmas") -> DataFrame:
+    """English noun forms by rule: -ies to -y, -sses to -ss, a plural -s off words of over three letters."""
+    one = lambda w: F.when(w.rlike("[^aeiou]ies$") & (F.length(w) > 4), F.regexp_replace(w, "ies$", "y")).when(w.endswith("sses"), F.regexp_replace(w, "es$", "")).when(w.rlike("[^su]s$") & (F.length(w) > 3), F.regexp_replace(w, "s$", "")).otherwise(w)
+    return df.withColumn(out, F.transform(tx.lower(F.col(col)), one))
+
+
+def similarity(a, b):
+    """Jaccard similarity of two arrays of words, without case; 0 if both are empty."""
+    x, y = F.array_distinct(tx.lower(a)), F.array_distinct(tx.lower(b))
+    return tx.ratio(F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y)))
+
+
+def rank_terms(df: DataFrame, k: int = 30, id_col: str = "doc_id") -> DataFrame:
+    """Words that are no stop words by their share of those, the plain form of a text rank."""
+    words = _exploded(df, id_col).where((F.length("term") > 2) & ~F.col("term").isin(*lex.STOPWORDS))
+    n = words.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n"))
+    total = n.groupBy(id_col).agg(F.sum("n").alias("total"))
+    return _top(n.join(total, id_col).withColumn("score", tx.ratio(F.col("n"), F.col("total"))), id_col, "score", k).select(id_col, "term", "score", "rank")
+
+
+def keywords(df: DataFrame, k: int = 30, id_col: str = "doc_id") -> DataFrame:
+    """TF-IDF and rank scores, each in shares of the document's best, added by term; none under 20 words."""
+    long = df.where(F.size("words") >= 20).select(id_col, "words")
+    a = tfidf(long, 100, id_col).withColumn("s1", 1.0 / F.col("rank")).select(id_col, "term", "s1")
+    b = rank_terms(long, 100, id_col).withColumn("s2", 1.0 / F.col("rank")).select(id_col, "term", "s2")
+    both = a.join(b, [id_col, "term"], "full")
+    method = F.when(F.col("s1").isNull(), "rank").when(F.col("s2").isNull(), "tfidf").otherwise("tfidf+rank")
+    both = both.withColumn("score", F.round(F.coalesce("s1", F.lit(0.0)) + F.coalesce("s2", F.lit(0.0)), 9)).withColumn("method", method)
+    return _top(both, id_col, "score", k).select(id_col, "term", "score", "method", "rank")
+
+
+def related_phrases(df: DataFrame, k: int = 10, id_col: str = "doc_id") -> DataFrame:
+    """The k most frequent phrases of two or three words that hold none of the document's five top words."""
+    low = tx.lower(F.col("words"))
+    phrases = df.select(id_col, F.explode(F.concat(tx.ngrams(low, 2), tx.ngrams(low, 3))).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("frequency")).where("frequency > 1")
+    top = top_terms(df, 5, id_col).groupBy(id_col).agg(F.collect_set("term").alias("tops"))
+    left = phrases.join(top, id_col, "left").where(~F.coalesce(F.arrays_overlap(F.split("term", " "), "tops"), F.lit(False)))
+    return _top(left, id_col, "frequency", k).select(id_col, "term", "frequency", "rank")
+
+
+def topics(df: DataFrame, k: int = 3, terms_each: int = 10, vocabulary: int = 5000, iterations: int = 10, seed: int = 42) -> DataFrame:
+    """(topic, rank, term, weight) of k topics of the corpus by online LDA over its most common content words."""
+    from pyspark.ml.clustering import LDA
+    from pyspark.ml.feature import CountVectorizer
+
+    rows = stop_words_removed(df, "words", "tp_words").select(F.filter("tp_words", lambda w: F.length(w) > 2).alias("tp_words")).where(F.size("tp_words") > 0)
+    schema = "topic int, rank int, term string, weight double"
+    if rows.isEmpty():
+        return df.sparkSession.createDataFrame([], schema)
+    counts = CountVectorizer(inputCol="tp_words", outputCol="features", vocabSize=vocabulary).fit(rows)
+    model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online").fit(counts.transform(rows))
+    words = counts.vocabulary
+    described = model.describeTopics(terms_each).collect()  # k rows
+    return df.sparkSession.createDataFrame([(r["topic"], n + 1, words[i], float(w)) for r in described for n, (i, w) in enumerate(zip(r["termIndices"], r["termWeights"]))], schema)

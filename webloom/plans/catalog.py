@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import content, metadata, relational, robots, seo, structure, terms
+from ..operators import analysis, content, metadata, relational, robots, seo, structure, terms
 from ..operators import text_analysis as ta
 from ..sources.dom import elements
 from ..sources.readers import table
@@ -150,6 +150,44 @@ def label_quality_report(spark, sf_dir):
     return scored.join(table(spark, sf_dir, "labels"), "doc_id").groupBy("quality").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("overall_quality"), 6).alias("mean_quality"))
 
 
+@query(o.TEXT + o.RANKED)
+def doc_rank_terms(spark, sf_dir):
+    return terms.rank_terms(documents(spark, sf_dir))
+
+
+@query()
+def doc_keywords(spark, sf_dir):
+    return terms.keywords(documents(spark, sf_dir))
+
+
+@query(o.TEXT + o.RELATED)
+def doc_related_phrases(spark, sf_dir):
+    return terms.related_phrases(documents(spark, sf_dir))
+
+
+@query(o.TEXT + o.CONTENT_WORDS)
+def doc_content_words(spark, sf_dir):
+    df = terms.stop_words_removed(documents(spark, sf_dir))
+    return df.select("doc_id", F.size("content_words").cast("long").alias("content_words"), F.md5(F.array_join("content_words", " ").cast("binary")).alias("content_md5"))
+
+
+@query()
+def doc_topics(spark, sf_dir):
+    return terms.topics(documents(spark, sf_dir))
+
+
+@query()
+def doc_analysis(spark, sf_dir):
+    df = analysis.analyze(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return df.select("doc_id", "language", *[F.to_json(c).alias(c) for c in ("basic", "sentiment", "ux", "recommendations")])
+
+
+@query()
+def page_analysis(spark, sf_dir):
+    df = analysis.analyze_pages(table(spark, sf_dir, "pages"))
+    return df.select("page_id", "url", "title", "meta_score", "heading_score", "url_score", "relevance_score", *[F.to_json(c).alias(c) for c in ("basic", "sentiment", "ux", "recommendations")])
+
+
 # Pages.
 
 

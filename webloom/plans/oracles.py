@@ -133,6 +133,18 @@ j AS (SELECT doc_id, i, CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN
 m AS (SELECT doc_id, round(avg(j), 6) AS coherence FROM j GROUP BY 1)
 SELECT s.doc_id, coalesce(m.coherence, 1.0)::DOUBLE AS coherence FROM s LEFT JOIN m USING (doc_id)"""
 
+RANKED = f"""
+, f AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(low) AS term FROM v) WHERE length(term) > 2 AND term NOT IN ({STOP}) GROUP BY 1, 2),
+s AS (SELECT doc_id, term, n::DOUBLE / sum(n) OVER (PARTITION BY doc_id) AS score FROM f)
+SELECT doc_id, term, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS rank FROM s QUALIFY rank <= 30"""
+RELATED = TERMS + """
+, t5 AS (SELECT doc_id, list(term) AS tops FROM top WHERE rank <= 5 GROUP BY 1),
+g AS (SELECT doc_id, low[i:i + 1] AS ws FROM (SELECT doc_id, low, unnest(range(1, len(low))) AS i FROM v) UNION ALL SELECT doc_id, low[i:i + 2] FROM (SELECT doc_id, low, unnest(range(1, len(low) - 1)) AS i FROM v)),
+n AS (SELECT doc_id, ws, count(*) AS frequency FROM g GROUP BY 1, 2 HAVING count(*) > 1),
+kk AS (SELECT n.doc_id, array_to_string(ws, ' ') AS term, frequency FROM n LEFT JOIN t5 USING (doc_id) WHERE NOT coalesce(list_has_any(ws, tops), false))
+SELECT doc_id, term, frequency, row_number() OVER (PARTITION BY doc_id ORDER BY frequency DESC, term) AS rank FROM kk QUALIFY rank <= 10"""
+CONTENT_WORDS = f"""SELECT doc_id, len(list_filter(low, lambda x: x NOT IN ({STOP})))::BIGINT AS content_words, md5(array_to_string(list_filter(low, lambda x: x NOT IN ({STOP})), ' ')) AS content_md5 FROM v"""
+
 PAGE_BARE = r"""
 WITH h AS (SELECT page_id, url, coalesce(html, '') AS html, regexp_replace(regexp_replace(coalesce(html, ''), '<!--.*?-->', '', 'gs'), '<(script|style)[^>]*>.*?</(script|style)>', '<\1></\1>', 'gs') AS bare FROM pages)
 """
