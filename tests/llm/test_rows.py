@@ -91,10 +91,10 @@ def test_mix_of_awkward_rows(docs, none):
     assert mixing.mix_sources(none).isEmpty()
 
 
-def test_line_rules(spark, docs, none):
-    clean = "The first line says something sensible, and says it well. It goes on.\nAnother line does so too, at some length, so that there are words. Yes."
+def test_line_rules(spark, docs, none, prose):
     menu = "Home | About | Contact | Shop | Blog | Login"
-    rows = [(1, "\n".join(f"{clean} {i}." for i in range(3))), (2, "\n".join(f"{clean} {i}.\n{menu} {i}" for i in range(3))), (3, "\n".join(f"{menu} | page {i} of the long list of things" for i in range(9))), (4, "THE!! CAT!! SAT!! ON!! THE!! MAT!! TODAY!! " * 10), (5, None), (6, "a b c d " * 30)]
+    clean = [prose(30, i) + "." for i in range(6)]
+    rows = [(1, "\n".join(clean)), (2, "\n".join(f"{c}\n{menu} {i}" for i, c in enumerate(clean))), (3, "\n".join(f"{menu} | {prose(12, 50 + i)}" for i in range(9))), (4, "! ".join(prose(80, 9).upper().split(" ")).replace("!", "!!")), (5, None), (6, "a b c d " * 30)]
     got = {r["doc_id"]: r for r in lines.judge_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[k]["kept"] for k in range(1, 7)] == [True, True, False, False, False, False]
     assert menu not in got[2]["clean_text"] and got[5]["n_words"] == 0 and got[6]["n_repeat_words"] == 120 and got[6]["base_failed"]
