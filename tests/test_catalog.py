@@ -89,3 +89,25 @@ def test_streams(spark, tmp_path):
     q = live.writeStream.outputMode("complete").format("memory").queryName("counts").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("SELECT sum(n) FROM counts").first()[0] == events.count()
+
+
+def test_fetch_outcomes(spark):
+    df = spark.createDataFrame([(200, 0), (404, 0), (429, 1), (503, 2), (503, 3), (302, 0)], "s int, t int")
+    assert [r[0] for r in df.select(relational.fetch_outcome(F.col("s"), F.col("t"))).collect()] == ["ok", "missing", "wait", "retry", "failed", "failed"]
+
+
+def test_lemmas_and_similarity(spark):
+    df = spark.createDataFrame([(["Cities", "classes", "dogs", "bus", "was", "glass", "is"], ["dogs", "x"])], "words array<string>, other array<string>")
+    assert terms.lemmas(df).first()["lemmas"] == ["city", "class", "dog", "bus", "was", "glass", "is"]
+    assert abs(df.select(terms.similarity(F.col("words"), F.col("other"))).first()[0] - 1 / 8) < 1e-9
+
+
+def test_upsert_versions(spark, tmp_path):
+    from webloom.sources import sinks
+
+    a = spark.createDataFrame([(1, "a"), (2, "b")], "k long, x string")
+    sinks.write_version(spark, str(tmp_path), 0, a, "k")
+    got = spark.read.parquet(sinks.write_version(spark, str(tmp_path), 1, spark.createDataFrame([(2, "c"), (3, "d")], "k long, x string"), "k"))
+    assert sorted(map(tuple, got.collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    back = a.select(sinks.unpacked(sinks.packed(F.struct("k", "x")), "k long, x string").alias("s")).select("s.*")
+    assert sorted(map(tuple, back.collect())) == [(1, "a"), (2, "b")]

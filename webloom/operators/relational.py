@@ -98,3 +98,31 @@ def crawl(edges: DataFrame, start: str, max_depth: int = 3, include: str | None
         frontier = found.withColumn("depth", F.lit(depth))
         seen = seen.unionByName(frontier)
     return seen
+
+
+def new_only(candidates: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """Candidates whose keys are not known yet, one of each."""
+    return candidates.dropDuplicates(keys).join(known.select(*keys), keys, "left_anti")
+
+
+def mark_implemented(found: DataFrame, ids: list, key: str = "id") -> DataFrame:
+    """The flag set on the rows named; it never goes back."""
+    done = F.coalesce(F.col("is_implemented"), F.lit(False)) if "is_implemented" in found.columns else F.lit(False)
+    return found.withColumn("is_implemented", done | F.col(key).isin(*ids) if ids else done)
+
+
+def by_priority(found: DataFrame, key: str, value, category: str | None = None, tie: str = "id") -> DataFrame:
+    """Recommendations of one analysis, of one category if given, the most urgent first."""
+    rows = found.where(F.col(key) == value)
+    return (rows.where(F.col("category") == category) if category else rows).orderBy("priority", tie)
+
+
+def follow(links: DataFrame, k: int = 10) -> DataFrame:
+    """Of each page the first k internal links (the limit is the feature), each once."""
+    each = links.where("internal").groupBy("page_id", "url").agg(F.min("pre").alias("pre"))
+    return each.withColumn("rl_r_", F.row_number().over(Window.partitionBy("page_id").orderBy("pre"))).where(F.col("rl_r_") <= k).drop("rl_r_")
+
+
+def fetch_outcome(status: Column, tries: Column, most: int = 3) -> Column:
+    """ok, missing (403, 404), wait (429), retry (500 and more while tries are left), failed."""
+    return F.when(status == 200, "ok").when(status.isin(403, 404), "missing").when((status == 429) & (tries < most), "wait").when((status >= 500) & (tries < most), "retry").otherwise("failed")

@@ -239,3 +239,10 @@ def content_blocks(e: DataFrame, min_text: int = 100, max_links: float = 0.5) ->
     b = b.join(la, ["page_id", "pre"], "left").withColumn("link_density", tx.ratio(F.coalesce("link_text", F.lit(0)), F.col("text_length"))).where(F.col("link_density") <= max_links)
     ends = F.max("post").over(Window.partitionBy("page_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1))
     return b.withColumn("before", ends).where("before IS NULL OR pre > before").select("page_id", "pre", "post", "tag", "text_length", "link_density", tx.ratio(F.col("text_length"), F.col("html_length")).alias("text_density"), "loc")
+
+
+def sections(e: DataFrame) -> DataFrame:
+    """A row for each section: sectioning elements, and div with an id that reads like one; with its heading and text length."""
+    s = e.where(tag("section", "article", "main", "aside") | (tag("div") & F.lower(F.coalesce("elem_id", F.lit(""))).rlike("section|content|main|container")))
+    h = inside(s, e.where(tag("h1", "h2", "h3", "h4", "h5", "h6"))).groupBy("page_id", F.col("o_pre").alias("pre")).agg(F.min_by(F.trim("text"), "pre").alias("heading"), F.count(F.lit(1)).alias("headings"))
+    return s.select("page_id", "pre", "tag", "elem_id", "stripped_length", "loc").join(h, ["page_id", "pre"], "left").fillna(0, ["headings"])

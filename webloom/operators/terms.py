@@ -148,3 +148,20 @@ def topics(df: DataFrame, k: int = 3, terms_each: int = 10, vocabulary: int = 50
     words = counts.vocabulary
     described = model.describeTopics(terms_each).collect()  # k rows
     return df.sparkSession.createDataFrame([(r["topic"], n + 1, words[i], float(w)) for r in described for n, (i, w) in enumerate(zip(r["termIndices"], r["termWeights"]))], schema)
+
+
+def semantic_rules(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """A row for each rule that holds, from the densest word, its spread over five sections, coherence and entities."""
+    from . import text_analysis as ta
+
+    top = keyword_density(df.select(id_col, "words"), 1, id_col).select(id_col, "term", "density")
+    named = entities(df.select(id_col, "words"), 1, id_col).select(id_col, F.col("frequency").alias("named"))
+    df = ta.coherence(df).join(top, id_col, "left").join(named, id_col, "left")
+    low, size = tx.lower(F.col("words")), F.greatest(F.floor(F.size("words") / 5).cast("int"), F.lit(1))
+    df = df.withColumn("sr_low", low).withColumn("sr_size", size)
+    counts = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.size(F.filter(F.slice("sr_low", (k * F.col("sr_size") + 1).cast("int"), F.col("sr_size")), lambda w: w == F.col("term"))))
+    df = df.withColumn("sr_counts", counts)
+    return ta.rules(df, [
+        ("keyword_rare", "structure", 3, F.col("density") < 1), ("keyword_stuffed", "structure", 2, F.col("density") > 5),
+        ("keyword_uneven", "structure", 3, F.array_min("sr_counts") < 0.3 * F.array_max("sr_counts")), ("incoherent", "structure", 2, F.col("coherence") < 0.2), ("no_entities", "vocabulary", 4, F.col("named").isNull()),
+    ], id_col)

@@ -320,6 +320,21 @@ def page_sidebars(spark, sf_dir):
     return structure.sidebars(parsed(spark, sf_dir)[1])
 
 
+@query()
+def page_sections(spark, sf_dir):
+    return structure.sections(parsed(spark, sf_dir)[1])
+
+
+@query()
+def page_follow_links(spark, sf_dir):
+    return relational.follow(structure.links(*parsed(spark, sf_dir)))
+
+
+@query()
+def doc_recommendations_semantic(spark, sf_dir):
+    return terms.semantic_rules(documents(spark, sf_dir))
+
+
 @query()
 def page_search_boxes(spark, sf_dir):
     return structure.search_boxes(parsed(spark, sf_dir)[1])
@@ -408,6 +423,23 @@ def rel_status_steps(spark, sf_dir):
     return df.withColumn("status", relational.step(F.col("old"), F.col("wanted"))).groupBy("o_orderpriority", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT count(DISTINCT o_custkey) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 10)")
+def rel_dup_guard(spark, sf_dir):
+    known = table(spark, sf_dir, "customer").where("c_nationkey < 10").select(F.col("c_custkey").alias("o_custkey"))
+    return relational.new_only(table(spark, sf_dir, "orders").select("o_custkey"), known, ["o_custkey"]).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT r_regionkey AS id, r_name, r_regionkey IN (1, 3) AS is_implemented FROM region")
+def rel_flag_update(spark, sf_dir):
+    return relational.mark_implemented(table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), "r_name"), [1, 3])
+
+
+@query("SELECT o_orderkey AS id, o_orderpriority AS priority FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders)")
+def rel_by_priority(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priority"), "o_custkey")
+    return relational.by_priority(orders, "o_custkey", orders.agg(F.min("o_custkey")).first()[0]).drop("o_custkey")
+
+
 @query("SELECT count(*) AS live FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
 def cache_ttl(spark, sf_dir):
     events = table(spark, sf_dir, "events")
