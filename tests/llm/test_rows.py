@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from webloom.llm import classifier, fingerprints, licenses, lines, mixing, sharding
+from webloom.llm import classifier, fingerprints, jaccard, licenses, lines, mixing, packing, sharding, substrings
 from webloom.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -45,7 +45,7 @@ def test_matrix_is_hypergeometric():
 
 
 def test_shards_of_awkward_rows(docs, none):
-    keyed = docs.withColumn("size", F.lit(1))
+    keyed = docs.withColumn("size", F.lit(1)).withColumn("Shard", F.lit("own"))
     assert sharding.shard_rows(keyed, ["doc_id", "size"]).count() == keyed.count()
     assert sharding.shard_rows(none, ["doc_id"]).isEmpty()
 
@@ -86,7 +86,7 @@ def test_mix_comes_near_its_targets(spark, prose):
 
 
 def test_mix_of_awkward_rows(docs, none):
-    got = mixing.mix_sources(docs.withColumn("target_x", F.lit(1)))
+    got = mixing.mix_sources(docs.withColumn("size", F.lit("own")).withColumn("Target", F.lit(1)))
     assert got.count() == docs.count() and got.where("copies IS NULL OR copies > 3 OR size IS NULL").isEmpty()
     assert mixing.mix_sources(none).isEmpty()
 
@@ -130,6 +130,20 @@ def test_fingerprints(spark, docs, none, awkward):
     assert fingerprints.fingerprint(docs).count() == len(awkward) and fingerprints.fingerprint(none).isEmpty()
 
 
+def test_next_rows(spark):
+    df = spark.createDataFrame([(None, "none"), (1, "a"), (5, "b"), (5, "b"), (9, None)], "doc_id long, text string")
+    got = sorted(map(tuple, fingerprints.next_by_descending_id(df, {"next": F.coalesce("text", F.lit("-"))}, buckets=3).collect()), key=str)
+    assert got == sorted([(9, None, "b"), (5, "b", "b"), (5, "b", "a"), (1, "a", "none"), (None, "none", "-")], key=str)
+    assert fingerprints.next_by_descending_id(df.limit(0), {"next": F.col("text")}).isEmpty()
+
+
+def test_clashing_names(docs):
+    clash = docs.withColumns({c: F.lit("own") for c in ("fingerprint", "kept", "n_words", "score", "start", "length", "doc", "component_id")})
+    assert fingerprints.fingerprint(clash).count() == lines.judge_lines(clash).count() == docs.count()
+    assert jaccard.jaccard_components(clash).count() == packing.token_pieces(clash).where("piece = 0").count() == docs.count()
+    assert substrings.repeated_passages(clash).count() == 2 and licenses.license_notices(clash).isEmpty()
+
+
 def test_digest_conflicts_get_ordinals(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "digest", lambda canon: F.concat(F.lit("d"), F.length(canon).cast("string")))
     df = spark.createDataFrame([(1, "ab"), (2, "cd"), (3, "AB"), (4, "xyz")], "doc_id long, text string")

@@ -16,8 +16,8 @@ holds a source. u_i comes from a digest of the id: reruns agree, on any cluster.
 
 Defined results: null text has size 0; documents without words are never drawn but keep their certain
 copies (taking 0 words); rows that repeat an id rank alike and join or stay together; an empty table
-gives an empty result; sources without words have target 0. Extra columns pass through; names that
-start with `_mix_` are reserved.
+gives an empty result; sources without words have target 0. Extra columns pass through, but for
+those of the output's names, which are replaced; names that start with `_mix_` are reserved.
 """
 
 from __future__ import annotations
@@ -60,6 +60,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataF
 
 def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", weights=WEIGHTS, most: int = MOST, buckets: int = BUCKETS) -> DataFrame:
     """df with size, source_size, target and copies: how often the mix takes each document."""
+    df = df.drop("size", "source_size", "target", "copies")
     u = uniform(F.col("_mix_id"), seed)
     thin = checkpoint(
         df.select(F.col(id_col).alias("_mix_id"), _key(F.col(source_col)).alias("_mix_key"), n_words(F.col(text_col)).alias("_mix_size"))

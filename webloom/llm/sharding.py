@@ -13,7 +13,7 @@ draws and what goes to the executors as a literal are bounded.
 
 Defined results: null text counts as empty with size 1; rows with equal ids are ordered by size and
 checksum, and rows equal in all three are interchangeable; an empty table gives an empty result. Columns
-of the input pass through; names that start with `_sh_` are reserved.
+of the input pass through, but for shard and slot, which are replaced; names that start with `_sh_` are reserved.
 """
 
 from __future__ import annotations
@@ -49,6 +49,7 @@ def even(n: int, parts: int) -> list[int]:
 
 def shard_rows(df: DataFrame, keys: list[str], shards: int = SHARDS, blocks: int = BLOCKS, cells: int = CELLS, seed: int = 7) -> DataFrame:
     """df with shard (0 to shards - 1) and slot (gapless from 0 within the shard)."""
+    df = df.drop(*{"shard", "slot"}.difference(keys))
     block = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(blocks))
     tagged = df.withColumn("_sh_block", block)
     counts = dict(tagged.groupBy("_sh_block").count().collect())  # as many rows as blocks
