@@ -60,6 +60,14 @@ def broadcast_if_small(df: DataFrame, rows: int, most: int = 100_000) -> DataFra
     return F.broadcast(df) if rows <= most else df
 
 
+def limit_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Texts go to Python in batches of a few MB: the default (by rows, 64 MB) is held twice in the JVM and in each worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key)).rstrip("b")
+    if now == "67108864":  # the default; a choice of the user's stays
+        spark.conf.set(key, str(most))
+
+
 def release() -> None:
     """Gives freed memory of this worker back to the system: several workers share an executor's limit."""
     import ctypes

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, tidy
+from .common import limit_batches, read, tidy
 
 #: Fixed wordings of public licenses' notices and openings: (license, wording).
 TEMPLATES = (
@@ -114,6 +114,7 @@ class Scanner:
 
 def license_notices(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES) -> DataFrame:
     """A row for each notice: doc_id, license, template, start, end, gain, coverage, missing, extra."""
+    limit_batches(df.sparkSession)
 
     @tidy
     def run(batches):

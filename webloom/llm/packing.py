@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import read, tidy, written
+from .common import limit_batches, read, tidy, written
 from .tokens import END_ID, encoder
 from .wordhash import word_slices
 
@@ -37,6 +37,7 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 
 def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
     """A row for each piece; with_ids adds its ids as little-endian unsigned 32-bit integers."""
+    limit_batches(df.sparkSession)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     @tidy

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import read, tidy, written
+from .common import limit_batches, read, tidy, written
 from .tokens import END_ID, encoder
 from .wordhash import word_slices
 
@@ -106,6 +106,7 @@ BLOCKS = "part int, block int, doc_ids array<bigint>, n_tokens bigint, image bin
 
 def write_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Writes the token blocks of df in the shared folder; returns the written table."""
+    limit_batches(df.sparkSession)
 
     @tidy
     def blocks(batches):

@@ -37,7 +37,7 @@ RUN = 256
 #: First bytes of white space that a text may hold besides spaces and line ends.
 UNSURE = np.zeros(256, dtype=bool)
 UNSURE[[*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = True
-MOST_PARTS, MOST_IDS = 1_500_000, 1 << 23
+MOST_PARTS, MOST_IDS = 700_000, 1 << 22
 
 
 def vocabulary_path() -> str:

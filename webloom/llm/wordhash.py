@@ -31,7 +31,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> list[np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, (1 << 20) + 1)
+        size = max(n, (1 << 19) + 1)
         _POWERS[:] = [np.concatenate([np.ones(1, dtype=np.uint64), np.cumprod(np.full(size - 1, b, dtype=np.uint64))]) for b in (_BASE, _INVERSE)]
     return _POWERS
 
@@ -85,7 +85,7 @@ class Words:
         return h[new], doc[new]
 
 
-def word_slices(texts, most_bytes: int = 1 << 20, fold: bool = True):
+def word_slices(texts, most_bytes: int = 1 << 19, fold: bool = True):
     """(first document, Words) over consecutive slices of an Arrow string array; null counts as empty."""
     texts = texts.combine_chunks() if hasattr(texts, "combine_chunks") else texts
     width = np.int64 if str(texts.type) in ("large_string", "large_binary") else np.int32
