@@ -125,12 +125,12 @@ def doc_coherence(spark, sf_dir):
     return ta.coherence(documents(spark, sf_dir)).select("doc_id", F.round("coherence", 6).alias("coherence"))
 
 
-@query()
+@query(o.LANGUAGE)
 def doc_language(spark, sf_dir):
     return ta.language(table(spark, sf_dir, "documents")).select("doc_id", "lang", "detected_lang")
 
 
-@query()
+@query(o.ALL_RULES)
 def doc_recommendations_all(spark, sf_dir):
     """Basic, sentiment and UX rules in one shape, by priority and then in the order found."""
     df = ta.user_experience(ta.calls_to_action(ta.emotions(ta.sentiment(ta.readability(ta.statistics(documents(spark, sf_dir)))))))
@@ -155,7 +155,7 @@ def doc_rank_terms(spark, sf_dir):
     return terms.rank_terms(documents(spark, sf_dir))
 
 
-@query()
+@query(o.TEXT + o.KEYWORDS)
 def doc_keywords(spark, sf_dir):
     return terms.keywords(documents(spark, sf_dir))
 
@@ -203,6 +203,12 @@ def page_links(spark, sf_dir):
     return structure.links(pages, e).select("page_id", "pre", "url", "text", "rel", "title", "host", "internal", "nofollow", "loc")
 
 
+@query(o.LINKS_TOTAL)
+def page_link_counts(spark, sf_dir):
+    found = structure.links(*parsed(spark, sf_dir))
+    return found.groupBy("page_id").agg(F.count(F.lit(1)).alias("links"), F.count_if("internal").alias("internal"))
+
+
 @query()
 def page_top_paths(spark, sf_dir):
     return structure.top_paths(structure.links(*parsed(spark, sf_dir)))
@@ -467,7 +473,7 @@ def events_daily(spark, sf_dir):
 ROBOTS = "User-agent: *\nDisallow: /private\nDisallow: /*.pdf\nAllow: /private/open\n\nUser-agent: webloom\nDisallow: /tmp/\n"
 
 
-@query()
+@query(o.ROBOTS)
 def robots_eval(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     host = F.lower(F.expr("try_parse_url(url, 'HOST')"))

@@ -148,3 +148,40 @@ CONTENT_WORDS = f"""SELECT doc_id, len(list_filter(low, lambda x: x NOT IN ({STO
 PAGE_BARE = r"""
 WITH h AS (SELECT page_id, url, coalesce(html, '') AS html, regexp_replace(regexp_replace(coalesce(html, ''), '<!--.*?-->', '', 'gs'), '<(script|style)[^>]*>.*?</(script|style)>', '<\1></\1>', 'gs') AS bare FROM pages)
 """
+
+_COMMON = {"en": ["the", "and", "of", "is", "was", "with", "that", "this"], "de": ["der", "die", "und", "das", "ist", "von", "mit", "den"], "fr": ["le", "les", "et", "des", "une", "est", "dans", "pour"], "es": ["el", "los", "que", "del", "por", "con", "una", "las"]}
+LANGUAGE = f"""
+WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(lower(coalesce(text, '')), '\\p{{L}}+') AS ws FROM documents),
+c AS (SELECT *, {', '.join(f"len(list_filter(ws, lambda x: x IN ({quote(v)}))) AS n_{k}" for k, v in _COMMON.items())} FROM w),
+g AS (SELECT *, greatest(n_en, n_de, n_fr, n_es) AS best FROM c)
+SELECT doc_id, lang, CASE WHEN length(trim(t)) < 10 THEN 'en' WHEN len(regexp_extract_all(t, '[Ѐ-ӿ]')) * 2 > length(t) THEN 'ru' WHEN best = 0 OR n_en = best THEN 'en' WHEN n_de = best THEN 'de' WHEN n_fr = best THEN 'fr' ELSE 'es' END AS detected_lang FROM g"""
+
+KEYWORDS = f"""
+, l AS (SELECT doc_id, low FROM v WHERE len(words) >= 20),
+f AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(low) AS term FROM l) WHERE length(term) > 2 AND term NOT IN ({STOP}) GROUP BY 1, 2),
+n AS (SELECT term, count(*) AS df FROM f GROUP BY 1),
+s AS (SELECT doc_id, term, round(tf * (ln((1.0::DOUBLE + (SELECT count(*) FROM l)) / (1.0::DOUBLE + df)) + 1.0::DOUBLE), 9) AS a, tf::DOUBLE / sum(tf) OVER (PARTITION BY doc_id) AS b FROM f JOIN n USING (term)),
+r AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY a DESC, term) AS ra, row_number() OVER (PARTITION BY doc_id ORDER BY b DESC, term) AS rb FROM s),
+m AS (SELECT doc_id, term, round(CASE WHEN ra <= 100 THEN 1.0::DOUBLE / ra ELSE 0 END + CASE WHEN rb <= 100 THEN 1.0::DOUBLE / rb ELSE 0 END, 9) AS score, CASE WHEN ra > 100 THEN 'rank' WHEN rb > 100 THEN 'tfidf' ELSE 'tfidf+rank' END AS method FROM r WHERE ra <= 100 OR rb <= 100)
+SELECT doc_id, term, score, method, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS rank FROM m QUALIFY rank <= 30"""
+
+ALL_RULES = f"""
+WITH b0 AS ({TEXT + BASIC_RULES}), se AS ({TEXT + SENTIMENT}), em AS ({TEXT + EMOTIONS}), ct AS ({TEXT + CTA}), ux AS ({TEXT + UX})
+SELECT doc_id, rule_order, code, CASE WHEN category = 'structure' THEN 'structure' ELSE 'content' END AS category, priority FROM b0
+UNION ALL SELECT doc_id, 5, 'negative_tone', 'content', 2 FROM se WHERE sentiment = 'negative'
+UNION ALL SELECT doc_id, 6, 'too_neutral', 'content', 4 FROM se WHERE neutral_share > 0.8
+UNION ALL SELECT doc_id, 7, 'low_emotion', 'content', 4 FROM em WHERE emotional_intensity < 0.05
+UNION ALL SELECT doc_id, 8, 'no_cta', 'conversion', 2 FROM ct WHERE cta_count = 0
+UNION ALL SELECT doc_id, 9, 'weak_cta', 'conversion', 3 FROM ct WHERE cta_count > 0 AND cta_effectiveness < 40
+UNION ALL SELECT doc_id, 10, 'unclear', 'ux', 2 FROM ux WHERE clarity < 60
+UNION ALL SELECT doc_id, 11, 'distracting', 'ux', 3 FROM ux WHERE distraction_level > 40
+UNION ALL SELECT doc_id, 12, 'poor_fit', 'ux', 3 FROM ux WHERE audience_fit < 60"""
+
+ROBOTS = r"""
+WITH p AS (SELECT page_id, url, coalesce(nullif(regexp_extract(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*(.*)$', 1), ''), '/') AS path FROM pages)
+SELECT page_id, url, starts_with(path, '/private/open') OR NOT (starts_with(path, '/private') OR regexp_matches(path, '^/.*\.pdf')) AS allowed FROM p"""
+
+LINKS_TOTAL = PAGE_BARE + r"""
+, a AS (SELECT page_id, url AS base, unnest(regexp_extract_all(bare, '<a href="([^"]*)"', 1)) AS href FROM h),
+k AS (SELECT page_id, base, replace(href, '&amp;', '&') AS href FROM a WHERE href <> '' AND NOT regexp_matches(lower(trim(href)), '^(javascript:|#|mailto:|tel:)'))
+SELECT page_id, count(*) AS links, count(*) FILTER (NOT regexp_matches(href, '^([a-z]+:)?//') OR regexp_extract(href, '//([^/?#]*)', 1) = regexp_extract(base, '//([^/?#]*)', 1)) AS internal FROM k GROUP BY 1"""
