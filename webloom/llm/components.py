@@ -25,8 +25,7 @@ def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return nodes, nodes[label]
 
 
-@tidy
-def _contract(batches):
+def contract(batches):
     """Replaces the links of a partition by stars on their least nodes."""
     held, rows = [], 0
 
@@ -49,12 +48,19 @@ def _contract(batches):
         yield pa.record_batch([pa.array(node), pa.array(root)], names=["a", "b"])
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+@tidy
+def _contract(batches):
+    yield from contract(batches)
+
+
+def components(links: DataFrame, contracted: bool = False, rounds: int = 60) -> DataFrame:
     """(node, root) for each node of links (a bigint, b bigint): root is the least node of its component.
 
     Alternates large-star and small-star steps after contracting each partition by itself; each step sends a
-    link at most twice and ends when every node has one neighbour, its root. Loops and repeated links are harmless."""
-    edges = checkpoint(links.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_contract, "a bigint, b bigint"))
+    link at most twice and ends when every node has one neighbour, its root. Loops and repeated links are harmless.
+    contracted: the partitions are contracted already."""
+    edges = links.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
+    edges = checkpoint(edges if contracted else edges.mapInArrow(_contract, "a bigint, b bigint"))
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

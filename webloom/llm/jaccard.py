@@ -35,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, checkpoint, read, tidy, written
-from .components import components, roots
+from .common import broadcast_if_small, checkpoint, limit_batches, read, tidy, written
+from .components import components, contract, roots
 from .wordhash import mix, word_slices
 
 BLOCK = 512
@@ -137,6 +137,13 @@ class _Packer:
         token, node = (np.concatenate(x) for x in zip(*self.held)) if self.held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         self.held, self.rows = [], 0
         token, node, a, b = ties(token, node)
+        if len(a):
+            # Sets that are tied here already are sent as one: their tokens go out under the least of them.
+            a, b = roots(a, b)
+            at = np.minimum(np.searchsorted(a, node), len(a) - 1)
+            node = np.where(a[at] == node, b[at], node)
+            other = a != b
+            a, b = a[other], b[other]
         part = (token >> np.uint64(40)).astype(np.int64) % self.parts
         order = np.argsort(part, kind="stable")
         both = np.stack([token[order].view(np.int64), node[order]], axis=1).astype("<i8")
@@ -224,6 +231,11 @@ def _cell_ties(percent: int, parts: int):
 
 
 @tidy
+def _stars(batches):
+    """The links of a partition as stars: one worker a task does both steps."""
+    yield from contract(_links(batches))
+
+
 def _links(batches):
     """Packs of a partition -> links; a pack of part -1 holds links already."""
     held: dict[int, list[bytes]] = {}
@@ -243,7 +255,8 @@ def _links(batches):
 def _tied(packs: DataFrame, parts: int) -> DataFrame:
     """Components of the links between sets that share a token. Links made on the map side stay there."""
     salt = F.when(F.col("part") < 0, F.pmod(F.xxhash64("pack"), F.lit(parts))).otherwise(F.col("part")).cast("int")
-    return components(packs.withColumn("to", salt).repartition(parts, "to").select("part", "pack").mapInArrow(_links, "a bigint, b bigint"))
+    stars = packs.withColumn("to", salt).repartition(parts, "to").select("part", "pack").mapInArrow(_stars, "a bigint, b bigint")
+    return components(stars, contracted=True)
 
 
 def similar_pairs(sets: list[np.ndarray], percent: int, left: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -316,9 +329,11 @@ def _verify(percent: int):
 
 def jaccard_components(df: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """A row for each row of df: doc_id, n_shingles, component_id, n_links (documents linked to it)."""
+    limit_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     own = written(docs.mapInArrow(_signatures(k), "doc_id bigint, n bigint, d1 bigint, d2 bigint"), "signatures")
-    parts = max(16, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # A tied set is linked once a part that holds tokens of it: few, large parts make fewer links.
+    parts = max(16, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 3)
 
     classes = own.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"))
     cells = _tied(docs.select("text").mapInArrow(_prefix_ties(k, percent, parts), "part int, pack binary"), parts)
