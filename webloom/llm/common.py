@@ -60,6 +60,12 @@ def broadcast_if_small(df: DataFrame, rows: int, most: int = 100_000) -> DataFra
     return F.broadcast(df) if rows <= most else df
 
 
+def dealt_anew(column: str) -> Column:
+    """The same number as an expression of its own: an aggregate keyed by it is exchanged once more before a join, as
+    one row a key, and the other side's exchange stands right below the join, so that AQE can split a hot key over tasks."""
+    return F.col(column).bitwiseXOR(F.lit(0)).alias(column)
+
+
 def limit_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Texts go to Python in batches of a few MB: the default (by rows, 64 MB) is held twice in the JVM and in each worker."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
