@@ -104,6 +104,19 @@ def test_passages(spark, prose):
     assert left[1] == rows[0][1] and left[2] == prose(90, 5) and left[5] == prose(30, 8) and left[6] is None and left[3] == rows[2][1]
 
 
+@pytest.mark.parametrize("size", [16, 30, 60])
+def test_passages_of_long_words(spark, size):
+    """Exact passages of 51 words are found whatever the words' bytes."""
+    rng = random.Random(size)
+    text = lambda n: [f"{rng.randrange(10**9):0{size}d}" for _ in range(n)]
+    rows = []
+    for i in range(0, 40, 2):
+        passage = text(51)
+        rows += [(i, " ".join(text(60) + passage + text(60))), (i + 1, " ".join(text(80) + passage + text(70)))]
+    got = {(r["doc_id"], r["partner_id"], r["n_words"]) for r in substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(i + 1, i, 51) for i in range(0, 40, 2)}
+
+
 def test_passages_of_awkward_rows(docs, none):
     found = substrings.repeated_passages(docs)
     assert {(r["doc_id"], r["partner_id"]) for r in found.collect()} == {(8, 7), (12, 7)}
