@@ -104,6 +104,23 @@ def test_passages(spark, prose):
     assert left[1] == rows[0][1] and left[2] == prose(90, 5) and left[5] == prose(30, 8) and left[6] is None and left[3] == rows[2][1]
 
 
+def test_passages_that_lesser_documents_hold_in_parts(spark, prose):
+    """Excerpts under the least length in documents of lesser id cover the passage; it is found all the same."""
+    rows = []
+    for n in range(6):
+        passage, i = prose(110, 600 + n).split(" "), 10 * n
+        own = lambda k, m=40: prose(m, 1000 + 10 * i + k)
+        for k, part in enumerate((passage[:45], passage[34:79], passage[68:])):
+            rows.append((i + k, f"{own(k)} {' '.join(part)} {own(k + 3)}"))
+        rows += [(i + 3, f"{own(6)} {' '.join(passage)} {own(7, 30)}"), (i + 4, f"{own(8, 70)} {' '.join(passage)} {own(9)}")]
+    found = substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = dict(rows)
+    seen = {i: {tuple(w[a : a + 50]) for a in range(len(w) - 49)} for i, w in ((i, WORD.findall(t.lower())) for i, t in rows)}
+    want = {(i, j) for i in seen for j in seen if j < i and seen[i] & seen[j]}
+    assert want == {(10 * n + 4, 10 * n + 3) for n in range(6)} == {(r["doc_id"], r["partner_id"]) for r in found}
+    assert all(r["n_words"] == 110 and texts[r["doc_id"]][r["start"] : r["end"]] == texts[r["partner_id"]][r["partner_start"] : r["partner_end"]] for r in found)
+
+
 @pytest.mark.parametrize("size", [16, 30, 60])
 def test_passages_of_long_words(spark, size):
     """Exact passages of 51 words are found whatever the words' bytes."""
