@@ -121,6 +121,26 @@ def test_passages_that_lesser_documents_hold_in_parts(spark, prose):
     assert all(r["n_words"] == 110 and texts[r["doc_id"]][r["start"] : r["end"]] == texts[r["partner_id"]][r["partner_start"] : r["partner_end"]] for r in found)
 
 
+@pytest.mark.parametrize("identity,least", [(0.95, 0.95), (0.9, 0.9), (0.85, 0.85), (0.8, 0.7)])
+def test_edited_passages(spark, identity, least):
+    """Recall of passages with random replaced words, by length."""
+    rng, rows, sizes = random.Random(round(100 * identity)), [], {}
+    text = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    for n in (51, 60, 80, 100):
+        for _ in range(50):
+            passage = text(n)
+            edited = list(passage)
+            for at in rng.sample(range(n), int(n * (1 - identity) + 1e-9)):
+                edited[at] = text(1)[0]
+            i = len(rows)
+            sizes[i + 1] = n
+            rows += [(i, " ".join(text(90) + passage + text(60))), (i + 1, " ".join(text(70) + edited + text(80)))]
+    got = {(r["doc_id"], r["partner_id"]) for r in substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(j == i - 1 for i, j in got)
+    recall = {n: sum(sizes[i] == n for i, _ in got) / 50 for n in (51, 60, 80, 100)}
+    assert min(recall.values()) >= least and min(recall[n] for n in (60, 80, 100)) >= 0.9
+
+
 @pytest.mark.parametrize("size", [16, 30, 60])
 def test_passages_of_long_words(spark, size):
     """Exact passages of 51 words are found whatever the words' bytes."""
