@@ -145,3 +145,15 @@ def test_sources(spark):
     urls = spark.createDataFrame([("http://a/x.html",), ("http://a/x.png",), ("http://analytics.a/x.js",), ("http://a/dir",)], "url string")
     assert [r[0] for r in readers.requested(urls).collect()] == ["http://a/x.html", "http://a/dir"]
     assert content.dynamic_pages(spark.createDataFrame([(1, "u", "<div ng-app>"), (2, "u", "<p>x</p>"), (3, "u", None)], "page_id long, url string, html string")).orderBy("page_id").select("is_dynamic").collect() == [(True,), (False,), (False,)]
+
+
+def test_topics_count_every_document_and_word(spark):
+    from webloom.operators import terms
+
+    rows = [(i, [f"common{i}"] * 20 + [f"filler{i}x{n}" for n in range(100)]) for i in range(60)]
+    got = terms.topics(spark.createDataFrame(rows, "doc_id long, words array<string>"), 2, 10_000).collect()
+    weight = {}
+    for r in got:
+        weight[r["term"]] = max(r["weight"], weight.get(r["term"], 0.0))
+    assert len(weight) == 60 * 101
+    assert all(weight[f"common{i}"] > max(weight[f"filler{i}x{n}"] for n in range(100)) for i in range(60))

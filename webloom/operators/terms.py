@@ -134,8 +134,9 @@ def related_phrases(df: DataFrame, k: int = 10, id_col: str = "doc_id") -> DataF
     return _top(left, id_col, "frequency", k).select(id_col, "term", "frequency", "rank")
 
 
-def topics(df: DataFrame, k: int = 3, terms_each: int = 10, vocabulary: int = 5000, iterations: int = 10, seed: int = 42) -> DataFrame:
-    """(topic, rank, term, weight) of k topics of the corpus by online LDA over its most common content words."""
+def topics(df: DataFrame, k: int = 3, terms_each: int = 10, vocabulary: int = 2**31 - 1, iterations: int = 10, seed: int = 42) -> DataFrame:
+    """(topic, rank, term, weight) of k topics by LDA (expectation maximisation) in which each pass sees every document; every content word counts
+    unless `vocabulary` bounds them."""
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
 
@@ -144,7 +145,7 @@ def topics(df: DataFrame, k: int = 3, terms_each: int = 10, vocabulary: int = 50
     if rows.isEmpty():
         return df.sparkSession.createDataFrame([], schema)
     counts = CountVectorizer(inputCol="tp_words", outputCol="features", vocabSize=vocabulary).fit(rows)
-    model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online").fit(counts.transform(rows))
+    model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="em").fit(counts.transform(rows))
     words = counts.vocabulary
     described = model.describeTopics(terms_each).collect()  # k rows
     return df.sparkSession.createDataFrame([(r["topic"], n + 1, words[i], float(w)) for r in described for n, (i, w) in enumerate(zip(r["termIndices"], r["termWeights"]))], schema)
