@@ -84,6 +84,19 @@ def test_similar_sets_share_a_compound_token(percent):
                 assert set(token[at == 0].tolist()) & set(token[at == 1].tolist())
 
 
+@pytest.mark.parametrize("percent", [30, 50, 60, 70])
+def test_subsets_share_a_compound_token(percent):
+    """The least similar sizes: a set within another."""
+    rng = np.random.default_rng(percent)
+    for n in (10, 100, 113, 128, 300, 1000):
+        for _ in range(20):
+            y = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            x = np.sort(rng.choice(y, -(-n * percent // 100), replace=False))
+            for order in (1, 2):
+                token, at = jaccard.compound_tokens(np.concatenate([x, y]), np.repeat([0, 1], [len(x), len(y)]), np.array([len(x), len(y)]), order, percent)
+                assert set(token[at == 0].tolist()) & set(token[at == 1].tolist())
+
+
 def test_passages(spark, prose):
     passage, other = prose(80, 1), prose(70, 2)
     fuzzy = passage.split(" ")

@@ -65,9 +65,9 @@ def compound_tokens(h: np.ndarray, doc: np.ndarray, size: np.ndarray, order: int
     """(token, set) for the prefix of each set under a global order; h by set, size of each set.
 
     least: shingles that make a compound token; mean: shingles a range holds on average for the least size of its
-    class; ratio: greatest to least size of a class. A set also takes part in the next class if a set of that
+    class; ratio: greatest to least size of a class, no less than that of two similar sets. A set also takes part in the next class if a set of that
     class may be similar to it."""
-    least, mean, ratio = (3, 3.5, 2.0) if percent >= 90 else (2, 1.6, 2.0**0.5) if percent >= 75 else (1, 1.0, 2.0**0.5)
+    least, mean, ratio = (3, 3.5, 2.0) if percent >= 90 else (2, 1.6, 2.0**0.5) if percent >= 75 else (1, 1.0, max(2.0**0.5, 100 / max(percent, 1)))
     value = mix(h ^ _SALT[1 + order])
     by = np.lexsort((value, doc))
     value, owner = value[by], doc[by]
