@@ -157,3 +157,16 @@ def test_topics_count_every_document_and_word(spark):
         weight[r["term"]] = max(r["weight"], weight.get(r["term"], 0.0))
     assert len(weight) == 60 * 101
     assert all(weight[f"common{i}"] > max(weight[f"filler{i}x{n}"] for n in range(100)) for i in range(60))
+
+
+def test_last_section_takes_the_rest(spark):
+    """24 words: sections of 4, 4, 4, 4 and 8; the top word of the last section stands among its last words."""
+    from webloom.operators import terms
+    from webloom.operators import text_analysis as ta
+
+    words = ["w" + chr(97 + n) * 3 for n in range(24)]
+    for n in (0, 4, 8, 12, 23):
+        words[n] = "apple"
+    df = ta.prepare(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string"))
+    assert df.select("words").first()[0] == words
+    assert "keyword_uneven" not in {r["code"] for r in terms.semantic_rules(df).collect()}

@@ -152,7 +152,8 @@ def topics(df: DataFrame, k: int = 3, terms_each: int = 10, vocabulary: int = 2*
 
 
 def semantic_rules(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """A row for each rule that holds, from the densest word, its spread over five sections, coherence and entities."""
+    """A row for each rule that holds, from the densest word, its spread over five sections (the last takes the
+    rest), coherence and entities."""
     from . import text_analysis as ta
 
     top = keyword_density(df.select(id_col, "words"), 1, id_col).select(id_col, "term", "density")
@@ -160,7 +161,7 @@ def semantic_rules(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     df = ta.coherence(df).join(top, id_col, "left").join(named, id_col, "left")
     low, size = tx.lower(F.col("words")), F.greatest(F.floor(F.size("words") / 5).cast("int"), F.lit(1))
     df = df.withColumn("sr_low", low).withColumn("sr_size", size)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.size(F.filter(F.slice("sr_low", (k * F.col("sr_size") + 1).cast("int"), F.col("sr_size")), lambda w: w == F.col("term"))))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.size(F.filter(F.slice("sr_low", (k * F.col("sr_size") + 1).cast("int"), F.when(k < 4, F.col("sr_size")).otherwise(F.greatest(F.size("sr_low"), F.lit(1)))), lambda w: w == F.col("term"))))
     df = df.withColumn("sr_counts", counts)
     return ta.rules(df, [
         ("keyword_rare", "structure", 3, F.col("density") < 1), ("keyword_stuffed", "structure", 2, F.col("density") > 5),
