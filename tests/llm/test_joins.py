@@ -61,6 +61,35 @@ def test_components(spark, copies, k, percent):
     assert sorted(map(tuple, got.collect())) == brute(copies, k, percent)
 
 
+def test_ids_with_several_texts(spark, prose):
+    """All rows of one id have one component, through whichever of its texts."""
+    rows = [(3, prose(30, 1)), (5, prose(30, 1)), (5, prose(30, 2)), (9, prose(30, 2)), (5, None), (9, "one"), (7, prose(30, 3)), (7, prose(40, 4)), (7, prose(30, 3)), (8, prose(40, 4)), (6, prose(30, 5))]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(i, {5: 3, 9: 3, 8: 7}.get(i, i)) for i, _ in sorted(rows, key=lambda r: r[0])]
+
+
+@pytest.mark.parametrize("percent", [60, 70, 75, 80, 90, 95])
+def test_contained_texts(spark, percent):
+    """Pairs whose sizes differ as much as links allow: a text and its beginning."""
+    rng, rows = random.Random(percent), []
+    for n in range(120):
+        w = [f"w{rng.randrange(10**9)}" for _ in range(rng.randrange(4, 120))]
+        rows += [(2 * n, " ".join(w)), (2 * n + 1, " ".join(w[: -(-len(w) * percent // 100) + rng.randrange(-1, 2)]))]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 1, percent)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 1, percent)
+
+
+@pytest.mark.parametrize("by_pair", [0, 10**6])
+def test_verification_counts_alike(monkeypatch, by_pair):
+    monkeypatch.setattr(jaccard, "MOST_BY_PAIR", by_pair)
+    rng = np.random.default_rng(by_pair)
+    pool = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    sets = [np.sort(rng.choice(pool, int(rng.integers(50, 60)), replace=False)) for _ in range(60)]
+    i, j = jaccard.similar_pairs(sets, 80)
+    want = {(a, b) for b in range(60) for a in range(b) if 100 * (n := len(np.intersect1d(sets[a], sets[b]))) >= 80 * (len(sets[a]) + len(sets[b]) - n)}
+    assert set(zip(i.tolist(), j.tolist())) == want and len(want) > 100
+
+
 def test_awkward_rows(docs, none, awkward):
     got = sorted({tuple(r)[:3] for r in jaccard.jaccard_components(docs).collect()})
     rows = sorted({(r[0], r[1]) for r in awkward})

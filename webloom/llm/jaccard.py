@@ -10,13 +10,14 @@
    tied to another set with the same token, never pair by pair, and the ties' components are the first cells.
    (Tokens of one shingle, rare ones first, were tried: passages tied two thirds of the documents into one cell.)
    Sets that have too few compound tokens for the bound are tied among themselves by single shingles.
-3. Order 2, another hash, ties the sets of each cell again. A pair stays a candidate only if both filters put
-   it in one cell: the filters are intersected before verification.
-4. Sets meet in the tasks of their cell and are compared exactly by their shingles. A cell with more than
-   BLOCK sets is cut into blocks, and each pair of blocks is a task, so no task holds an unbounded cell and no
-   pair is lost. Links are counted there and reduced to trees before they leave the task.
+3. Order 2, another hash, ties the sets of each cell again, so that only sets that both filters tie meet.
+4. Sets meet in the tasks of their cell. A pair is a candidate if it shares a token under order 1 and one under order 2:
+   the filters are intersected pair by pair, and only candidates are compared, by all their shingles. A cell of more than
+   BLOCK sets or BLOCK_BYTES is cut into blocks, and each pair of blocks is a task, so no task holds an unbounded cell
+   and no pair is lost. Links are counted there and reduced to trees before they leave the task.
 5. The trees' components give each class its component and its links.
 
+Shingles are compared as 64-bit hashes and equal sets found by 128 bits, so that a link could only be wrong where hashes collide.
 Tokens are packed by hash partition before they are exchanged, each with one set of the partition that has
 it, so a token of any frequency costs a row a map task. Nothing is broadcast but ids behind a check of their
 number. Nothing is capped: large cells cost more tasks.
@@ -24,7 +25,7 @@ number. Nothing is capped: large cells cost more tasks.
 Defined results: words are runs of anything but space and U+0009 to U+000D, A-Z folded; a document with
 fewer than k words has its whole sequence as one shingle; null and empty texts and texts without words have
 no shingles, link with nothing and are their own component; rows that repeat an id are one document, linked
-through any of its texts; null ids come out with a null component unless their class has another id; an empty table gives an
+through any of its texts (each row has the shingles and links of its own text, all have one component); null ids come out with a null component unless their class has another id; an empty table gives an
 empty result. Only the id and text columns are read.
 """
 
@@ -39,7 +40,9 @@ from .common import broadcast_if_small, checkpoint, limit_batches, read, tidy, w
 from .components import components, contract, roots
 from .wordhash import mix, word_slices
 
-BLOCK = 512
+BLOCK, BLOCK_BYTES = 2048, 8 << 20
+#: Beyond so many candidates for each set of a task the shingles are counted by matrix products.
+MOST_BY_PAIR = 24
 MOST_BROADCAST = 2_000_000
 _SALT = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707345, 0xA4093822299F31D1, 0x082EFA98EC4E6C89)]
 
@@ -259,46 +262,68 @@ def _tied(packs: DataFrame, parts: int) -> DataFrame:
     return components(stars, contracted=True)
 
 
+def share_tokens(h: np.ndarray, doc: np.ndarray, size: np.ndarray, order: int, percent: int) -> np.ndarray:
+    """Which pairs of sets share a token of their prefixes under an order."""
+    token, owner = compound_tokens(h, doc, size, order, percent)
+    by = np.argsort(token, kind="stable")
+    token, owner = token[by], owner[by]
+    edges = np.flatnonzero(np.diff(token, prepend=token[:1] ^ np.uint64(1))) if len(token) else np.zeros(0, dtype=np.int64)
+    many = np.diff(edges, append=len(token))
+    out = np.zeros((len(size), len(size)), dtype=bool)
+    pairs = edges[many == 2]
+    out[owner[pairs], owner[pairs + 1]] = out[owner[pairs + 1], owner[pairs]] = True
+    for a, n in zip(edges[many > 2].tolist(), many[many > 2].tolist()):
+        own = owner[a : a + n]
+        out[own[:, None], own] = True
+    return out
+
+
+def shared_counts(h: np.ndarray, doc: np.ndarray, m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many shingles the sets i[n] and j[n] share; h ascends within each set."""
+    if len(i) <= MOST_BY_PAIR * m:
+        ends = np.searchsorted(doc, np.arange(m + 1))
+        cut = lambda n: h[ends[n] : ends[n + 1]]
+        return np.array([len(np.intersect1d(cut(a), cut(b), assume_unique=True)) for a, b in zip(i.tolist(), j.tolist())], dtype=np.int64)
+    order = np.argsort(h, kind="stable")
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = h[1:] != h[:-1]
+    token = np.cumsum(new) - 1
+    several = np.bincount(token) > 1
+    keep = several[token]
+    token, doc = (np.cumsum(several) - 1)[token[keep]], doc[keep]
+    shared, width = np.zeros((m, m), dtype=np.float32), max(256, (1 << 23) // m)
+    for a in range(0, int(several.sum()), width):
+        x, y = np.searchsorted(token, [a, a + width])
+        block = np.zeros((m, width), dtype=np.float32)
+        block[doc[x:y], token[x:y] - a] = 1
+        shared += block @ block.T
+    return shared[i, j].astype(np.int64)
+
+
 def similar_pairs(sets: list[np.ndarray], percent: int, left: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs i < j of the sets with 100 * shared >= percent * union; left: pairs must differ in it."""
     m, size = len(sets), np.array([len(s) for s in sets], dtype=np.int64)
     h, doc = np.concatenate(sets), np.repeat(np.arange(m), size)
-    order = np.argsort(h, kind="stable")
-    h, doc = h[order], doc[order]
-    first = np.flatnonzero(np.diff(h, prepend=h[:1] ^ np.uint64(1)) != 0) if len(h) else np.zeros(0, dtype=np.int64)
-    run = np.diff(first, append=len(h))
-    shared = np.zeros((m, m), dtype=np.float32)
-    many = run[(run > 1)]
-    if len(many) and float((many.astype(np.float64) ** 2).sum()) > 4e6:
-        keep = np.repeat(run > 1, run)
-        token, doc = np.repeat(np.cumsum(run > 1) - 1, run)[keep], doc[keep]
-        width = max(256, (1 << 24) // m)
-        for a in range(0, len(many), width):
-            x, y = np.searchsorted(token, [a, a + width])
-            block = np.zeros((m, min(width, len(many) - a)), dtype=np.float32)
-            block[doc[x:y], token[x:y] - a] = 1
-            shared += block @ block.T
-    else:
-        for d in np.unique(many):
-            rows = doc[first[run == d][:, None] + np.arange(d)]
-            i, j = np.triu_indices(d, 1)
-            np.add.at(shared, (rows[:, i].ravel(), rows[:, j].ravel()), 1)
-        shared = shared + shared.T
-    shared = np.triu(shared, 1).astype(np.int64)
-    i, j = np.nonzero(shared)
+    both = np.triu(share_tokens(h, doc, size, 1, percent) & share_tokens(h, doc, size, 2, percent), 1)
+    i, j = np.nonzero(both)
+    near = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
     if left is not None:
-        apart = left[i] != left[j]
-        i, j = i[apart], j[apart]
-    ok = 100 * shared[i, j] >= percent * (size[i] + size[j] - shared[i, j])
+        near &= left[i] != left[j]
+    i, j = i[near], j[near]
+    shared = shared_counts(h, doc, m, i, j)
+    ok = 100 * shared >= percent * (size[i] + size[j] - shared)
     return i[ok], j[ok]
 
 
 def _verify(percent: int):
-    """Rows sorted by task: (task, own block, rep, weight, tokens). Gives trees (a, b, null) and link counts (a, null, links)."""
+    """Rows sorted by task: (task, own block or -1 if the task is of one block, rep, weight, tokens). Gives trees (a, b, null) and link counts (a, null, links)."""
 
     def group(task, rows):
-        left = None if len({r[0] for r in rows}) == 1 else np.array([r[0] for r in rows])
+        left = None if rows[0][0] < 0 else np.array([r[0] for r in rows])
         i, j = similar_pairs([np.frombuffer(r[3], "<u8") for r in rows], percent, left)
+        other = np.array([r[1] for r in rows])
+        i, j = i[other[i] != other[j]], j[other[i] != other[j]]  # texts of one id are tied anyway
         rep, weight = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
         node, root = roots(rep[i], rep[j]) if len(i) else (rep[:0], rep[:0])
         links = np.bincount(i, weights=weight[j], minlength=len(rows)) + np.bincount(j, weights=weight[i], minlength=len(rows))
@@ -328,7 +353,7 @@ def _verify(percent: int):
 
 
 def jaccard_components(df: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """A row for each row of df: doc_id, n_shingles, component_id, n_links (documents linked to it)."""
+    """A row for each row of df: doc_id, n_shingles, component_id, n_links (other rows linked to it)."""
     limit_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     own = written(docs.mapInArrow(_signatures(k), "doc_id bigint, n bigint, d1 bigint, d2 bigint"), "signatures")
@@ -344,20 +369,33 @@ def jaccard_components(df: DataFrame, k: int = 3, percent: int = 90, id_col: str
     sets = written(texts.mapInArrow(_cell_sets(k), "cell bigint, rep bigint, weight bigint, d1 bigint, d2 bigint, n bigint, tokens binary"), "cells")
 
     second = checkpoint(_tied(sets.select("cell", "rep", "tokens").mapInArrow(_cell_ties(percent, parts), "part int, pack binary"), parts))
-    crowd = second.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    # Blocks are cut by number and by bytes, so a task holds two of BLOCK_BYTES, or two sets.
+    weighed = second.join(members.groupBy(F.col("rep").alias("node")).agg((8 * F.sum("n")).alias("bytes")), "node")
+    crowd = weighed.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
     placed = second.join(crowd, "root").select(F.col("node").alias("rep"), "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
     tasks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     placed = placed.select("*", tasks.alias("other"))
-    placed = placed.select("rep", "own", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("task"))
+    placed = placed.select("rep", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("own"), F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("task"))
     parts = sets.select("rep", "weight", "tokens").join(placed, "rep").select("task", "own", "rep", "weight", "tokens")
     found = written(parts.repartition("task").sortWithinPartitions("task", "rep").mapInArrow(_verify(percent), "a bigint, b bigint, links bigint"), "links")
 
-    trees = components(found.where("b IS NOT NULL").select("a", "b"))
+    edges = found.where("b IS NOT NULL").select("a", "b")
+    several = written(own.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("d1", "d2", "n")).alias("lo"), F.max(F.struct("d1", "d2", "n")).alias("hi")).where("lo <> hi").select("doc_id"), "repeated")
+    repeated = several.count()
+    several = broadcast_if_small(several, repeated, MOST_BROADCAST)
+    if repeated:  # an id with different texts ties their classes
+        held = own.join(several, "doc_id").join(classes, ["d1", "d2", "n"]).select("doc_id", "rep").distinct()
+        edges = edges.union(held.join(held.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").select("rep", "b"))
+    trees = components(edges)
     links = found.where("links IS NOT NULL").groupBy("a").agg(F.sum("links").alias("links"))
     grouped = classes.join(trees.select(F.col("node").alias("rep"), "root"), "rep", "left").join(links.select(F.col("a").alias("rep"), "links"), "rep", "left")
     grouped = grouped.where("root IS NOT NULL OR weight > 1").select("d1", "d2", "n", F.coalesce("root", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     out = own.join(grouped, ["d1", "d2", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    if repeated:  # its rows without words too
+        of_id = out.join(several, "doc_id").groupBy("doc_id").agg(F.min("component_id").alias("of_id"))
+        out = out.join(of_id, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("of_id", "component_id").alias("component_id"), "n_links")
+    return out
 
 
 def op3_multi_order_jaccard(spark, sf_dir: str) -> DataFrame:
