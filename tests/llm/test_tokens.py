@@ -1,5 +1,6 @@
 """Encoding, token files and packing against the tokenizers library and exact round trips."""
 
+import collections
 import random
 import zlib
 
@@ -116,3 +117,55 @@ def test_bin_completion_on_many():
     plan = packing.complete_bins(histogram)
     assert sum(t for _, t in plan) <= 1.001 * packing.lower_bound([histogram.get(s, 0) for s in range(1025)], 1024)
     assert packing.complete_bins({}) == []
+
+
+def used_lengths(plan, capacity):
+    assert all(sum(b) <= capacity for b, _ in plan)
+    return collections.Counter({s: n for s, n in sum((collections.Counter({s: t * b.count(s) for s in b}) for b, t in plan), collections.Counter()).items()})
+
+
+@pytest.mark.parametrize("pieces,bins", [(3, 15), (4, 40), (5, 40)])
+def test_search_beats_best_fit(pieces, bins):
+    """Planted perfect packings that best fit misses."""
+    rng, missed = random.Random(pieces), 0
+    while missed < 4:
+        histogram = collections.Counter()
+        for _ in range(bins):
+            cuts = sorted(rng.sample(range(1, 1024), pieces - 1))
+            histogram.update(b - a for a, b in zip([0, *cuts], [*cuts, 1024]))
+        if sum(t for _, t in packing.best_fit([histogram[s] for s in range(1025)], 1024)) > bins:
+            missed += 1
+            plan = packing.complete_bins(histogram)
+            assert sum(t for _, t in plan) == bins and used_lengths(plan, 1024) == histogram
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_fillings_are_the_undominated_ones(seed):
+    """Against all multisets of the lengths; each that is left out gives way to one that wastes no more."""
+    rng = random.Random(seed)
+    counts = [0] + [rng.choice((0, 0, 1, 2)) for _ in range(14)]
+    room = rng.randrange(5, 14)
+    got = list(packing.fillings(counts, room, room))
+
+    def every(k, left):
+        if k == 0:
+            yield ()
+            return
+        for n in range(min(counts[k], left // k) + 1):
+            for rest in every(k - 1, left - n * k):
+                yield (k,) * n + rest
+
+    all_ = set(every(14, room))
+    assert set(got) <= all_ and len(got) == len(set(got)) and max(map(sum, all_)) == max(map(sum, got), default=0)
+    for f in all_ - set(got):
+        assert packing.dominated(counts, f, room - sum(f))
+
+
+def test_full_pieces_and_groups(spark):
+    rows = [(i, 0, 0, (1024, 600, 424, 300, 124)[i % 5], i) for i in range(500)]
+    pieces = spark.createDataFrame(rows, packing.PIECES)
+    got = packing.pack(pieces, group_rows=7).toPandas()
+    assert len(got) == 500 and got.groupby("sequence_id").length.sum().max() <= 1024 and got.sequence_id.nunique() == 100 + 100 + 100 * 424 // 1024 + 1
+    for _, s in got.groupby("sequence_id"):
+        s = s.sort_values("offset")
+        assert s.offset.tolist() == (s.length.cumsum() - s.length).tolist()
