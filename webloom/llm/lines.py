@@ -6,14 +6,15 @@ it lost too much of its text. A line fails if it
   * is navigation: three or more separators (| > and their typographic kin), at least one to five words;
   * is badly punctuated: it has five words or more and no sentence mark at all, or doubled exclamation
     or question marks after a fifth of its words or more, or symbols (# * $ % &) on a third of them;
-  * is boilerplate: it holds one of the stock phrases below;
+  * is boilerplate: a fourth of its words or more are one of the stock phrases below;
   * repeats an earlier line of the document.
 
 Beside that verdict the base statistics of the contract are computed and its two base rules applied.
 
 Defined results: null and empty texts have no words, fail the base rule and are not kept; line ends are
 \\n alone; repeated rows are judged alike; an empty table gives an empty result. Extra columns pass
-through; names that start with `_ln_` are reserved.
+through, but for those of the output's names (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept_share,
+clean_text, kept, in any case), which are replaced; names that start with `_ln_` are reserved.
 """
 
 from __future__ import annotations
@@ -23,11 +24,20 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, read, words
 
-#: Fixed phrases of page furniture, in lower case.
+#: Fixed phrases of page furniture in English, German, French and Spanish, in lower case.
 BOILERPLATE = (
-    "accept cookies", "all rights reserved", "click here", "cookie policy", "enable javascript", "javascript is disabled", "log in to comment",
-    "lorem ipsum", "privacy policy", "read more", "share this", "sign up for", "skip to content", "subscribe to", "terms of service", "terms of use", "we use cookies",
+    "accept cookies", "all rights reserved", "back to top", "click here", "cookie policy", "cookie settings", "enable javascript", "javascript is disabled",
+    "log in to comment", "lorem ipsum", "powered by wordpress", "privacy policy", "read more", "share this", "sign up for", "skip to content", "subscribe to",
+    "terms of service", "terms of use", "we use cookies",
+    "alle rechte vorbehalten", "allgemeine geschäftsbedingungen", "cookies akzeptieren", "datenschutzerklärung", "hier klicken", "jetzt anmelden",
+    "mehr lesen", "nach oben", "newsletter abonnieren", "wir verwenden cookies", "zum inhalt springen",
+    "accepter les cookies", "aller au contenu", "cliquez ici", "conditions d'utilisation", "haut de page", "lire la suite", "mentions légales",
+    "nous utilisons des cookies", "politique de confidentialité", "tous droits réservés",
+    "aceptar cookies", "aviso legal", "haga clic aquí", "ir al contenido", "leer más", "política de privacidad", "términos de uso",
+    "todos los derechos reservados", "utilizamos cookies", "volver arriba",
 )
+#: A phrase makes a line boilerplate only if at least one in so many of its words is the phrase's.
+PHRASE_SHARE = 4
 NAVIGATION = r"[|>»›•]"
 SENTENCE = r"[.!?…。؟।:;]"
 SHOUT = r"[!?]{2,}"
@@ -36,6 +46,12 @@ MIN_KEPT = 0.5
 MIN_WORDS = 50
 
 
+def phrases() -> list[tuple[int, str]]:
+    """(words, pattern) for the phrases of each number of words; letters on neither side."""
+    of = {n: [p for p in BOILERPLATE if len(p.split()) == n] for n in sorted({len(p.split()) for p in BOILERPLATE})}
+    return [(n, rf"(^|[^\p{{L}}])({'|'.join(own)})([^\p{{L}}]|$)") for n, own in of.items()]
+
+
 def line_passes(line: Column) -> Column:
     n = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
     navigation, shout, symbols = (F.regexp_count(line, F.lit(p)) for p in (NAVIGATION, SHOUT, r"[#*$%&]+"))
@@ -44,8 +60,9 @@ def line_passes(line: Column) -> Column:
         | (n >= 5) & ~line.rlike(SENTENCE)
         | (shout >= 1) & (shout * 5 >= n)
         | (symbols >= 1) & (symbols * 3 >= n)
-        | F.lower(line).rlike("|".join(BOILERPLATE))
     )
+    for words_of, pattern in phrases():
+        fails = fails | (n <= PHRASE_SHARE * words_of) & F.lower(line).rlike(pattern)
     return ~fails
 
 
@@ -117,7 +134,7 @@ ok AS (
           OR k >= 5 AND NOT regexp_matches(x, '{_re2(SENTENCE)}')
           OR len(regexp_extract_all(x, '{SHOUT}')) >= 1 AND len(regexp_extract_all(x, '{SHOUT}')) * 5 >= k
           OR len(regexp_extract_all(x, '[#*$%&]+')) >= 1 AND len(regexp_extract_all(x, '[#*$%&]+')) * 3 >= k
-          OR regexp_matches(lower(x), '{"|".join(BOILERPLATE)}'))
+          OR {" OR ".join(f"k <= {PHRASE_SHARE * n} AND regexp_matches(lower(x), '{p.replace(chr(39), chr(39) * 2)}')" for n, p in phrases())})
   GROUP BY r),
 s AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
