@@ -1,16 +1,18 @@
 """A quality classifier: logistic regression over hashed word n-grams, trained by follow-the-regularised-leader.
 
-Features of a text are its words and word pairs, hashed into 2**BITS places (case matters, and runs of marks
-at a word's ends are features of their own, so that junk made of marks or capitals shows), each text's vector
-scaled to length one. Training is FTRL-proximal (per-coordinate rates, L1 and L2), one pass after the other
+Features of a text are word n-grams, hashed into 2**BITS places: its words and word pairs (case matters), and the same over
+the words' classes (how many marks a word carries, whether it is in capitals, its last byte; of pairs only whether
+both words are one), so that junk shows that was never seen. Each text's vector is scaled to length one. Training is
+FTRL-proximal (per-coordinate rates, L1 and L2), one pass after the other
 over a sample of labelled texts that is bounded by a documented parameter (MOST_LABELLED, the rows with the
-least hash of their id), in a fixed order. The weights (2**BITS numbers) are the only thing that goes to the
+least hash of their id), in a fixed order. Its rates were picked by compare_rates() on a part of the learning rows of the
+0.1 GB check table, never on held-out rows. The weights (2**BITS numbers) are the only thing that goes to the
 executors; a score is one sparse dot product, computed for whole batches by array operations.
 
 Only the text is ever a feature. Defined results: null and empty texts have no features and score by the
 intercept alone; rows that repeat an id are scored alike by their texts; without labelled rows every score is
-0.5; an empty table gives an empty result. Extra columns pass through unless they clash with held_out, score
-or predicted, which are replaced.
+0.5; an empty table gives an empty result. In score() extra columns pass through, but for one of the output's name (in any
+case), which is replaced; the query's columns are its own.
 """
 
 from __future__ import annotations
@@ -115,12 +117,34 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     sample = bounded(rows, "rank", most).mapInArrow(_sparse(bits), "rank bigint, label int, places binary, `values` binary").toArrow().sort_by([("rank", "ascending"), ("places", "ascending")])
     if not sample.num_rows:
         return np.zeros((1 << bits) + 1)
-    labels, places, values = sample.column("label").to_numpy(), sample.column("places").to_pylist(), sample.column("values").to_pylist()
-    model = Ftrl(bits)
+    return fitted(sparse_rows(sample), bits, epochs).weights()
+
+
+def sparse_rows(sample: pa.Table) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """(places, values, label) of each row."""
+    columns = (sample.column(c).to_pylist() for c in ("places", "values", "label"))
+    return [(np.frombuffer(p, "<i4"), np.frombuffer(v, "<f4"), int(y)) for p, v, y in zip(*columns)]
+
+
+def fitted(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int, epochs: int, **rates: float) -> Ftrl:
+    model = Ftrl(bits, **rates)
     for _ in range(epochs):
-        for k in range(len(labels)):
-            model.learn(np.frombuffer(places[k], "<i4"), np.frombuffer(values[k], "<f4"), int(labels[k]))
-    return model.weights()
+        for row in rows:
+            model.learn(*row)
+    return model
+
+
+def compare_rates(spark, sf_dir: str, settings: list[dict], bits: int = BITS, epochs: int = EPOCHS) -> list[tuple[float, dict]]:
+    """(mean log loss, setting), best first, on the fourth of the learning rows that the other three do not learn from."""
+    sample = labelled_sample(spark, sf_dir, MOST_LABELLED)
+    rows = sparse_rows(sample.where("text IS NOT NULL").select(_rank(F.col("doc_id")).alias("rank"), F.col("label").cast("int"), "text").mapInArrow(_sparse(bits), "rank bigint, label int, places binary, `values` binary").orderBy("rank").toArrow())
+    out = []
+    for setting in settings:
+        w = fitted([r for n, r in enumerate(rows) if n % 4], bits, epochs, **setting).weights()
+        p = np.array([1 / (1 + np.exp(-np.clip(w[places] @ values + w[-1], -35, 35))) for places, values, _ in rows[::4]])
+        y = np.array([label for _, _, label in rows[::4]])
+        out.append((float(-np.mean(np.log(np.clip(np.where(y == 1, p, 1 - p), 1e-12, 1)))), setting))
+    return sorted(out, key=lambda x: x[0])
 
 
 def score(df: DataFrame, weights: np.ndarray, text_col: str = "text", out: str = "score") -> DataFrame:
@@ -128,7 +152,7 @@ def score(df: DataFrame, weights: np.ndarray, text_col: str = "text", out: str =
     limit_batches(df.sparkSession)
     bits = (len(weights) - 1).bit_length() - 1
     weights = weights.astype(np.float32)
-    names = [c for c in df.columns if c != out]
+    names = [c for c in df.columns if c.lower() != out.lower()]
     k = names.index(text_col)
 
     @tidy
@@ -145,13 +169,18 @@ def score(df: DataFrame, weights: np.ndarray, text_col: str = "text", out: str =
     return df.select(*[df[c] for c in names]).mapInArrow(run, f"{kinds}, `{out}` double")
 
 
-def quality_weights(spark, sf_dir: str, docs: DataFrame | None = None, most: int = MOST_LABELLED) -> np.ndarray:
-    """Learns labels.quality from rows that are not held out, with the texts of documents."""
+def labelled_sample(spark, sf_dir: str, most: int, docs: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text, label) of at most `most` labelled rows that are not held out."""
     labels = read(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("label"))
     # Only the sample's labels meet the texts.
     sample = bounded(labels.where("label IS NOT NULL").withColumn("_rank", _rank(F.col("doc_id"))), "_rank", most).drop("_rank")
     docs = read(spark, sf_dir, "documents") if docs is None else docs
-    return train(docs.select("doc_id", "text").join(F.broadcast(checkpoint(sample)), "doc_id"), most=most)
+    return docs.select("doc_id", "text").join(F.broadcast(checkpoint(sample)), "doc_id")
+
+
+def quality_weights(spark, sf_dir: str, docs: DataFrame | None = None, most: int = MOST_LABELLED) -> np.ndarray:
+    """Learns labels.quality from rows that are not held out, with the texts of documents."""
+    return train(labelled_sample(spark, sf_dir, most, docs), most=most)
 
 
 def op10_ftrl_quality(spark, sf_dir: str) -> DataFrame:
