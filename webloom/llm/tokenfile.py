@@ -26,13 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import limit_batches, read, tidy, written
+from .common import broadcast_if_small, checkpoint, limit_batches, read, tidy, written
 from .tokens import END_ID, encoder
 from .wordhash import word_slices
 
 MAGIC = b"WDAC"
 BLOCK_TOKENS = 1 << 18
 RANK_BITS = 512
+#: Blocks whose starts (24 bytes each) a broadcast may hold; places that one request of a block may hold.
+MOST_BLOCKS, MOST_ASKED = 1_000_000, 4096
 
 
 def encode_block(ids: np.ndarray, ends: np.ndarray) -> bytes:
@@ -139,14 +141,19 @@ def write_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return written(docs.mapInArrow(blocks, BLOCKS), "tokens")
 
 
+def block_starts(files: DataFrame) -> DataFrame:
+    """(part, block, before, n_tokens): the ids before each block. As many rows as blocks, of BLOCK_TOKENS ids each."""
+    thin = files.select("part", "block", "n_tokens")
+    parts = thin.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row a part
+    in_part = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    thin = thin.withColumn("within", F.coalesce(F.sum("n_tokens").over(in_part), F.lit(0))).join(parts, "part")
+    return checkpoint(thin.select("part", "block", (F.col("before") + F.col("within")).alias("before"), "n_tokens"))
+
+
 def read_tokens(files: DataFrame) -> DataFrame:
     """A row for each document of the written table: doc_id, start, n_tokens, ids_crc32."""
-    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    before = F.sum("n").over(Window.orderBy("part")) - F.col("n")
-    parts = parts.select("part", before.alias("before"))
-    in_part = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    places = files.select("part", "block", F.coalesce(F.sum("n_tokens").over(in_part), F.lit(0)).alias("within")).join(parts, "part")
-    places = places.select("part", "block", (F.col("before") + F.col("within")).alias("before"))
+    starts = block_starts(files).select("part", "block", "before")
 
     @tidy
     def documents(batches):
@@ -157,9 +164,32 @@ def read_tokens(files: DataFrame) -> DataFrame:
                 crcs = [zlib.crc32(ids.tobytes()) for ids in own.documents()]
                 yield pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array(before + own.ends.astype(np.int64) - n), pa.array(n), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    found = files.select("part", "block", "doc_ids", "image").join(places, ["part", "block"]).select("doc_ids", "image", "before")
+    # The starts go to the images, so that these are not exchanged again.
+    found = files.select("part", "block", "doc_ids", "image").join(broadcast_if_small(starts, starts.count(), MOST_BLOCKS), ["part", "block"]).select("doc_ids", "image", "before")
     return found.mapInArrow(documents, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
+def token_at(files: DataFrame, places: DataFrame, place_col: str = "place") -> DataFrame:
+    """places with the id at each place of the whole sequence, null beyond its ends: each is sent to its block and read
+    there by one chunk a level. (The Parquet page that holds the image is still read whole.)"""
+    starts = block_starts(files).where("n_tokens > 0")
+    wanted = places.select(F.col(place_col).cast("long").alias("_tk_at")).where("_tk_at >= 0").distinct()
+    # Joined by stretches of BLOCK_TOKENS places: a block stands in those that it touches.
+    stretch = lambda c: F.floor(c / BLOCK_TOKENS)
+    starts = starts.withColumn("stretch", F.explode(F.sequence(stretch(F.col("before")), stretch(F.col("before") + F.col("n_tokens") - 1))))
+    held = wanted.withColumn("stretch", stretch(F.col("_tk_at"))).join(starts, "stretch").where((F.col("_tk_at") >= F.col("before")) & (F.col("_tk_at") < F.col("before") + F.col("n_tokens")))
+    asked = held.groupBy("part", "block", F.floor((F.col("_tk_at") - F.col("before")) / MOST_ASKED).alias("slice")).agg(F.first("before").alias("before"), F.collect_set("_tk_at").alias("at"))
+
+    @tidy
+    def tokens(batches):
+        for batch in batches:
+            for image, before, at in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                own = Block(image)
+                yield pa.record_batch([pa.array(at, pa.int64()), pa.array([own.token(a - before) for a in at], pa.int64())], names=["_tk_at", "token"])
+
+    found = files.select("part", "block", "image").join(asked, ["part", "block"]).select("image", "before", "at").mapInArrow(tokens, "_tk_at bigint, token bigint")
+    return places.join(found, F.col(place_col).cast("long") == F.col("_tk_at"), "left").drop("_tk_at")
+
+
 def op2_directly_addressable(spark, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(read(spark, sf_dir, "documents")))
