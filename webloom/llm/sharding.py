@@ -8,8 +8,8 @@ exchanged, and every cell puts what it received in a second random order. The re
 in which shard sizes differ by one row at most, and no task holds more than a block or a cell. Shards are
 made of `cells` ordered cells, so that a shard may be larger than a task.
 
-The matrix has blocks * shards * cells entries whatever the input (131,072 by default), so what the driver
-draws and what goes to the executors as a literal are bounded.
+The matrix has blocks * shards * cells entries: 131,072 for up to a billion rows, more of each for more rows, but a million
+at most for 16 shards, so what the driver draws and what goes to the executors as a literal are bounded.
 
 Defined results: null text counts as empty with size 1; rows with equal ids are ordered by size and
 checksum, and rows equal in all three are interchangeable; an empty table gives an empty result. Columns
@@ -27,7 +27,9 @@ from pyspark.sql.window import Window
 
 from .common import checkpoint, read, utf8_crc32
 
-SHARDS, BLOCKS, CELLS = 16, 256, 32
+SHARDS = 16
+#: Rows that a block or a cell holds, and the least and most blocks, and cells of a shard.
+TASK_ROWS, BLOCKS, CELLS = 4_000_000, (256, 1024), (32, 64)
 
 
 def communication_matrix(counts: list[int], sizes: list[int], seed: int) -> np.ndarray:
@@ -47,8 +49,10 @@ def even(n: int, parts: int) -> list[int]:
     return [n // parts + (i < n % parts) for i in range(parts)]
 
 
-def shard_rows(df: DataFrame, keys: list[str], shards: int = SHARDS, blocks: int = BLOCKS, cells: int = CELLS, seed: int = 7) -> DataFrame:
+def shard_rows(df: DataFrame, keys: list[str], shards: int = SHARDS, blocks: int | None = None, cells: int | None = None, seed: int = 7) -> DataFrame:
     """df with shard (0 to shards - 1) and slot (gapless from 0 within the shard)."""
+    tasks = -(-df.count() // TASK_ROWS) if not blocks or not cells else 0
+    blocks, cells = blocks or min(BLOCKS[1], max(BLOCKS[0], tasks)), cells or min(CELLS[1], max(CELLS[0], -(-tasks // shards)))
     df = df.drop(*{"shard", "slot"}.difference(keys))
     block = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(blocks))
     tagged = df.withColumn("_sh_block", block)
@@ -62,8 +66,15 @@ def shard_rows(df: DataFrame, keys: list[str], shards: int = SHARDS, blocks: int
 
     first = Window.partitionBy("_sh_block").orderBy(F.xxhash64(F.lit(seed + 1), *keys), *keys)
     dealt = tagged.withColumn("_sh_at", F.row_number().over(first) - 1)
-    ends = F.element_at(upto, (F.col("_sh_block") + 1).cast("int"))
-    dealt = dealt.withColumn("_sh_cell", F.aggregate(ends, F.lit(0), lambda a, e: a + (e <= F.col("_sh_at")).cast("int")))
+    # How many of the block's cells end at or before the row's place, by binary search.
+    dealt = dealt.withColumn("_sh_ends", F.element_at(upto, (F.col("_sh_block") + 1).cast("int")))
+    cell = F.lit(0)
+    for k in reversed(range((shards * cells).bit_length())):
+        step = F.lit(1 << k)
+        dealt = dealt.withColumn("_sh_cell", cell)
+        to = F.least(F.col("_sh_cell") + step, F.lit(shards * cells))
+        cell = F.when((F.col("_sh_cell") + step <= shards * cells) & (F.element_at("_sh_ends", to) <= F.col("_sh_at")), to).otherwise(F.col("_sh_cell"))
+    dealt = dealt.withColumn("_sh_cell", cell)
     second = Window.partitionBy("_sh_cell").orderBy(F.xxhash64(F.lit(seed + 2), *keys), *keys)
     placed = dealt.withColumn("slot", F.row_number().over(second) - 1 + F.element_at(starts, F.col("_sh_cell") + 1))
     return placed.withColumn("shard", F.floor(F.col("_sh_cell") / cells).cast("int")).select(*df.columns, "shard", "slot")
