@@ -69,7 +69,7 @@ def test_targets():
 
     spark = SparkSession.getActiveSession()
     for sizes in ([10, 2000, 30], [5, 0, 5, 1000, 7, 9], [100, 100, 100, 100]):
-        df = spark.createDataFrame([(f"s{i:02}", s, 1) for i, s in enumerate(sizes)], "_mix_key string, source_size long, n_docs long")
+        df = spark.createDataFrame([(f"s{i:02}", s) for i, s in enumerate(sizes)], "_mix_key string, source_size long")
         got = [r["target"] for r in mixing.source_targets(df).orderBy("_mix_key").collect()]
         np.testing.assert_allclose(got, rounds(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))]))
 
@@ -85,6 +85,24 @@ def test_mix_comes_near_its_targets(spark, prose):
     assert got.set_index("doc_id").copies.to_dict() == again.set_index("doc_id").copies.to_dict()
 
 
+def test_inclusion_frequencies(spark):
+    """Over many sources of the same sizes, documents are in the sample as often as their probabilities say."""
+    distinct = [1, 2, 3, 5, 8, 10, 13, 16, 20, 25, 30, 40, 50, 60, 80, 110, 150, 200]
+    sizes, sources = [n for n in distinct for _ in range(9)], 72
+    rows = [(1000 * s + i, " ".join(["w"] * n), f"s{s:04}") for s in range(sources) for i, n in enumerate(sizes)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    for k, w in enumerate((5, 2, 1)):
+        rest = (w / (8 / 3)) % 1 * sum(sizes)
+        lo, hi = 0.0, 1.0
+        for _ in range(60):  # the rate by bisection
+            c = (lo + hi) / 2
+            lo, hi = (c, hi) if sum(min(1, c * n) * n for n in sizes) < rest else (lo, c)
+        own = got[got.doc_id // 1000 % 3 == k]
+        drawn = (own.copies - int(w / (8 / 3))).groupby(own["size"]).mean()
+        off = np.abs(drawn - [min(1, c * n) for n in distinct])
+        assert off.max() < 0.12 and off.mean() < 0.04
+
+
 def test_mix_of_awkward_rows(docs, none):
     got = mixing.mix_sources(docs.withColumn("size", F.lit("own")).withColumn("Target", F.lit(1)))
     assert got.count() == docs.count() and got.where("copies IS NULL OR copies > 3 OR size IS NULL").isEmpty()
@@ -101,6 +119,13 @@ def test_line_rules(spark, docs, none, prose):
     assert lines.judge_lines(docs).count() == docs.count() and lines.judge_lines(none).isEmpty()
 
 
+def test_boilerplate_lines(spark):
+    rows = {"Read more": False, "Click here to read more!": False, "She bread more loaves than he could, and wished to read more.": True, "Mentions légales.": False, "Tous droits réservés © 2020.": False,
+            "Er wollte mehr lesen, als an diesem Abend in der Stube auf dem Tisch lag.": True, "conditions d'utilisation": False, "Leer más.": False, "Proofread more.": True}
+    got = {r["x"]: r["ok"] for r in spark.createDataFrame([(x,) for x in rows], "x string").withColumn("ok", lines.line_passes(F.col("x"))).collect()}
+    assert got == rows
+
+
 def test_repeated_windows(spark):
     import random
 
@@ -151,6 +176,25 @@ def test_digest_conflicts_get_ordinals(spark, monkeypatch):
     assert got == {1: "d2-0", 2: "d2-1", 3: "d2-0", 4: "d3-0"}
 
 
+def test_edited_texts_are_compared_byte_by_byte(spark, monkeypatch):
+    """Digests that collide on purpose: originals and edited texts get ordinals by their own bytes."""
+    monkeypatch.setattr(fingerprints, "digest", lambda canon: F.concat(F.lit("d"), F.length(canon).cast("string")))
+    rows = [(1, "abc"), (2, "abd"), (3, "xyzabc"), (3, "qrsabd"), (4, None), (5, ""), (6, "ab"), (7, "AB"), (None, "abc"), (7, "AB")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r.asDict() for r in fingerprints.edited_fingerprints(df).collect()]
+    assert len(got) == len(rows)
+    whole = {}
+    for r in got:
+        texts = [t or "" for i, t in rows if i == r["doc_id"]]
+        nexts = [t or "" for _, t in rows]
+        ways = {hashlib.sha256((t[: len(t) - len(t) // 3] + n[: len(t) // 3]).encode()).hexdigest(): (t, t[: len(t) - len(t) // 3] + n[: len(t) // 3]) for t in texts for n in nexts}
+        t, e = ways[r["edited_sha256"]]
+        for text, mark in ((t, r["fingerprint"]), (e, r["edited_fingerprint"])):
+            assert whole.setdefault(mark, canonical(text)) == canonical(text)
+        assert r["near_edited"] == float(canonical(t) == canonical(e)) and r["n_chars"] == len(t)
+    assert len(whole) == len(set(whole.values())) > 5
+
+
 def test_fingerprint_query(spark):
     got = QUERIES["op6_canonical_digest"](spark, SF).toPandas().set_index("doc_id")
     docs = pd.read_parquet(f"{SF}/documents.parquet").sort_values("doc_id", ascending=False)
@@ -172,6 +216,19 @@ def test_licenses(spark, docs, none):
     assert licenses.license_notices(docs).isEmpty() and licenses.license_notices(none).isEmpty()
 
 
+def test_more_notices_side_by_side(spark, prose):
+    """Templates that rank low are confirmed too, own ones are found without a common word, and odd rows do no harm."""
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    both = "SPDX-License-Identifier: BSD-2-Clause\nLicensed under CC BY-NC-SA 3.0.\nReleased under the MIT License."
+    long = prose(20_000, 3) + "\n" + isc + "\n" + prose(20_000, 4)
+    rows = [(1, isc, "x"), (2, both, "x"), (2, both, "x"), (3, long, None), (None, isc, "y"), (4, "Sharing is fine as long as nobody sings.", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, license string").withColumn("start", F.lit(1))
+    got = [(r["doc_id"], r["license"]) for r in licenses.license_notices(df).collect()]
+    assert sorted(got, key=str) == sorted([(1, "ISC"), (3, "ISC"), (None, "ISC")] + [(2, x) for x in ("BSD-2-Clause", "CC-BY-NC-SA-3.0", "MIT")] * 2, key=str)
+    own = licenses.license_notices(df, templates=[("Own", "Sharing is fine as long as nobody sings.")]).collect()
+    assert [(r["doc_id"], r["license"]) for r in own] == [(4, "Own")]
+
+
 def test_licenses_on_the_table(spark):
     got = {r[0] for r in QUERIES["op5_conditional_compression"](spark, SF).select("doc_id").collect()}
     docs = pd.read_parquet(f"{SF}/documents.parquet")
@@ -192,3 +249,33 @@ def test_classifier(spark, docs, none, prose):
     assert len(scored) == docs.count() and all(0 <= r["score"] <= 1 for r in scored)
     assert classifier.score(none, weights).isEmpty()
     assert not classifier.train(spark.createDataFrame([], "doc_id long, text string, label int")).any()
+
+
+def test_ftrl_against_a_plain_version():
+    """Coordinate by coordinate, as the algorithm is published."""
+    rng = np.random.default_rng(3)
+    rows = [(np.sort(rng.choice(32, 6, replace=False)).astype("<i4"), rng.random(6).astype("<f4"), int(rng.integers(0, 2))) for _ in range(200)]
+    rates = {"alpha": 0.7, "beta": 1.3, "l1": 0.6, "l2": 0.01}
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= rates["l1"]:
+            return 0.0
+        return -(z[i] - (rates["l1"] if z[i] > 0 else -rates["l1"])) / ((rates["beta"] + n[i] ** 0.5) / rates["alpha"] + rates["l2"])
+
+    for places, values, label in rows * 2:
+        x = dict(zip([*places.tolist(), 32], [*values.tolist(), 1.0]))
+        w = {i: weight(i) for i in x}
+        p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in x.items())))
+        for i, v in x.items():
+            g = (p - label) * v
+            z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / rates["alpha"] * w[i]
+            n[i] += g * g
+    got = classifier.fitted(rows, 5, 2, **rates).weights()
+    np.testing.assert_allclose(got, [weight(i) for i in range(33)], rtol=1e-6, atol=1e-9)
+    assert (got == 0).any() and (got != 0).sum() > 10
+
+
+def test_score_replaces_a_column_in_any_case(docs):
+    scored = classifier.score(docs.withColumn("Score", F.lit("own")).withColumn("held_out", F.lit(1)), np.zeros(9))
+    assert scored.columns == [*docs.columns, "held_out", "score"] and {r["score"] for r in scored.select("score").collect()} == {0.5}

@@ -67,6 +67,19 @@ def test_token_file(spark, docs, none, awkward, library):
     assert tokenfile.read_tokens(tokenfile.write_tokens(none)).isEmpty()
 
 
+def test_tokens_by_place(spark, docs, awkward, library):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several blocks
+    try:
+        files = tokenfile.write_tokens(docs, block_tokens=1000)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    ids = [x for _, text in sorted((r[0], r[1]) for r in awkward) for x in library.encode(text or "", add_special_tokens=False).ids + [END_ID]]
+    places = [*range(0, len(ids), 997), len(ids) - 1, len(ids), -1, 5, 5]
+    got = tokenfile.token_at(files, spark.createDataFrame([(p,) for p in places], "place long")).collect()
+    assert sorted((r["place"], r["token"]) for r in got if r["token"] is not None) == sorted((p, ids[p]) for p in places if 0 <= p < len(ids))
+    assert len(got) == len(places) and files.count() > 1
+
+
 def test_packing(docs, none, awkward, library):
     rows = packing.pack_documents(docs).toPandas()
     for doc_id, text in {(r[0], r[1]) for r in awkward}:
