@@ -26,7 +26,7 @@ from .common import checkpoint, limit_batches, read, tidy
 from .wordhash import Words, mix, word_slices
 
 BITS, MOST_LABELLED, EPOCHS = 18, 8_000, 5
-ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.001, 0.0005
+ALPHA, BETA, L1, L2 = 4.0, 1.0, 0.001, 0.0005
 ACCEPT = 0.7
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
