@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,9 +12,10 @@ from ..operators import text_analysis as ta
 from ..sources.dom import elements
 from ..sources.readers import table
 from . import oracles as o
+from . import rich
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES: dict = dict(rich.QUERIES)
+ORACLES: dict = dict(rich.ORACLES)
 
 
 def query(sql: str | None = None):
@@ -31,8 +33,9 @@ def documents(spark, sf_dir: str) -> DataFrame:
 
 
 def parsed(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pages and their elements. The elements are kept, spilling to disk: operators use them several times, and parsing is the dearest step."""
     pages = table(spark, sf_dir, "pages")
-    return pages, elements(pages)
+    return pages, elements(pages).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 STATS = ["doc_id", "word_count", "character_count", "characters_with_spaces", "sentence_count", "paragraph_count", "avg_sentence_length", "avg_word_length", "lexical_diversity", "punctuation_count", "number_count", "long_word_count", "punctuation_density", "long_word_percent"]
@@ -360,22 +363,39 @@ def page_microdata(spark, sf_dir):
     return metadata.microdata(parsed(spark, sf_dir)[1]).withColumn("properties", F.to_json("properties"))
 
 
+def with_seo(pages: DataFrame, e: DataFrame) -> DataFrame:
+    """Metadata, headings, body text and every SEO score of each page; its ten most frequent words are the keywords."""
+    df = metadata.metadata(pages, e).join(structure.headings(e), "page_id", "left").join(content.body_text(e), "page_id", "left")
+    top = terms.top_terms(ta.prepare(df.select("page_id", F.coalesce("body_text", F.lit("")).alias("text"))), 10, "page_id")
+    top = top.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("top_words"))
+    df = df.join(top, "page_id", "left").withColumn("top_words", F.coalesce("top_words", F.array().cast("array<string>")))
+    df = seo.keyword_score(seo.relevance_score(seo.url_score(seo.heading_score(seo.meta_score(df))), "body_text"), F.col("top_words"), "body_text")
+    return seo.overall(seo.optimisation_score(df))
+
+
 @query()
 def page_report(spark, sf_dir):
     """The flagship: structure, metadata and SEO scores of every page."""
     pages, e = parsed(spark, sf_dir)
-    df = metadata.metadata(pages, e).join(structure.headings(e), "page_id", "left").join(structure.page_counts(e).select("page_id", "elements", "max_nesting", "complexity", "images", "scripts"), "page_id", "left")
-    df = df.join(structure.link_summary(e).select("page_id", F.col("total").alias("links")), "page_id", "left").join(content.body_text(e), "page_id", "left")
-    df = seo.relevance_score(seo.url_score(seo.heading_score(seo.meta_score(df))), "body_text")
-    df = seo.overall(seo.optimisation_score(df.withColumn("keyword_score", F.lit(1.0)).withColumn("max_density", F.lit(0.0))))
-    return df.select("page_id", "url", "title", "language", "h1", F.col("total").alias("headings"), "links", "elements", "max_nesting", "complexity", "meta_score", "heading_score", "url_score", "relevance_score", "optimisation", "seo_score")
+    df = with_seo(pages, e).join(structure.page_counts(e).select("page_id", "elements", "max_nesting", "complexity", "images", "scripts"), "page_id", "left")
+    df = df.join(structure.link_summary(e).select("page_id", F.col("total").alias("links")), "page_id", "left")
+    return df.select("page_id", "url", "title", "language", "h1", F.col("total").alias("headings"), "links", "elements", "max_nesting", "complexity", "meta_score", "heading_score", "url_score", "keyword_score", "relevance_score", "optimisation", "seo_score")
 
 
 @query()
 def page_seo_recommendations(spark, sf_dir):
-    pages, e = parsed(spark, sf_dir)
-    df = metadata.metadata(pages, e).join(structure.headings(e), "page_id", "left")
-    return seo.recommendations(seo.url_score(seo.heading_score(seo.meta_score(df))))
+    return seo.recommendations(with_seo(*parsed(spark, sf_dir)))
+
+
+GIVEN = ("the", "of the", "que", "zzz")
+
+
+@query(o.GIVEN_KEYWORDS)
+def doc_given_keywords(spark, sf_dir):
+    """Usage of given keywords, a row for each document and keyword."""
+    df = seo.keyword_score(table(spark, sf_dir, "documents").select("doc_id", "text"), F.array(*[F.lit(k) for k in GIVEN]))
+    df = df.select("doc_id", "keyword_score", F.explode("keyword_usage").alias("u"), F.array_join("keyword_issues", "|").alias("issues"))
+    return df.select("doc_id", "keyword_score", "u.keyword", "u.count", "u.density", F.array_join("u.by_section", "|").alias("by_section"), "issues")
 
 
 # Tables.
@@ -398,10 +418,10 @@ def rel_page_offset(spark, sf_dir):
 
 @query("SELECT o.o_orderkey, o.o_orderpriority FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE n.n_name = (SELECT min(n_name) FROM nation)")
 def rel_ownership(spark, sf_dir):
-    nation = table(spark, sf_dir, "nation")
-    mine = nation.orderBy("n_name").limit(1)
-    own = table(spark, sf_dir, "customer").join(F.broadcast(mine), F.col("c_nationkey") == F.col("n_nationkey"), "left_semi")  # one row
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_custkey").join(own, F.col("o_custkey") == F.col("c_custkey"), "left_semi").drop("o_custkey")
+    user = table(spark, sf_dir, "nation").orderBy("n_name").first()["n_nationkey"]
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_custkey")
+    return relational.owned(orders, customers, user, project_key="o_custkey", owner="c_nationkey").drop("o_custkey")
 
 
 @query("SELECT count(*) AS lineitems FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'))")

@@ -185,3 +185,16 @@ LINKS_TOTAL = PAGE_BARE + r"""
 , a AS (SELECT page_id, url AS base, unnest(regexp_extract_all(bare, '<a href="([^"]*)"', 1)) AS href FROM h),
 k AS (SELECT page_id, base, replace(href, '&amp;', '&') AS href FROM a WHERE href <> '' AND NOT regexp_matches(lower(trim(href)), '^(javascript:|#|mailto:|tel:)'))
 SELECT page_id, count(*) AS links, count(*) FILTER (NOT regexp_matches(href, '^([a-z]+:)?//') OR regexp_extract(href, '//([^/?#]*)', 1) = regexp_extract(base, '//([^/?#]*)', 1)) AS internal FROM k GROUP BY 1"""
+
+_GIVEN = ("the", "of the", "que", "zzz")
+_IN = "CASE WHEN contains(k, ' ') THEN ((length({t}) - length(replace({t}, k, ''))) // length(k))::BIGINT ELSE len(list_filter({w}, lambda x: x = k))::BIGINT END"
+GIVEN_KEYWORDS = f"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, lower(coalesce(text, '')) AS t, regexp_extract_all(lower(coalesce(text, '')), '\\p{{L}}+') AS ws FROM documents),
+z AS (SELECT *, greatest(len(ws) // 4, 1) AS n, len(list_filter(ws, lambda x: x NOT IN ({STOP})))::BIGINT AS usable FROM w),
+p AS (SELECT *, ws[1:n] AS p1, ws[n + 1:2 * n] AS p2, ws[2 * n + 1:3 * n] AS p3, ws[3 * n + 1:] AS p4 FROM z),
+k AS (SELECT *, unnest([{quote(_GIVEN)}]) AS k, unnest(range(1, {len(_GIVEN) + 1})) AS place FROM p),
+c AS (SELECT *, {_IN.format(t="t", w="ws")} AS cnt, {", ".join(_IN.format(t=f"array_to_string(p{i}, ' ')", w=f"p{i}") + f" AS c{i}" for i in (1, 2, 3, 4))} FROM k),
+d AS (SELECT *, CASE WHEN usable = 0 THEN 0.0::DOUBLE ELSE (cnt * 100)::DOUBLE / usable END AS density FROM c),
+i AS (SELECT *, CASE WHEN cnt = 0 THEN 'missing:' || k WHEN density < 0.5 THEN 'rare:' || k WHEN density > 3 THEN 'stuffed:' || k WHEN len(ws) >= 300 AND least(c1, c2, c3, c4) = 0 THEN 'uneven:' || k END AS issue FROM d),
+s AS (SELECT r, coalesce(string_agg(issue, '|' ORDER BY place), '') AS issues, greatest(0.0::DOUBLE, 1.0::DOUBLE - 0.1::DOUBLE * count(issue)) AS keyword_score FROM i GROUP BY r)
+SELECT doc_id, keyword_score, k AS keyword, cnt AS count, density, concat_ws('|', c1, c2, c3, c4) AS by_section, issues FROM i JOIN s USING (r)"""

@@ -5,10 +5,24 @@ has committed, so a failed job leaves the old state whole."""
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in spark.checkpoint.dir; only a local master gets a folder of its own where that is unset."""
+    context = df.sparkSession.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "checkpoints"))
+    return df.checkpoint(eager=True)
+
+
 def upserted(old: DataFrame | None, new: DataFrame, key: str) -> DataFrame:
     """Rows of new, and those of old whose key new lacks."""
     return new if old is None else old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
