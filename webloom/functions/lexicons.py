@@ -66,3 +66,15 @@ STOPWORDS = (
     "el los las una unos y o es son en por con para del al que no se su lo como "
     "и в во не что он на я с со как а то все она так его но да ты к у же вы за бы по"
 ).split()
+
+#: Stop words by language, of our own choice too; any other language takes the list above.
+STOPWORDS_BY_LANGUAGE = {
+    "en": "a an the and or but if of to in on for with as by at from is are was were be been it its this that he she they we you i not no so do does did have has had will would can could".split(),
+    "de": "und der die das den dem des ein eine einer ist sind war mit von zu im in auf für nicht sich auch es er sie wir ihr".split(),
+    "fr": "le la les un une des de du et ou est sont dans pour par sur avec qui que ne pas ce cette il elle nous vous".split(),
+    "es": "el la los las un una unos de y o en es son por con para del al que no se su lo como".split(),
+    "it": "il lo la i gli le un una di a da in con su per tra fra e o è sono che non si come del della".split(),
+    "nl": "de het een en of van in op te dat is zijn was met voor niet aan er ook door bij".split(),
+    "pt": "o a os as um uma de do da dos das em no na e ou é são que não se por com para como".split(),
+    "ru": "и в во не что он на я с со как а то все она так его но да ты к у же вы за бы по".split(),
+}

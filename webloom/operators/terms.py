@@ -36,6 +36,15 @@ def keyword_density(df: DataFrame, k: int = 10, id_col: str = "doc_id") -> DataF
     return found.withColumn("density", tx.ratio(F.col("frequency") * 100, F.col("word_count")))
 
 
+def section_terms(df: DataFrame, k: int = 5, id_col: str = "doc_id", least: int = 100) -> DataFrame:
+    """The k most frequent words of each section: a fifth of the text, but `least` words at least."""
+    size = F.greatest(F.lit(least), F.floor(F.size("words") / 5).cast("int")).alias("size")
+    words = df.select(id_col, size, F.posexplode(tx.lower(F.col("words"))).alias("place", "term")).where((F.length("term") > 2) & ~F.col("term").isin(*lex.STOPWORDS))
+    n = words.groupBy(id_col, F.floor(F.col("place") / F.col("size")).alias("section"), "term").agg(F.count(F.lit(1)).alias("frequency"))
+    rank = F.row_number().over(Window.partitionBy(id_col, "section").orderBy(F.desc("frequency"), "term"))
+    return n.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+
+
 def bigrams(df: DataFrame, least: int = 3, threshold: float = 10.0, id_col: str = "doc_id") -> DataFrame:
     """Word pairs with score (n_ab - least) * vocabulary / (n_a * n_b) over the threshold."""
     pairs = df.select(id_col, F.explode(tx.ngrams(tx.lower(F.col("words")), 2)).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("frequency"))
@@ -67,10 +76,25 @@ def entities(df: DataFrame, k: int = 50, id_col: str = "doc_id") -> DataFrame:
     return _top(words.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("frequency")), id_col, "frequency", k)
 
 
-def entity_graph(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Entities that share a sentence: (source, target, weight) with source < target, summed over the corpus."""
-    each = df.select(F.explode("sents").alias("s")).select(F.array_sort(F.array_distinct(F.filter(F.transform(F.filter(F.regexp_extract_all("s", F.lit(r"\p{L}+"), F.lit(0)), lambda w: w.rlike(r"^\p{Lu}") & (F.length(w) > 1)), lambda w: F.lower(w)), lambda w: ~w.isin(*lex.STOPWORDS)))).alias("e"))
-    pairs = each.where(F.size("e") > 1).select(F.explode("e").alias("source"), "e").select("source", F.explode("e").alias("target")).where("source < target")
+def entity_nodes(df: DataFrame) -> DataFrame:
+    """The nodes of the graph: entities with how often they stand in the corpus."""
+    words = df.select(F.explode("words").alias("word")).where(F.col("word").rlike(r"^\p{Lu}") & (F.length("word") > 1))
+    return words.groupBy(F.lower("word").alias("term")).agg(F.count(F.lit(1)).alias("weight")).where(~F.col("term").isin(*lex.STOPWORDS))
+
+
+#: Words of a stretch within which entities go together; a sentence is seldom longer, but a text without marks is one sentence.
+STRETCH = 60
+
+
+def entity_graph(df: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """Entities that share a sentence, of which no stretch is longer than that many words: (source, target, weight) with
+    source < target, summed over the corpus. So pairs are linear in the words."""
+    words = df.select(F.explode("sents").alias("s")).select(F.regexp_extract_all("s", F.lit(r"\p{L}+"), F.lit(0)).alias("w"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size("w"), F.lit(1)) - 1) / stretch).cast("int")), lambda k: F.slice("w", k * stretch + 1, F.lit(stretch)))
+    each = words.select(F.explode(cut).alias("w"))
+    named = F.filter(F.transform(F.filter("w", lambda w: w.rlike(r"^\p{Lu}") & (F.length(w) > 1)), lambda w: F.lower(w)), lambda w: ~w.isin(*lex.STOPWORDS))
+    each = each.select(F.array_distinct(named).alias("e")).where(F.size("e") > 1)
+    pairs = each.select(F.explode("e").alias("source"), "e").select("source", F.explode("e").alias("target")).where("source < target")
     return pairs.groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"))
 
 
@@ -90,8 +114,20 @@ def keyword_stuffing(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return top.groupBy(id_col).agg(F.max(hit.cast("int")).alias("stuffed"))
 
 
-def stop_words_removed(df: DataFrame, col: str = "words", out: str = "content_words") -> DataFrame:
-    return df.withColumn(out, F.filter(tx.lower(F.col(col)), lambda w: ~w.isin(*lex.STOPWORDS)))
+def stop_words_removed(df: DataFrame, col: str = "words", out: str = "content_words", lang_col: str | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Without the stop words of the row's language (of all languages without lang_col or for others), and without extra ones."""
+    left = lambda listed: F.filter(tx.lower(F.col(col)), lambda w: ~w.isin(*listed, *extra))
+    kept = left(lex.STOPWORDS)
+    if lang_col:
+        kept = F.coalesce(*[F.when(F.col(lang_col) == k, left(v)) for k, v in lex.STOPWORDS_BY_LANGUAGE.items()], kept)
+    return df.withColumn(out, kept)
+
+
+def preprocessed(df: DataFrame, stops: bool = True, punctuation: bool = True, lemmatize: bool = True, lang_col: str | None = None, extra: tuple[str, ...] = (), out: str = "terms") -> DataFrame:
+    """Tokens of prepared text in lower case, by choice without punctuation, without stop words, and as lemmas, in that order."""
+    df = df.withColumn(out, tx.lower(F.col("words" if punctuation else "toks")))
+    df = stop_words_removed(df, out, out, lang_col, extra) if stops else df
+    return lemmas(df, out, out) if lemmatize else df
 
 
 def lemmas(df: DataFrame, col: str = "words", out: str = "lemmas") -> DataFrame:
@@ -115,7 +151,7 @@ def rank_terms(df: DataFrame, k: int = 30, id_col: str = "doc_id") -> DataFrame:
 
 
 def keywords(df: DataFrame, k: int = 30, id_col: str = "doc_id") -> DataFrame:
-    """TF-IDF and rank scores, each in shares of the document's best, added by term; none under 20 words."""
+    """The hundred best terms by TF-IDF and by rank score, merged by term: the sum of the reciprocals of both ranks; none under 20 words."""
     long = df.where(F.size("words") >= 20).select(id_col, "words")
     a = tfidf(long, 100, id_col).withColumn("s1", 1.0 / F.col("rank")).select(id_col, "term", "s1")
     b = rank_terms(long, 100, id_col).withColumn("s2", 1.0 / F.col("rank")).select(id_col, "term", "s2")

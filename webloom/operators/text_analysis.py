@@ -47,6 +47,10 @@ def readability(df: DataFrame, lang_col: str = "lang") -> DataFrame:
     asl, asw, asw_ru = tx.ratio(F.col("n_"), F.col("s_")), tx.ratio(F.col("syllable_count"), F.col("n_")), tx.ratio(F.col("syl_ru_"), F.col("n_"))
     df = df.withColumns({"asl_": asl, "asw_": asw, "asw_ru_": asw_ru})
     ease = 206.835 - 1.015 * F.col("asl_") - 84.6 * F.col("asw_")
+    points = (F.col("n_") + 2 * F.col("complex_words")) / F.col("s_")
+    linsear = F.when(points > 20, points / 2).otherwise((points - 2) / 2)
+    hard_share = tx.ratio(F.col("complex_words") * 100, F.col("n_"))
+    dale = 0.1579 * hard_share + 0.0496 * F.col("asl_") + F.when(hard_share > 5, 3.6365).otherwise(0.0)
     df = df.withColumns({
         "flesch_reading_ease": ease,
         "flesch_kincaid_grade": 0.39 * F.col("asl_") + 11.8 * F.col("asw_") - 15.59,
@@ -54,13 +58,17 @@ def readability(df: DataFrame, lang_col: str = "lang") -> DataFrame:
         "smog_index": 1.043 * F.sqrt(F.col("complex_words") * 30.0 / F.col("s_")) + 3.1291,
         "automated_readability_index": 4.71 * tx.ratio(F.col("c_"), F.col("n_")) + 0.5 * F.col("asl_") - 21.43,
         "coleman_liau_index": 5.88 * tx.ratio(F.col("c_"), F.col("n_")) - 29.6 * tx.ratio(F.col("s_"), F.col("n_")) - 15.8,
+        # Both over the whole text; hard words stand for those that are in no list of easy ones.
+        "linsear_write": linsear, "dale_chall": dale,
         "flesch_ru": F.least(F.greatest(206.835 - 1.3 * F.col("asl_") - 60.1 * F.col("asw_ru_"), F.lit(0.0)), F.lit(100.0)),
         "fog_ru": 0.4 * (F.col("asl_") + tx.ratio(F.col("hard_ru_") * 100, F.col("n_"))),
     })
     own = F.when(F.col("n_") == 0, F.lit(50.0)).when(F.coalesce(F.col(lang_col), F.lit("")) == "ru", F.col("flesch_ru")).otherwise(F.col("flesch_reading_ease"))
     bands = [(90, "very easy"), (80, "easy"), (70, "fairly easy"), (60, "standard"), (50, "fairly difficult"), (30, "difficult")]
     level = F.coalesce(*[F.when(F.col("overall_readability") >= x, F.lit(name)) for x, name in bands], F.lit("very difficult"))
-    return df.withColumn("overall_readability", own).withColumn("readability_level", level).drop("n_", "s_", "c_", "syl_ru_", "hard_ru_", "asl_", "asw_", "asw_ru_")
+    grades = [(90, "5th grade"), (80, "6th grade"), (70, "7th grade"), (60, "8th to 9th grade"), (50, "10th to 12th grade"), (30, "college")]
+    education = F.coalesce(*[F.when(F.col("overall_readability") >= x, F.lit(name)) for x, name in grades], F.lit("graduate"))
+    return df.withColumn("overall_readability", own).withColumn("readability_level", level).withColumn("education_level", education).drop("n_", "s_", "c_", "syl_ru_", "hard_ru_", "asl_", "asw_", "asw_ru_")
 
 
 def quality(df: DataFrame, grammar: Column | None = None) -> DataFrame:
@@ -75,13 +83,14 @@ def rules(df: DataFrame, found: list[tuple[str, str, int, Column]], id_col: str
     return df.select(id_col, F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("r")).select(id_col, "r.*")
 
 
-def basic_rules(df: DataFrame, lang_col: str = "lang") -> list[tuple[str, str, int, Column]]:
+def basic_rules(df: DataFrame, lang_col: str = "lang", grammar_errors: Column | None = None) -> list[tuple[str, str, int, Column]]:
+    """grammar_errors: how many a checker found; there is none here."""
     lexical, n = F.col("lexical_diversity"), F.col("word_count")
     hard = F.when(F.coalesce(F.col(lang_col), F.lit("")) == "ru", F.col("flesch_ru")).otherwise(F.col("flesch_reading_ease")) < 50
     return [
         ("long_sentences", "readability", 2, F.col("avg_sentence_length") > 25), ("low_readability", "readability", 1, hard & (n > 0)),
         ("low_diversity", "vocabulary", 3, lexical < 0.4), ("high_diversity", "vocabulary", 4, (lexical > 0.8) & (n > 300)),
-        ("long_paragraphs", "structure", 3, tx.ratio(F.col("sentence_count"), F.col("paragraph_count")) > 7),
+        ("grammar_errors", "grammar", 1, (F.lit(0) if grammar_errors is None else grammar_errors) > 5), ("long_paragraphs", "structure", 3, tx.ratio(F.col("sentence_count"), F.col("paragraph_count")) > 7),
     ]
 
 
@@ -126,6 +135,29 @@ def emotions(df: DataFrame) -> DataFrame:
     return df.withColumns({"dominant_emotion": first, "emotional_intensity": tx.ratio(sum((F.col(k) for k in names[1:]), F.col(names[0])), F.size("toks"))}).drop("lower_")
 
 
+def emotion_profile(df: DataFrame) -> DataFrame:
+    """Of each emotion its share of all hits, and the sentences that hold one of its words anywhere in them."""
+    df = emotions(df)
+    total = sum((F.col(k) for k in list(lex.EMOTIONS)[1:]), F.col(next(iter(lex.EMOTIONS))))
+    held = lambda words: F.filter("sents", lambda s: reduce(lambda a, b: a | b, [F.contains(F.lower(s), F.lit(w)) for w in words]))
+    return df.withColumns({f"{k}_share": tx.ratio(F.col(k), total) for k in lex.EMOTIONS} | {f"{k}_sentences": held(v) for k, v in lex.EMOTIONS.items()})
+
+
+def action_contexts(df: DataFrame, text_col: str = "text", around: int = 50) -> DataFrame:
+    """With the calls to action of each pattern in order, and the text around each; needs `ctas` of calls_to_action."""
+    text = tx.text_or_empty(F.col(text_col))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("last"), F.array().cast("array<string>").alias("out"))
+
+    def step(a, c):
+        # The matches of one pattern ascend; a new pattern starts anew where nothing follows.
+        after = F.call_function("locate", c, F.lower(text), a["at"] + 1)
+        at = F.when(after > 0, after).otherwise(F.call_function("locate", c, F.lower(text), F.lit(1)))
+        begin = F.greatest(at - around, F.lit(1))
+        return F.struct(at.alias("at"), c.alias("last"), F.concat(a["out"], F.array(F.substring(text, begin, at - begin + F.length(c) + around))).alias("out"))
+
+    return df.withColumn("cta_contexts", F.aggregate("ctas", start, step)["out"])
+
+
 def calls_to_action(df: DataFrame, text_col: str = "text") -> DataFrame:
     """All matches of the patterns, the trigger classes they hold, and their effectiveness (0 to 100)."""
     found = F.flatten(F.array(*[F.regexp_extract_all(F.lower(tx.text_or_empty(F.col(text_col))), F.lit(p), F.lit(0)) for p in lex.CTA_PATTERNS]))

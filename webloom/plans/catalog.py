@@ -6,7 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
+from ..functions import lexicons as lex
 from ..operators import analysis, content, metadata, relational, robots, seo, structure, terms
 from ..operators import text_analysis as ta
 from ..sources.dom import elements
@@ -39,7 +39,7 @@ def parsed(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 STATS = ["doc_id", "word_count", "character_count", "characters_with_spaces", "sentence_count", "paragraph_count", "avg_sentence_length", "avg_word_length", "lexical_diversity", "punctuation_count", "number_count", "long_word_count", "punctuation_density", "long_word_percent"]
-READ = ["doc_id", "syllable_count", "complex_words", "flesch_reading_ease", "flesch_kincaid_grade", "gunning_fog", "smog_index", "automated_readability_index", "coleman_liau_index", "flesch_ru", "fog_ru", "overall_readability", "readability_level"]
+READ = ["doc_id", "syllable_count", "complex_words", "flesch_reading_ease", "flesch_kincaid_grade", "gunning_fog", "smog_index", "automated_readability_index", "coleman_liau_index", "linsear_write", "dale_chall", "flesch_ru", "fog_ru", "overall_readability", "readability_level", "education_level"]
 
 
 @query(o.TEXT + o.STATS)
@@ -174,6 +174,48 @@ def doc_content_words(spark, sf_dir):
     return df.select("doc_id", F.size("content_words").cast("long").alias("content_words"), F.md5(F.array_join("content_words", " ").cast("binary")).alias("content_md5"))
 
 
+@query(o.TEXT + o.EMOTION_PROFILE)
+def doc_emotion_profile(spark, sf_dir):
+    df = ta.emotion_profile(documents(spark, sf_dir))
+    return df.select("doc_id", *[c for k in lex.EMOTIONS for c in (F.col(f"{k}_share"), F.size(f"{k}_sentences").cast("long").alias(f"{k}_sentences"))])
+
+
+@query(o.TEXT + o.SECTION_TERMS)
+def doc_section_keywords(spark, sf_dir):
+    return terms.section_terms(documents(spark, sf_dir))
+
+
+@query(o.TEXT + o.GRAPH_NODES)
+def doc_entity_nodes(spark, sf_dir):
+    return terms.entity_nodes(documents(spark, sf_dir))
+
+
+@query(o.TEXT + o.PREPROCESSED)
+def doc_preprocessed(spark, sf_dir):
+    """Lemmas without the stop words of each document's language and one of the caller's."""
+    df = terms.preprocessed(documents(spark, sf_dir), lang_col="lang", extra=("item",))
+    return df.select("doc_id", F.size("terms").cast("long").alias("n"), F.md5(F.array_join("terms", " ").cast("binary")).alias("md5"))
+
+
+@query(o.TEXT + o.SIMILAR_ENDS)
+def doc_similar_ends(spark, sf_dir):
+    """How alike the first and the last sentence of each document are."""
+    words = lambda s: F.regexp_extract_all(F.lower(F.coalesce(s, F.lit(""))), F.lit(r"\p{L}+"), F.lit(0))
+    ends = terms.similarity(words(F.get("sents", F.lit(0))), words(F.try_element_at("sents", F.lit(-1))))
+    return documents(spark, sf_dir).select("doc_id", ends.alias("similarity"))
+
+
+@query(o.SEMANTIC)
+def doc_semantic(spark, sf_dir):
+    """Keywords, entities and coherence of each document in one row."""
+    df = documents(spark, sf_dir)
+    listed = lambda rows, value, out: rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", value.alias("v")))), lambda x: x["v"]), "|").alias(out))
+    kw = listed(terms.keywords(df), F.col("term"), "keywords")
+    en = listed(terms.entities(df), F.concat("term", F.lit(":"), F.col("frequency").cast("string")), "entities")
+    out = ta.coherence(df).select("doc_id", F.round("coherence", 6).alias("coherence")).join(kw, "doc_id", "left").join(en, "doc_id", "left")
+    return out.fillna("", ["keywords", "entities"])
+
+
 @query()
 def doc_topics(spark, sf_dir):
     return terms.topics(documents(spark, sf_dir))

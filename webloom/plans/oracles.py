@@ -41,13 +41,17 @@ r AS (
   SELECT doc_id, lang, nw, syllable_count, complex_words, 206.835::DOUBLE - 1.015::DOUBLE * asl - 84.6::DOUBLE * asw AS flesch_reading_ease, 0.39::DOUBLE * asl + 11.8::DOUBLE * asw - 15.59::DOUBLE AS flesch_kincaid_grade,
          0.4::DOUBLE * (asl + CASE WHEN nw = 0 THEN 0.0 ELSE (complex_words * 100)::DOUBLE / nw END) AS gunning_fog, 1.043::DOUBLE * sqrt(complex_words * 30.0::DOUBLE / ns) + 3.1291::DOUBLE AS smog_index,
          4.71::DOUBLE * CASE WHEN nw = 0 THEN 0.0 ELSE c / nw END + 0.5::DOUBLE * asl - 21.43::DOUBLE AS automated_readability_index,
+         CASE WHEN (nw + 2 * complex_words) / ns > 20 THEN (nw + 2 * complex_words) / ns / 2 ELSE ((nw + 2 * complex_words) / ns - 2) / 2 END::DOUBLE AS linsear_write,
+         0.1579::DOUBLE * CASE WHEN nw = 0 THEN 0.0 ELSE (complex_words * 100)::DOUBLE / nw END + 0.0496::DOUBLE * asl + CASE WHEN nw > 0 AND (complex_words * 100)::DOUBLE / nw > 5 THEN 3.6365::DOUBLE ELSE 0.0::DOUBLE END AS dale_chall,
          5.88::DOUBLE * CASE WHEN nw = 0 THEN 0.0 ELSE c / nw END - 29.6::DOUBLE * CASE WHEN nw = 0 THEN 0.0 ELSE ns / nw END - 15.8::DOUBLE AS coleman_liau_index,
          least(greatest(206.835::DOUBLE - 1.3::DOUBLE * asl - 60.1::DOUBLE * asr, 0.0), 100.0) AS flesch_ru, 0.4::DOUBLE * (asl + CASE WHEN nw = 0 THEN 0.0 ELSE hru / nw END) AS fog_ru FROM q),
 o AS (SELECT *, CASE WHEN nw = 0 THEN 50.0 WHEN lang = 'ru' THEN flesch_ru ELSE flesch_reading_ease END::DOUBLE AS overall_readability FROM r)
 """
 
 READ_OUT = r"""
-SELECT doc_id, syllable_count, complex_words, flesch_reading_ease, flesch_kincaid_grade, gunning_fog, smog_index, automated_readability_index, coleman_liau_index, flesch_ru, fog_ru, overall_readability,
+SELECT doc_id, syllable_count, complex_words, flesch_reading_ease, flesch_kincaid_grade, gunning_fog, smog_index, automated_readability_index, coleman_liau_index, linsear_write, dale_chall, flesch_ru, fog_ru, overall_readability,
+       CASE WHEN overall_readability >= 90 THEN '5th grade' WHEN overall_readability >= 80 THEN '6th grade' WHEN overall_readability >= 70 THEN '7th grade' WHEN overall_readability >= 60 THEN '8th to 9th grade'
+            WHEN overall_readability >= 50 THEN '10th to 12th grade' WHEN overall_readability >= 30 THEN 'college' ELSE 'graduate' END AS education_level,
        CASE WHEN overall_readability >= 90 THEN 'very easy' WHEN overall_readability >= 80 THEN 'easy' WHEN overall_readability >= 70 THEN 'fairly easy' WHEN overall_readability >= 60 THEN 'standard'
             WHEN overall_readability >= 50 THEN 'fairly difficult' WHEN overall_readability >= 30 THEN 'difficult' ELSE 'very difficult' END AS readability_level FROM o
 """
@@ -63,7 +67,7 @@ x AS (
   UNION ALL SELECT doc_id, 1, 'low_readability', 'readability', 1 FROM b WHERE (CASE WHEN coalesce(lang, '') = 'ru' THEN flesch_ru ELSE flesch_reading_ease END) < 50 AND word_count > 0
   UNION ALL SELECT doc_id, 2, 'low_diversity', 'vocabulary', 3 FROM b WHERE lexical_diversity < 0.4
   UNION ALL SELECT doc_id, 3, 'high_diversity', 'vocabulary', 4 FROM b WHERE lexical_diversity > 0.8 AND word_count > 300
-  UNION ALL SELECT doc_id, 4, 'long_paragraphs', 'structure', 3 FROM b WHERE paragraph_count > 0 AND sentence_count::DOUBLE / paragraph_count > 7)
+  UNION ALL SELECT doc_id, 5, 'long_paragraphs', 'structure', 3 FROM b WHERE paragraph_count > 0 AND sentence_count::DOUBLE / paragraph_count > 7)
 SELECT * FROM x"""
 
 TERMS = f"""
@@ -88,9 +92,9 @@ ENTITIES = f"""
 , f AS (SELECT doc_id, lower(word) AS term, count(*) AS frequency FROM (SELECT doc_id, unnest(words) AS word FROM v) WHERE regexp_matches(word, '^\\p{{Lu}}') AND length(word) > 1 AND lower(word) NOT IN ({STOP}) GROUP BY 1, 2)
 SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY frequency DESC, term) AS rank FROM f QUALIFY rank <= 50"""
 GRAPH = f"""
-, s AS (SELECT row_number() OVER () AS r, s FROM (SELECT unnest(sents) AS s FROM v)),
-m AS (SELECT DISTINCT r, lower(x) AS x FROM (SELECT r, unnest(regexp_extract_all(s, '\\p{{L}}+')) AS x FROM s) WHERE regexp_matches(x, '^\\p{{Lu}}') AND length(x) > 1 AND lower(x) NOT IN ({STOP}))
-SELECT a.x AS source, b.x AS target, count(*) AS weight FROM m a JOIN m b ON a.r = b.r AND a.x < b.x GROUP BY 1, 2"""
+, s AS (SELECT row_number() OVER () AS r, regexp_extract_all(s, '\\p{{L}}+') AS w FROM (SELECT unnest(sents) AS s FROM v)),
+m AS (SELECT DISTINCT r, place // 60 AS part, lower(x) AS x FROM (SELECT r, unnest(w) AS x, unnest(range(len(w))) AS place FROM s) WHERE regexp_matches(x, '^\\p{{Lu}}') AND length(x) > 1 AND lower(x) NOT IN ({STOP}))
+SELECT a.x AS source, b.x AS target, count(*) AS weight FROM m a JOIN m b ON a.r = b.r AND a.part = b.part AND a.x < b.x GROUP BY 1, 2"""
 USAGE = TERMS + f"""
 , g AS (SELECT doc_id, len(list_filter(low, lambda x: x NOT IN ({STOP}))) AS usable FROM v)
 SELECT doc_id, term, frequency, rank, (frequency * 100)::DOUBLE / usable AS density, CASE WHEN (frequency * 100)::DOUBLE / usable < 0.5 THEN 'rare' WHEN (frequency * 100)::DOUBLE / usable > 3 THEN 'stuffed' ELSE 'none' END AS issue FROM top JOIN g USING (doc_id)"""
@@ -168,14 +172,14 @@ SELECT doc_id, term, score, method, row_number() OVER (PARTITION BY doc_id ORDER
 ALL_RULES = f"""
 WITH b0 AS ({TEXT + BASIC_RULES}), se AS ({TEXT + SENTIMENT}), em AS ({TEXT + EMOTIONS}), ct AS ({TEXT + CTA}), ux AS ({TEXT + UX})
 SELECT doc_id, rule_order, code, CASE WHEN category = 'structure' THEN 'structure' ELSE 'content' END AS category, priority FROM b0
-UNION ALL SELECT doc_id, 5, 'negative_tone', 'content', 2 FROM se WHERE sentiment = 'negative'
-UNION ALL SELECT doc_id, 6, 'too_neutral', 'content', 4 FROM se WHERE neutral_share > 0.8
-UNION ALL SELECT doc_id, 7, 'low_emotion', 'content', 4 FROM em WHERE emotional_intensity < 0.05
-UNION ALL SELECT doc_id, 8, 'no_cta', 'conversion', 2 FROM ct WHERE cta_count = 0
-UNION ALL SELECT doc_id, 9, 'weak_cta', 'conversion', 3 FROM ct WHERE cta_count > 0 AND cta_effectiveness < 40
-UNION ALL SELECT doc_id, 10, 'unclear', 'ux', 2 FROM ux WHERE clarity < 60
-UNION ALL SELECT doc_id, 11, 'distracting', 'ux', 3 FROM ux WHERE distraction_level > 40
-UNION ALL SELECT doc_id, 12, 'poor_fit', 'ux', 3 FROM ux WHERE audience_fit < 60"""
+UNION ALL SELECT doc_id, 6, 'negative_tone', 'content', 2 FROM se WHERE sentiment = 'negative'
+UNION ALL SELECT doc_id, 7, 'too_neutral', 'content', 4 FROM se WHERE neutral_share > 0.8
+UNION ALL SELECT doc_id, 8, 'low_emotion', 'content', 4 FROM em WHERE emotional_intensity < 0.05
+UNION ALL SELECT doc_id, 9, 'no_cta', 'conversion', 2 FROM ct WHERE cta_count = 0
+UNION ALL SELECT doc_id, 10, 'weak_cta', 'conversion', 3 FROM ct WHERE cta_count > 0 AND cta_effectiveness < 40
+UNION ALL SELECT doc_id, 11, 'unclear', 'ux', 2 FROM ux WHERE clarity < 60
+UNION ALL SELECT doc_id, 12, 'distracting', 'ux', 3 FROM ux WHERE distraction_level > 40
+UNION ALL SELECT doc_id, 13, 'poor_fit', 'ux', 3 FROM ux WHERE audience_fit < 60"""
 
 ROBOTS = r"""
 WITH p AS (SELECT page_id, url, coalesce(nullif(regexp_extract(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*(.*)$', 1), ''), '/') AS path FROM pages)
@@ -198,3 +202,27 @@ d AS (SELECT *, CASE WHEN usable = 0 THEN 0.0::DOUBLE ELSE (cnt * 100)::DOUBLE /
 i AS (SELECT *, CASE WHEN cnt = 0 THEN 'missing:' || k WHEN density < 0.5 THEN 'rare:' || k WHEN density > 3 THEN 'stuffed:' || k WHEN len(ws) >= 300 AND least(c1, c2, c3, c4) = 0 THEN 'uneven:' || k END AS issue FROM d),
 s AS (SELECT r, coalesce(string_agg(issue, '|' ORDER BY place), '') AS issues, greatest(0.0::DOUBLE, 1.0::DOUBLE - 0.1::DOUBLE * count(issue)) AS keyword_score FROM i GROUP BY r)
 SELECT doc_id, keyword_score, k AS keyword, cnt AS count, density, concat_ws('|', c1, c2, c3, c4) AS by_section, issues FROM i JOIN s USING (r)"""
+
+EMOTION_PROFILE = ", e AS (SELECT doc_id, sents, " + ", ".join(f"len(list_filter(toks, lambda x: lower(x) IN ({quote(v)})))::BIGINT AS {k}" for k, v in lex.EMOTIONS.items()) + f""" FROM v),
+t AS (SELECT *, ({' + '.join(lex.EMOTIONS)})::DOUBLE AS total FROM e)
+SELECT doc_id, {', '.join(f"CASE WHEN total = 0 THEN 0.0::DOUBLE ELSE {k} / total END AS {k}_share, len(list_filter(sents, lambda s: regexp_matches(lower(s), '{'|'.join(v)}')))::BIGINT AS {k}_sentences" for k, v in lex.EMOTIONS.items())} FROM t"""
+SECTION_TERMS = f"""
+, w2 AS (SELECT doc_id, low, greatest(100, len(low) // 5) AS size FROM v),
+x AS (SELECT doc_id, size, unnest(low) AS term, unnest(range(len(low))) AS place FROM w2),
+f AS (SELECT doc_id, (place // size)::BIGINT AS section, term, count(*) AS frequency FROM x WHERE length(term) > 2 AND term NOT IN ({STOP}) GROUP BY 1, 2, 3)
+SELECT *, row_number() OVER (PARTITION BY doc_id, section ORDER BY frequency DESC, term) AS rank FROM f QUALIFY rank <= 5"""
+GRAPH_NODES = f"""
+, f AS (SELECT lower(word) AS term, count(*) AS weight FROM (SELECT unnest(words) AS word FROM v) WHERE regexp_matches(word, '^\\p{{Lu}}') AND length(word) > 1 AND lower(word) NOT IN ({STOP}) GROUP BY 1)
+SELECT * FROM f"""
+_OWN = "CASE " + " ".join(f"WHEN lang = '{k}' THEN list_filter(low, lambda x: x NOT IN ({quote(v)}))" for k, v in lex.STOPWORDS_BY_LANGUAGE.items()) + f" ELSE list_filter(low, lambda x: x NOT IN ({STOP})) END"
+PREPROCESSED = f"""
+, g AS (SELECT doc_id, {_OWN} AS ws FROM v),
+l AS (SELECT doc_id, list_transform(list_filter(ws, lambda x: x <> 'item'), lambda x: CASE WHEN regexp_matches(x, '[^aeiou]ies$') AND length(x) > 4 THEN regexp_replace(x, 'ies$', 'y') WHEN x LIKE '%sses' THEN regexp_replace(x, 'es$', '') WHEN regexp_matches(x, '[^su]s$') AND length(x) > 3 THEN regexp_replace(x, 's$', '') ELSE x END) AS lemmas FROM g)
+SELECT doc_id, len(lemmas)::BIGINT AS n, md5(array_to_string(lemmas, ' ')) AS md5 FROM l"""
+SIMILAR_ENDS = r"""
+, s AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(coalesce(sents[1], '')), '\p{L}+')) AS a, list_distinct(regexp_extract_all(lower(coalesce(sents[-1], '')), '\p{L}+')) AS b FROM v)
+SELECT doc_id, CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) END AS similarity FROM s""".replace("\\\\", "\\")
+_SEM = lambda sql, value: f"SELECT doc_id, string_agg({value}, '|' ORDER BY rank) AS said FROM ({TEXT + sql}) GROUP BY doc_id"
+SEMANTIC = f"""
+WITH kw AS ({_SEM(KEYWORDS, "term")}), en AS ({_SEM(ENTITIES, "term || ':' || frequency")}), co AS ({TEXT + COHERENCE})
+SELECT co.doc_id, coalesce(kw.said, '') AS keywords, coalesce(en.said, '') AS entities, round(coherence, 6) AS coherence FROM co LEFT JOIN kw USING (doc_id) LEFT JOIN en USING (doc_id)"""
