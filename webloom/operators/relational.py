@@ -131,3 +131,106 @@ def follow(links: DataFrame, k: int = 10) -> DataFrame:
 def fetch_outcome(status: Column, tries: Column, most: int = 3) -> Column:
     """ok, missing (403, 404), wait (429), retry (500 and more while tries are left), failed."""
     return F.when(status == 200, "ok").when(status.isin(403, 404), "missing").when((status == 429) & (tries < most), "wait").when((status >= 500) & (tries < most), "retry").otherwise("failed")
+
+
+def insert(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """df and the new rows; columns that the rows lack are null."""
+    return df.unionByName(rows, allowMissingColumns=True)
+
+
+def of_parent(df: DataFrame, key: str, value, order: list[str], skip: int = 0, limit: int = 100) -> DataFrame:
+    """One page of the rows of a parent."""
+    return get_multi(df.where(F.col(key) == value), order, skip, limit)
+
+
+def with_one(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """df with the one row that other holds for its key, if any: a page with its analysis."""
+    return df.join(other, key, "left")
+
+
+def is_empty(df: DataFrame) -> DataFrame:
+    """One row that says whether there is none; one row of df is looked at."""
+    return df.limit(1).agg((F.count(F.lit(1)) == 0).alias("empty"))
+
+
+def replace_children(df: DataFrame, key: str, new: DataFrame) -> DataFrame:
+    """Deletes the rows of every key that new holds, then inserts new: how recommendations of an analysis are stored."""
+    return df.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def stored_recommendations(found: DataFrame) -> DataFrame:
+    """Records as stored: the title is the text if there is none, the suggestion the description, the priority 3 by default."""
+    title = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("text"))
+    return recommendations(found).withColumns({"title": title, "suggestion": F.col("description"), "description": F.coalesce("text", F.lit(""))})
+
+
+def parse_outcome(df: DataFrame, error: str = "error") -> DataFrame:
+    """Status and payload of parsed pages: analyzed, or error with its message."""
+    failed = F.col(error).isNotNull()
+    return df.withColumns({"status": F.when(failed, "error").otherwise("analyzed"), "payload": F.when(failed, F.to_json(F.struct(F.col(error).alias("message"))))})
+
+
+def batch(results: DataFrame, key: str = "url", error: str = "error") -> DataFrame:
+    """One row for each url: of repeated ones the first without an error, by result."""
+    w = Window.partitionBy(key).orderBy(F.col(error).isNotNull(), *[c for c in results.columns if c not in (key, error)])
+    return results.withColumn("rl_r_", F.row_number().over(w)).where("rl_r_ = 1").drop("rl_r_")
+
+
+#: Which columns of a result each option asks for.
+OPTIONS = {"include_html": ["html"], "include_text": ["text"], "include_metadata": ["title", "description"], "include_structure": ["structure"], "include_links": ["links"]}
+
+
+def projected(df: DataFrame, options: dict[str, bool], always: tuple[str, ...] = ("url",)) -> DataFrame:
+    """The columns that the options ask for, as far as the result has them."""
+    wanted = [*always, *(c for k, cs in OPTIONS.items() if options.get(k) for c in cs)]
+    return df.select(*[c for c in wanted if c in df.columns])
+
+
+def counters(df: DataFrame, status: str = "status") -> DataFrame:
+    """Totals of a session: pages, successes, failures, share of successes."""
+    ok = F.count_if(F.col(status) != "error")
+    return df.agg(F.count(F.lit(1)).alias("pages"), ok.alias("done"), F.count_if(F.col(status) == "error").alias("failed"), F.when(F.count(F.lit(1)) > 0, ok / F.count(F.lit(1))).otherwise(0.0).alias("done_share"))
+
+
+def cache_put(cache: DataFrame, rows: DataFrame, key: str = "key") -> DataFrame:
+    """The cache with the rows' entries, which take the place of older ones."""
+    return cache.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows)
+
+
+def cache_get(cache: DataFrame, keys: DataFrame, now: Column, ttl_seconds: int = 3600, at: str = "ts", key: str = "key") -> DataFrame:
+    """keys with what lives in the cache; null for a miss."""
+    return keys.join(live(cache, now, ttl_seconds, at), key, "left")
+
+
+def cache_drop(cache: DataFrame, keys: DataFrame | None = None, key: str = "key") -> DataFrame:
+    """The cache without some keys, or empty."""
+    return cache.limit(0) if keys is None else cache.join(keys.select(key).distinct(), key, "left_anti")
+
+
+def evict_expired_first(cache: DataFrame, now: Column, most: int = 1000, keep: int = 800, ttl_seconds: int = 3600, at: str = "ts", key: str = "key") -> DataFrame:
+    """Over `most` entries the expired ones go, then the newest `keep` stay."""
+    return evict(live(cache, now, ttl_seconds, at), most, keep, at, key) if cache.count() > most else cache
+
+
+#: What stands for a page that is yet to be generated.
+PLACEHOLDER = {"html": "<html><body><h1>Optimized Content</h1></body></html>", "css": "body { font-family: Arial, sans-serif; }", "diff": "{}"}
+
+
+def optimized_placeholder(pages: DataFrame) -> DataFrame:
+    return pages.withColumns({k: F.lit(v) for k, v in PLACEHOLDER.items()})
+
+
+def sitemap_urls(files: DataFrame, start: str, most: int = 100, depth: int = 5) -> DataFrame:
+    """(url, depth) of the pages that a sitemap names, index files followed: files (loc, urls, child_sitemaps) of readers.sitemap.
+    At most `most` pages (a limit of the caller's), by depth and url. Each round is checkpointed."""
+    spark = files.sparkSession
+    frontier = seen = spark.createDataFrame([(start,)], "loc string")
+    found = spark.createDataFrame([], "url string, depth int")
+    for n in range(depth):
+        here = files.join(frontier, "loc", "left_semi")
+        found = checkpointed(found.unionByName(here.select(F.explode("urls").alias("url"), F.lit(n).alias("depth"))))
+        frontier = checkpointed(here.select(F.explode("child_sitemaps").alias("loc")).distinct().join(seen, "loc", "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen = checkpointed(seen.unionByName(frontier))
+    return found.groupBy("url").agg(F.min("depth").alias("depth")).orderBy("depth", "url").limit(most)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
 from ..operators import analysis, content, metadata, relational, robots, seo, structure, terms
 from ..operators import text_analysis as ta
 from ..sources.dom import elements
+from ..sources import readers
 from ..sources.readers import table
 from . import oracles as o
 from . import rich
@@ -508,6 +509,130 @@ def rel_by_priority(spark, sf_dir):
     return relational.by_priority(orders, "o_custkey", orders.agg(F.min("o_custkey")).first()[0]).drop("o_custkey")
 
 
+def customers(spark, sf_dir: str, *more: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment", *more)
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer UNION ALL SELECT -n_nationkey - 1, n_name, n_nationkey, NULL FROM nation")
+def rel_insert(spark, sf_dir):
+    return relational.insert(customers(spark, sf_dir), table(spark, sf_dir, "nation").select((-F.col("n_nationkey") - 1).alias("c_custkey"), F.col("n_name").alias("c_name"), F.col("n_nationkey").alias("c_nationkey")))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 7 ORDER BY c_custkey LIMIT 5 OFFSET 2")
+def rel_of_parent(spark, sf_dir):
+    return relational.of_parent(customers(spark, sf_dir).select("c_custkey", "c_name", "c_nationkey"), "c_nationkey", 7, ["c_custkey"], 2, 5).drop("c_nationkey")
+
+
+@query("SELECT doc_id, lang, quality FROM documents LEFT JOIN labels USING (doc_id)")
+def rel_with_one(spark, sf_dir):
+    return relational.with_one(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+
+
+@query("SELECT 'customer' AS name, count(*) = 0 AS empty FROM customer UNION ALL SELECT 'none', true")
+def rel_is_empty(spark, sf_dir):
+    one = relational.is_empty(table(spark, sf_dir, "customer")).select(F.lit("customer").alias("name"), "empty")
+    return one.unionByName(relational.is_empty(table(spark, sf_dir, "customer").where("c_custkey < 0")).select(F.lit("none").alias("name"), "empty"))
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3) UNION ALL SELECT c_custkey, -1 FROM customer WHERE c_nationkey = 3")
+def rel_replace_children(spark, sf_dir):
+    new = table(spark, sf_dir, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey"), F.lit(-1).cast("long").alias("o_orderkey"))
+    return relational.replace_children(table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").cast("long").alias("o_orderkey")), "o_custkey", new)
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN o_comment_ ELSE 'T' END AS title, 'structure' AS category, CASE WHEN o_orderkey % 2 = 0 THEN 3 ELSE 1 END AS priority, 'd' AS suggestion, o_comment_ AS description FROM (SELECT o_orderkey, o_orderpriority AS o_comment_ FROM orders)")
+def rel_stored_recommendations(spark, sf_dir):
+    found = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 == 0, "").otherwise("T").alias("title"), F.col("o_orderpriority").alias("text"), F.lit("d").alias("description"),
+        F.lit("structure").alias("category"), F.when(F.col("o_orderkey") % 2 == 1, 1).alias("priority"),
+    )
+    return relational.stored_recommendations(found).select("id", "title", "category", "priority", "suggestion", "description")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'error' ELSE 'analyzed' END AS status, CASE WHEN o_orderstatus = 'F' THEN '{"message":"' || o_orderpriority || '"}' END AS payload FROM orders""")
+def rel_parse_outcome(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).alias("error"))
+    return relational.parse_outcome(df).select("o_orderkey", "status", "payload")
+
+
+@query("SELECT o_custkey AS url, CASE WHEN bool_and(o_orderstatus = 'F') THEN 'down' END AS error, coalesce(min(CASE WHEN o_orderstatus <> 'F' THEN o_orderkey END), min(o_orderkey)) AS result FROM orders GROUP BY 1")
+def rel_batch(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("url"), F.col("o_orderkey").alias("result"), F.when(F.col("o_orderstatus") == "F", "down").alias("error"))
+    return relational.batch(df)
+
+
+@query("SELECT page_id AS url, md5(html) AS html FROM pages")
+def rel_projected(spark, sf_dir):
+    df = table(spark, sf_dir, "pages").select(F.col("page_id").alias("url"), F.md5(F.col("html").cast("binary")).alias("html"), F.lit("t").alias("text"))
+    return relational.projected(df, {"include_html": True, "include_metadata": True})
+
+
+@query("SELECT count(*) AS pages, count(*) FILTER (o_orderstatus <> 'F') AS done, count(*) FILTER (o_orderstatus = 'F') AS failed, count(*) FILTER (o_orderstatus <> 'F')::DOUBLE / count(*) AS done_share FROM orders")
+def rel_counters(spark, sf_dir):
+    return relational.counters(table(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") == "F", "error").otherwise("analyzed").alias("status")))
+
+
+def _cache(spark, sf_dir: str) -> tuple[DataFrame, Column]:
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    return events, F.lit(events.agg(F.max("ts")).first()[0])
+
+
+@query("SELECT k AS key, ts IS NOT NULL AS hit FROM (SELECT DISTINCT event_id % 500 AS k FROM events) LEFT JOIN (SELECT event_id, ts FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY) e ON e.event_id = k")
+def cache_lookup(spark, sf_dir):
+    cache, now = _cache(spark, sf_dir)
+    keys = cache.select((F.col("key") % 500).alias("key")).distinct()
+    return relational.cache_get(cache, keys, now, 10 * 86400).select("key", F.col("ts").isNotNull().alias("hit"))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (fresh) AS fresh FROM (SELECT event_id, event_id % 7 = 0 AS fresh FROM events WHERE event_id % 5 <> 1 UNION ALL SELECT -1, true)")
+def cache_put_and_drop(spark, sf_dir):
+    cache = _cache(spark, sf_dir)[0].withColumn("fresh", F.lit(False))
+    new = cache.where("key % 7 = 0").unionByName(cache.limit(1).withColumn("key", F.lit(-1).cast(cache.schema["key"].dataType))).withColumn("fresh", F.lit(True))
+    left = relational.cache_drop(relational.cache_put(cache, new), cache.where("key % 5 = 1"))
+    return left.agg(F.count(F.lit(1)).alias("n"), F.count_if("fresh").alias("fresh"))
+
+
+@query("SELECT key FROM (SELECT event_id AS key, ts FROM events WHERE (SELECT count(*) FROM events) <= 50 OR ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY ORDER BY ts DESC, event_id LIMIT 40)")
+def cache_evict_expired(spark, sf_dir):
+    cache, now = _cache(spark, sf_dir)
+    return relational.evict_expired_first(cache, now, 50, 40, 10 * 86400).select("key")
+
+
+@query("SELECT page_id, '" + relational.PLACEHOLDER["html"] + "' AS html, '" + relational.PLACEHOLDER["css"] + "' AS css, '{}' AS diff FROM pages")
+def rel_placeholder(spark, sf_dir):
+    return relational.optimized_placeholder(table(spark, sf_dir, "pages").select("page_id"))
+
+
+@query("SELECT 'https://n/' || n_name AS url, 1 AS depth FROM nation UNION ALL SELECT 'https://top', 0")
+def sitemap_tree(spark, sf_dir):
+    """An index that names a sitemap for each region, which names its nations; one names the index again."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("r"), F.concat(F.lit("<url><loc> https://n/"), "n_name", F.lit(" </loc></url>")).alias("x"))
+    leaves = nation.groupBy("r").agg(F.array_join(F.array_sort(F.collect_list("x")), "").alias("x")).select(F.concat(F.lit("map"), F.col("r").cast("string")).alias("loc"), F.concat(F.lit("<urlset>"), "x", F.lit("</urlset>")).alias("xml"))
+    names = table(spark, sf_dir, "region").select(F.concat(F.lit("<sitemap><loc>map"), F.col("r_regionkey").cast("string"), F.lit("</loc></sitemap>")).alias("x"))
+    index = names.agg(F.array_join(F.array_sort(F.collect_list("x")), "").alias("x")).select(F.lit("index").alias("loc"), F.concat(F.lit("<sitemapindex><sitemap><loc>index</loc></sitemap>"), "x", F.lit("</sitemapindex><url><loc>https://top</loc></url>")).alias("xml"))
+    return relational.sitemap_urls(readers.sitemap(leaves.unionByName(index)), "index")
+
+
+@query("SELECT page_id, url FROM pages WHERE NOT regexp_matches(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1), 'analytics|tracking|pixel|tag') AND lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*/.*\\.([A-Za-z0-9]+)$', 1)) IN ('', 'html', 'htm', 'css', 'js', 'json')")
+def page_requested(spark, sf_dir):
+    return readers.requested(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+@query("SELECT event_id, event_type FROM (SELECT *, CASE event_id % 4 WHEN 0 THEN 'xhr' WHEN 1 THEN 'document' WHEN 2 THEN 'script' ELSE 'fetch' END AS t FROM events) WHERE t IN ('xhr', 'fetch') OR event_id % 6 = 1")
+def request_log_ajax(spark, sf_dir):
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("xhr", "document", "script", "fetch")]), (F.col("event_id") % 4 + 1).cast("int"))
+    log = table(spark, sf_dir, "events").select("event_id", "event_type", kind.alias("resource_type"), F.when(F.col("event_id") % 12 == 1, "text/json").alias("accept"), F.when(F.col("event_id") % 12 == 7, "XMLHttpRequest").alias("requested_with"))
+    return readers.ajax_requests(log).select("event_id", "event_type")
+
+
+@query("""SELECT page_id, page_id % 3 = 0 AS is_dynamic FROM pages""")
+def page_rendered_differs(spark, sf_dir):
+    """Every third page is rendered to twice its markup."""
+    body = F.concat(F.lit("<p>"), F.repeat(F.lit("word "), F.lit(40)), F.lit("</p>"))
+    df = table(spark, sf_dir, "pages").select("page_id", body.alias("html"), F.when(F.col("page_id") % 3 == 0, F.concat(body, body)).otherwise(body).alias("rendered"))
+    return content.rendered_differs(df).select("page_id", "is_dynamic")
+
+
 @query("SELECT count(*) AS live FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
 def cache_ttl(spark, sf_dir):
     events = table(spark, sf_dir, "events")
