@@ -246,3 +246,77 @@ def sections(e: DataFrame) -> DataFrame:
     s = e.where(tag("section", "article", "main", "aside") | (tag("div") & F.lower(F.coalesce("elem_id", F.lit(""))).rlike("section|content|main|container")))
     h = inside(s, e.where(tag("h1", "h2", "h3", "h4", "h5", "h6"))).groupBy("page_id", F.col("o_pre").alias("pre")).agg(F.min_by(F.trim("text"), "pre").alias("heading"), F.count(F.lit(1)).alias("headings"))
     return s.select("page_id", "pre", "tag", "elem_id", "stripped_length", "loc").join(h, ["page_id", "pre"], "left").fillna(0, ["headings"])
+
+
+def form_summary(e: DataFrame) -> DataFrame:
+    f = forms(e)
+    return f.groupBy("page_id").agg(F.count(F.lit(1)).alias("forms"), F.sort_array(F.collect_set("kind")).alias("form_kinds"), F.sum("required").alias("required_fields"))
+
+
+def action_summary(e: DataFrame) -> DataFrame:
+    """How many calls to action, primary ones, of each type and of each place."""
+    c = calls_to_action(e)
+    out = c.groupBy("page_id").agg(
+        F.count(F.lit(1)).alias("ctas"), n_if(F.col("is_primary")).alias("primary_ctas"), *[n_if(F.col("type") == k).alias(f"cta_{k}") for k in ("button", "element_with_cta_class", "form_submit")],
+        *[n_if(F.col("loc") == k).alias(f"ctas_in_{k}") for k in ("header", "main", "sidebar", "footer")],
+    )
+    return out
+
+
+def navigation_summary(e: DataFrame) -> DataFrame:
+    n = navigation(e)
+    main = F.col("is_main")
+    return n.groupBy("page_id").agg(
+        F.count(F.lit(1)).alias("navs"), F.max(F.when(main, F.col("link_count"))).alias("main_nav_links"), F.max(F.when(main, F.col("has_dropdown"))).alias("main_nav_dropdown"),
+        *[n_if(F.col("loc") == k).alias(f"navs_in_{k}") for k in ("header", "footer", "sidebar", "main")],
+    )
+
+
+def list_summary(e: DataFrame) -> DataFrame:
+    rows = lists(e)
+    return rows.groupBy("page_id").agg(
+        F.count(F.lit(1)).alias("lists"), n_if(F.col("is_navigation")).alias("navigation_lists"), n_if(F.col("is_nested")).alias("nested_lists"), F.avg("items").alias("avg_list_items"), F.max("items").alias("longest_list")
+    )
+
+
+def table_summary(e: DataFrame) -> DataFrame:
+    """Tables with and without headers, their size, and those that only lay out: one row or column and no header."""
+    t = tables(e)
+    headed = F.col("has_thead") | F.col("has_th")
+    return t.groupBy("page_id").agg(
+        F.count(F.lit(1)).alias("tables"), n_if(headed).alias("tables_with_headers"), n_if(F.col("caption").isNotNull()).alias("tables_with_caption"), F.sum("row_count").alias("table_rows"),
+        n_if(~headed & ((F.col("row_count") <= 1) | (F.col("column_count") <= 1))).alias("layout_tables"),
+    )
+
+
+def section_summary(e: DataFrame) -> DataFrame:
+    s, b = sections(e), content_blocks(e)
+    a = s.groupBy("page_id").agg(F.count(F.lit(1)).alias("section_elements"), n_if(F.col("headings") > 0).alias("sections_with_heading"), F.avg("stripped_length").alias("avg_section_length"))
+    c = b.groupBy("page_id").agg(F.count(F.lit(1)).alias("content_blocks"), F.avg("text_density").alias("avg_text_density"), F.avg("link_density").alias("avg_link_density"))
+    return a.join(c, "page_id", "full")
+
+
+def footer_links(e: DataFrame, k: int = 10) -> DataFrame:
+    """Of each page's footer the first k links with a text that lead to no social platform: those of its nav if it has one, else all."""
+    own = e.where(tag("footer")).groupBy("page_id").agg(F.min_by(F.struct("pre", "post"), "pre").alias("f")).select("page_id", "f.*")
+    a = inside(own, e.where(tag("a") & (F.trim("text") != "") & ~is_social(F.coalesce(attr("href"), F.lit("")))))
+    a = a.withColumn("in_nav", F.array_contains("anc_tags", "nav")).withColumn("any_nav", F.max("in_nav").over(Window.partitionBy("page_id"))).where(F.col("in_nav") | ~F.col("any_nav"))
+    rank = F.row_number().over(Window.partitionBy("page_id").orderBy("pre"))
+    return a.withColumn("rank", rank).where(F.col("rank") <= k).select("page_id", "rank", F.trim("text").alias("text"), attr("href").alias("href"))
+
+
+def everything(pages: DataFrame, e: DataFrame) -> DataFrame:
+    """A row for each page with the summaries of all its parts; numbers are 0 and flags false where a page has no such part."""
+    found = links(pages, e)
+    head, foot = (regions(e, n).select("page_id", F.struct(F.lit(True).alias("found"), "links", "has_nav", "has_logo", "has_form", "has_search", "social_links", "copyright", "navigation_type", "sticky").alias(n)) for n in ("header", "footer"))
+    crumbs = breadcrumbs(e).select("page_id", F.col("items").alias("breadcrumb"))
+    side = sidebars(e).groupBy("page_id").agg(F.count(F.lit(1)).alias("sidebars"), F.sort_array(F.collect_set("position")).alias("sidebar_positions"))
+    box = search_boxes(e).select("page_id", F.col("element").alias("search_box"))
+    paths = top_paths(found).groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("top_paths"))
+    outer = external_summary(found).withColumnsRenamed({"external": "external_links", "unique_domains": "external_domains", "nofollow": "external_nofollow", "social": "external_social"})
+    h = headings(e).withColumnRenamed("total", "headings").drop("structure")
+    parts = [page_counts(e).drop("sections"), h, link_summary(e).withColumnRenamed("total", "links"), outer, paths, form_summary(e), action_summary(e), navigation_summary(e), list_summary(e), table_summary(e), section_summary(e), crumbs, side, box, head, foot]
+    out = reduce(lambda a, b: a.join(b, "page_id", "left"), parts, pages.select("page_id", "url"))
+    numbers = [f.name for f in out.schema.fields if f.dataType.typeName() in ("long", "integer", "double") and f.name != "page_id"]
+    flags = [f.name for f in out.schema.fields if f.dataType.typeName() == "boolean"]
+    return out.fillna(0, numbers).fillna(False, flags)

@@ -313,8 +313,8 @@ def page_metadata_full(spark, sf_dir):
 
 @query()
 def page_structure_full(spark, sf_dir):
-    pages, e = parsed(spark, sf_dir)
-    return metadata.with_all(pages, structure.page_counts(e)).join(structure.headings(e).withColumnRenamed("total", "headings"), "page_id", "left").join(structure.link_summary(e).withColumnRenamed("total", "links"), "page_id", "left")
+    df = structure.everything(*parsed(spark, sf_dir))
+    return df.select(*[F.to_json(c).alias(c) if df.schema[c].dataType.typeName() in ("map", "struct", "array") else F.col(c) for c in df.columns])
 
 
 @query()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -212,6 +213,30 @@ def rich_headings(spark, sf_dir):
     return h.select("page_id", "h1", "h2", "h3", "h4", "total", "proper_hierarchy", "uniqueness_ratio", joined(outline).alias("outline"))
 
 
+@query(
+    "7::BIGINT AS lists_navs_tables, 2::BIGINT AS forms, 'contact|search' AS form_kinds, 1::BIGINT AS required_fields, 2::BIGINT AS ctas, 1::BIGINT AS primary_ctas, 1::BIGINT AS cta_button, 1::BIGINT AS cta_form_submit, 1::BIGINT AS ctas_in_main, 2::BIGINT AS navs, 4::BIGINT AS main_nav_links, "
+    "false AS main_nav_dropdown, 1::BIGINT AS navs_in_header, 4::BIGINT AS lists, 2::BIGINT AS navigation_lists, 1::BIGINT AS nested_lists, 2.25::DOUBLE AS avg_list_items, 4::BIGINT AS longest_list, 1::BIGINT AS tables, 1::BIGINT AS tables_with_headers, "
+    "1::BIGINT AS tables_with_caption, 2::BIGINT AS table_rows, 0::BIGINT AS layout_tables, 4::BIGINT AS section_elements, 4::BIGINT AS sections_with_heading, 1::BIGINT AS content_blocks, 'Home|Class ' || page_id AS breadcrumb, 1::BIGINT AS sidebars, 'left' AS sidebar_positions, "
+    "'form' AS search_box, true AS header_logo, true AS footer_found, 5::BIGINT AS headings, 14::BIGINT AS links, 4::BIGINT AS external_links, '/|/about|/buy/' || page_id || '|/c|/help' AS top_paths"
+)
+def rich_structure(spark, sf_dir):
+    """One row for all parts of a page."""
+    pages, e = rich_pages(spark, sf_dir)
+    e = e.persist(StorageLevel.MEMORY_AND_DISK)  # the parts use the elements many times
+    names = "forms required_fields ctas primary_ctas cta_button cta_form_submit ctas_in_main navs main_nav_links main_nav_dropdown navs_in_header lists navigation_lists nested_lists avg_list_items longest_list tables tables_with_headers tables_with_caption table_rows layout_tables section_elements sections_with_heading content_blocks sidebars search_box headings links external_links"
+    listed = ("form_kinds", "breadcrumb", "sidebar_positions", "top_paths")
+    return structure.everything(pages, e).select(
+        "page_id", (F.col("lists") + F.col("navs") + F.col("tables")).alias("lists_navs_tables"), *names.split(), *[joined(c).alias(c) for c in listed], F.col("header.has_logo").alias("header_logo"), F.col("footer.found").alias("footer_found")
+    )
+
+
+@query(["1 AS rank, 'About us' AS text, '/us' AS href", "2, 'Jobs', '/jobs'"])
+def rich_footer_links(spark, sf_dir):
+    pages = rich_pages(spark, sf_dir)[0].drop("html")
+    foot = '<footer><a href="https://facebook.com/x">fb</a><a href="/i"><img src="i.png"></a><a href="/out">Out</a><nav><a href="/us"> About us</a><a href="https://x.com.twitter.com/">t</a><a href="/jobs">Jobs</a></nav></footer>'
+    return structure.footer_links(elements(pages.withColumn("html", F.lit(foot))))
+
+
 @query("'selector' AS how, true AS has_intro, false AS has_footer")
 def rich_main_content(spark, sf_dir):
     m = content.main_content(*rich_pages(spark, sf_dir))
