@@ -54,9 +54,27 @@ DYNAMIC = [
     r'class="[^"]*loading[^"]*"', r'id="[^"]*loading[^"]*"', r"skeleton|placeholder|lazy-load",
 ]
 
-#: A small sentiment lexicon of our own.
-POSITIVE = ["amazing", "awesome", "beautiful", "best", "better", "brilliant", "excellent", "fantastic", "good", "great", "happy", "helpful", "improved", "love", "nice", "perfect", "pleasant", "superb", "thanks", "wonderful", "отлично", "прекрасно", "хорошо", "лучший", "люблю"]
-NEGATIVE = ["annoying", "awful", "bad", "boring", "broken", "disappointing", "dreadful", "fail", "failed", "hate", "horrible", "idiot", "pathetic", "poor", "sad", "stupid", "terrible", "ugly", "useless", "worst", "wrong", "плохо", "ужасно", "ненавижу", "худший", "грустно"]
+#: A sentiment lexicon of our own: English, German, French, Spanish, Russian.
+POSITIVE = (
+    "admire amazing appealing awesome beautiful best better brilliant charming cheerful comfortable confident delicious delight delightful easy effective efficient elegant enjoyable excellent exciting "
+    "fantastic fast favorite flawless fresh friendly fun generous genuine glad good gorgeous grateful great happy healthy helpful honest impressive improved incredible inspiring joyful kind love lovely lucky "
+    "nice outstanding perfect pleasant pleased positive powerful recommend reliable remarkable safe satisfied smooth strong success successful superb sweet thanks trusted useful valuable warm win wonderful worthy "
+    "angenehm ausgezeichnet beste besser einfach erfolgreich freundlich froh großartig gut hervorragend hilfreich liebe nützlich perfekt schön sicher toll wunderbar zufrieden "
+    "agréable beau bien bon bonheur bonne excellente facile formidable génial heureux magnifique meilleur merveilleux parfait ravi réussi sympa utile "
+    "agradable alegre amable bueno buena encantador estupendo fácil feliz genial hermoso increíble maravilloso mejor perfecto útil "
+    "отлично прекрасно хорошо лучший люблю замечательно красивый полезный радостный удобный успешный"
+).split()
+NEGATIVE = (
+    "abuse afraid alarming angry annoying anxious ashamed awful bad bitter boring broken clumsy complain confusing corrupt cruel damage dangerous dead defective dirty disappointed disappointing disaster dreadful "
+    "dull error evil fail failed failure false faulty fear frustrating guilty harmful hate horrible hostile idiot inferior insult lazy lie loser lost mad mediocre mess miserable mistake nasty negative nightmare "
+    "pain painful pathetic poor problem ridiculous rude sad scam scary selfish shame sick slow stupid terrible trash ugly unfair unhappy unreliable useless violent weak worse worst worthless wrong "
+    "ärgerlich dumm enttäuscht falsch fehler furchtbar gefährlich hass hässlich kaputt langweilig schlecht schlimm schmutzig schrecklich schwach traurig "
+    "affreux déçu désagréable difficile ennuyeux erreur faible haine horrible laid mauvais mauvaise méchant nul pire sale triste "
+    "aburrido feo difícil lento malo mala miedo odio peligroso peor pésimo sucio terrible tonto "
+    "плохо ужасно ненавижу худший грустно медленно опасный ошибка проблема скучно страшно"
+).split()
+#: The word after one of these means the opposite.
+NEGATIONS = "not no never without hardly isn don doesn didn wasn won nicht kein keine nie ohne pas jamais sans ni nunca sin tampoco не ни нет без никогда".split()
 
 #: Stop words of our own choice for the languages of the corpus.
 STOPWORDS = (

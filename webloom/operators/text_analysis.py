@@ -95,10 +95,12 @@ def basic_rules(df: DataFrame, lang_col: str = "lang", grammar_errors: Column |
 
 
 def sentiment_of(words: Column) -> Column:
-    """(hits for - hits against) / (hits + 1) of lower-case words, -1 to 1."""
-    pos = F.size(F.filter(words, lambda w: w.isin(*lex.POSITIVE)))
-    neg = F.size(F.filter(words, lambda w: w.isin(*lex.NEGATIVE)))
-    return (pos - neg).cast("double") / (pos + neg + 1)
+    """(hits for - hits against) / (hits + 1) of lower-case words, -1 to 1; a negation right before turns a hit round."""
+    before = F.concat(F.array(F.lit("")), words)
+    turned = lambda p: p.isin(*lex.NEGATIONS)
+    side = lambda w, p: F.when(w.isin(*lex.POSITIVE), F.when(turned(p), -1).otherwise(1)).when(w.isin(*lex.NEGATIVE), F.when(turned(p), 1).otherwise(-1))
+    hits = F.filter(F.zip_with(words, before, side), lambda x: x.isNotNull())
+    return F.aggregate(hits, F.lit(0), lambda a, x: a + x).cast("double") / (F.size(hits) + 1)
 
 
 def label_of(compound: Column) -> Column:
@@ -207,9 +209,9 @@ def experience_rules() -> list[tuple[str, str, int, Column]]:
 
 
 def language(df: DataFrame, text_col: str = "text", default: str = "en") -> DataFrame:
-    """By marks of the writing: Cyrillic is ru; else the language with most of its own common words; default if none or under ten characters."""
+    """By marks of the writing: Cyrillic is ru; else the language with most stop words of its own; default if none or under ten characters."""
     words = F.regexp_extract_all(F.lower(tx.text_or_empty(F.col(text_col))), F.lit(r"\p{L}+"), F.lit(0))
-    common = {"en": ["the", "and", "of", "is", "was", "with", "that", "this"], "de": ["der", "die", "und", "das", "ist", "von", "mit", "den"], "fr": ["le", "les", "et", "des", "une", "est", "dans", "pour"], "es": ["el", "los", "que", "del", "por", "con", "una", "las"]}
+    common = {k: v for k, v in lex.STOPWORDS_BY_LANGUAGE.items() if k != "ru"}
     df = df.withColumn("w_", words)
     hits = [F.struct(_among("w_", v).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (name, v) in enumerate(common.items())]
     best = F.array_max(F.array(*hits))

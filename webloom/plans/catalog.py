@@ -668,6 +668,26 @@ def robots_eval(spark, sf_dir):
     return robots.allowed(pages, robots.rules(files), "otherbot/1.0")
 
 
+#: Files of three hosts; the fourth has none.
+HOST_FILES = {
+    "h0": "User-agent: webloom # us\nDisallow: /tmp/\n\nUser-agent: *\nDisallow: /",
+    "h1": "User-agent: other\nUser-agent: WebLoom\nDisallow: /p*.html\nAllow: /p1.html\n\nUser-agent: *\nDisallow:",
+    "h2": "User-agent: *\nDisallow: /q\nAllow: /q/open",
+}
+PATHS = ("tmp/x", "p1.html", "p2.html", "q/z", "q/open", "")
+
+
+@query("""
+SELECT n_nationkey, 'https://h' || h || '/' || p AS url, CASE h WHEN 0 THEN p <> 'tmp/x' WHEN 1 THEN p <> 'p2.html' WHEN 2 THEN p <> 'q/z' ELSE true END AS allowed
+FROM (SELECT n_nationkey, n_nationkey % 4 AS h, ['tmp/x', 'p1.html', 'p2.html', 'q/z', 'q/open', ''][n_nationkey // 4 % 6 + 1] AS p FROM nation)""")
+def robots_agents(spark, sf_dir):
+    """Sections of one agent, of several, wildcards, an empty rule, allow over disallow, no file."""
+    files = spark.createDataFrame([(h, text) for h, text in HOST_FILES.items()], "host string, content string")
+    path = F.element_at(F.array(*[F.lit(p) for p in PATHS]), (F.floor(F.col("n_nationkey") / 4) % 6 + 1).cast("int"))
+    urls = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("https://h"), (F.col("n_nationkey") % 4).cast("string"), F.lit("/"), path).alias("url"))
+    return robots.allowed(urls, robots.rules(files), "WebLoom/2.0")
+
+
 @query()
 def crawl_reach(spark, sf_dir):
     """Pages of the first page's host that links reach from it in three steps."""

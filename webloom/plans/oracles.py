@@ -103,7 +103,10 @@ STUFFED = """
 top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY frequency DESC, term) AS rank FROM f QUALIFY rank <= 5)
 SELECT doc_id, max(CASE WHEN length(term) > 3 AND frequency * 10 > len(words) THEN 1 ELSE 0 END)::INTEGER AS stuffed FROM top JOIN v USING (doc_id) GROUP BY 1"""
 
-_FEEL = lambda words: f"((len(list_filter({words}, lambda x: x IN ({quote(lex.POSITIVE)}))) - len(list_filter({words}, lambda x: x IN ({quote(lex.NEGATIVE)}))))::DOUBLE / (len(list_filter({words}, lambda x: x IN ({quote(lex.POSITIVE)}))) + len(list_filter({words}, lambda x: x IN ({quote(lex.NEGATIVE)}))) + 1))"
+_TURNED = f"x[2] IN ({quote(lex.NEGATIONS)})"
+_GOOD, _BAD = f"x[1] IN ({quote(lex.POSITIVE)})", f"x[1] IN ({quote(lex.NEGATIVE)})"
+_HITS = lambda words, cond: f"len(list_filter(list_zip({words}, list_concat([''], {words}[1:-2])), lambda x: {cond}))"
+_FEEL = lambda words: f"(({_HITS(words, f'({_GOOD} AND NOT {_TURNED}) OR (NOT {_GOOD} AND {_BAD} AND {_TURNED})')} - {_HITS(words, f'({_GOOD} AND {_TURNED}) OR (NOT {_GOOD} AND {_BAD} AND NOT {_TURNED})')})::DOUBLE / ({_HITS(words, f'{_GOOD} OR {_BAD}')} + 1))"
 _LABEL = lambda c: f"CASE WHEN {c} >= 0.05 THEN 'positive' WHEN {c} <= -0.05 THEN 'negative' ELSE 'neutral' END"
 SENTIMENT = f"""
 , c AS (SELECT doc_id, {_FEEL('low')} AS compound FROM v),
@@ -153,12 +156,12 @@ PAGE_BARE = r"""
 WITH h AS (SELECT page_id, url, coalesce(html, '') AS html, regexp_replace(regexp_replace(coalesce(html, ''), '<!--.*?-->', '', 'gs'), '<(script|style)[^>]*>.*?</(script|style)>', '<\1></\1>', 'gs') AS bare FROM pages)
 """
 
-_COMMON = {"en": ["the", "and", "of", "is", "was", "with", "that", "this"], "de": ["der", "die", "und", "das", "ist", "von", "mit", "den"], "fr": ["le", "les", "et", "des", "une", "est", "dans", "pour"], "es": ["el", "los", "que", "del", "por", "con", "una", "las"]}
+_COMMON = {k: v for k, v in lex.STOPWORDS_BY_LANGUAGE.items() if k != "ru"}
 LANGUAGE = f"""
 WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(lower(coalesce(text, '')), '\\p{{L}}+') AS ws FROM documents),
 c AS (SELECT *, {', '.join(f"len(list_filter(ws, lambda x: x IN ({quote(v)}))) AS n_{k}" for k, v in _COMMON.items())} FROM w),
-g AS (SELECT *, greatest(n_en, n_de, n_fr, n_es) AS best FROM c)
-SELECT doc_id, lang, CASE WHEN length(trim(t)) < 10 THEN 'en' WHEN len(regexp_extract_all(t, '[Ѐ-ӿ]')) * 2 > length(t) THEN 'ru' WHEN best = 0 OR n_en = best THEN 'en' WHEN n_de = best THEN 'de' WHEN n_fr = best THEN 'fr' ELSE 'es' END AS detected_lang FROM g"""
+g AS (SELECT *, greatest({', '.join(f'n_{k}' for k in _COMMON)}) AS best FROM c)
+SELECT doc_id, lang, CASE WHEN length(trim(t)) < 10 THEN 'en' WHEN len(regexp_extract_all(t, '[Ѐ-ӿ]')) * 2 > length(t) THEN 'ru' WHEN best = 0 THEN 'en' {' '.join(f"WHEN n_{k} = best THEN '{k}'" for k in _COMMON)} END AS detected_lang FROM g"""
 
 KEYWORDS = f"""
 , l AS (SELECT doc_id, low FROM v WHERE len(words) >= 20),
