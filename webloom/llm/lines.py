@@ -61,9 +61,12 @@ def line_passes(line: Column) -> Column:
         | (shout >= 1) & (shout * 5 >= n)
         | (symbols >= 1) & (symbols * 3 >= n)
     )
+    # The plain phrases are looked for once; what they find is rare.
+    found = F.lit(False)
     for words_of, pattern in phrases():
-        fails = fails | (n <= PHRASE_SHARE * words_of) & F.lower(line).rlike(pattern)
-    return ~fails
+        found = found | (n <= PHRASE_SHARE * words_of) & F.lower(line).rlike(pattern)
+    longest = PHRASE_SHARE * max(words_of for words_of, _ in phrases())
+    return ~(fails | F.when((n <= longest) & F.lower(line).rlike("|".join(BOILERPLATE)), found).otherwise(False))
 
 
 def repeat_words(df: DataFrame, col: str, out: str) -> DataFrame:
