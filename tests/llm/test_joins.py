@@ -163,6 +163,45 @@ def test_passages_that_lesser_documents_hold_in_parts(spark, prose):
     assert all(r["n_words"] == 110 and texts[r["doc_id"]][r["start"] : r["end"]] == texts[r["partner_id"]][r["partner_start"] : r["partner_end"]] for r in found)
 
 
+@pytest.mark.parametrize("seed,most_packed", [(1, 1 << 19), (2, 2000), (3, 300)])
+def test_exact_repeats_against_brute_force(spark, prose, seed, most_packed):
+    """Corpora of stock lines, quoted parts, whole passages and long words: every exact repeat is reported where a lesser document holds it."""
+    rng = random.Random(seed)
+    lines = [prose(rng.randrange(4, 14), 100 * seed + k) for k in range(25)]
+    passages = [[f"{w}{'x' * rng.choice((0, 0, 30))}" for w in prose(rng.choice((52, 60, 90, 140)), 5000 * seed + k).split(" ")] for k in range(8)]
+    rows = []
+    for i in range(120):
+        parts = []
+        for k in range(rng.randrange(3, 9)):
+            p, kind = rng.choice(passages), rng.random()
+            if kind < 0.35:
+                parts.append(rng.choice(lines))
+            elif kind < 0.55:
+                a = rng.randrange(len(p) - 20)
+                parts.append(" ".join(p[a : a + rng.randrange(10, 30)]))
+            elif kind < 0.7:
+                parts.append(" ".join(p))
+            else:
+                parts.append(prose(rng.randrange(10, 60), 10**6 * seed + 100 * i + k))
+        rows.append((i, "\n".join(parts)))
+    found = substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), most_packed=most_packed).collect()
+    words, least, want, covered = {i: WORD.findall(t.lower()) for i, t in rows}, {}, set(), set()
+    for i, w in sorted(words.items()):
+        for a in range(len(w) - 51):
+            gram = tuple(w[a : a + 52])
+            if least.setdefault(gram, i) != i:
+                want |= {(i, k) for k in range(a, a + 52)}
+    texts = dict(rows)
+    for r in found:
+        covered |= {(r["doc_id"], k) for k in range(r["first_word"], r["first_word"] + r["n_words"])}
+        own = WORD.findall(texts[r["doc_id"]].encode()[r["start"] : r["end"]].decode().lower())
+        assert own == words[r["doc_id"]][r["first_word"] : r["first_word"] + r["n_words"]] and r["partner_id"] < r["doc_id"]
+        other = WORD.findall(texts[r["partner_id"]].encode()[r["partner_start"] : r["partner_end"]].decode().lower())
+        assert r["identity"] < 1 or own == other
+    assert len(want) > 1000 and len(want - covered) <= 0.01 * len(want)
+    assert {i for i, _ in want} <= {r["doc_id"] for r in found}
+
+
 @pytest.mark.parametrize("identity,least", [(0.95, 0.95), (0.9, 0.9), (0.85, 0.85), (0.8, 0.7)])
 def test_edited_passages(spark, identity, least):
     """Recall of passages with random replaced words, by length."""

@@ -83,6 +83,21 @@ def test_run(spark, stages):
     assert got.count() == len(stages[5]) and got.agg(F.sum("length")).first()[0] == stages[5].length.sum()
 
 
+def test_odd_rows(spark, docs, awkward, prose):
+    """Nulls, ids that repeat with one text and with several, and names that operators use themselves."""
+    odd = docs.unionByName(spark.createDataFrame([(7, prose(90, 77), "en", "s1", 9), (9, None, None, None, None), (None, prose(60, 78), "en", None, 9), (13, "", "de", "s2", 0)], docs.schema))
+    odd = odd.withColumns({c: F.lit("own") for c in ("score", "kept", "start", "doc", "h", "component_id", "n", "rep", "part", "chain", "pos", "length", "rank")})
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, odd, SF)
+        assert out.columns == odd.columns, name
+        rows = out.collect()
+        assert all(r["score"] == r["length"] == r["chain"] == "own" for r in rows), name
+        if stage is corpus_pipeline.keep_one_of_each:
+            ids = [r["doc_id"] for r in rows if r["doc_id"] is not None]
+            assert len(ids) == len(set(ids)) and {r["text"] for r in rows} >= {None, prose(60, 78)}
+    assert corpus_pipeline.pack(spark, odd, SF).where("piece = 0").count() == odd.count()
+
+
 def test_without_labels_or_rows(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
