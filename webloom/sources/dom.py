@@ -74,16 +74,14 @@ class _Tree(HTMLParser):
         return self.rows
 
 
-def _location(rows: list[dict], k: int) -> str:
-    """By the nearest ancestor that says so."""
-    k = rows[k]["parent"]
-    while k >= 0:
-        tag, mark = rows[k]["tag"], (rows[k]["attrs"].get("id", "") + " " + rows[k]["attrs"].get("class", "")).lower()
-        for name, tags, words in (("header", ("header",), ("header",)), ("footer", ("footer",), ("footer",)), ("sidebar", ("aside",), ("sidebar",)), ("main", ("main", "article"), ("main", "content")), ("navigation", ("nav",), ("nav", "menu"))):
-            if tag in tags or any(w in mark for w in words):
-                return name
-        k = rows[k]["parent"]
-    return "unknown"
+#: Places on a page, by tags and by words in id or class, in order of precedence.
+PLACES = (("header", ("header",), ("header",)), ("footer", ("footer",), ("footer",)), ("sidebar", ("aside",), ("sidebar",)), ("main", ("main", "article"), ("main", "content")), ("navigation", ("nav",), ("nav", "menu")))
+
+
+def _place(row: dict) -> str | None:
+    """The place that an element makes for what is inside it."""
+    mark = (row["attrs"].get("id", "") + " " + row["attrs"].get("class", "")).lower()
+    return next((name for name, tags, words in PLACES if row["tag"] in tags or any(w in mark for w in words)), None)
 
 
 def parse(html: str | None) -> list[dict]:
@@ -116,7 +114,10 @@ def parse(html: str | None) -> list[dict]:
         r["text"] = text if r["tag"] in TEXTUAL else None
         r["html_length"] = marks[r["post"] + 1] - marks[r["pre"]] + chars[b] - chars[a]
         r["classes"], r["elem_id"] = r["attrs"].get("class", "").split(), r["attrs"].get("id")
-        r["anc_tags"], r["loc"] = (rows[r["parent"]]["anc_tags"] + [rows[r["parent"]]["tag"]] if r["parent"] >= 0 else []), _location(rows, r["pre"])
+        above = rows[r["parent"]] if r["parent"] >= 0 else None
+        r["anc_tags"] = above["anc_tags"] + [above["tag"]] if above else []
+        r["loc"] = (above["place"] or above["loc"]) if above else "unknown"  # by the nearest ancestor that says so
+        r["place"] = _place(r)
     return rows
 
 
