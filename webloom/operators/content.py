@@ -13,7 +13,7 @@ from ..functions import text as tx
 from .metadata import attr
 from .structure import has_class, inside, mark, tag
 
-#: Regions whose text is no content.
+# Regions whose text is no content, and marks in id or class that content does not bear.
 FURNITURE = ("script", "style", "noscript", "iframe", "svg", "header", "footer", "nav")
 BLACKLIST = "comment|sidebar|footer|header|nav|menu|banner|ad-|ads|promo|widget|related|social|share"
 
@@ -65,6 +65,30 @@ def body_text(e: DataFrame) -> DataFrame:
     return lines.select("page_id", F.array_join(F.transform("ls", lambda x: x["t"]), "\n").alias("body_text"))
 
 
+def text_content(df: DataFrame, html_col: str = "html", out: str = "text_content") -> DataFrame:
+    """Markup as plain text in the manner of markdown: furniture dropped, headings and items marked, links as their text, pictures
+    dropped, blocks apart by one empty line. By rewriting the string in the JVM, without a tree: furniture within furniture of
+    the same kind ends at the first end tag."""
+    t = F.regexp_replace(tx.text_or_empty(F.col(html_col)), r"(?s)<!--.*?-->|<![^>]*>", "")
+    t = F.regexp_replace(t, rf"(?is)<({'|'.join(FURNITURE)}|head)\b[^>]*>.*?</\1\s*>", "")
+    t = F.regexp_replace(t, r"\s+", " ")
+    for n in range(1, 7):
+        t = F.regexp_replace(t, rf"(?i)<h{n}\b[^>]*>\s*", "\n\n" + "#" * n + " ")
+    t = F.regexp_replace(t, r"(?i)<li\b[^>]*>\s*", "\n  * ")
+    t = F.regexp_replace(t, r"(?i)<(strong|b)>\s*(.*?)\s*</\1>", "**$2**")
+    t = F.regexp_replace(t, r"(?i)<(em|i)>\s*(.*?)\s*</\1>", "_$2_")
+    t = F.regexp_replace(t, r"(?i)<blockquote\b[^>]*>\s*", "\n\n> ")
+    t = F.regexp_replace(t, r"(?i)<br\s*/?>|</(tr|dt|dd|caption)\s*>", "\n")
+    t = F.regexp_replace(t, r"(?i)</(td|th)\s*>", " | ")
+    t = F.regexp_replace(t, r"(?i)</?(p|div|section|article|main|aside|ul|ol|dl|table|form|pre|h[1-6]|blockquote)\b[^>]*>", "\n\n")
+    t = F.regexp_replace(t, r"<[^>]+>", "")
+    for mark, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        t = F.replace(t, F.lit(mark), F.lit(char))
+    t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+\n", "\n"), r"\n[ \t]+(?=[^ \t*])", "\n")
+    t = F.regexp_replace(t, r"\n{3,}", "\n\n")
+    return df.withColumn(out, F.regexp_replace(t, r"^\s+|\s+$", ""))
+
+
 def definitions(e: DataFrame) -> DataFrame:
     """(page_id, pre, term, definition): a dd whose last sibling among dt and dd is a dt."""
     dl = e.where(tag("dl")).select("page_id", F.col("pre").alias("parent"))

@@ -33,8 +33,8 @@ def with_all(pages: DataFrame, found: DataFrame) -> DataFrame:
     return pages.select("page_id", "url").join(found, "page_id", "left")
 
 
-def metadata(pages: DataFrame, elements: DataFrame) -> DataFrame:
-    """A row for each page with all metadata."""
+def candidates(pages: DataFrame, elements: DataFrame) -> DataFrame:
+    """A row for each page with every value that metadata may be taken from."""
     tag = F.col("tag")
     meta = lambda key, value: (tag == "meta") & (F.lower(attr(key)) == value)
     content = attr("content")
@@ -66,15 +66,33 @@ def metadata(pages: DataFrame, elements: DataFrame) -> DataFrame:
         F.max((tag == "form") & F.lower(F.coalesce(F.col("elem_id"), F.lit(""))).rlike("checkout|cart")).alias("is_checkout"), F.max((tag == "form") & F.lower(F.coalesce(F.col("elem_id"), F.lit(""))).rlike("contact|feedback")).alias("is_contact"),
         F.max(tag.rlike("login|signin")).alias("is_login"), F.max(classes.rlike("post|blog|article")).alias("is_blog"), F.max(classes.rlike("product|listing")).alias("is_listing"),
     )
-    out = with_all(pages, found)
+    return with_all(pages, found)
+
+
+def simple_metadata(pages: DataFrame, elements: DataFrame) -> DataFrame:
+    """The short form: the title tag before Open Graph, the canonical link as joined, keywords without article tags."""
+    out = candidates(pages, elements)
+    words = F.filter(F.transform(F.split(F.coalesce("keywords_raw", F.lit("")), ","), lambda k: F.trim(k)), lambda k: k != "")
+    return out.select(
+        "page_id", "url", F.coalesce("title_tag", "og_title").alias("title"), F.coalesce("d1", "d2").alias("description"), words.alias("keywords"), F.col("c1").alias("canonical"), F.col("l1").alias("language"),
+        "open_graph", "twitter_cards", F.col("a1").alias("author"), F.col("robots_raw").alias("robots"), F.coalesce(F.col("icons")["favicon"], F.element_at(F.map_values("icons"), 1)).alias("favicon"),
+    )
+
+
+def metadata(pages: DataFrame, elements: DataFrame) -> DataFrame:
+    """A row for each page with all metadata."""
+    out = candidates(pages, elements)
     on = lambda c: F.coalesce(F.col(c), F.lit(False))
     words = F.filter(F.transform(F.split(F.coalesce("keywords_raw", F.lit("")), ","), lambda k: F.trim(k)), lambda k: k != "")
     kind = F.coalesce("og_type", F.when(on("has_article"), "article"), F.when(on("is_product"), "product"), F.when(on("is_checkout"), "checkout"), F.when(on("is_contact"), "contact"), F.when(on("is_login"), "login"), F.when(on("is_blog"), "blog"), F.when(on("is_listing"), "listing"), F.lit("general"))
     default_icon = F.when(F.map_contains_key(F.coalesce("icons", F.create_map().cast("map<string,string>")), "favicon"), F.col("icons")["favicon"]).otherwise(url_join(F.col("url"), F.lit("/favicon.ico")))
+    others = F.map_filter(F.coalesce("icons", F.create_map().cast("map<string,string>")), lambda k, _: k != "favicon")
+    touch = F.when(F.col("apple_touch_icon").isNotNull(), F.create_map(F.lit("apple_touch_icon"), F.col("apple_touch_icon"))).otherwise(F.create_map().cast("map<string,string>"))
+    all_icons = F.map_concat(others, F.create_map(F.lit("favicon"), default_icon), touch)
     return out.select(
         "page_id", "url", F.coalesce("og_title", "title_tag", "h1").alias("title"), F.coalesce("d1", "d2", "d3").alias("description"), F.concat(words, F.coalesce("tags", F.array().cast("array<string>"))).alias("keywords"),
         F.coalesce("a1", "a2", "a3", "a4").alias("author"), F.coalesce("c1", "c2", "url").alias("canonical"), F.coalesce("l1", "l2", "l3").alias("language"), F.coalesce("s1", "s2").alias("charset"), "viewport",
-        robots(F.col("robots_raw")).alias("robots"), "open_graph", "twitter_cards", "json_ld", "rel_links", "hreflang", "icons", default_icon.alias("favicon"), "apple_touch_icon", kind.alias("page_type"),
+        robots(F.col("robots_raw")).alias("robots"), "open_graph", "twitter_cards", "json_ld", "rel_links", "hreflang", "icons", default_icon.alias("favicon"), "apple_touch_icon", all_icons.alias("all_icons"), kind.alias("page_type"),
     )
 
 
@@ -89,11 +107,12 @@ def robots(raw: Column) -> Column:
     return F.struct(*[F.coalesce(ended, ~F.array_contains(words, f"no{n}")).alias(n) for n in ROBOT_FLAGS])
 
 
-def microdata(elements: DataFrame) -> DataFrame:
-    """A row for each itemscope: its type and the properties that lie in it but in no scope within it."""
+def microdata(elements: DataFrame, nested: bool = False) -> DataFrame:
+    """A row for each itemscope: its type and the properties that lie in it, but in no scope within it unless nested."""
     scope = elements.where(F.map_contains_key("attrs", "itemscope")).select("page_id", F.col("pre").alias("s_pre"), F.col("post").alias("s_post"), attr("itemtype").alias("item_type"))
     prop = elements.where(attr("itemprop").isNotNull()).select("page_id", "pre", attr("itemprop").alias("name"), F.coalesce(attr("content"), F.when(F.col("tag").isin("a", "link"), attr("href")), F.when(F.col("tag") == "img", attr("src")), F.trim("text"), F.lit("")).alias("value"))
     inside = prop.join(scope, (prop["page_id"] == scope["page_id"]) & (prop["pre"] > scope["s_pre"]) & (prop["pre"] <= scope["s_post"])).drop(prop["page_id"])
-    own = inside.groupBy("page_id", "pre").agg(F.max(F.struct("s_pre", "name", "value")).alias("p")).select("page_id", "pre", "p.*")
+    nearest = inside.groupBy("page_id", "pre").agg(F.max(F.struct("s_pre", "name", "value")).alias("p")).select("page_id", "pre", "p.*")
+    own = inside.select("page_id", "pre", "s_pre", "name", "value") if nested else nearest
     props = own.groupBy("page_id", "s_pre").agg(pairs(F.lit(True), F.col("name"), F.col("value")).alias("properties"))
     return scope.join(props, ["page_id", "s_pre"], "left").select("page_id", F.col("s_pre").alias("pre"), "item_type", F.coalesce("properties", F.create_map().cast("map<string,string>")).alias("properties"))

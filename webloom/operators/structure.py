@@ -242,10 +242,35 @@ def content_blocks(e: DataFrame, min_text: int = 100, max_links: float = 0.5) ->
 
 
 def sections(e: DataFrame) -> DataFrame:
-    """A row for each section: sectioning elements, and div with an id that reads like one; with its heading and text length."""
-    s = e.where(tag("section", "article", "main", "aside") | (tag("div") & F.lower(F.coalesce("elem_id", F.lit(""))).rlike("section|content|main|container")))
-    h = inside(s, e.where(tag("h1", "h2", "h3", "h4", "h5", "h6"))).groupBy("page_id", F.col("o_pre").alias("pre")).agg(F.min_by(F.trim("text"), "pre").alias("heading"), F.count(F.lit(1)).alias("headings"))
-    return s.select("page_id", "pre", "tag", "elem_id", "stripped_length", "loc").join(h, ["page_id", "pre"], "left").fillna(0, ["headings"])
+    """A row for each section: sectioning elements, and div with an id that reads like one; its heading, words, what it holds and how it begins."""
+    s = e.where(tag("section", "article", "main", "aside") | (tag("div") & F.lower(F.coalesce("elem_id", F.lit(""))).rlike("section|content|block|container|wrapper|module")))
+    h = inside(s, e.where(tag("h1", "h2", "h3", "h4", "h5", "h6", "img", "a"))).groupBy("page_id", F.col("o_pre").alias("pre")).agg(
+        F.min_by(F.when(F.col("tag").startswith("h"), F.trim("text")), F.when(F.col("tag").startswith("h"), F.col("pre"))).alias("heading"), n_if(F.col("tag").startswith("h")).alias("headings"),
+        F.max(tag("img")).alias("has_images"), F.max(tag("a")).alias("has_links"),
+    )
+    text = tx.squeeze(F.col("text"))
+    words = F.size(F.filter(F.split(text, " "), lambda w: w != "")).cast("long")
+    out = s.select("page_id", "pre", "tag", "elem_id", "classes", "stripped_length", "loc", words.alias("word_count"), F.substring(text, 1, 100).alias("snippet"))
+    return out.join(h, ["page_id", "pre"], "left").fillna(0, ["headings"]).fillna(False, ["has_images", "has_links"])
+
+
+def videos(e: DataFrame) -> DataFrame:
+    """A row for each video: html5, youtube and vimeo with their ids, video.js."""
+    src = F.coalesce(attr("src"), F.lit(""))
+    player = F.exists("classes", lambda c: c == "video-js")
+    kind = F.when(player, "videojs").when(tag("video"), "html5").when(tag("iframe") & src.rlike(r"(?i)youtube\.com|youtu\.be"), "youtube").when(tag("iframe") & src.rlike(r"(?i)vimeo\.com"), "vimeo")
+    key = F.when(F.col("kind") == "youtube", F.regexp_extract(src, r"(?:embed/|v=|youtu\.be/)([\w-]+)", 1)).when(F.col("kind") == "vimeo", F.regexp_extract(src, r"(?:video/|vimeo\.com/)(\d+)", 1))
+    return e.withColumn("kind", kind).where("kind IS NOT NULL").select("page_id", "pre", "kind", F.nullif(key, F.lit("")).alias("video_id"), F.nullif(src, F.lit("")).alias("src"))
+
+
+def media_details(e: DataFrame) -> DataFrame:
+    """Shares of pictures with texts, links, responsive and lazy ones, the sources of the first 20 pictures and the first 5 frames."""
+    n = page_counts(e).where("images > 0 OR iframes > 0")
+    share = lambda c: tx.ratio(F.col(c), F.greatest(F.col("images"), F.lit(1))).alias(f"{c}_share")
+    shares = n.select("page_id", *[share(c) for c in ("images_with_alt", "images_linked", "images_responsive", "images_lazy")])
+    first_ = lambda name, k: F.slice(F.transform(F.sort_array(F.collect_list(F.when(tag(name) & (F.coalesce(attr("src"), F.lit("")) != ""), F.struct("pre", attr("src").alias("src"))))), lambda x: x["src"]), 1, k)
+    sources = e.where(tag("img", "iframe")).groupBy("page_id").agg(first_("img", 20).alias("image_sources"), first_("iframe", 5).alias("frame_sources"))
+    return shares.join(sources, "page_id", "left")
 
 
 def form_summary(e: DataFrame) -> DataFrame:
@@ -284,7 +309,7 @@ def table_summary(e: DataFrame) -> DataFrame:
     t = tables(e)
     headed = F.col("has_thead") | F.col("has_th")
     return t.groupBy("page_id").agg(
-        F.count(F.lit(1)).alias("tables"), n_if(headed).alias("tables_with_headers"), n_if(F.col("caption").isNotNull()).alias("tables_with_caption"), F.sum("row_count").alias("table_rows"),
+        F.count(F.lit(1)).alias("tables"), n_if(headed).alias("tables_with_headers"), n_if(F.col("caption").isNotNull()).alias("tables_with_caption"), F.sum("row_count").alias("table_rows"), F.avg("row_count").alias("avg_table_rows"), F.avg("column_count").alias("avg_table_columns"),
         n_if(~headed & ((F.col("row_count") <= 1) | (F.col("column_count") <= 1))).alias("layout_tables"),
     )
 

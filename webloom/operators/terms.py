@@ -57,6 +57,24 @@ def bigrams(df: DataFrame, least: int = 3, threshold: float = 10.0, id_col: str
     return pairs.withColumn("score", score).where(F.col("score") > threshold).select(id_col, "term", "frequency", "score")
 
 
+def merged_bigrams(df: DataFrame, k: int = 15, id_col: str = "doc_id") -> DataFrame:
+    """How often each phrase of `bigrams` stands when words are joined from the left and none is in two phrases; the k most frequent,
+    with their share of all words in percent. In a run of words that could be joined throughout every second place begins a phrase."""
+    words = _exploded(df, id_col)
+    w = Window.partitionBy(id_col).orderBy("place")
+    pairs = words.withColumn("term", F.concat("term", F.lit(" "), F.lead("term").over(w)))
+    pairs = pairs.join(bigrams(df, id_col=id_col).select(id_col, "term", F.lit(True).alias("is_phrase")), [id_col, "term"], "left")
+    last = F.max(F.when(F.col("is_phrase").isNull(), F.col("place"))).over(w)
+    taken = pairs.withColumn("last", F.coalesce(last, F.lit(-1))).where(F.col("is_phrase") & ((F.col("place") - F.col("last")) % 2 == 1))
+    n = taken.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("frequency")).join(df.select(id_col, F.size("words").alias("n")), id_col)
+    return _top(n.withColumn("score", tx.ratio(F.col("frequency") * 100, F.col("n"))).drop("n"), id_col, "frequency", k)
+
+
+def pos_tags(df: DataFrame, out: str = "pos") -> DataFrame:
+    """A tag for each token; without a model it is X throughout."""
+    return df.withColumn(out, F.transform("toks", lambda t: F.struct(t.alias("token"), F.lit("X").alias("tag"))))
+
+
 def tfidf(df: DataFrame, k: int = 10, id_col: str = "doc_id") -> DataFrame:
     """The k words of most tf * ln((1 + documents) / (1 + df)) + 1 weight over the corpus."""
     words = _exploded(df, id_col).where((F.length("term") > 2) & ~F.col("term").isin(*lex.STOPWORDS))

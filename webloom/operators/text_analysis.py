@@ -77,6 +77,13 @@ def quality(df: DataFrame, grammar: Column | None = None) -> DataFrame:
     return df.withColumn("overall_quality", F.least(F.greatest(score, F.lit(0.0)), F.lit(100.0)))
 
 
+def grammar(df: DataFrame, errors: Column | None = None) -> DataFrame:
+    """grammar_errors and grammar_score: 100 less ten for each error in a hundred words; 100 where no checker found any or there is none."""
+    n = F.lit(0) if errors is None else F.coalesce(errors, F.lit(0))
+    score = F.greatest(F.lit(0.0), 100.0 - 10.0 * tx.ratio(n * 100, F.size("words")))
+    return df.withColumns({"grammar_errors": n.cast("long"), "grammar_score": F.when(n == 0, 100.0).otherwise(score)})
+
+
 def rules(df: DataFrame, found: list[tuple[str, str, int, Column]], id_col: str = "doc_id") -> DataFrame:
     """A row for each rule (code, category, priority, condition) that holds, in the order given."""
     each = [F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(k).alias("rule_order"), F.lit(code).alias("code"), F.lit(cat).alias("category"), F.lit(p).alias("priority"))) for k, (code, cat, p, cond) in enumerate(found)]

@@ -84,6 +84,24 @@ def doc_bigrams(spark, sf_dir):
     return terms.bigrams(documents(spark, sf_dir))
 
 
+@query(o.TEXT + o.MERGED)
+def doc_merged_bigrams(spark, sf_dir):
+    return terms.merged_bigrams(documents(spark, sf_dir))
+
+
+@query(o.TEXT + "SELECT doc_id, len(toks)::BIGINT AS n, CASE WHEN len(toks) = 0 THEN '' ELSE toks[1] || '/X' END AS first_tag FROM v")
+def doc_pos_tags(spark, sf_dir):
+    df = terms.pos_tags(documents(spark, sf_dir))
+    first = F.get("pos", F.lit(0))
+    return df.select("doc_id", F.size("pos").cast("long").alias("n"), F.coalesce(F.concat(first["token"], F.lit("/"), first["tag"]), F.lit("")).alias("first_tag"))
+
+
+@query(o.TEXT + "SELECT doc_id, (doc_id % 3)::BIGINT AS grammar_errors, CASE WHEN doc_id % 3 = 0 THEN 100.0 ELSE greatest(0.0, 100.0::DOUBLE - 10.0::DOUBLE * CASE WHEN len(words) = 0 THEN 0.0::DOUBLE ELSE (doc_id % 3 * 100)::DOUBLE / len(words) END) END::DOUBLE AS grammar_score FROM v")
+def doc_grammar_score(spark, sf_dir):
+    """From errors that a checker found elsewhere."""
+    return ta.grammar(documents(spark, sf_dir), F.col("doc_id") % 3).select("doc_id", "grammar_errors", "grammar_score")
+
+
 @query(o.TEXT + o.ENTITIES)
 def doc_entities(spark, sf_dir):
     return terms.entities(documents(spark, sf_dir))

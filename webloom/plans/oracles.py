@@ -88,6 +88,12 @@ z AS (SELECT doc_id, count(*) AS vocabulary FROM u GROUP BY 1)
 SELECT p.doc_id, p.a || ' ' || p.b AS term, frequency, (frequency - 3) * vocabulary::DOUBLE / (ua.n * ub.n) AS score
 FROM p JOIN u ua ON ua.doc_id = p.doc_id AND ua.x = a JOIN u ub ON ub.doc_id = p.doc_id AND ub.x = b JOIN z ON z.doc_id = p.doc_id
 WHERE (frequency - 3) * vocabulary::DOUBLE / (ua.n * ub.n) > 10.0"""
+MERGED = BIGRAMS.replace("\nSELECT p.doc_id,", ",\nbg AS (SELECT p.doc_id,", 1) + """),
+q AS (SELECT doc_id, place, low[place + 1] || ' ' || low[place + 2] AS term FROM (SELECT doc_id, low, unnest(range(len(low))) AS place FROM v)),
+r AS (SELECT q.*, bg.term IS NOT NULL AS is_phrase FROM q LEFT JOIN bg ON bg.doc_id = q.doc_id AND bg.term = q.term),
+t AS (SELECT *, coalesce(max(CASE WHEN NOT is_phrase THEN place END) OVER (PARTITION BY doc_id ORDER BY place), -1) AS last FROM r),
+g AS (SELECT doc_id, term, count(*) AS frequency FROM t WHERE is_phrase AND (place - last) % 2 = 1 GROUP BY 1, 2)
+SELECT doc_id, term, frequency, (frequency * 100)::DOUBLE / len(words) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY frequency DESC, term) AS rank FROM g JOIN v USING (doc_id) QUALIFY rank <= 15"""
 ENTITIES = f"""
 , f AS (SELECT doc_id, lower(word) AS term, count(*) AS frequency FROM (SELECT doc_id, unnest(words) AS word FROM v) WHERE regexp_matches(word, '^\\p{{Lu}}') AND length(word) > 1 AND lower(word) NOT IN ({STOP}) GROUP BY 1, 2)
 SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY frequency DESC, term) AS rank FROM f QUALIFY rank <= 50"""

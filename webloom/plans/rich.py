@@ -154,9 +154,59 @@ def rich_sidebars(spark, sf_dir):
     return structure.sidebars(rich_pages(spark, sf_dir)[1]).select("page_id", "tag", "position", "links", "widgets", "lists", "headings", "paragraphs")
 
 
-@query(["'main' AS tag, NULL AS elem_id, 'Item ' || page_id AS heading, 3::BIGINT AS headings", "'section', 'intro', 'Intro', 1", "'section', NULL, 'Data', 1", "'aside', NULL, 'More', 1"])
+@query([
+    "'main' AS tag, NULL AS elem_id, 'Item ' || page_id AS heading, 3::BIGINT AS headings, false AS has_images, true AS has_links, 'Item ' AS starts",
+    "'section', 'intro', 'Intro', 1, false, false, 'Intro'", "'section', NULL, 'Data', 1, false, false, 'DataP'", "'aside', NULL, 'More', 1, false, true, 'MoreS'",
+])
 def rich_sections(spark, sf_dir):
-    return structure.sections(rich_pages(spark, sf_dir)[1]).select("page_id", "tag", "elem_id", "heading", "headings")
+    return structure.sections(rich_pages(spark, sf_dir)[1]).select("page_id", "tag", "elem_id", "heading", "headings", "has_images", "has_links", F.substring("snippet", 1, 5).alias("starts"))
+
+
+@query("1::BIGINT AS word_count, 'MoreSidemore' AS snippet")
+def rich_section_words(spark, sf_dir):
+    """The aside, whose texts stand side by side without a blank."""
+    return structure.sections(rich_pages(spark, sf_dir)[1]).where("tag = 'aside'").select("page_id", "word_count", "snippet")
+
+
+@query(["'youtube' AS kind, '1' AS video_id, 'https://www.youtube.com/embed/1' AS src", "'html5', NULL, NULL"])
+def rich_videos(spark, sf_dir):
+    return structure.videos(rich_pages(spark, sf_dir)[1]).select("page_id", "kind", "video_id", "src")
+
+
+@query("0.5::DOUBLE AS images_with_alt_share, 0.0::DOUBLE AS images_linked_share, 0.5::DOUBLE AS images_lazy_share, '/logo.png|/a.png' AS image_sources, 'https://www.youtube.com/embed/1' AS frame_sources")
+def rich_media(spark, sf_dir):
+    m = structure.media_details(rich_pages(spark, sf_dir)[1])
+    return m.select("page_id", "images_with_alt_share", "images_linked_share", "images_lazy_share", joined("image_sources").alias("image_sources"), joined("frame_sources").alias("frame_sources"))
+
+
+@query(
+    "'Page ' || page_id || ' of the guide' AS title, 'All about item ' || page_id || ', at length.' AS description, 'alpha|beta|item' || page_id AS keywords, 'https://shop.example/p/' || page_id AS canonical, 'en' AS language, 'Ann ' || page_id AS author, "
+    "'noindex, nofollow' AS robots, 'https://shop.example/i.png' AS favicon"
+)
+def rich_simple_metadata(spark, sf_dir):
+    m = metadata.simple_metadata(*rich_pages(spark, sf_dir))
+    return m.select("page_id", "title", "description", joined("keywords").alias("keywords"), "canonical", "language", "author", "robots", "favicon")
+
+
+@query("'apple_touch_icon=https://shop.example/t.png|favicon=https://shop.example/favicon.ico|icon_32x32=https://shop.example/i.png' AS icons")
+def rich_icons(spark, sf_dir):
+    return metadata.metadata(*rich_pages(spark, sf_dir)).select("page_id", said("all_icons").alias("icons"))
+
+
+@query(["'A' AS item_type, 'inner=2|outer=1' AS properties, true AS nested", "'B', 'inner=2', true", "'A', 'outer=1', false", "'B', 'inner=2', false"])
+def rich_nested_microdata(spark, sf_dir):
+    """A scope in a scope: the outer one with and without what the inner one holds."""
+    pages = rich_pages(spark, sf_dir)[0].drop("html")
+    e = elements(pages.withColumn("html", F.lit('<div itemscope itemtype="A"><b itemprop="outer">1</b><p itemscope itemtype="B"><i itemprop="inner">2</i></p></div>')))
+    each = [metadata.microdata(e, nested).select("page_id", "item_type", said("properties").alias("properties"), F.lit(nested).alias("nested")) for nested in (True, False)]
+    return each[0].unionByName(each[1])
+
+
+@query("'# Head ' || page_id || chr(10) || chr(10) || 'One **two** _three_ link & more.' || chr(10) || chr(10) || '  * first' || chr(10) || '  * second' || chr(10) || chr(10) || '> Said' AS text_content")
+def rich_text_content(spark, sf_dir):
+    pages = rich_pages(spark, sf_dir)[0].drop("html")
+    parts = [F.lit("<html><head><title>T</title></head><body><nav>Menu</nav><script>x()</script><h1>Head "), F.col("page_id").cast("string"), F.lit('</h1>\n<p>One <b>two</b> <em>three</em> <a href="/x">link</a> &amp;\n more.<img src="i.png"></p><ul><li>first</li><li>second</li></ul><blockquote>Said</blockquote><footer>End</footer></body></html>')]
+    return content.text_content(pages.withColumn("html", F.concat(*parts))).select("page_id", "text_content")
 
 
 @query(f"'section' AS tag, 0.0::DOUBLE AS link_density, (length(replace('{INTRO}', '#', page_id::VARCHAR)) + length('IntroBest  ever.Bob') + length(page_id::VARCHAR))::INTEGER AS text_length, 'main' AS loc")
