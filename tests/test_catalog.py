@@ -121,3 +121,20 @@ def test_upsert_versions(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [(1, "a"), (2, "c"), (3, "d")]
     back = a.select(sinks.unpacked(sinks.packed(F.struct("k", "x")), "k long, x string").alias("s")).select("s.*")
     assert sorted(map(tuple, back.collect())) == [(1, "a"), (2, "b")]
+
+
+def test_a_failed_write_leaves_the_old_version(spark, tmp_path):
+    from webloom.sources import sinks
+
+    a = spark.createDataFrame([(1, "a")], "k long, x string")
+    at = sinks.write_version(spark, str(tmp_path), 0, a, "k")
+    bad = a.select("k", F.raise_error(F.lit("no")).cast("string").alias("x"))
+    with pytest.raises(Exception, match="no"):
+        sinks.write_version(spark, str(tmp_path), 1, bad, "k")
+    assert spark.read.parquet(at).collect() == a.collect() and not os.path.exists(tmp_path / "v=1" / "_SUCCESS")
+
+
+def test_contexts_of_calls_to_action(spark):
+    text = "x" * 80 + " Buy now! " + "y" * 10 + " Learn more. " + "z" * 70 + " buy  now"
+    r = ta.action_contexts(ta.calls_to_action(spark.createDataFrame([(text,), (None,)], "text string"))).collect()
+    assert [c.strip() for c in r[0]["cta_contexts"]] == [text[31:138].strip(), text[text.index("buy  now") - 50 :], text[text.index("Learn more") - 50 : text.index("Learn more") + 60]] and r[1]["cta_contexts"] == []

@@ -306,3 +306,16 @@ def rich_seo_recommendations(spark, sf_dir):
     df = metadata.metadata(pages, e).join(structure.headings(e), "page_id", "left")
     found = seo.recommendations(seo.url_score(seo.heading_score(seo.meta_score(df))))
     return found.where("place = 0").select("page_id", "category", "priority", "code")
+
+
+@query("0.2::DOUBLE AS meta_score, 0.8::DOUBLE AS heading_score, 0.85::DOUBLE AS url_score, 0.5::DOUBLE AS relevance_score, 0.5::DOUBLE AS phrase_score, 'thin_content|keywords_not_covered' AS relevance_issues, 'balanced' AS optimisation, 'guide:1|zzz:0' AS counts")
+def rich_seo_scores(spark, sf_dir):
+    """Given keywords, of which the text holds one and the tags none, and given phrases, of which it holds one."""
+    keys, phrases = F.array(F.lit("guide"), F.lit("zzz")), F.array(F.lit("how long it"), F.lit("never said"))
+    pages, e = rich_pages(spark, sf_dir)
+    df = metadata.metadata(pages, e).join(structure.headings(e), "page_id", "left").join(content.body_text(e), "page_id", "left")
+    df = seo.relevance_score(seo.url_score(seo.heading_score(seo.meta_score(df, keys), keys), keywords=keys), "body_text", keys)
+    df = seo.optimisation_score(seo.phrase_score(seo.keyword_score(df, keys, "body_text"), phrases, "body_text"))
+    counts = F.transform("keyword_usage", lambda u: F.concat(u["keyword"], F.lit(":"), u["count"].cast("string")))
+    rounded = [F.round(c, 9).alias(c) for c in ("meta_score", "heading_score", "url_score", "relevance_score", "phrase_score")]
+    return df.select("page_id", *rounded, joined("relevance_issues").alias("relevance_issues"), "optimisation", joined(counts).alias("counts"))
