@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import unicodedata
+import zlib
 
 import duckdb
 import numpy as np
@@ -37,6 +38,19 @@ def test_shards(spark, n):
     assert n < 16 or len(sizes) == 16 and max(sizes.values()) - min(sizes.values()) <= 1
 
 
+def test_sharding_query(spark):
+    got = QUERIES["op1_hypergeometric_shards"](spark, SF).toPandas()
+    docs = pd.read_parquet(f"{SF}/documents.parquet").set_index("doc_id").text.fillna("")
+    assert sorted(got.doc_id) == sorted(docs.index) and set(got.law) == {"rows"} and got.grown_shard.isna().all()
+    for r in got.itertuples():
+        raw = docs[r.doc_id].encode()
+        assert (r.size, r.text_crc32) == (len(raw) + 1, zlib.crc32(raw))
+    counts = got.groupby("shard").slot.agg(["count", "min", "max", "nunique"])
+    assert sorted(counts.index) == list(range(16)) and counts["count"].max() - counts["count"].min() <= 1
+    assert (counts["min"] == 0).all() and (counts["max"] + 1 == counts["count"]).all() and (counts["nunique"] == counts["count"]).all()
+    assert abs(np.corrcoef(got.doc_id, got.shard)[0, 1]) < 0.2
+
+
 def test_matrix_is_hypergeometric():
     draws = np.array([sharding.communication_matrix([6, 4], [5, 5], seed)[0, 0] for seed in range(4000)])
     assert all((sharding.communication_matrix([3, 0, 7], [4, 6], s).sum(axis=0) == [4, 6]).all() for s in range(20))
