@@ -37,6 +37,11 @@ def analyze_pages(pages: DataFrame) -> DataFrame:
     return df.select("page_id", "url", "title", "meta_score", "heading_score", "url_score", "relevance_score").join(text, "page_id")
 
 
+def analyze_url(pages: DataFrame, url: str) -> DataFrame:
+    """The analysis of one page; the filter reaches the scan."""
+    return analyze_pages(pages.where(F.col("url") == url))
+
+
 def analyze_sitemap(sitemaps: DataFrame, pages: DataFrame, most: int = 100) -> DataFrame:
     """The analysis of the first `most` pages that the sitemaps name (the limit is the caller's choice)."""
     named = sitemaps.select(F.posexplode("urls").alias("place", "url")).orderBy("place", "url").limit(most).select("url").distinct()

@@ -246,6 +246,14 @@ def doc_analysis(spark, sf_dir):
     return df.select("doc_id", "language", *[F.to_json(c).alias(c) for c in ("basic", "sentiment", "ux", "recommendations")])
 
 
+@query(o.ANALYSIS)
+def doc_analysis_summary(spark, sf_dir):
+    """The whole analysis, flat, with the codes of its recommendations by priority."""
+    df = analysis.analyze(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    codes = F.array_join(F.transform("recommendations", lambda r: r["code"]), "|")
+    return df.select("doc_id", "language", "basic.word_count", "basic.overall_readability", "basic.readability_level", "basic.overall_quality", "sentiment.sentiment", "sentiment.dominant_emotion", "sentiment.cta_count", "ux.ux_score", codes.alias("codes"))
+
+
 @query()
 def page_analysis(spark, sf_dir):
     df = analysis.analyze_pages(table(spark, sf_dir, "pages"))

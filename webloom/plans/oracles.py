@@ -235,3 +235,9 @@ _SEM = lambda sql, value: f"SELECT doc_id, string_agg({value}, '|' ORDER BY rank
 SEMANTIC = f"""
 WITH kw AS ({_SEM(KEYWORDS, "term")}), en AS ({_SEM(ENTITIES, "term || ':' || frequency")}), co AS ({TEXT + COHERENCE})
 SELECT co.doc_id, coalesce(kw.said, '') AS keywords, coalesce(en.said, '') AS entities, round(coherence, 6) AS coherence FROM co LEFT JOIN kw USING (doc_id) LEFT JOIN en USING (doc_id)"""
+
+ANALYSIS = f"""
+WITH st AS ({TEXT + STATS}), rd AS ({TEXT + READ + READ_OUT}), qu AS ({TEXT + QUALITY}), se AS ({TEXT + SENTIMENT}), em AS ({TEXT + EMOTIONS}), ct AS ({TEXT + CTA}), ux AS ({TEXT + UX}),
+ru AS (SELECT doc_id, string_agg(code, '|' ORDER BY priority, rule_order) AS codes FROM ({ALL_RULES}) GROUP BY doc_id)
+SELECT doc_id, documents.lang AS language, word_count, overall_readability, readability_level, overall_quality, sentiment, dominant_emotion, cta_count, ux_score, coalesce(codes, '') AS codes
+FROM documents JOIN st USING (doc_id) JOIN rd USING (doc_id) JOIN qu USING (doc_id) JOIN se USING (doc_id) JOIN em USING (doc_id) JOIN ct USING (doc_id) JOIN ux USING (doc_id) LEFT JOIN ru USING (doc_id)"""

@@ -6,7 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import content, metadata, relational, seo, structure
+from ..operators import analysis, content, metadata, relational, seo, structure
 from ..sources.dom import elements
 from ..sources.readers import table
 
@@ -319,3 +319,21 @@ def rich_seo_scores(spark, sf_dir):
     counts = F.transform("keyword_usage", lambda u: F.concat(u["keyword"], F.lit(":"), u["count"].cast("string")))
     rounded = [F.round(c, 9).alias(c) for c in ("meta_score", "heading_score", "url_score", "relevance_score", "phrase_score")]
     return df.select("page_id", *rounded, joined("relevance_issues").alias("relevance_issues"), "optimisation", joined(counts).alias("counts"))
+
+
+@query("'OG ' || page_id AS title, 'en' AS language, 0.6::DOUBLE AS meta_score, 1.0::DOUBLE AS heading_score, 1.0::DOUBLE AS url_score, true AS has_words")
+def rich_page_analysis(spark, sf_dir):
+    """Each page's analysis from its markup alone."""
+    df = analysis.analyze_pages(rich_pages(spark, sf_dir)[0])
+    return df.select("page_id", "title", "language", *[F.round(c, 9).alias(c) for c in ("meta_score", "heading_score", "url_score")], (F.col("basic.word_count") > 20).alias("has_words"))
+
+
+def one_page(spark, sf_dir):
+    """The analysis of the page with the least id, by its url."""
+    pages = rich_pages(spark, sf_dir)[0]
+    url = pages.orderBy("page_id").select("url").first()[0]
+    return analysis.analyze_url(pages, url).select("page_id", "url", "title")
+
+
+QUERIES["rich_analyze_one"] = one_page
+ORACLES["rich_analyze_one"] = f"SELECT page_id, '{BASE}' || page_id AS url, 'OG ' || page_id AS title FROM pages WHERE page_id = (SELECT min(page_id) FROM pages)"
