@@ -33,10 +33,18 @@ def documents(spark, sf_dir: str) -> DataFrame:
     return ta.prepare(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+#: The elements kept for the query at hand.
+_KEPT: list[DataFrame] = []
+
+
 def parsed(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Pages and their elements. The elements are kept, spilling to disk: operators use them several times, and parsing is the dearest step."""
+    """Pages and their elements. The elements are kept, spilling to disk: operators use them several times, and parsing is the dearest step.
+    Those of the query before are let go (it would parse again if it ran again)."""
+    while _KEPT:
+        _KEPT.pop().unpersist()
     pages = table(spark, sf_dir, "pages")
-    return pages, elements(pages).persist(StorageLevel.MEMORY_AND_DISK)
+    _KEPT.append(elements(pages).persist(StorageLevel.MEMORY_AND_DISK))
+    return pages, _KEPT[0]
 
 
 STATS = ["doc_id", "word_count", "character_count", "characters_with_spaces", "sentence_count", "paragraph_count", "avg_sentence_length", "avg_word_length", "lexical_diversity", "punctuation_count", "number_count", "long_word_count", "punctuation_density", "long_word_percent"]
