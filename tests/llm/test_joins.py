@@ -222,6 +222,17 @@ def test_edited_passages(spark, identity, least):
     assert min(recall.values()) >= least and min(recall[n] for n in (60, 80, 100)) >= 0.9
 
 
+def test_inserted_words_and_quotations(spark, prose):
+    """45 words, 15 put in, 45 words; and a passage of 60 words of which lesser documents quote 19 each."""
+    rng = random.Random(9)
+    text = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    whole, quoted = text(90), text(60)
+    rows = [(101, text(60) + whole + text(60)), (102, text(50) + whole[:45] + text(15) + whole[45:] + text(60))]
+    rows += [(k, text(50) + quoted[14 * k : 14 * k + 19] + text(50)) for k in range(4)] + [(10, text(80) + quoted + text(50)), (20, text(60) + quoted + text(80))]
+    got = substrings.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["partner_id"], r["n_words"], round(r["identity"], 3)) for r in got) == [(20, 10, 60, 1.0), (102, 101, 105, 0.857)]
+
+
 @pytest.mark.parametrize("size", [16, 30, 60])
 def test_passages_of_long_words(spark, size):
     """Exact passages of 51 words are found whatever the words' bytes."""
