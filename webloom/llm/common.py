@@ -44,15 +44,20 @@ def scratch(spark: SparkSession):
         yield
     finally:
         for name in _OPEN.pop():
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete(spark, name)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back with its schema: lost executors cost no recomputation."""
+def delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, label: str, outer: bool = False) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back with its schema: lost executors cost no recomputation.
+    outer: it outlives the innermost scratch block."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    if _OPEN:
-        _OPEN[-1].append(path)
+    if len(_OPEN) > outer:
+        _OPEN[-1 - outer].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
