@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, classifier, fingerprints, jaccard, licenses, lines, mixing, packing, sharding, substrings, tokenfile, whitening
+from . import centroids, classifier, fingerprints, jaccard, licenses, lines, mixing, neighbours, packing, sharding, substrings, tokenfile, whitening
 
 QUERIES = {
     "op1_hypergeometric_shards": sharding.op1_hypergeometric_shards,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_pareto_mix": mixing.op9_pareto_mix,
     "op10_ftrl_quality": classifier.op10_ftrl_quality,
     "op11_lanczos_whitening": whitening.op11_lanczos_whitening,
+    "op12_nn_descent": neighbours.op12_nn_descent,
     "op13_incremental_centroids": centroids.op13_incremental_centroids,
 }
 
@@ -23,5 +24,6 @@ ORACLES = {
     "op3_multi_order_jaccard": jaccard.OP3_SQL,
     "op4_line_first_rules": lines.OP4_SQL,
     "op9_pareto_mix": mixing.OP9_SQL,
+    "op12_nn_descent": neighbours.op12_nn_descent,
     "op13_incremental_centroids": centroids.OP13_SQL,
 }
