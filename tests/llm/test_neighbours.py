@@ -98,7 +98,7 @@ def test_local_join_meets_pairs_once():
 
     y = np.eye(4, 5, dtype="<f2") + np.float16(0.1)
     left = pa.table({"block": [0] * 5, "u": [1, 1, 1, 2, 2], "v": [10, 11, 12, 11, 12], "fresh": [True, False, False, True, True]})
-    right = pa.table({"home": [0] * 4, "v": [13, 12, 11, 10], "y": nb.binaries(y), "worst": pa.array([-9.0, -9.0, 9.0, -9.0], pa.float32())})
+    right = pa.table({"home": [0] * 4, "w": [13, 12, 11, 10], "y": nb.binaries(y), "worst": pa.array([-9.0, -9.0, 9.0, -9.0], pa.float32())})
     got = nb._local_join(left, right).to_pydict()
     # 11 is full of nearer ones; 10 meets the old ones, the old ones don't meet at 1 but at 2.
     assert sorted(zip(got["a"], got["b"])) == [(10, 11), (10, 12), (12, 10), (12, 11)]

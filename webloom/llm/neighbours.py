@@ -225,8 +225,8 @@ def _merged(settings: Settings):
 
 
 def _local_join(left: pa.Table, right: pa.Table) -> pa.Table:
-    """left: (block, u, v, fresh), right: (block, v, y, worst). Pairs met at some u that beat the worst neighbour of the first."""
-    ids = right.column("v").to_numpy()
+    """left: (block, u, v, fresh), right: (block, w, y, worst). Pairs met at some u that beat the worst neighbour of the first."""
+    ids = right.column("w").to_numpy()
     o = np.argsort(ids)
     ids, worst = ids[o], right.column("worst").to_numpy()[o]
     y = rows_of(right.column("y").combine_chunks(), "<f2").astype(np.float32)[o]
@@ -276,7 +276,7 @@ def descend(state: DataFrame, settings: Settings) -> DataFrame:
     """One round of NN-descent over (id, y, near)."""
     links = _links(state, settings).select(_block(F.col("u")).alias("block"), "u", "v", "fresh")
     worst = F.when(F.size("near") >= settings.near, F.get("near", F.lit(settings.near - 1))["sim"]).otherwise(F.lit(float("-inf"))).cast("float")
-    vectors = links.select("block", "v").distinct().join(state.select(F.col("id").alias("v"), "y", worst.alias("worst")), "v").select(F.col("block").alias("home"), "v", "y", "worst")
+    vectors = links.select("block", "v").distinct().join(state.select(F.col("id").alias("v"), "y", worst.alias("worst")), "v").select(F.col("block").alias("home"), F.col("v").alias("w"), "y", "worst")
     met = links.groupBy("block").cogroup(vectors.groupBy("home")).applyInArrow(_local_join, "a bigint, b bigint, sim float")
     met = met.groupBy("a", "b").agg(F.max("sim").alias("sim"))
     nth = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
@@ -368,6 +368,7 @@ def _score(kind: str, settings: Settings):
         y = rows_of(right.column("y").combine_chunks(), "<f2").astype(np.float32)[o]
         x = rows_of(left.column("vector").combine_chunks(), kind)
         x = (x / np.maximum(norms(x), np.finfo(np.float64).tiny)[:, None]).astype(np.float32)
+        y = y if len(ids) else np.zeros((0, x.shape[1] + 1), np.float32)  # nothing new was met
         row, b, sim, is_open = entries_of(left.column("pool").combine_chunks())
         nth = np.cumsum(is_open) - 1
         before = np.concatenate([[0], np.cumsum(is_open)])[np.searchsorted(row, row)] if len(row) else nth
@@ -418,7 +419,7 @@ def search(index: Index, queries: DataFrame, most: int = NEAREST) -> DataFrame:
     first = True
     while True:
         some = F.array_compact(F.array("start")) if first else F.slice(F.filter("pool", lambda e: e["open"]), 1, settings.expand)["b"]
-        asked = beam.select("block", F.explode(some).alias("a")).distinct().join(index.graph, F.col("a") == F.col("id")).select(F.col("block").alias("home"), "a", "adj")
+        asked = beam.select("block", F.explode(some).alias("a")).distinct().join(index.graph, F.col("a") == F.col("id")).select(F.col("block").alias("home"), F.col("a").alias("a"), "adj")
         reach = _reach(index.entries, settings.expand, first)
         reached = written(beam.groupBy("block").cogroup(asked.groupBy("home")).applyInArrow(reach, f"{columns}, cands array<bigint>"), "reached")
         met = reached.select("block", F.explode("cands").alias("c")).distinct().join(index.points.select(F.col("id").alias("c"), "y"), "c").select(F.col("block").alias("home"), "c", "y")
