@@ -41,9 +41,9 @@ def densities(e: DataFrame) -> DataFrame:
 def main_content(pages: DataFrame, e: DataFrame) -> DataFrame:
     """(page_id, how, pre, text): the first selector with over 100 characters of text, else the densest block scoring
     over 20, else the content paragraphs and headings, else the body."""
-    rank = F.coalesce(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in enumerate(selectors())])
-    by_selector = e.withColumn("k", rank).where("k IS NOT NULL")
-    # The first element of each selector counts, or none.
+    # The first element of each selector counts, or none; an element may be the first of several.
+    met = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in enumerate(selectors())]))
+    by_selector = e.select("page_id", "pre", "text", "stripped_length", F.explode(met).alias("k"))
     by_selector = by_selector.withColumn("r", F.row_number().over(Window.partitionBy("page_id", "k").orderBy("pre"))).where((F.col("r") == 1) & (F.col("stripped_length") > 100))
     a = by_selector.groupBy("page_id").agg(F.min(F.struct("k", "pre", "text")).alias("m")).select("page_id", F.lit("selector").alias("how"), F.col("m.pre").alias("pre"), F.col("m.text").alias("text"), F.lit(0).alias("o"))
     d = densities(e).where("score > 20").groupBy("page_id").agg(F.max(F.struct("score", (-F.col("pre")).alias("k"), "pre", "text")).alias("m")).select("page_id", F.lit("density").alias("how"), F.col("m.pre").alias("pre"), F.col("m.text").alias("text"), F.lit(1).alias("o"))
@@ -65,28 +65,75 @@ def body_text(e: DataFrame) -> DataFrame:
     return lines.select("page_id", F.array_join(F.transform("ls", lambda x: x["t"]), "\n").alias("body_text"))
 
 
-def text_content(df: DataFrame, html_col: str = "html", out: str = "text_content") -> DataFrame:
-    """Markup as plain text in the manner of markdown: furniture dropped, headings and items marked, links as their text, pictures
-    dropped, blocks apart by one empty line. By rewriting the string in the JVM, without a tree: furniture within furniture of
-    the same kind ends at the first end tag."""
-    t = F.regexp_replace(tx.text_or_empty(F.col(html_col)), r"(?s)<!--.*?-->|<![^>]*>", "")
-    t = F.regexp_replace(t, rf"(?is)<({'|'.join(FURNITURE)}|head)\b[^>]*>.*?</\1\s*>", "")
-    t = F.regexp_replace(t, r"\s+", " ")
-    for n in range(1, 7):
-        t = F.regexp_replace(t, rf"(?i)<h{n}\b[^>]*>\s*", "\n\n" + "#" * n + " ")
-    t = F.regexp_replace(t, r"(?i)<li\b[^>]*>\s*", "\n  * ")
-    t = F.regexp_replace(t, r"(?i)<(strong|b)>\s*(.*?)\s*</\1>", "**$2**")
-    t = F.regexp_replace(t, r"(?i)<(em|i)>\s*(.*?)\s*</\1>", "_$2_")
-    t = F.regexp_replace(t, r"(?i)<blockquote\b[^>]*>\s*", "\n\n> ")
-    t = F.regexp_replace(t, r"(?i)<br\s*/?>|</(tr|dt|dd|caption)\s*>", "\n")
-    t = F.regexp_replace(t, r"(?i)</(td|th)\s*>", " | ")
-    t = F.regexp_replace(t, r"(?i)</?(p|div|section|article|main|aside|ul|ol|dl|table|form|pre|h[1-6]|blockquote)\b[^>]*>", "\n\n")
-    t = F.regexp_replace(t, r"<[^>]+>", "")
-    for mark, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        t = F.replace(t, F.lit(mark), F.lit(char))
-    t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+\n", "\n"), r"\n[ \t]+(?=[^ \t*])", "\n")
-    t = F.regexp_replace(t, r"\n{3,}", "\n\n")
-    return df.withColumn(out, F.regexp_replace(t, r"^\s+|\s+$", ""))
+# Marks of the fold, as characters that no page holds: a line break, a paragraph break, a level of quotation, a space that stays, and the begin and end of emphasis.
+LINE, PARAGRAPH, QUOTE, SPACE, OPEN, SHUT = "\ue001", "\ue002", "\ue003", "\ue004", "\ue005", "\ue006"
+#: Elements whose begin and end part paragraphs, and those that part lines.
+PARTED = ("p", "div", "section", "article", "main", "aside", "ul", "ol", "dl", "table", "form", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "fieldset", "figure", "address", "body")
+LINED = ("li", "tr", "dt", "dd", "caption", "option", "figcaption", "legend")
+EMPHASIS = {"b": "**", "strong": "**", "em": "_", "i": "_", "u": "_", "code": "`", "tt": "`", "kbd": "`", "del": "~~", "s": "~~", "strike": "~~"}
+
+
+def _begins(number: Column) -> Column:
+    """What stands where an element begins; null for none. number: of an item in its list."""
+    inner = F.size(F.filter("anc_tags", lambda t: t.isin("ul", "ol")))
+    item = F.when(F.get("anc_tags", F.size("anc_tags") - 1) == "ol", F.concat(number.cast("string"), F.lit("."))).otherwise(F.lit("*"))
+    kind = F.when(tag("li"), F.concat(F.lit(LINE), F.repeat(F.lit(SPACE + SPACE), inner), item, F.lit(SPACE)))
+    kind = kind.when(tag("hr"), F.lit(f"{PARAGRAPH}* * *{PARAGRAPH}")).when(tag("br"), F.lit(LINE)).when(tag("dd"), F.lit(LINE + SPACE * 4)).when(tag("q"), F.lit('"'))
+    kind = kind.when(F.col("tag").rlike("^h[1-6]$"), F.concat(F.lit(PARAGRAPH), F.repeat(F.lit("#"), F.substring("tag", 2, 1).cast("int")), F.lit(SPACE)))
+    for name, sign in EMPHASIS.items():
+        kind = kind.when(tag(name) & ~F.array_contains("anc_tags", "pre"), F.lit(f"{OPEN}{sign}"))
+    return kind.when(tag("ul", "ol") & F.array_contains("anc_tags", "li"), F.lit(LINE)).when(tag(*PARTED), F.lit(PARAGRAPH)).when(tag(*LINED), F.lit(LINE))
+
+
+def _ends() -> Column:
+    kind = F.when(tag("td", "th"), F.lit(f"{SPACE}|{SPACE}")).when(tag("q"), F.lit('"'))
+    for name, sign in EMPHASIS.items():
+        kind = kind.when(tag(name) & ~F.array_contains("anc_tags", "pre"), F.lit(f"{sign}{SHUT}"))
+    return kind.when(tag("ul", "ol") & F.array_contains("anc_tags", "li"), F.lit(LINE)).when(tag(*PARTED), F.lit(PARAGRAPH)).when(tag(*LINED), F.lit(LINE))
+
+
+def text_content(e: DataFrame, strings: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """(page_id, text_content): pages as text in the manner of markdown, from their elements and strings (of one parser). Furniture falls out with all it holds; headings, items (numbered
+    in ordered lists), quotations and code are marked by what is open around them, emphasis by its elements, whatever their attributes; links stand as their text, pictures fall out,
+    blocks are one empty line apart, white space elsewhere is one space.
+
+    roots (page_id, pre): only what those elements hold. Begins, ends and strings are rows in reading order, each with the mark that the open elements
+    give it; one sort of them within a page makes the text, so that a page is as much as a task must hold. Pages of tags alone have the empty string, pages of nothing no row."""
+    gone = F.array(*[F.lit(t) for t in (*FURNITURE, "head")])
+    kept = e.where(~F.array_contains(gone, F.col("tag")) & ~F.arrays_overlap("anc_tags", gone))
+    quoted = F.size(F.filter("anc_tags", lambda t: t == "blockquote"))
+    number = F.row_number().over(Window.partitionBy("page_id", "parent", tag("li")).orderBy("pre"))
+    within = lambda levels: F.repeat(F.lit(QUOTE), levels)
+    kept = kept.withColumn("number", number)
+    start, end = _begins(F.col("number")), _ends()
+    breaks = lambda mark: mark.rlike(f"[{LINE}{PARAGRAPH}]")
+    begun = F.when(breaks(start), F.regexp_replace(start, f"^([{LINE}{PARAGRAPH}])", F.concat(F.lit("$1"), within(quoted + tag("blockquote").cast("int"))))).otherwise(start)
+    ended = F.when(breaks(end), F.concat(end, within(quoted))).otherwise(end)
+    marked = kept.select("page_id", F.explode(F.array(F.struct(F.col("open_at").alias("at"), begun.alias("piece")), F.struct(F.col("close_at").alias("at"), ended.alias("piece")))).alias("m")).select("page_id", "m.*").where("piece IS NOT NULL")
+    owners = kept.select("page_id", F.col("pre").alias("owner"), F.when(tag("pre") | F.array_contains("anc_tags", "pre"), True).otherwise(False).alias("raw"), within(quoted + tag("blockquote").cast("int")).alias("quote"))
+    said = strings.where("owner >= 0").join(owners, ["page_id", "owner"]).unionByName(strings.where("owner < 0").select("*", F.lit(False).alias("raw"), F.lit("").alias("quote")))
+    escaped = F.regexp_replace(F.regexp_replace("content", r"^(\s*\d+)\.(?=\s)", r"$1\\."), r"^(\s*)([+-])(?=\s)", r"$1\\$2")
+    raw = F.replace(F.replace(F.col("content"), F.lit(" "), F.lit(SPACE)), F.lit("\n"), F.concat(F.lit("\n"), F.col("quote"), F.lit(SPACE * 4)))
+    said = said.select("page_id", "at", F.when(F.col("raw"), F.concat(F.lit(SPACE * 4), raw)).otherwise(F.regexp_replace(escaped, r"\s+", " ")).alias("piece"))
+    rows = marked.unionByName(said)
+    if roots is not None:
+        held = e.join(roots.select("page_id", "pre"), ["page_id", "pre"], "left_semi").select("page_id", F.col("open_at").alias("a"), F.col("close_at").alias("z"))
+        rows = rows.join(held, "page_id").where("at BETWEEN a AND z").select("page_id", "at", "piece").distinct()
+    pieces = rows.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), "").alias("t"))
+    t = F.col("t")
+    for _ in range(2):  # space within emphasis stands outside; emphasis of nothing falls out
+        t = F.regexp_replace(t, rf"{OPEN}(\*\*|_|`|~~)( *)\1{SHUT}", "$2")
+        t = F.regexp_replace(F.regexp_replace(t, rf"({OPEN}(?:\*\*|_|`|~~)) +", " $1"), rf" +((?:\*\*|_|`|~~){SHUT})", "$1 ")
+    t = F.regexp_replace(F.regexp_replace(t, f"[{OPEN}{SHUT}]", ""), f"{SPACE} +", SPACE)
+    run = f"[ {LINE}{PARAGRAPH}{QUOTE}]*"
+    t = F.regexp_replace(t, rf"{run}{PARAGRAPH}{run}?({QUOTE}*) *(?![ {LINE}{PARAGRAPH}{QUOTE}])", "\n\n$1")
+    t = F.regexp_replace(t, rf"[ {LINE}{QUOTE}]*{LINE}({QUOTE}*) *(?![ {LINE}{QUOTE}])", "\n$1")
+    t = F.replace(F.regexp_replace(t, " +", " "), F.lit(QUOTE), F.lit("> "))
+    t = F.regexp_replace(t, f"[ {SPACE}]+(\n|$)", "$1")
+    t = F.regexp_replace(F.replace(t, F.lit(SPACE), F.lit(" ")), r"\n{3,}", "\n\n")
+    t = F.regexp_replace(t, "</?[a-z][^>]*>", "")  # markup that was text
+    out = pieces.select("page_id", F.regexp_replace(t, r"^\n+|\s+$", "").alias("text_content"))
+    return e.select("page_id").unionByName(strings.select("page_id")).distinct().join(out, "page_id", "left").fillna("", ["text_content"])
 
 
 def definitions(e: DataFrame) -> DataFrame:

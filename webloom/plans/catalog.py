@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as lex
 from ..operators import analysis, content, metadata, relational, robots, seo, structure, terms
 from ..operators import text_analysis as ta
-from ..sources.dom import elements
+from ..sources.dom import elements, strings
 from ..sources import readers
 from ..sources.readers import table
 from . import oracles as o
@@ -351,6 +351,13 @@ def page_structure_full(spark, sf_dir):
     return df.select(*[F.to_json(c).alias(c) if df.schema[c].dataType.typeName() in ("map", "struct", "array") else F.col(c) for c in df.columns])
 
 
+@query(o.MARKDOWN)
+def page_markdown(spark, sf_dir):
+    """Pages as text with marks of headings, emphasis and lists, from their elements and strings."""
+    pages, e = parsed(spark, sf_dir)
+    return content.text_content(e, strings(pages))
+
+
 @query()
 def page_main_content(spark, sf_dir):
     return content.main_content(*parsed(spark, sf_dir)).select("page_id", "how", "pre", F.length("text").alias("text_length"), F.md5(F.col("text").cast("binary")).alias("text_md5"))

@@ -241,3 +241,13 @@ WITH st AS ({TEXT + STATS}), rd AS ({TEXT + READ + READ_OUT}), qu AS ({TEXT + QU
 ru AS (SELECT doc_id, string_agg(code, '|' ORDER BY priority, rule_order) AS codes FROM ({ALL_RULES}) GROUP BY doc_id)
 SELECT doc_id, documents.lang AS language, word_count, overall_readability, readability_level, overall_quality, sentiment, dominant_emotion, cta_count, ux_score, coalesce(codes, '') AS codes
 FROM documents JOIN st USING (doc_id) JOIN rd USING (doc_id) JOIN qu USING (doc_id) JOIN se USING (doc_id) JOIN em USING (doc_id) JOIN ct USING (doc_id) JOIN ux USING (doc_id) LEFT JOIN ru USING (doc_id)"""
+
+
+#: Given pages as text: unclosed p and b end with the article. P and L stand for chr(57346) and chr(57345), as marks of paragraphs and lines.
+MARKDOWN = r"""
+WITH m AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<![^>]*>', '', 'g'), '(?s)<head>.*?</head>|<nav>.*?</nav>|<footer>.*?</footer>', '', 'g') AS t FROM pages WHERE html <> ''),
+k AS (SELECT page_id, replace(t, '</article>', repeat('**P', len(regexp_extract_all(t, '<b>'))::INTEGER) || '</article>') AS t FROM (SELECT page_id, regexp_replace(regexp_replace(replace(replace(t, 'P', chr(57347)), 'L', chr(57348)), '(>\s*\d+)\.(\s)', '\1\\.\2', 'g'), '(>\s*)([+-])(\s)', '\1\\\2\3', 'g') AS t FROM m)),
+g AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\s+', ' ', 'g'), '<h1>', 'P# ', 'g'), '<b>', '**', 'g'), '<br>', 'L', 'g'), '</?(p|div|article|h1|body)( [^>]*)?>', 'P', 'g') AS t FROM k),
+r AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '<[^>]*>', '', 'g'), '[ PL]*P[ PL]*', 'P', 'g'), ' *L[ L]*', 'L', 'g') AS t FROM g),
+d AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(t, 'P', chr(10) || chr(10)), 'L', chr(10)), chr(57347), 'P'), chr(57348), 'L'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&') AS t FROM r)
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, ' +', ' ', 'g'), '</?[a-z][^>]*>', '', 'g'), '^\n+|\s+$', '', 'g') AS text_content FROM d"""

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import analysis, content, metadata, relational, seo, structure
-from ..sources.dom import elements
+from ..sources.dom import elements, strings
 from ..sources.readers import table
 
 #: One page; # stands for the page's id. Paragraph texts are given below, so that the SQL can say their lengths.
@@ -206,7 +206,8 @@ def rich_nested_microdata(spark, sf_dir):
 def rich_text_content(spark, sf_dir):
     pages = rich_pages(spark, sf_dir)[0].drop("html")
     parts = [F.lit("<html><head><title>T</title></head><body><nav>Menu</nav><script>x()</script><h1>Head "), F.col("page_id").cast("string"), F.lit('</h1>\n<p>One <b>two</b> <em>three</em> <a href="/x">link</a> &amp;\n more.<img src="i.png"></p><ul><li>first</li><li>second</li></ul><blockquote>Said</blockquote><footer>End</footer></body></html>')]
-    return content.text_content(pages.withColumn("html", F.concat(*parts))).select("page_id", "text_content")
+    pages = pages.withColumn("html", F.concat(*parts))
+    return content.text_content(elements(pages), strings(pages))
 
 
 @query(f"'section' AS tag, 0.0::DOUBLE AS link_density, (length(replace('{INTRO}', '#', page_id::VARCHAR)) + length('IntroBest  ever.Bob') + length(page_id::VARCHAR))::INTEGER AS text_length, 'main' AS loc")

@@ -3,7 +3,8 @@
 The tree is that of a plain tag parser: no end tags are implied, void elements close themselves, end tags that
 match nothing open are ignored, script and style hold raw text, comments are no text, of repeated attributes
 the last counts. `pre` is the element's place in document order (from 0) and `post` the last place within it, so
-b is inside a exactly if a.pre < b.pre <= a.post. Parsing is one Arrow-batched map over pages: no shuffle."""
+b is inside a exactly if a.pre < b.pre <= a.post. Beside the elements stands the relation of the text strings: both carry places in the order of tags and strings as they
+are read, so that a string is inside a exactly if a.open_at < string.at < a.close_at. Parsing is one Arrow-batched map over pages: no shuffle."""
 
 from __future__ import annotations
 
@@ -22,11 +23,11 @@ TEXTUAL = frozenset(
 )
 SCHEMA = (
     "page_id bigint, pre int, post int, parent int, depth int, child_idx int, tag string, attrs map<string,string>, classes array<string>, "
-    "elem_id string, text string, text_length int, stripped_length int, html_length int, anc_tags array<string>, loc string"
+    "elem_id string, text string, text_length int, stripped_length int, html_length int, anc_tags array<string>, loc string, open_at int, close_at int"
 )
 _TYPES = {
     "page_id": pa.int64(), "pre": pa.int32(), "post": pa.int32(), "parent": pa.int32(), "depth": pa.int32(), "child_idx": pa.int32(), "tag": pa.string(), "attrs": pa.map_(pa.string(), pa.string()),
-    "classes": pa.list_(pa.string()), "elem_id": pa.string(), "text": pa.string(), "text_length": pa.int32(), "stripped_length": pa.int32(), "html_length": pa.int32(), "anc_tags": pa.list_(pa.string()), "loc": pa.string(),
+    "classes": pa.list_(pa.string()), "elem_id": pa.string(), "text": pa.string(), "text_length": pa.int32(), "stripped_length": pa.int32(), "html_length": pa.int32(), "anc_tags": pa.list_(pa.string()), "loc": pa.string(), "open_at": pa.int32(), "close_at": pa.int32(),
 }
 
 
@@ -36,6 +37,12 @@ class _Tree(HTMLParser):
         self.rows: list[dict] = []
         self.open: list[int] = []
         self.strings: list[tuple[int, str]] = []  # (element, text)
+        self.places: list[int] = []  # of the strings
+        self.read = 0  # tags and strings so far
+
+    def _next(self) -> int:
+        self.read += 1
+        return self.read
 
     def handle_starttag(self, tag, attrs):
         pre, parent = len(self.rows), self.open[-1] if self.open else -1
@@ -43,11 +50,11 @@ class _Tree(HTMLParser):
         above = self.rows[parent] if self.open else None
         if above is not None:
             above["children"] += 1
-        self.rows.append({"pre": pre, "post": pre, "parent": parent, "depth": len(self.open) + 1, "child_idx": (above["children"] if above is not None else 1) - 1, "children": 0, "tag": tag, "attrs": own, "first": len(self.strings)})
+        self.rows.append({"pre": pre, "post": pre, "parent": parent, "depth": len(self.open) + 1, "child_idx": (above["children"] if above is not None else 1) - 1, "children": 0, "tag": tag, "attrs": own, "first": len(self.strings), "open_at": self._next()})
         if tag not in VOID:
             self.open.append(pre)
         else:
-            self.rows[pre]["last"] = len(self.strings)
+            self.rows[pre]["last"], self.rows[pre]["close_at"] = len(self.strings), self._next()
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -61,11 +68,12 @@ class _Tree(HTMLParser):
 
     def _close(self) -> str:
         row = self.rows[self.open.pop()]
-        row["post"], row["last"] = len(self.rows) - 1, len(self.strings)
+        row["post"], row["last"], row["close_at"] = len(self.rows) - 1, len(self.strings), self._next()
         return row["tag"]
 
     def handle_data(self, data):
         self.strings.append((self.open[-1] if self.open else -1, data))
+        self.places.append(self._next())
 
     def finish(self):
         self.close()
@@ -140,3 +148,27 @@ def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
                 yield pa.record_batch([pa.array(out[n], _TYPES[n]) for n in names], names=names)
 
     return pages.select(F.col(id_col).cast("long"), F.col(html_col)).mapInArrow(run, SCHEMA)
+
+
+STRINGS = {"page_id": pa.int64(), "at": pa.int32(), "owner": pa.int32(), "content": pa.string()}
+
+
+def strings(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """pages (page_id, html) as a row for each text string: its place, the element (pre, or -1) that holds it, and the text with entities decoded."""
+
+    def run(batches):
+        for batch in batches:
+            out: dict[str, list] = {n: [] for n in STRINGS}
+            for page, html in zip(*(c.to_pylist() for c in batch.columns)):
+                tree = _Tree()
+                tree.feed(html or "")
+                tree.finish()
+                for at, (owner, text) in zip(tree.places, tree.strings):
+                    for n, v in zip(STRINGS, (page, at, owner, text)):
+                        out[n].append(v)
+                if len(out["page_id"]) >= 20_000:
+                    yield pa.record_batch([pa.array(out[n], t) for n, t in STRINGS.items()], names=list(STRINGS))
+                    out = {n: [] for n in STRINGS}
+            yield pa.record_batch([pa.array(out[n], t) for n, t in STRINGS.items()], names=list(STRINGS))
+
+    return pages.select(F.col(id_col).cast("long"), F.col(html_col)).mapInArrow(run, "page_id bigint, at int, owner int, content string")
