@@ -148,10 +148,10 @@ def test_sources(spark):
 
 
 def test_topics_count_every_document_and_word(spark):
-    from webloom.operators import terms
+    from webloom.operators import vectors
 
     rows = [(i, [f"common{i}"] * 20 + [f"filler{i}x{n}" for n in range(100)]) for i in range(60)]
-    got = terms.topics(spark.createDataFrame(rows, "doc_id long, words array<string>"), 2, 10_000).collect()
+    got = vectors.topics(spark.createDataFrame(rows, "doc_id long, words array<string>"), k=2, terms_each=10_000)[0].collect()
     weight = {}
     for r in got:
         weight[r["term"]] = max(r["weight"], weight.get(r["term"], 0.0))

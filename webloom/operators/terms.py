@@ -77,13 +77,10 @@ def pos_tags(df: DataFrame, out: str = "pos") -> DataFrame:
 
 def tfidf(df: DataFrame, k: int = 10, id_col: str = "doc_id") -> DataFrame:
     """The k words of most tf * ln((1 + documents) / (1 + df)) + 1 weight over the corpus."""
-    words = _exploded(df, id_col).where((F.length("term") > 2) & ~F.col("term").isin(*lex.STOPWORDS))
-    tf = words.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-    in_docs = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = tf.join(in_docs, "term").withColumn("documents", F.lit(df.count()))
-    scored = scored.withColumn("score", F.col("tf") * (F.log((1.0 + F.col("documents")) / (1.0 + F.col("df"))) + 1.0))
+    from .vectors import term_weights
+
     # Rounded before the ranks, so that engines whose logarithms differ in the last bit rank alike.
-    scored = scored.withColumn("score", F.round("score", 9))
+    scored = term_weights(df, id_col).withColumn("score", F.round("weight", 9))
     return _top(scored, id_col, "score", k).select(id_col, "term", "tf", "df", "rank")
 
 
@@ -100,20 +97,22 @@ def entity_nodes(df: DataFrame) -> DataFrame:
     return words.groupBy(F.lower("word").alias("term")).agg(F.count(F.lit(1)).alias("weight")).where(~F.col("term").isin(*lex.STOPWORDS))
 
 
-#: Words of a stretch within which entities go together; a sentence is seldom longer, but a text without marks is one sentence.
+#: Words within which entities go together; a sentence is seldom longer, but a text without marks is one sentence.
 STRETCH = 60
 
 
 def entity_graph(df: DataFrame, stretch: int = STRETCH) -> DataFrame:
-    """Entities that share a sentence, of which no stretch is longer than that many words: (source, target, weight) with
-    source < target, summed over the corpus. So pairs are linear in the words."""
-    words = df.select(F.explode("sents").alias("s")).select(F.regexp_extract_all("s", F.lit(r"\p{L}+"), F.lit(0)).alias("w"))
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size("w"), F.lit(1)) - 1) / stretch).cast("int")), lambda k: F.slice("w", k * stretch + 1, F.lit(stretch)))
-    each = words.select(F.explode(cut).alias("w"))
-    named = F.filter(F.transform(F.filter("w", lambda w: w.rlike(r"^\p{Lu}") & (F.length(w) > 1)), lambda w: F.lower(w)), lambda w: ~w.isin(*lex.STOPWORDS))
-    each = each.select(F.array_distinct(named).alias("e")).where(F.size("e") > 1)
-    pairs = each.select(F.explode("e").alias("source"), "e").select("source", F.explode("e").alias("target")).where("source < target")
-    return pairs.groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"))
+    """Entities that stand in one sentence, fewer than `stretch` words apart: (source, target, weight) with source < target, where the weight is the
+    number of sentences. A window slides over the places of a sentence's entities, so that no cut parts a pair and pairs are linear in the words; each pair
+    of a sentence counts once, however often it is met again."""
+    sentences = df.select(F.explode("sents").alias("s")).select(F.regexp_extract_all("s", F.lit(r"\p{L}+"), F.lit(0)).alias("w"))
+    named = F.filter(F.transform("w", lambda w, i: F.struct(i.alias("at"), F.lower(w).alias("e"), (w.rlike(r"^\p{Lu}") & (F.length(w) > 1)).alias("is_name"))), lambda x: x["is_name"] & ~x["e"].isin(*lex.STOPWORDS))
+    ahead = lambda x, i: F.filter(F.slice("n", i + 2, F.lit(stretch)), lambda y: (y["at"] - x["at"] < stretch) & (y["e"] != x["e"]))
+    joined = lambda x, y: F.concat(F.least(x["e"], y["e"]), F.lit(" "), F.greatest(x["e"], y["e"]))
+    pairs = F.flatten(F.transform("n", lambda x, i: F.transform(ahead(x, i), lambda y: joined(x, y))))
+    each = sentences.select(named.alias("n")).where(F.size("n") > 1).select(F.explode(F.array_distinct(pairs)).alias("pair"))
+    cut = F.split("pair", " ")
+    return each.groupBy("pair").agg(F.count(F.lit(1)).alias("weight")).select(cut[0].alias("source"), cut[1].alias("target"), "weight")
 
 
 def keyword_usage(df: DataFrame, id_col: str = "doc_id", k: int = 10) -> DataFrame:
@@ -132,6 +131,26 @@ def keyword_stuffing(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return top.groupBy(id_col).agg(F.max(hit.cast("int")).alias("stuffed"))
 
 
+def repeated_phrases(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", longer: int = 10) -> DataFrame:
+    """(id, term): phrases of three words side by side, none a stop word, of over `longer` characters, that two sentences in a row hold after the first. Sentences end
+    with full stops; texts of less than three have none. Sentences are joined by their places: a phrase's places in order, each with the next one."""
+    sentences = F.split(F.lower(tx.text_or_empty(F.col(text_col))), r"\.")
+    rows = df.select(id_col, sentences.alias("s")).where(F.size("s") >= 3).select(id_col, F.posexplode("s").alias("at", "s"))
+    runs = tx.ngrams(F.split("s", " "), 3)
+    plain = lambda p: p.rlike(r"^\p{L}+ \p{L}+ \p{L}+$") & (F.length(p) > longer) & ~F.exists(F.split(p, " "), lambda w: w.isin(*lex.STOPWORDS))
+    rows = rows.where("at >= 1").select(id_col, "at", F.explode(F.array_distinct(F.filter(runs, plain))).alias("term"))
+    following = F.lead("at").over(Window.partitionBy(id_col, "term").orderBy("at"))
+    return rows.withColumn("following", following).where(F.col("following") == F.col("at") + 1).select(id_col, "term").distinct()
+
+
+def stuffed_texts(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(id, stuffed) by either rule: a word over a tenth of all, or a phrase that sentences in a row repeat."""
+    words = keyword_stuffing(df, id_col).select(id_col, F.col("stuffed").alias("by_word"))
+    phrases = repeated_phrases(df, text_col, id_col).select(id_col).distinct().withColumn("by_phrase", F.lit(1))
+    found = df.select(id_col).join(words, id_col, "left").join(phrases, id_col, "left").fillna(0, ["by_word", "by_phrase"])
+    return found.withColumn("stuffed", F.greatest("by_word", "by_phrase"))
+
+
 def stop_words_removed(df: DataFrame, col: str = "words", out: str = "content_words", lang_col: str | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
     """Without the stop words of the row's language (of all languages without lang_col or for others), and without extra ones."""
     left = lambda listed: F.filter(tx.lower(F.col(col)), lambda w: ~w.isin(*listed, *extra))
@@ -169,13 +188,17 @@ def rank_terms(df: DataFrame, k: int = 30, id_col: str = "doc_id") -> DataFrame:
 
 
 def keywords(df: DataFrame, k: int = 30, id_col: str = "doc_id") -> DataFrame:
-    """The hundred best terms by TF-IDF and by rank score, merged by term: the sum of the reciprocals of both ranks; none under 20 words."""
-    long = df.where(F.size("words") >= 20).select(id_col, "words")
-    a = tfidf(long, 100, id_col).withColumn("s1", 1.0 / F.col("rank")).select(id_col, "term", "s1")
-    b = rank_terms(long, 100, id_col).withColumn("s2", 1.0 / F.col("rank")).select(id_col, "term", "s2")
-    both = a.join(b, [id_col, "term"], "full")
-    method = F.when(F.col("s1").isNull(), "rank").when(F.col("s2").isNull(), "tfidf").otherwise("tfidf+rank")
-    both = both.withColumn("score", F.round(F.coalesce("s1", F.lit(0.0)) + F.coalesce("s2", F.lit(0.0)), 9)).withColumn("method", method)
+    """Every content word's TF-IDF value (of a vector of length one) and its share of the content words, summed; the k best. The method says which
+    of the two lists has the word among its own k best. None under 20 words."""
+    from .vectors import term_weights
+
+    both = term_weights(df.where(F.size("words") >= 20), id_col)
+    own = Window.partitionBy(id_col)
+    both = both.withColumns({"s1": F.round(F.col("weight") / F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(own)), 9), "s2": F.round(F.col("tf") / F.sum("tf").over(own), 9)})
+    nth = lambda c: F.row_number().over(own.orderBy(F.desc(c), "term"))
+    both = both.withColumns({"r1": nth("s1"), "r2": nth("s2")})
+    method = F.when((F.col("r1") <= k) & (F.col("r2") <= k), "tfidf+rank").when(F.col("r1") <= k, "tfidf").when(F.col("r2") <= k, "rank").otherwise("sum")
+    both = both.withColumns({"score": F.round(F.col("s1") + F.col("s2"), 9), "method": method})
     return _top(both, id_col, "score", k).select(id_col, "term", "score", "method", "rank")
 
 
@@ -188,36 +211,22 @@ def related_phrases(df: DataFrame, k: int = 10, id_col: str = "doc_id") -> DataF
     return _top(left, id_col, "frequency", k).select(id_col, "term", "frequency", "rank")
 
 
-def topics(df: DataFrame, k: int = 3, terms_each: int = 10, vocabulary: int = 2**31 - 1, iterations: int = 10, seed: int = 42) -> DataFrame:
-    """(topic, rank, term, weight) of k topics by LDA (expectation maximisation) in which each pass sees every document; every content word counts
-    unless `vocabulary` bounds them."""
-    from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
-
-    rows = stop_words_removed(df, "words", "tp_words").select(F.filter("tp_words", lambda w: F.length(w) > 2).alias("tp_words")).where(F.size("tp_words") > 0)
-    schema = "topic int, rank int, term string, weight double"
-    if rows.isEmpty():
-        return df.sparkSession.createDataFrame([], schema)
-    counts = CountVectorizer(inputCol="tp_words", outputCol="features", vocabSize=vocabulary).fit(rows)
-    model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="em").fit(counts.transform(rows))
-    words = counts.vocabulary
-    described = model.describeTopics(terms_each).collect()  # k rows
-    return df.sparkSession.createDataFrame([(r["topic"], n + 1, words[i], float(w)) for r in described for n, (i, w) in enumerate(zip(r["termIndices"], r["termWeights"]))], schema)
-
-
 def semantic_rules(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """A row for each rule that holds, from the densest word, its spread over five sections (the last takes the
-    rest), coherence and entities."""
+    rest), coherence, the two largest topics and entities."""
     from . import text_analysis as ta
+    from . import vectors
 
     top = keyword_density(df.select(id_col, "words"), 1, id_col).select(id_col, "term", "density")
     named = entities(df.select(id_col, "words"), 1, id_col).select(id_col, F.col("frequency").alias("named"))
-    df = ta.coherence(df).join(top, id_col, "left").join(named, id_col, "left")
+    of_topics = vectors.topics(df, id_col)[1].select(id_col, "unfocused")
+    df = ta.coherence(df).join(top, id_col, "left").join(named, id_col, "left").join(of_topics, id_col, "left")
     low, size = tx.lower(F.col("words")), F.greatest(F.floor(F.size("words") / 5).cast("int"), F.lit(1))
     df = df.withColumn("sr_low", low).withColumn("sr_size", size)
     counts = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.size(F.filter(F.slice("sr_low", (k * F.col("sr_size") + 1).cast("int"), F.when(k < 4, F.col("sr_size")).otherwise(F.greatest(F.size("sr_low"), F.lit(1)))), lambda w: w == F.col("term"))))
     df = df.withColumn("sr_counts", counts)
     return ta.rules(df, [
         ("keyword_rare", "structure", 3, F.col("density") < 1), ("keyword_stuffed", "structure", 2, F.col("density") > 5),
-        ("keyword_uneven", "structure", 3, F.array_min("sr_counts") < 0.3 * F.array_max("sr_counts")), ("incoherent", "structure", 2, F.col("coherence") < 0.2), ("no_entities", "vocabulary", 4, F.col("named").isNull()),
+        ("keyword_uneven", "structure", 3, F.array_min("sr_counts") < 0.3 * F.array_max("sr_counts")), ("incoherent", "structure", 2, F.col("coherence") < 0.2),
+        ("unfocused", "structure", 2, F.col("unfocused")), ("no_entities", "vocabulary", 4, F.col("named").isNull()),
     ], id_col)

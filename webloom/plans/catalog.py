@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
-from ..operators import analysis, content, metadata, relational, robots, seo, structure, terms
+from ..operators import analysis, content, metadata, relational, robots, seo, structure, terms, vectors
 from ..operators import text_analysis as ta
 from ..sources.dom import elements, strings
 from ..sources import readers
@@ -243,9 +243,45 @@ def doc_semantic(spark, sf_dir):
     return out.fillna("", ["keywords", "entities"])
 
 
-@query()
+@query(o.TEXT + o.TOPIC_TERMS)
 def doc_topics(spark, sf_dir):
-    return terms.topics(documents(spark, sf_dir))
+    """The best terms of three topics of the corpus."""
+    return vectors.topics(documents(spark, sf_dir))[0].withColumn("weight", F.round("weight", 6))
+
+
+@query(o.TEXT + o.TOPIC_SHARES)
+def doc_topic_shares(spark, sf_dir):
+    """The topics of each document, and whether its two largest are too close."""
+    shares = [F.round(F.col("shares")[j], 4).alias(f"share_{j}") for j in range(3)]
+    return vectors.topics(documents(spark, sf_dir))[1].select("doc_id", *shares, "main_topic", "unfocused")
+
+
+@query(o.TEXT + o.RELEVANCE)
+def doc_content_relevance(spark, sf_dir):
+    """How near each text is to the first content words of its first sentence, each by itself and five together as a title."""
+    df = documents(spark, sf_dir)
+    first = vectors.content_words(F.regexp_extract_all(F.coalesce(F.get("sents", F.lit(0)), F.lit("")), F.lit(r"\p{L}+"), F.lit(0)))
+    asked = F.concat(F.slice(first, 1, 3), F.array(F.array_join(F.slice(first, 1, 5), " ")))
+    targets = df.where(F.size(first) > 0).select("doc_id", F.explode(asked).alias("phrase"))
+    out = vectors.content_relevance(df, targets).withColumn("topic_coverage_ratio", F.round("topic_coverage_ratio", 6))
+    return out.select("doc_id", "word_count", "content_depth", "topical_relevance", "topic_coverage_ratio", *[F.coalesce(F.array_join(c, "|"), F.lit("")).alias(c) for c in ("key_phrases", "relevance_issues")], "relevance_score")
+
+
+@query(o.TEXT + o.PHRASE_STUFFING)
+def doc_phrase_stuffing(spark, sf_dir):
+    """Stuffed texts by words and by phrases that sentences in a row repeat."""
+    return terms.stuffed_texts(documents(spark, sf_dir))
+
+
+#: Sentences put after each text, so that the rule for phrases holds for all of them; # stands for the id.
+PLANTED = " End. Cheap green apples# here. Buy cheap green apples today. We have cheap green apples. Others don't."
+
+
+@query("SELECT doc_id, 'cheap green apples' AS term FROM documents")
+def doc_planted_phrases(spark, sf_dir):
+    """The phrase of sentences put after each text: of the phrases found, the one that is planted."""
+    df = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(PLANTED)).alias("text"))
+    return terms.repeated_phrases(df).where("term = 'cheap green apples'")
 
 
 @query()

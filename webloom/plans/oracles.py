@@ -99,8 +99,9 @@ ENTITIES = f"""
 SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY frequency DESC, term) AS rank FROM f QUALIFY rank <= 50"""
 GRAPH = f"""
 , s AS (SELECT row_number() OVER () AS r, regexp_extract_all(s, '\\p{{L}}+') AS w FROM (SELECT unnest(sents) AS s FROM v)),
-m AS (SELECT DISTINCT r, place // 60 AS part, lower(x) AS x FROM (SELECT r, unnest(w) AS x, unnest(range(len(w))) AS place FROM s) WHERE regexp_matches(x, '^\\p{{Lu}}') AND length(x) > 1 AND lower(x) NOT IN ({STOP}))
-SELECT a.x AS source, b.x AS target, count(*) AS weight FROM m a JOIN m b ON a.r = b.r AND a.part = b.part AND a.x < b.x GROUP BY 1, 2"""
+m AS (SELECT r, place, lower(x) AS x FROM (SELECT r, unnest(w) AS x, unnest(range(len(w))) AS place FROM s) WHERE regexp_matches(x, '^\\p{{Lu}}') AND length(x) > 1 AND lower(x) NOT IN ({STOP})),
+p AS (SELECT DISTINCT a.r, least(a.x, b.x) AS source, greatest(a.x, b.x) AS target FROM m a JOIN m b ON a.r = b.r AND b.place > a.place AND b.place < a.place + 60 AND a.x <> b.x)
+SELECT source, target, count(*) AS weight FROM p GROUP BY 1, 2"""
 USAGE = TERMS + f"""
 , g AS (SELECT doc_id, len(list_filter(low, lambda x: x NOT IN ({STOP}))) AS usable FROM v)
 SELECT doc_id, term, frequency, rank, (frequency * 100)::DOUBLE / usable AS density, CASE WHEN (frequency * 100)::DOUBLE / usable < 0.5 THEN 'rare' WHEN (frequency * 100)::DOUBLE / usable > 3 THEN 'stuffed' ELSE 'none' END AS issue FROM top JOIN g USING (doc_id)"""
@@ -173,9 +174,10 @@ KEYWORDS = f"""
 , l AS (SELECT doc_id, low FROM v WHERE len(words) >= 20),
 f AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(low) AS term FROM l) WHERE length(term) > 2 AND term NOT IN ({STOP}) GROUP BY 1, 2),
 n AS (SELECT term, count(*) AS df FROM f GROUP BY 1),
-s AS (SELECT doc_id, term, round(tf * (ln((1.0::DOUBLE + (SELECT count(*) FROM l)) / (1.0::DOUBLE + df)) + 1.0::DOUBLE), 9) AS a, tf::DOUBLE / sum(tf) OVER (PARTITION BY doc_id) AS b FROM f JOIN n USING (term)),
-r AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY a DESC, term) AS ra, row_number() OVER (PARTITION BY doc_id ORDER BY b DESC, term) AS rb FROM s),
-m AS (SELECT doc_id, term, round(CASE WHEN ra <= 100 THEN 1.0::DOUBLE / ra ELSE 0 END + CASE WHEN rb <= 100 THEN 1.0::DOUBLE / rb ELSE 0 END, 9) AS score, CASE WHEN ra > 100 THEN 'rank' WHEN rb > 100 THEN 'tfidf' ELSE 'tfidf+rank' END AS method FROM r WHERE ra <= 100 OR rb <= 100)
+q AS (SELECT doc_id, term, tf, tf * (ln((1.0::DOUBLE + (SELECT count(*) FROM l)) / (1.0::DOUBLE + df)) + 1.0::DOUBLE) AS a FROM f JOIN n USING (term)),
+s AS (SELECT doc_id, term, round(a / sqrt(sum(a * a) OVER (PARTITION BY doc_id)), 9) AS a, round(tf::DOUBLE / sum(tf) OVER (PARTITION BY doc_id), 9) AS b FROM q),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a DESC, term) AS ra, row_number() OVER (PARTITION BY doc_id ORDER BY b DESC, term) AS rb FROM s),
+m AS (SELECT doc_id, term, round(a + b, 9) AS score, CASE WHEN ra <= 30 AND rb <= 30 THEN 'tfidf+rank' WHEN ra <= 30 THEN 'tfidf' WHEN rb <= 30 THEN 'rank' ELSE 'sum' END AS method FROM r)
 SELECT doc_id, term, score, method, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS rank FROM m QUALIFY rank <= 30"""
 
 ALL_RULES = f"""
@@ -251,3 +253,65 @@ g AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replac
 r AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '<[^>]*>', '', 'g'), '[ PL]*P[ PL]*', 'P', 'g'), ' *L[ L]*', 'L', 'g') AS t FROM g),
 d AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(t, 'P', chr(10) || chr(10)), 'L', chr(10)), chr(57347), 'P'), chr(57348), 'L'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&') AS t FROM r)
 SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, ' +', ' ', 'g'), '</?[a-z][^>]*>', '', 'g'), '^\n+|\s+$', '', 'g') AS text_content FROM d"""
+
+PHRASES = f"""
+, pt AS (SELECT doc_id, string_split(lower(coalesce(text, '')), '.') AS s FROM documents),
+pe AS (SELECT doc_id, unnest(s) AS s, unnest(range(len(s))) AS place FROM pt WHERE len(s) >= 3),
+pg AS (SELECT doc_id, place, string_split(s, ' ') AS w FROM pe WHERE place >= 1),
+ph AS (SELECT DISTINCT doc_id, place, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM pg)),
+pk AS (SELECT doc_id, place, a || ' ' || b || ' ' || c AS term FROM ph WHERE {" AND ".join(f"regexp_full_match({x}, '\\p{{L}}+') AND {x} NOT IN ({STOP})" for x in "abc")} AND length(a) + length(b) + length(c) > 8),
+pn AS (SELECT DISTINCT x.doc_id, x.term FROM pk x JOIN pk y ON x.doc_id = y.doc_id AND x.term = y.term AND y.place = x.place + 1)"""
+PHRASE_STUFFING = PHRASES + f"""
+, wd AS ({TEXT + STUFFED})
+SELECT v.doc_id, coalesce(wd.stuffed, 0) AS by_word, CASE WHEN v.doc_id IN (SELECT doc_id FROM pn) THEN 1 ELSE 0 END AS by_phrase, greatest(coalesce(wd.stuffed, 0), CASE WHEN v.doc_id IN (SELECT doc_id FROM pn) THEN 1 ELSE 0 END) AS stuffed FROM v LEFT JOIN wd ON v.doc_id = wd.doc_id"""
+
+_CONTENT = f"list_filter(low, lambda x: length(x) > 2 AND x NOT IN ({STOP}))"
+RELEVANCE = f"""
+, cw AS (SELECT doc_id, words, {_CONTENT} AS c, list_filter(list_transform(regexp_extract_all(coalesce(sents[1], ''), '\\p{{L}}+'), lambda x: lower(x)), lambda x: length(x) > 2 AND x NOT IN ({STOP})) AS first FROM v),
+tg AS (SELECT doc_id, unnest(list_concat(first[1:3], [array_to_string(first[1:5], ' ')])) AS phrase FROM cw WHERE len(first) > 0),
+tt AS (SELECT DISTINCT doc_id, phrase FROM tg),
+rf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(c) AS term FROM cw) GROUP BY 1, 2),
+rd AS (SELECT term, ln((1.0::DOUBLE + (SELECT count(*) FROM v)) / (1.0::DOUBLE + count(*))) + 1.0::DOUBLE AS idf FROM rf GROUP BY 1),
+rl AS (SELECT doc_id, sqrt(sum(tf * idf * tf * idf)) AS size FROM rf JOIN rd USING (term) GROUP BY 1),
+pw AS (SELECT doc_id, phrase, term, count(*) AS n FROM (SELECT doc_id, phrase, unnest(string_split(phrase, ' ')) AS term FROM tt) GROUP BY ALL),
+sm AS (SELECT pw.doc_id, phrase, sum(n * idf * coalesce(tf * idf / size, 0)) / sqrt(sum(n * idf * n * idf)) AS similarity FROM pw JOIN rd USING (term) JOIN rl USING (doc_id) LEFT JOIN rf ON rf.doc_id = pw.doc_id AND rf.term = pw.term GROUP BY 1, 2),
+gr AS (SELECT doc_id, unnest(c) AS term FROM cw UNION ALL SELECT doc_id, c[i] || ' ' || c[i + 1] FROM (SELECT doc_id, c, unnest(range(1, len(c))) AS i FROM cw) UNION ALL SELECT doc_id, c[i] || ' ' || c[i + 1] || ' ' || c[i + 2] FROM (SELECT doc_id, c, unnest(range(1, len(c) - 1)) AS i FROM cw)),
+gk AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, term) AS rank FROM gr GROUP BY 1, 2 QUALIFY rank <= 10),
+gl AS (SELECT doc_id, list(term ORDER BY rank) AS phrases FROM gk GROUP BY 1),
+pd AS (SELECT doc_id, round(avg(similarity), 6) AS topical_relevance, avg(CASE WHEN len(list_filter(coalesce(phrases, []), lambda p: len(list_filter(list_concat([phrase], string_split(phrase, ' ')), lambda w: contains(p, w))) > 0)) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS coverage FROM sm LEFT JOIN gl USING (doc_id) GROUP BY 1),
+ro AS (SELECT doc_id, len(words)::BIGINT AS word_count, topical_relevance, coverage, CASE WHEN len(words) < 300 THEN 'thin' WHEN len(words) < 700 THEN 'moderate' ELSE 'in_depth' END AS content_depth, array_to_string(phrases, '|') AS key_phrases FROM cw LEFT JOIN pd USING (doc_id) LEFT JOIN gl USING (doc_id)),
+ri AS (SELECT *, list_filter([CASE WHEN word_count = 0 THEN 'no_content' END, CASE WHEN word_count > 0 AND content_depth = 'thin' THEN 'thin_content' END, CASE WHEN topical_relevance < 0.5 THEN 'low_relevance' END, CASE WHEN coverage < 0.7 THEN 'topics_not_covered' END], lambda x: x IS NOT NULL) AS found FROM ro)
+SELECT doc_id, word_count, content_depth, topical_relevance, round(coverage, 6) AS topic_coverage_ratio, coalesce(key_phrases, '') AS key_phrases, array_to_string(found, '|') AS relevance_issues, CASE WHEN word_count = 0 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1.0::DOUBLE - 0.25::DOUBLE * len(found)) END AS relevance_score FROM ri"""
+
+
+def factorised(k: int = 3, rounds: int = 8) -> str:
+    """Multiplicative updates, round by round."""
+    seed = lambda c, j: f"(('0x' || md5({c}::VARCHAR || '#{j}')[1:6])::BIGINT + 1)::DOUBLE / 16777216"
+    start = lambda name, c: f"{name}0 AS MATERIALIZED (SELECT {c}, {', '.join(f'{seed(c, j)} AS x{j}' for j in range(k))} FROM (SELECT DISTINCT {c} FROM e))"
+    steps = [start("w", "doc_id"), start("h", "term")]
+
+    def step(own: str, n: int, other: str, at: str, by: str) -> str:
+        gram = ", ".join(f"sum(x{i} * x{j}) AS g{i}{j}" for i in range(k) for j in range(k))
+        above = ", ".join(f"sum(value * x{j}) AS a{j}" for j in range(k))
+        new = ", ".join(f"x{j} * a{j} / greatest({' + '.join(f'x{i} * g{i}{j}' for i in range(k))}, 1e-12) AS x{j}" for j in range(k))
+        return f"{own}{n + 1} AS MATERIALIZED (SELECT {at}, {new} FROM {own}{n} JOIN (SELECT {at}, {above} FROM e JOIN {other} USING ({by}) GROUP BY 1) USING ({at}), (SELECT {gram} FROM {other}))"
+
+    for n in range(rounds):
+        steps += [step("w", n, f"h{n}", "doc_id", "term"), step("h", n, f"w{n + 1}", "term", "doc_id")]
+    return ", ".join(steps)
+
+
+TOPICS = f"""
+, lg AS (SELECT doc_id, {_CONTENT} AS c FROM v WHERE len({_CONTENT}) >= 50),
+tf0 AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(c) AS term FROM lg) GROUP BY 1, 2),
+td AS (SELECT term, count(*) AS df FROM tf0 GROUP BY 1),
+wt AS (SELECT doc_id, term, tf * (ln((1.0::DOUBLE + (SELECT count(*) FROM lg)) / (1.0::DOUBLE + df)) + 1.0::DOUBLE) AS weight FROM tf0 JOIN td USING (term) WHERE df <= 0.95 * (SELECT count(*) FROM lg)),
+e AS MATERIALIZED (SELECT doc_id, term, weight / sqrt(sum(weight * weight) OVER (PARTITION BY doc_id)) AS value FROM wt), {factorised()},
+tz AS (SELECT {", ".join(f"sqrt(greatest(sum(x{j} * x{j}), 1e-12)) AS s{j}" for j in range(3))} FROM h8)"""
+TOPIC_SHARES = TOPICS + """
+, y AS (SELECT doc_id, [x0 * s0, x1 * s1, x2 * s2] AS x FROM w8, tz)
+SELECT doc_id, round(x[1] * 100 / list_sum(x), 4) AS share_0, round(x[2] * 100 / list_sum(x), 4) AS share_1, round(x[3] * 100 / list_sum(x), 4) AS share_2, (list_position(x, list_max(x)) - 1)::INTEGER AS main_topic,
+list_reverse_sort(x)[2] > 0 AND list_reverse_sort(x)[1] < 1.5 * list_reverse_sort(x)[2] AS unfocused FROM y"""
+TOPIC_TERMS = TOPICS + """
+, u AS (SELECT term, 0 AS topic, x0 / s0 AS weight FROM h8, tz UNION ALL SELECT term, 1, x1 / s1 FROM h8, tz UNION ALL SELECT term, 2, x2 / s2 FROM h8, tz)
+SELECT topic, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term)::INTEGER AS rank, term, round(weight, 6) AS weight FROM u QUALIFY rank <= 10"""
