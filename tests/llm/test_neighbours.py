@@ -75,7 +75,7 @@ def test_descent_raises_recall_and_search_reaches_it(spark, uneven):
         one = nb.neighbour_lists(index.points, index.n, nb.Settings(**{**SMALL.__dict__, "trees": 1, "rounds": 0}))
         total = [one.agg(F.sum(F.aggregate("near", F.lit(0.0), lambda a, e: a + e["sim"]))).first()[0]]
         for _ in range(2):
-            one = nb.written(nb.descend(one, SMALL), "near")
+            one = nb.written(nb.descend(one, index.n, SMALL), "near")
             total.append(one.agg(F.sum(F.aggregate("near", F.lit(0.0), lambda a, e: a + e["sim"]))).first()[0])
         assert total[0] < total[1] < total[2]
 
@@ -96,7 +96,7 @@ def test_search_from_entries_alone(spark, uneven):
 def test_local_join_meets_pairs_once():
     import pyarrow as pa
 
-    y = np.eye(4, 5, dtype="<f2") + np.float16(0.1)
+    y = np.eye(4, 5, dtype="<f4") + np.float32(0.1)
     left = pa.table({"block": [0] * 5, "u": [1, 1, 1, 2, 2], "v": [10, 11, 12, 11, 12], "fresh": [True, False, False, True, True]})
     right = pa.table({"home": [0] * 4, "w": [13, 12, 11, 10], "y": nb.binaries(y), "worst": pa.array([-9.0, -9.0, 9.0, -9.0], pa.float32())})
     got = nb._local_join(left, right).to_pydict()

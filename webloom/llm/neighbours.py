@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by inner product: a neighbour graph by NN-descent, and greedy search in it.
 
 Vectors are divided by the largest norm and get one more component that makes all of them unit vectors, so that a larger inner product
-with a query always means a nearer point. Equal vectors are one point. Points are numbered in the order of their sides of random hyperplanes, in blocks of BLOCK; a block is
-what one call of a Python function holds, with each foreign vector that it asks for sent to it once.
+with a query always means a nearer point. Equal vectors are one point. Points are numbered from 0 in the order of their sides of random hyperplanes and fall into blocks of
+neighbouring numbers: LEAST_BLOCKS for parallel work, or as many as keep a block to BLOCK_POINTS. A block (of queries: by hash, to BLOCK_QUERIES) is what one call of a Python
+function holds, with each foreign vector that it asks for sent to it once.
 
 The graph starts from random trees: points sorted by their sides of hyperplanes between random pairs of points are compared within stretches of LEAF. Then each round of
 NN-descent joins, at every point, its new neighbours and the new points whose neighbour it is (SAMPLE nearest of each kind) with
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import limit_batches, read, scratch, tidy, written
 from .vectors import finite, matrix, padded, width
 
-BLOCK_BITS = 11
+LEAST_BLOCKS, BLOCK_POINTS, BLOCK_QUERIES = 64, 2048, 128
 NEAREST, EVERY = 20, 20
 NEAR_SCHEMA = "array<struct<b:bigint,sim:float,fresh:boolean>>"
 POOL_SCHEMA = "array<struct<b:bigint,sim:float,open:boolean>>"
@@ -124,14 +125,14 @@ def norms(x: np.ndarray) -> np.ndarray:
 
 def unit_points(x: np.ndarray, norm: np.ndarray, most: float) -> np.ndarray:
     part = norm / most
-    return np.column_stack([x / most, np.sqrt(np.maximum(0.0, 1.0 - part * part))]).astype("<f2")
+    return np.column_stack([x / most, np.sqrt(np.maximum(0.0, 1.0 - part * part))]).astype("<f4")
 
 
 def _placing(kind: str, most: float, planes: np.ndarray):
     @tidy
     def run(batches):
         for batch in batches:
-            y = unit_points(rows_of(batch.column("vector"), kind), batch.column("norm").to_numpy(), most) if batch.num_rows else np.zeros((0, len(planes)), "<f2")
+            y = unit_points(rows_of(batch.column("vector"), kind), batch.column("norm").to_numpy(), most) if batch.num_rows else np.zeros((0, len(planes)), "<f4")
             code = (y.astype(np.float32) @ planes > 0) @ (1 << np.arange(planes.shape[1], dtype=np.int64))
             yield pa.record_batch([*batch.columns, binaries(y), pa.array(code)], names=["vector", "first", "norm", "y", "code"])
 
@@ -180,7 +181,7 @@ def _leaf_lists(settings: Settings):
                 if tree is not None and trees[a] != tree:
                     yield from (compared(ids[p:q], y[p:q]) for p, q in leaves(ids, y, True))
                     tree = None
-                more, more_y = batch.column("id").slice(a, b - a).to_numpy(), rows_of(batch.column("y").slice(a, b - a), "<f2")
+                more, more_y = batch.column("id").slice(a, b - a).to_numpy(), rows_of(batch.column("y").slice(a, b - a), "<f4")
                 ids, y = (more, more_y) if tree is None else (np.concatenate([ids, more]), np.concatenate([y, more_y]))
                 tree, done = trees[a], 0
                 for p, q in leaves(ids, y, False):
@@ -198,7 +199,7 @@ def _codes(normals: list[np.ndarray], offsets: list[np.ndarray]):
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                y = rows_of(batch.column("y"), "<f2").astype(np.float32)
+                y = rows_of(batch.column("y"), "<f4").astype(np.float32)
                 for tree, (normal, offset) in enumerate(zip(normals, offsets)):
                     code = (y @ normal > offset) @ (1 << np.arange(normal.shape[1], dtype=np.int64))
                     yield pa.record_batch([pa.array(np.full(len(y), tree, "i4")), pa.array(code.astype(np.int64)), batch.column("id"), batch.column("y")], names=["tree", "code", "id", "y"])
@@ -229,7 +230,7 @@ def _local_join(left: pa.Table, right: pa.Table) -> pa.Table:
     ids = right.column("w").to_numpy()
     o = np.argsort(ids)
     ids, worst = ids[o], right.column("worst").to_numpy()[o]
-    y = rows_of(right.column("y").combine_chunks(), "<f2").astype(np.float32)[o]
+    y = rows_of(right.column("y").combine_chunks(), "<f4").astype(np.float32)[o]
     u, fresh = left.column("u").to_numpy(), left.column("fresh").to_numpy(zero_copy_only=False)
     at = np.searchsorted(ids, left.column("v").to_numpy())
     o = np.argsort(u, kind="stable")
@@ -268,13 +269,13 @@ def _backward(state: DataFrame, most: int, *keys: str) -> DataFrame:
     return back.withColumn("nth", nth).where(F.col("nth") <= most).select("u", "v", "fresh")
 
 
-def _block(point: Column) -> Column:
-    return F.shiftright(point, BLOCK_BITS)
+def _block(point: Column, n: int) -> Column:
+    return F.floor(point / F.lit(n / max(LEAST_BLOCKS, math.ceil(n / BLOCK_POINTS))))
 
 
-def descend(state: DataFrame, settings: Settings) -> DataFrame:
-    """One round of NN-descent over (id, y, near)."""
-    links = _links(state, settings).select(_block(F.col("u")).alias("block"), "u", "v", "fresh")
+def descend(state: DataFrame, n: int, settings: Settings) -> DataFrame:
+    """One round of NN-descent over (id, y, near) of n points."""
+    links = _links(state, settings).select(_block(F.col("u"), n).alias("block"), "u", "v", "fresh")
     worst = F.when(F.size("near") >= settings.near, F.get("near", F.lit(settings.near - 1))["sim"]).otherwise(F.lit(float("-inf"))).cast("float")
     vectors = links.select("block", "v").distinct().join(state.select(F.col("id").alias("v"), "y", worst.alias("worst")), "v").select(F.col("block").alias("home"), F.col("v").alias("w"), "y", "worst")
     met = links.groupBy("block").cogroup(vectors.groupBy("home")).applyInArrow(_local_join, "a bigint, b bigint, sim float")
@@ -290,7 +291,7 @@ def neighbour_lists(points: DataFrame, n: int, settings: Settings, seed: int = 1
     trees = settings.trees if bits else 1
     # Hyperplanes midway between pairs of a sample of two points for each plane.
     few = points.orderBy(F.xxhash64(F.lit(seed), "id")).limit(max(2, 2 * bits * trees)).select("y").toArrow()
-    few = rows_of(few.column("y").combine_chunks(), "<f2").astype(np.float32)
+    few = rows_of(few.column("y").combine_chunks(), "<f4").astype(np.float32)
     pairs = np.random.default_rng(seed).integers(0, len(few), (trees, max(1, bits), 2))
     normals = [(few[p[:, 0]] - few[p[:, 1]]).T for p in pairs]
     offsets = [((few[p[:, 0]] - few[p[:, 1]]) * (few[p[:, 0]] + few[p[:, 1]]) / 2).sum(axis=1) for p in pairs]
@@ -302,13 +303,24 @@ def neighbour_lists(points: DataFrame, n: int, settings: Settings, seed: int = 1
     state = points.select("id", "y").join(lists, "id", "left").select("id", "y", empty, "cand")
     state = written(state.mapInArrow(_merged(settings), f"id bigint, y binary, near {NEAR_SCHEMA}"), "near")
     for _ in range(settings.rounds if bits else 0):  # one leaf compares all pairs
-        state = written(descend(state, settings), "near")
+        state = written(descend(state, n, settings), "near")
         fresh = state.agg(F.sum(F.size(F.filter("near", lambda e: e["fresh"])))).first()[0]
         if fresh <= settings.few * settings.near * n:
             break
     return state
 
 
+def numbered(ordered: DataFrame) -> tuple[DataFrame, int]:
+    """Points with numbers from 0 without gaps in place of those that Spark counts in each partition: their counts, a row a partition, go by the driver."""
+    part, start, n = F.shiftright("place", 33), [], 0
+    for r in ordered.groupBy(part.alias("part")).count().orderBy("part").collect():
+        start.append((r["part"], n))
+        n += r["count"]
+    starts = ordered.sparkSession.createDataFrame(start, "part bigint, start bigint")
+    points = ordered.join(F.broadcast(starts), part == F.col("part")).withColumn("id", F.col("place").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("start"))
+    return written(points.select("id", "first", "vector", "norm", "y"), "points"), n
+
+
 def build(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", settings: Settings | None = None, seed: int = 12) -> Index | None:
     """Indexes every usable row; None if there is none. Its tables are written and belong to the scratch block that is open."""
     settings = settings or Settings()
@@ -322,9 +334,8 @@ def build(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     classes = rows.groupBy("vector").agg(F.min("id").alias("first"), F.max("norm").alias("norm"))
     classes = classes.mapInArrow(_placing(kind, most, planes), "vector binary, first bigint, norm double, y binary, code bigint")
     order = ["code", F.xxhash64("first")]
-    points = classes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id())
-    points = written(points.select("id", "first", "vector", "norm", "y"), "points")
-    n = points.count()
+    points = classes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
+    points, n = numbered(written(points.select("place", "first", "vector", "norm", "y"), "ordered"))
     placed = written(rows.select(F.col("id").alias("row"), "vector").join(points.select("vector", "id"), "vector").select("row", F.col("id").alias("point")), "placed")
     near = neighbour_lists(points, n, settings, seed)
     ahead = near.select(F.col("id").alias("u"), F.explode("near.b").alias("v"))
@@ -365,7 +376,7 @@ def _score(kind: str, settings: Settings):
         ids = right.column("c").to_numpy()
         o = np.argsort(ids)
         ids = ids[o]
-        y = rows_of(right.column("y").combine_chunks(), "<f2").astype(np.float32)[o]
+        y = rows_of(right.column("y").combine_chunks(), "<f4").astype(np.float32)[o]
         x = rows_of(left.column("vector").combine_chunks(), kind)
         x = (x / np.maximum(norms(x), np.finfo(np.float64).tiny)[:, None]).astype(np.float32)
         y = y if len(ids) else np.zeros((0, x.shape[1] + 1), np.float32)  # nothing new was met
@@ -411,9 +422,7 @@ def search(index: Index, queries: DataFrame, most: int = NEAREST) -> DataFrame:
     """(q, point, score): the nearest points found for each of queries (q bigint, start bigint, vector binary), q unique.
     start: the query's own point in the index, or null; vector: packed as the index's are."""
     settings, n = index.settings, max(1, queries.count())
-    share = max(1, math.ceil(n * (1 << BLOCK_BITS) / max(1, index.n) / 128))  # about 128 queries a block
-    home = F.coalesce(_block(F.col("start")), F.pmod(F.xxhash64("q"), F.lit(math.ceil(n / 128))))
-    block = (home * share + F.pmod(F.xxhash64("q"), F.lit(share))).alias("block")
+    block = F.pmod(F.xxhash64("q"), F.lit(max(LEAST_BLOCKS, math.ceil(n / BLOCK_QUERIES)))).alias("block")
     beam = queries.select(block, "q", "start", "vector", F.array().cast(POOL_SCHEMA).alias("pool"))
     columns = f"block bigint, q bigint, start bigint, vector binary, pool {POOL_SCHEMA}"
     first = True
