@@ -116,3 +116,22 @@ def microdata(elements: DataFrame, nested: bool = False) -> DataFrame:
     own = inside.select("page_id", "pre", "s_pre", "name", "value") if nested else nearest
     props = own.groupBy("page_id", "s_pre").agg(pairs(F.lit(True), F.col("name"), F.col("value")).alias("properties"))
     return scope.join(props, ["page_id", "s_pre"], "left").select("page_id", F.col("s_pre").alias("pre"), "item_type", F.coalesce("properties", F.create_map().cast("map<string,string>")).alias("properties"))
+
+
+def structured_data(e: DataFrame) -> DataFrame:
+    """(page_id, pre, n, types, name, value): each object of the page's JSON-LD scripts as a variant, those of lists and of @graph by themselves; n counts them
+    within a script. Text that is no JSON, and values that are no objects, have no row."""
+    scripts = e.where((F.col("tag") == "script") & (F.lower(F.trim(attr("type"))) == "application/ld+json"))
+    rows = scripts.select("page_id", "pre", F.try_parse_json("text").alias("v")).where("v IS NOT NULL")
+    inner = lambda v: F.try_variant_get(v, "$['@graph']", "array<variant>")
+    tops = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
+    rows = rows.select("page_id", "pre", F.flatten(F.transform(tops, lambda v: F.coalesce(inner(v), F.array(v)))).alias("vs"))
+    rows = rows.select("page_id", "pre", F.posexplode("vs").alias("n", "value")).where(F.schema_of_variant("value").startswith("OBJECT"))
+    one, several = F.try_variant_get("value", "$['@type']", "string"), F.try_variant_get("value", "$['@type']", "array<string>")
+    types = F.coalesce(several, F.when(one.isNotNull(), F.array(one)), F.array().cast("array<string>")).alias("types")
+    return rows.select("page_id", "pre", "n", types, F.try_variant_get("value", "$.name", "string").alias("name"), "value")
+
+
+def said_by(rows: DataFrame, path: str, kind: str = "string"):
+    """A property of the objects by its path, null where it is absent or of another kind."""
+    return rows.withColumn("said", F.try_variant_get("value", path, kind))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
-from ..operators import analysis, content, metadata, relational, robots, seo, structure, terms, vectors
+from ..operators import analysis, content, languages, metadata, relational, robots, seo, structure, terms, vectors
 from ..operators import text_analysis as ta
 from ..sources.dom import elements, strings
 from ..sources import readers
@@ -33,18 +33,21 @@ def documents(spark, sf_dir: str) -> DataFrame:
     return ta.prepare(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
-#: The elements kept for the query at hand.
-_KEPT: list[DataFrame] = []
+#: The elements kept for the query at hand, by Spark application.
+_KEPT: dict[str, DataFrame] = {}
 
 
 def parsed(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Pages and their elements. The elements are kept, spilling to disk: operators use them several times, and parsing is the dearest step.
-    Those of the query before are let go (it would parse again if it ran again)."""
-    while _KEPT:
-        _KEPT.pop().unpersist()
+    Those of the query before are let go (it would parse again if it ran again); those of an application that has ended went with it."""
+    app = spark.sparkContext.applicationId
+    before = _KEPT.pop(app, None)
+    if before is not None:
+        before.unpersist()
+    _KEPT.clear()
     pages = table(spark, sf_dir, "pages")
-    _KEPT.append(elements(pages).persist(StorageLevel.MEMORY_AND_DISK))
-    return pages, _KEPT[0]
+    _KEPT[app] = elements(pages).persist(StorageLevel.MEMORY_AND_DISK)
+    return pages, _KEPT[app]
 
 
 STATS = ["doc_id", "word_count", "character_count", "characters_with_spaces", "sentence_count", "paragraph_count", "avg_sentence_length", "avg_word_length", "lexical_diversity", "punctuation_count", "number_count", "long_word_count", "punctuation_density", "long_word_percent"]
@@ -155,6 +158,19 @@ def doc_coherence(spark, sf_dir):
     return ta.coherence(documents(spark, sf_dir)).select("doc_id", F.round("coherence", 6).alias("coherence"))
 
 
+@query(o.PROFILES)
+def doc_language_profiles(spark, sf_dir):
+    """Each text's language by profiles of character trigrams, learned from the texts that are not held out."""
+    return languages.detected(table(spark, sf_dir, "documents")).select("doc_id", "lang", "held_out", "detected_lang")
+
+
+@query(o.PROFILES_RIGHT)
+def language_accuracy(spark, sf_dir):
+    """Of held-out texts of each language, how many are detected as such."""
+    found = doc_language_profiles(spark, sf_dir).where("held_out AND lang IS NOT NULL")
+    return found.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("lang") == F.col("detected_lang")).alias("right"))
+
+
 @query(o.LANGUAGE)
 def doc_language(spark, sf_dir):
     return ta.language(table(spark, sf_dir, "documents")).select("doc_id", "lang", "detected_lang")
@@ -362,6 +378,17 @@ def page_url_seo(spark, sf_dir):
     return seo.url_score(table(spark, sf_dir, "pages")).select("page_id", "path_length", "segment_count", "url_issue_count", "url_score")
 
 
+@query("""SELECT page_id, n::INTEGER AS n, types, name, round(price, 2) AS price FROM pages, LATERAL (SELECT 0 AS n, 'WebPage' AS types, url AS name, NULL::DOUBLE AS price UNION ALL SELECT 1, 'Product|Thing', NULL, length(url) / 4.0::DOUBLE UNION ALL SELECT 2, '', 'end', NULL) WHERE url IS NOT NULL""")
+def page_json_ld(spark, sf_dir):
+    """Objects of JSON-LD made of each page's address, with a graph, several types and none, beside a script that is no JSON."""
+    pages = table(spark, sf_dir, "pages").where("url IS NOT NULL")
+    graph = F.array(F.to_json(F.struct(F.lit("WebPage").alias("@type"), F.col("url").alias("name"))), F.to_json(F.struct(F.array(F.lit("Product"), F.lit("Thing")).alias("@type"), F.struct((F.length("url") / 4.0).alias("price")).alias("offers"))), F.lit('{"name": "end"}'))
+    script = lambda c: F.concat(F.lit('<script type="application/ld+json">'), c, F.lit("</script>"))
+    html = F.concat(script(F.concat(F.lit('{"@graph": ['), F.array_join(graph, ","), F.lit("]}"))), script(F.lit("{no json")), F.coalesce("html", F.lit("")))
+    rows = metadata.said_by(metadata.structured_data(elements(pages.withColumn("html", html))), "$.offers.price", "double")
+    return rows.select("page_id", "n", F.array_join("types", "|").alias("types"), "name", F.round("said", 2).alias("price"))
+
+
 @query(o.PAGE_BARE + r""", t AS (SELECT page_id, coalesce(nullif(replace(replace(replace(replace(trim(regexp_extract(bare, '<title>([^<]*)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&'), ''), '') AS t FROM h)
 SELECT page_id, length(t)::BIGINT AS title_length, greatest(0.0::DOUBLE, 1.0::DOUBLE - 0.2::DOUBLE * (CASE WHEN t = '' OR length(t) < 30 OR length(t) > 60 THEN 1 ELSE 0 END + 1)) AS meta_score FROM t""")
 def page_meta_seo(spark, sf_dir):
@@ -686,7 +713,7 @@ def sitemap_tree(spark, sf_dir):
     nation = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("r"), F.concat(F.lit("<url><loc> https://n/"), "n_name", F.lit(" </loc></url>")).alias("x"))
     leaves = nation.groupBy("r").agg(F.array_join(F.array_sort(F.collect_list("x")), "").alias("x")).select(F.concat(F.lit("map"), F.col("r").cast("string")).alias("loc"), F.concat(F.lit("<urlset>"), "x", F.lit("</urlset>")).alias("xml"))
     names = table(spark, sf_dir, "region").select(F.concat(F.lit("<sitemap><loc>map"), F.col("r_regionkey").cast("string"), F.lit("</loc></sitemap>")).alias("x"))
-    index = names.agg(F.array_join(F.array_sort(F.collect_list("x")), "").alias("x")).select(F.lit("index").alias("loc"), F.concat(F.lit("<sitemapindex><sitemap><loc>index</loc></sitemap>"), "x", F.lit("</sitemapindex><url><loc>https://top</loc></url>")).alias("xml"))
+    index = names.agg(F.array_join(F.array_sort(F.collect_list("x")), "").alias("x")).select(F.lit("index").alias("loc"), F.concat(F.lit("<sitemapindex><sitemap><loc>index</loc></sitemap>"), "x", F.lit("<url><loc>https://top</loc></url></sitemapindex>")).alias("xml"))
     return relational.sitemap_urls(readers.sitemap(leaves.unionByName(index)), "index")
 
 

@@ -315,3 +315,15 @@ list_reverse_sort(x)[2] > 0 AND list_reverse_sort(x)[1] < 1.5 * list_reverse_sor
 TOPIC_TERMS = TOPICS + """
 , u AS (SELECT term, 0 AS topic, x0 / s0 AS weight FROM h8, tz UNION ALL SELECT term, 1, x1 / s1 FROM h8, tz UNION ALL SELECT term, 2, x2 / s2 FROM h8, tz)
 SELECT topic, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term)::INTEGER AS rank, term, round(weight, 6) AS weight FROM u QUALIFY rank <= 10"""
+
+_GRAMS = """t AS (SELECT doc_id, lang, trim(coalesce(text, '')) AS raw, regexp_replace(regexp_replace(' ' || lower(coalesce(text, '')) || ' ', '[^\\p{L}]+', ' ', 'g'), '^ $', '') AS s, substr(md5(doc_id::VARCHAR), 1, 1) IN ('0', '1', '2', '3') AS held_out FROM documents),
+g AS (SELECT doc_id, lang, held_out, substr(s, i, 3) AS gram, count(*) AS n FROM (SELECT *, unnest(range(1, length(s) - 1)) AS i FROM t) GROUP BY ALL),
+c AS (SELECT lang, gram, sum(n) AS n FROM g WHERE NOT held_out AND lang IS NOT NULL GROUP BY 1, 2),
+p AS (SELECT lang, gram, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS r FROM c QUALIFY r <= 2000),
+z AS (SELECT lang, sum(n) AS total FROM p GROUP BY 1), v AS (SELECT count(DISTINCT gram) AS size FROM p), k AS (SELECT DISTINCT gram FROM p),
+m AS (SELECT k.gram, z.lang, ln((coalesce(p.n, 0) + 0.5::DOUBLE) / (total + 0.5::DOUBLE * size)) AS w FROM k CROSS JOIN z CROSS JOIN v LEFT JOIN p ON p.gram = k.gram AND p.lang = z.lang),
+l AS (SELECT doc_id, m.lang AS found, round(sum(n * w), 6) AS likelihood FROM g JOIN m USING (gram) GROUP BY 1, 2),
+b AS (SELECT doc_id, found FROM l QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY likelihood DESC, found) = 1),
+y AS (SELECT t.doc_id, t.lang, held_out, CASE WHEN length(raw) < 10 THEN 'en' WHEN len(regexp_extract_all(raw, '[Ѐ-ӿ]')) * 2 > length(raw) THEN 'ru' ELSE coalesce(found, 'en') END AS detected_lang FROM t LEFT JOIN b USING (doc_id))"""
+PROFILES = f"WITH {_GRAMS} SELECT * FROM y"
+PROFILES_RIGHT = f"WITH {_GRAMS} SELECT lang, count(*) AS n, count(*) FILTER (lang = detected_lang) AS right FROM y WHERE held_out AND lang IS NOT NULL GROUP BY 1"
