@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from webloom.operators import relational, terms
+from webloom.operators import crawling, relational, terms
 from webloom.operators import text_analysis as ta
 from webloom.plans import catalog
 from webloom.streaming import pages as stream
@@ -78,11 +78,11 @@ def test_patches_and_cascades(spark):
 
 def test_crawl_with_a_cycle(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e")], "src string, dst string")
-    got = {r["url"]: r["depth"] for r in relational.crawl(edges, "a", 3).collect()}
+    got = {r["url"]: r["depth"] for r in crawling.crawl(edges, "a", 3).collect()}
     assert got == {"a": 0, "b": 1, "c": 2, "d": 3}
-    capped = {r["url"]: r["depth"] for r in relational.crawl(edges.union(spark.createDataFrame([("a", "x"), ("a", "y")], edges.schema)), "a", 9, max_pages=3).collect()}
+    capped = {r["url"]: r["depth"] for r in crawling.crawl(edges.union(spark.createDataFrame([("a", "x"), ("a", "y")], edges.schema)), "a", 9, max_pages=3).collect()}
     assert capped == {"a": 0, "b": 1, "x": 1}
-    deep = relational.crawl(edges, "a", 4)
+    deep = crawling.crawl(edges, "a", 4)
     assert deep._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
 
 

@@ -85,26 +85,6 @@ def latest(df: DataFrame, keys: list[str], at: str, *ties: str) -> DataFrame:
     return df.withColumn("rl_r_", F.row_number().over(w)).where("rl_r_ = 1").drop("rl_r_")
 
 
-def crawl(edges: DataFrame, start: str, max_depth: int = 3, include: str | None = None, exclude: str | None = None, max_pages: int = 100) -> DataFrame:
-    """(url, depth) reached from start over edges (src, dst) by breadth, at most max_pages (a limit of the caller's, in the order of the urls
-    within a round). Each round joins the frontier with the edges, drops what is known and is checkpointed, so that the plan does not grow."""
-    spark = edges.sparkSession
-    if include:
-        edges = edges.where(F.col("dst").rlike(include))
-    if exclude:
-        edges = edges.where(~F.col("dst").rlike(exclude))
-    frontier = seen = spark.createDataFrame([(start, 0)], "url string, depth int")
-    n = 1
-    for depth in range(1, max_depth + 1):
-        found = frontier.join(edges, frontier["url"] == edges["src"]).select(F.col("dst").alias("url")).distinct().join(seen.select("url"), "url", "left_anti")
-        frontier = checkpointed(found.orderBy("url").limit(max_pages - n).withColumn("depth", F.lit(depth)))
-        more = frontier.count()
-        if not more:
-            break
-        n, seen = n + more, checkpointed(seen.unionByName(frontier))
-    return seen
-
-
 def new_only(candidates: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
     """Candidates whose keys are not known yet, one of each."""
     return candidates.dropDuplicates(keys).join(known.select(*keys), keys, "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
-from ..operators import analysis, content, languages, metadata, relational, robots, seo, structure, terms, vectors
+from ..operators import analysis, content, crawling, languages, metadata, relational, robots, seo, structure, terms, vectors
 from ..operators import text_analysis as ta
 from ..sources.dom import elements, strings
 from ..sources import readers
@@ -792,13 +792,21 @@ def robots_agents(spark, sf_dir):
     return robots.allowed(urls, robots.rules(files), "WebLoom/2.0")
 
 
-@query()
+@query(o.CRAWL)
 def crawl_reach(spark, sf_dir):
     """Pages of the first page's host that links reach from it in three steps."""
     pages, e = parsed(spark, sf_dir)
     start = pages.orderBy("page_id").select("url").first()
     edges = structure.links(pages, e).where("internal").select(F.col("base").alias("src"), F.col("url").alias("dst")).distinct()
-    return relational.crawl(edges, start[0] if start else "", 3)
+    return crawling.crawl(edges, start[0] if start else "", 3)
+
+
+@query(o.CRAWL_PARTS)
+def crawl_parts(spark, sf_dir):
+    """Parts and suppliers as addresses that link to each other where a line item joins them: all that four steps from the first part reach."""
+    rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("https://part.example/"), F.col("l_partkey").cast("string")).alias("a"), F.concat(F.lit("https://supplier.example/"), F.col("l_suppkey").cast("string")).alias("b"))
+    edges = rows.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(rows.select("b", "a")).distinct()
+    return crawling.crawl(edges, "https://part.example/1", 4, exclude="/[0-9]*13$", max_pages=10**9)
 
 
 def flagship(spark, sf_dir: str) -> DataFrame:

@@ -327,3 +327,16 @@ b AS (SELECT doc_id, found FROM l QUALIFY row_number() OVER (PARTITION BY doc_id
 y AS (SELECT t.doc_id, t.lang, held_out, CASE WHEN length(raw) < 10 THEN 'en' WHEN len(regexp_extract_all(raw, '[Ѐ-ӿ]')) * 2 > length(raw) THEN 'ru' ELSE coalesce(found, 'en') END AS detected_lang FROM t LEFT JOIN b USING (doc_id))"""
 PROFILES = f"WITH {_GRAMS} SELECT * FROM y"
 PROFILES_RIGHT = f"WITH {_GRAMS} SELECT lang, count(*) AS n, count(*) FILTER (lang = detected_lang) AS right FROM y WHERE held_out AND lang IS NOT NULL GROUP BY 1"
+
+CRAWL = r"""
+WITH RECURSIVE b AS (SELECT page_id, url, regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g'), '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g') AS t FROM pages),
+a AS (SELECT url AS src, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS site, unnest(regexp_extract_all(t, '<a href="([^"]*)"', 1)) AS href FROM b),
+e AS (SELECT DISTINCT src, site || replace(replace(href, '&quot;', chr(34)), '&amp;', '&') AS dst FROM a WHERE href LIKE '/%'),
+r AS (SELECT (SELECT url FROM pages ORDER BY page_id LIMIT 1) AS url, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.url WHERE r.depth < 3)
+SELECT url, min(depth)::INTEGER AS depth FROM r WHERE url IS NOT NULL GROUP BY 1"""
+
+CRAWL_PARTS = r"""
+WITH RECURSIVE l AS (SELECT DISTINCT 'https://part.example/' || l_partkey AS a, 'https://supplier.example/' || l_suppkey AS b FROM lineitem),
+e AS (SELECT a AS src, b AS dst FROM l WHERE NOT regexp_matches(b, '/[0-9]*13$') UNION ALL SELECT b, a FROM l WHERE NOT regexp_matches(a, '/[0-9]*13$')),
+r AS (SELECT 'https://part.example/1' AS url, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.url WHERE r.depth < 4)
+SELECT url, min(depth)::INTEGER AS depth FROM r GROUP BY 1"""

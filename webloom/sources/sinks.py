@@ -14,14 +14,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir; only a local master gets a folder of its own where that is unset."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; only a local master gets one of its own where that is unset."""
+    context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         if not named and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "checkpoints"))
+    return named or context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
