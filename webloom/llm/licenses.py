@@ -6,7 +6,7 @@ templates are ranked by the bytes they save, in shares of the template's own com
 confirmed in that order by their exact wording: the template's words are aligned with the block's, and a template stands if
 MIN_COVERAGE of its words are there in order in a span not much longer than it; the words that
 are missing or extra are reported. A template is left out only where it cannot win any more (it has fewer words than the
-one confirmed is worth) or cannot stand (too few of its words are in the block, in any order).
+one confirmed is worth) or cannot stand (too few of its words are within reach, in any order): such templates are neither compressed nor aligned, so that a text of many hints costs little.
 
 Defined results: null and empty texts hold no notice; rows that repeat an id or text are scanned each; a
 notice that stands several times in a text is reported each time; null ids stay null; an empty table gives an empty result.
@@ -16,6 +16,7 @@ Only the id and text columns are read, so that other columns' names don't matter
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from difflib import SequenceMatcher
 
@@ -90,23 +91,40 @@ class Scanner:
         raw = zstandard.DICT_TYPE_RAWCONTENT
         self.given = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=raw)) for _, t in templates]
 
-    def ranked(self, text: str, hint: int) -> list[tuple[float, int]]:
+    def possible(self, places: dict[str, list[int]], among, hint: int | None = None, done: int = 0) -> list[int]:
+        """The templates whose words are there, in the text or within reach of the hint and after `done`, as often as confirm() asks."""
+        out = []
+        for k in among:
+            left = (1 - MIN_COVERAGE) * len(self.words[k]) + 1e-9
+            reach = self.reach(k)
+            for w, c in self.counts[k].items():
+                at = places.get(w, ())
+                n = len(at) if hint is None else max(0, bisect_right(at, hint + reach - len(w)) - bisect_left(at, max(done, hint - reach)))
+                left -= max(0, c - n)
+                if left < 0:
+                    break
+            else:
+                out.append(k)
+        return out
+
+    def reach(self, k: int) -> int:
+        return 2 * len(self.templates[k][1]) + 40
+
+    def ranked(self, text: str, hint: int, among) -> list[tuple[float, int]]:
         """(share of the template that the block gains from it, template), best first."""
         out = []
-        for k, (_, template) in enumerate(self.templates):
+        for k in among:
+            template = self.templates[k][1]
             block = text[max(0, hint - len(template)) : hint + len(template)].encode()
             gain = len(self.plain.compress(block)) - len(self.given[k].compress(block))
             out.append((gain / self.alone[k], k))
         return sorted(out, key=lambda x: (-x[0], -len(self.templates[x[1]][1]), x[1]))
 
-    def confirm(self, text: str, hint: int, k: int):
-        """(coverage, start, end, missing, extra) of the template's wording around the hint, if it stands."""
-        want, reach = self.words[k], 2 * len(self.templates[k][1]) + 40
-        lo = max(0, hint - reach)
-        found = [(m[0], m.start() + lo, m.end() + lo) for m in WORDS.finditer(text[lo : hint + reach])]
+    def confirm(self, words: list[tuple[str, int, int]], hint: int, k: int, done: int = 0):
+        """(coverage, start, end, missing, extra) of the template's wording around the hint and after `done`, where the notice before ends, if it stands; words: the text's, with their places."""
+        want, reach = self.words[k], self.reach(k)
+        found = words[bisect_left(words, max(done, hint - reach), key=lambda w: w[1]) : bisect_right(words, hint + reach, key=lambda w: w[2])]
         have = [w for w, _, _ in found]
-        if (self.counts[k] & Counter(have)).total() < MIN_COVERAGE * len(want):
-            return None
         blocks = [b for b in SequenceMatcher(None, want, have, autojunk=False).get_matching_blocks() if b.size]
         # Strays far from the longest block do not belong to the notice.
         if not blocks:
@@ -122,17 +140,23 @@ class Scanner:
         return coverage, found[first][1], found[last - 1][2], [w for i, w in enumerate(want) if i not in covered], [have[i] for i in range(first, last) if i not in used]
 
     def scan(self, text: str):
-        lower, done = text.lower(), -1
+        lower, done = text.lower(), 0
         if len(lower) != len(text):  # folding moved the places
             lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        for m in self.hint.finditer(lower):
+        places: dict[str, list[int]] = {}
+        words = [(m[0], m.start(), m.end()) for m in WORDS.finditer(lower)]
+        for w, start, _ in words:
+            places.setdefault(w, []).append(start)
+        # Compression is for templates that a count of words leaves: what cannot be confirmed is not compressed.
+        among = self.possible(places, range(len(self.templates)))
+        for m in self.hint.finditer(lower) if among else ():
             if m.start() < done:
                 continue
             best = None
-            for gain, k in self.ranked(lower, m.start()):
+            for gain, k in self.ranked(lower, m.start(), self.possible(places, among, m.start(), done)):
                 if gain <= 0 or best and len(self.words[k]) < best[0]:
                     continue
-                got = self.confirm(lower, m.start(), k)
+                got = self.confirm(words, m.start(), k, done)
                 if got:
                     worth = len(self.words[k]) - 3 * len(got[3]) - 2 * len(got[4])
                     if best is None or (worth, gain) > best[:2]:
