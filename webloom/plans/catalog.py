@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
-from ..operators import analysis, content, crawling, languages, metadata, relational, robots, seo, structure, terms, vectors
+from ..operators import analysis, content, crawling, languages, metadata, relational, robots, semantic, seo, structure, terms, vectors
 from ..operators import text_analysis as ta
 from ..sources.dom import elements, strings
 from ..sources import readers
@@ -259,6 +259,25 @@ def doc_semantic(spark, sf_dir):
     return out.fillna("", ["keywords", "entities"])
 
 
+@query(o.SEMANTIC_WHOLE)
+def doc_semantic_analysis(spark, sf_dir):
+    """Keywords, densities, entities, topics, coherence and recommendations of each document."""
+    df = semantic.analyze(documents(spark, sf_dir))
+    codes = F.array_join(F.transform("semantic_recommendations", lambda r: r["code"]), "|")
+    return df.select("doc_id", F.array_join(F.slice(F.col("keywords")["term"], 1, 10), "|").alias("keywords"), F.round("overall_density", 6).alias("overall_density"), F.size("section_densities").cast("long").alias("sections"),
+                     F.round(F.array_min("section_densities"), 6).alias("least"), F.round(F.array_max("section_densities"), 6).alias("most"), F.size("entities").cast("long").alias("entities"), F.coalesce("topics.main_topic", F.lit(-1)).alias("main_topic"), "coherence", codes.alias("codes"))
+
+
+@query(o.RECORDS)
+def doc_analysis_records(spark, sf_dir):
+    """The record that is kept of each document's analysis: what stands in its parts."""
+    df = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    rows = semantic.records(df, F.lit("2024-01-02 03:04:05").cast("timestamp"))
+    first = lambda c: F.coalesce(F.get(c, F.lit(0))["term"], F.lit(""))
+    return rows.select("doc_id", "status", F.date_format("analyzed_at", "yyyy-MM-dd HH:mm").alias("analyzed"), F.col("seo_metrics.keywords_stuffed").alias("stuffed"), first(F.col("keywords.keywords")).alias("keyword"), F.round("keywords.overall_density", 6).alias("density"), F.round("readability_metrics.overall_readability", 6).alias("readability"),
+                       "sentiment.sentiment", F.coalesce("topics.main_topic", F.lit(-1)).alias("main_topic"), F.round("content_quality.overall_quality", 6).alias("quality"))
+
+
 @query(o.TEXT + o.TOPIC_TERMS)
 def doc_topics(spark, sf_dir):
     """The best terms of three topics of the corpus."""

@@ -340,3 +340,22 @@ WITH RECURSIVE l AS (SELECT DISTINCT 'https://part.example/' || l_partkey AS a,
 e AS (SELECT a AS src, b AS dst FROM l WHERE NOT regexp_matches(b, '/[0-9]*13$') UNION ALL SELECT b, a FROM l WHERE NOT regexp_matches(a, '/[0-9]*13$')),
 r AS (SELECT 'https://part.example/1' AS url, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.url WHERE r.depth < 4)
 SELECT url, min(depth)::INTEGER AS depth FROM r GROUP BY 1"""
+
+SEMANTIC_WHOLE = f"""
+WITH kw AS ({TEXT + KEYWORDS}), en AS ({TEXT + ENTITIES}), co AS ({TEXT + COHERENCE}), tp AS ({TEXT + TOPIC_SHARES}), tx AS ({TEXT} SELECT doc_id, low FROM v),
+kl AS (SELECT doc_id, list(term ORDER BY rank) AS ks FROM kw GROUP BY 1), el AS (SELECT doc_id, count(*) AS n FROM en GROUP BY 1),
+a AS (SELECT doc_id, low, coalesce(ks, []) AS ks, greatest(100, len(low) // 5) AS size FROM tx LEFT JOIN kl USING (doc_id)),
+p AS (SELECT doc_id, ks, low[k * size + 1 : (k + 1) * size] AS part FROM (SELECT *, unnest(range((len(low) + size - 1) // size)) AS k FROM a)),
+d AS (SELECT doc_id, len(list_filter(part, lambda w: list_contains(ks[1:5], w))) * 100::DOUBLE / len(part) AS density FROM p),
+s AS (SELECT doc_id, count(*) AS sections, min(density) AS least, max(density) AS most FROM d GROUP BY 1),
+z AS (SELECT a.doc_id, ks, CASE WHEN len(low) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(low, lambda w: list_contains(ks[1:10], w))) * 100::DOUBLE / len(low) END AS overall, coalesce(sections, 0) AS sections, least, most, coalesce(el.n, 0) AS entities, coalesce(main_topic, -1)::INTEGER AS main_topic, unfocused, coherence
+  FROM a LEFT JOIN s USING (doc_id) LEFT JOIN el USING (doc_id) LEFT JOIN tp USING (doc_id) JOIN co USING (doc_id)),
+r AS (SELECT *, len(ks) > 0 AS known FROM z)
+SELECT doc_id, array_to_string(ks[1:10], '|') AS keywords, round(overall, 6) AS overall_density, sections, round(least, 6) AS least, round(most, 6) AS most, entities, main_topic, coherence,
+array_to_string(list_filter([CASE WHEN known AND overall < 1 THEN 'keywords_rare' END, CASE WHEN known AND overall > 5 THEN 'keywords_stuffed' END, CASE WHEN coherence < 0.2 THEN 'incoherent' END, CASE WHEN unfocused THEN 'unfocused' END,
+CASE WHEN known AND sections > 1 AND most > 0 AND least < 0.3 * most THEN 'keywords_uneven' END, CASE WHEN entities = 0 THEN 'no_entities' END], lambda x: x IS NOT NULL), '|') AS codes FROM r"""
+
+RECORDS = f"""
+WITH sm AS ({SEMANTIC_WHOLE}), an AS ({ANALYSIS}), sf AS ({TEXT + STUFFED})
+SELECT doc_id, 'completed' AS status, '2024-01-02 03:04' AS analyzed, coalesce(sf.stuffed, 0) > 0 AS stuffed, string_split(keywords, '|')[1] AS keyword, overall_density AS density, round(overall_readability, 6) AS readability, sentiment, main_topic, round(overall_quality, 6) AS quality
+FROM sm JOIN an USING (doc_id) LEFT JOIN sf USING (doc_id)"""
