@@ -274,7 +274,8 @@ rf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(c) AS ter
 rd AS (SELECT term, ln((1.0::DOUBLE + (SELECT count(*) FROM v)) / (1.0::DOUBLE + count(*))) + 1.0::DOUBLE AS idf FROM rf GROUP BY 1),
 rl AS (SELECT doc_id, sqrt(sum(tf * idf * tf * idf)) AS size FROM rf JOIN rd USING (term) GROUP BY 1),
 pw AS (SELECT doc_id, phrase, term, count(*) AS n FROM (SELECT doc_id, phrase, unnest(string_split(phrase, ' ')) AS term FROM tt) GROUP BY ALL),
-sm AS (SELECT pw.doc_id, phrase, sum(n * idf * coalesce(tf * idf / size, 0)) / sqrt(sum(n * idf * n * idf)) AS similarity FROM pw JOIN rd USING (term) JOIN rl USING (doc_id) LEFT JOIN rf ON rf.doc_id = pw.doc_id AND rf.term = pw.term GROUP BY 1, 2),
+kn AS (SELECT pw.*, coalesce(idf, ln(1.0::DOUBLE + (SELECT count(*) FROM v)) + 1.0::DOUBLE) AS idf FROM pw LEFT JOIN rd USING (term)),
+sm AS (SELECT kn.doc_id, phrase, sum(n * idf * coalesce(tf * idf / size, 0)) / sqrt(sum(n * idf * n * idf)) AS similarity FROM kn LEFT JOIN rl USING (doc_id) LEFT JOIN rf ON rf.doc_id = kn.doc_id AND rf.term = kn.term GROUP BY 1, 2),
 gr AS (SELECT doc_id, unnest(c) AS term FROM cw UNION ALL SELECT doc_id, c[i] || ' ' || c[i + 1] FROM (SELECT doc_id, c, unnest(range(1, len(c))) AS i FROM cw) UNION ALL SELECT doc_id, c[i] || ' ' || c[i + 1] || ' ' || c[i + 2] FROM (SELECT doc_id, c, unnest(range(1, len(c) - 1)) AS i FROM cw)),
 gk AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, term) AS rank FROM gr GROUP BY 1, 2 QUALIFY rank <= 10),
 gl AS (SELECT doc_id, list(term ORDER BY rank) AS phrases FROM gk GROUP BY 1),
