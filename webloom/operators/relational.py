@@ -66,8 +66,8 @@ def recommendations(found: DataFrame) -> DataFrame:
 
 
 def live(cache: DataFrame, now: Column, ttl_seconds: int = 3600, at: str = "ts") -> DataFrame:
-    """Entries that have not outlived their time."""
-    return cache.where(F.unix_timestamp(now) - F.unix_timestamp(F.col(at).cast("timestamp")) <= ttl_seconds)
+    """Entries that have not outlived their time, to the microsecond."""
+    return cache.where(F.unix_micros(now) - F.unix_micros(F.col(at).cast("timestamp")) <= ttl_seconds * 1_000_000)
 
 
 def evict(cache: DataFrame, most: int = 1000, keep: int = 800, at: str = "ts", key: str = "key") -> DataFrame:
