@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, limit_batches, read, tidy
+from .common import checkpoint, limit_batches, read, release, tidy
 from .wordhash import Words, mix, word_slices
 
 BITS, MOST_LABELLED, EPOCHS = 18, 8_000, 5
@@ -117,7 +117,10 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     sample = bounded(rows, "rank", most).mapInArrow(_sparse(bits), "rank bigint, label int, places binary, `values` binary").toArrow().sort_by([("rank", "ascending"), ("places", "ascending")])
     if not sample.num_rows:
         return np.zeros((1 << bits) + 1)
-    return fitted(sparse_rows(sample), bits, epochs).weights()
+    weights = fitted(sparse_rows(sample), bits, epochs).weights()
+    del sample
+    release()  # the driver runs on after the training
+    return weights
 
 
 def sparse_rows(sample: pa.Table) -> list[tuple[np.ndarray, np.ndarray, int]]:

@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 #: Word separators of every contract: space and the controls U+0009 to U+000D.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -80,9 +81,14 @@ def utf8_crc32(text: Column) -> Column:
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
 
 
+#: What a broadcast may take of the driver, which holds it several times while it is sent.
+BROADCAST_BYTES = 24 << 20
+
+
 def broadcast_if_small(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
-    """A broadcast hint only where the counted rows are few; beyond that the join shuffles."""
-    return F.broadcast(df) if rows <= most else df
+    """A broadcast hint only where the counted rows are few and their bytes, by the schema, small; beyond that the join shuffles."""
+    width = 48 + sum(8 if isinstance(f.dataType, NumericType) else 128 for f in df.schema.fields)
+    return F.broadcast(df) if rows <= min(most, BROADCAST_BYTES // width) else df
 
 
 def dealt_anew(column: str) -> Column:
