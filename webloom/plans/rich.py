@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import analysis, content, metadata, relational, seo, structure
 from ..sources.dom import elements, strings
 from ..sources.readers import table
+from ..sources.sinks import kept
 
 #: One page; # stands for the page's id. Paragraph texts are given below, so that the SQL can say their lengths.
 INTRO = "This guide says what item # is for, how long it lasts, where it comes from and why people who tried it once come back for a second one."
@@ -48,12 +48,19 @@ def query(columns: str | list[str]):
     return put
 
 
-def rich_pages(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    pages = table(spark, sf_dir, "pages").select("page_id")
+def rich_source(spark, sf_dir: str) -> DataFrame:
+    """The pages as made. Their ids are dealt out first: they come in as few splits as the small column has, and a page is far more work than its id."""
+    ids = table(spark, sf_dir, "pages").select("page_id")
+    ids = ids.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
     own = F.col("page_id").cast("string")
     html = F.replace(F.replace(F.lit(PAGE), F.lit("#"), own), F.lit("@end"), F.lit("#end"))
-    pages = pages.select("page_id", F.concat(F.lit(BASE), own).alias("url"), html.alias("html"))
-    return pages, elements(pages)
+    return ids.select("page_id", F.concat(F.lit(BASE), own).alias("url"), html.alias("html"))
+
+
+def rich_pages(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The pages and their elements, parsed once and kept as a table, of which each part of a query reads the columns it uses."""
+    pages = rich_source(spark, sf_dir)
+    return pages, kept(elements(pages))
 
 
 def joined(c: str | Column) -> Column:
@@ -196,7 +203,7 @@ def rich_icons(spark, sf_dir):
 @query(["'A' AS item_type, 'inner=2|outer=1' AS properties, true AS nested", "'B', 'inner=2', true", "'A', 'outer=1', false", "'B', 'inner=2', false"])
 def rich_nested_microdata(spark, sf_dir):
     """A scope in a scope: the outer one with and without what the inner one holds."""
-    pages = rich_pages(spark, sf_dir)[0].drop("html")
+    pages = rich_source(spark, sf_dir).drop("html")
     e = elements(pages.withColumn("html", F.lit('<div itemscope itemtype="A"><b itemprop="outer">1</b><p itemscope itemtype="B"><i itemprop="inner">2</i></p></div>')))
     each = [metadata.microdata(e, nested).select("page_id", "item_type", said("properties").alias("properties"), F.lit(nested).alias("nested")) for nested in (True, False)]
     return each[0].unionByName(each[1])
@@ -204,7 +211,7 @@ def rich_nested_microdata(spark, sf_dir):
 
 @query("'# Head ' || page_id || chr(10) || chr(10) || 'One **two** _three_ link & more.' || chr(10) || chr(10) || '  * first' || chr(10) || '  * second' || chr(10) || chr(10) || '> Said' AS text_content")
 def rich_text_content(spark, sf_dir):
-    pages = rich_pages(spark, sf_dir)[0].drop("html")
+    pages = rich_source(spark, sf_dir).drop("html")
     parts = [F.lit("<html><head><title>T</title></head><body><nav>Menu</nav><script>x()</script><h1>Head "), F.col("page_id").cast("string"), F.lit('</h1>\n<p>One <b>two</b> <em>three</em> <a href="/x">link</a> &amp;\n more.<img src="i.png"></p><ul><li>first</li><li>second</li></ul><blockquote>Said</blockquote><footer>End</footer></body></html>')]
     pages = pages.withColumn("html", F.concat(*parts))
     return content.text_content(elements(pages), strings(pages))
@@ -273,7 +280,6 @@ def rich_headings(spark, sf_dir):
 def rich_structure(spark, sf_dir):
     """One row for all parts of a page."""
     pages, e = rich_pages(spark, sf_dir)
-    e = e.persist(StorageLevel.MEMORY_AND_DISK)  # the parts use the elements many times
     names = "forms required_fields ctas primary_ctas cta_button cta_form_submit ctas_in_main navs main_nav_links main_nav_dropdown navs_in_header lists navigation_lists nested_lists avg_list_items longest_list tables tables_with_headers tables_with_caption table_rows layout_tables section_elements sections_with_heading content_blocks sidebars search_box headings links external_links"
     listed = ("form_kinds", "breadcrumb", "sidebar_positions", "top_paths")
     return structure.everything(pages, e).select(
@@ -283,7 +289,7 @@ def rich_structure(spark, sf_dir):
 
 @query(["1 AS rank, 'About us' AS text, '/us' AS href", "2, 'Jobs', '/jobs'"])
 def rich_footer_links(spark, sf_dir):
-    pages = rich_pages(spark, sf_dir)[0].drop("html")
+    pages = rich_source(spark, sf_dir).drop("html")
     foot = '<footer><a href="https://facebook.com/x">fb</a><a href="/i"><img src="i.png"></a><a href="/out">Out</a><nav><a href="/us"> About us</a><a href="https://x.com.twitter.com/">t</a><a href="/jobs">Jobs</a></nav></footer>'
     return structure.footer_links(elements(pages.withColumn("html", F.lit(foot))))
 
@@ -325,13 +331,13 @@ def rich_seo_scores(spark, sf_dir):
 @query("'OG ' || page_id AS title, 'en' AS language, 0.6::DOUBLE AS meta_score, 1.0::DOUBLE AS heading_score, 1.0::DOUBLE AS url_score, true AS has_words")
 def rich_page_analysis(spark, sf_dir):
     """Each page's analysis from its markup alone."""
-    df = analysis.analyze_pages(rich_pages(spark, sf_dir)[0])
+    df = analysis.analyze_pages(rich_source(spark, sf_dir))
     return df.select("page_id", "title", "language", *[F.round(c, 9).alias(c) for c in ("meta_score", "heading_score", "url_score")], (F.col("basic.word_count") > 20).alias("has_words"))
 
 
 def one_page(spark, sf_dir):
     """The analysis of the page with the least id, by its url."""
-    pages = rich_pages(spark, sf_dir)[0]
+    pages = rich_source(spark, sf_dir)
     url = pages.orderBy("page_id").select("url").first()[0]
     return analysis.analyze_url(pages, url).select("page_id", "url", "title")
 
