@@ -560,7 +560,8 @@ GIVEN = ("the", "of the", "que", "zzz")
 def doc_given_keywords(spark, sf_dir):
     """Usage of given keywords, a row for each document and keyword."""
     df = seo.keyword_score(table(spark, sf_dir, "documents").select("doc_id", "text"), F.array(*[F.lit(k) for k in GIVEN]))
-    df = df.select("doc_id", "keyword_score", F.explode("keyword_usage").alias("u"), F.array_join("keyword_issues", "|").alias("issues"))
+    # An inner explode would make the optimiser filter the scan by the size of the usage, and so compute it, words and all, once more for each keyword and section.
+    df = df.select("doc_id", "keyword_score", F.explode_outer("keyword_usage").alias("u"), F.array_join("keyword_issues", "|").alias("issues")).where("u IS NOT NULL")
     return df.select("doc_id", "keyword_score", "u.keyword", "u.count", "u.density", F.array_join("u.by_section", "|").alias("by_section"), "issues")
 
 
