@@ -17,7 +17,7 @@ def text_or_empty(text: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Runs of white space to one space, ends trimmed."""
-    return F.trim(F.regexp_replace(text_or_empty(text), r"\s+", " "))
+    return F.trim(F.regexp_replace(text_or_empty(text), r"[^\S ]\s*| \s+", " "))  # single spaces stay as they are
 
 
 def normalize(text: Column) -> Column:

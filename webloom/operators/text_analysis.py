@@ -1,7 +1,7 @@
 """Text analysis, a row a document: statistics, readability, sentiment, emotions, calls to action, UX.
 
-`prepare` adds the columns that the others read (norm, toks, words, sents). Everything is a projection in the JVM:
-no shuffle, no Python. Null text counts as empty; ratios with an empty denominator are 0."""
+`prepare` adds the columns that the others read (norm, toks, words, sents, and the counts of measures; what a query does not read is not
+computed). Everything is a projection: no shuffle. Null text counts as empty; ratios with an empty denominator are 0."""
 
 from __future__ import annotations
 
@@ -12,38 +12,36 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
 from ..functions import text as tx
+from . import measures
 
 
 def prepare(df: DataFrame, text_col: str = "text") -> DataFrame:
     out = df.withColumn("norm", tx.normalize(F.col(text_col)))
     out = out.withColumn("toks", tx.tokens(F.col("norm"))).withColumn("sents", tx.sentences(F.col("norm")))
+    out = out.withColumns({"counts_": measures.text_counts(F.col("norm")), "repeated_": measures.repeated_trigrams(tx.text_or_empty(F.col(text_col)))})
     return out.withColumn("words", tx.alpha(F.col("toks")))
 
 
+def _count(name: str) -> Column:
+    return F.col("counts_")[name]
+
+
 def statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Counts and averages of prepared text."""
-    n, s, t = F.size("words"), F.size("sents"), F.size("toks")
-    chars = tx.total_length(F.col("words"))
-    marks = F.size(F.filter("toks", lambda x: x.isin(*".,;:!?()[]{}\"'")))
-    numbers = F.size(F.filter("toks", lambda x: x.rlike(r"^\p{Nd}+$")))
-    long = F.size(F.filter("words", lambda x: F.length(x) > 6))
-    df = df.withColumns({"word_count": n.cast("long"), "character_count": chars, "characters_with_spaces": F.length("norm").cast("long"), "sentence_count": s.cast("long")})
+    n, s, t = _count("words"), _count("sentences"), _count("tokens")
+    df = df.withColumns({"word_count": n, "character_count": _count("characters"), "characters_with_spaces": F.length("norm").cast("long"), "sentence_count": s})
     df = df.withColumns({
         "paragraph_count": F.size(tx.paragraphs(F.col(text_col))).cast("long"),
         "avg_sentence_length": tx.ratio(n, s), "avg_word_length": tx.ratio(F.col("character_count"), n),
-        "lexical_diversity": tx.ratio(F.size(F.array_distinct(tx.lower(F.col("words")))), n),
-        "punctuation_count": marks.cast("long"), "number_count": numbers.cast("long"), "long_word_count": long.cast("long"),
+        "lexical_diversity": tx.ratio(_count("distinct"), n),
+        "punctuation_count": _count("marks"), "number_count": _count("numbers"), "long_word_count": _count("long_words"),
     })
     return df.withColumns({"punctuation_density": tx.ratio(F.col("punctuation_count"), t), "long_word_percent": tx.ratio(F.col("long_word_count") * 100, n)})
 
 
 def readability(df: DataFrame, lang_col: str = "lang") -> DataFrame:
     """Indices from words, sentences and syllables; overall: English ease, its Russian form, or 50 without words."""
-    syl = F.aggregate("words", F.lit(0), lambda a, w: a + tx.syllables(w))
-    hard = F.size(F.filter("words", lambda w: tx.syllables(w) >= 3))
-    syl_ru = F.aggregate("words", F.lit(0), lambda a, w: a + tx.syllables_ru(w))
-    hard_ru = F.size(F.filter("words", lambda w: tx.syllables_ru(w) >= 3))
-    df = df.withColumns({"n_": F.size("words"), "s_": F.greatest(F.size("sents"), F.lit(1)), "c_": tx.total_length(F.col("words")), "syllable_count": syl.cast("long"), "complex_words": hard.cast("long"), "syl_ru_": syl_ru, "hard_ru_": hard_ru})
+    df = df.withColumns({"n_": _count("words"), "s_": F.greatest(_count("sentences"), F.lit(1)), "c_": _count("characters"), "syllable_count": _count("syllables"), "complex_words": _count("hard"), "syl_ru_": _count("syllables_ru"), "hard_ru_": _count("hard_ru")})
     asl, asw, asw_ru = tx.ratio(F.col("n_"), F.col("s_")), tx.ratio(F.col("syllable_count"), F.col("n_")), tx.ratio(F.col("syl_ru_"), F.col("n_"))
     df = df.withColumns({"asl_": asl, "asw_": asw, "asw_ru_": asw_ru})
     ease = 206.835 - 1.015 * F.col("asl_") - 84.6 * F.col("asw_")
@@ -101,28 +99,16 @@ def basic_rules(df: DataFrame, lang_col: str = "lang", grammar_errors: Column |
     ]
 
 
-def sentiment_of(words: Column) -> Column:
-    """(hits for - hits against) / (hits + 1) of lower-case words, -1 to 1; a negation right before turns a hit round."""
-    before = F.concat(F.array(F.lit("")), words)
-    turned = lambda p: p.isin(*lex.NEGATIONS)
-    side = lambda w, p: F.when(w.isin(*lex.POSITIVE), F.when(turned(p), -1).otherwise(1)).when(w.isin(*lex.NEGATIVE), F.when(turned(p), 1).otherwise(-1))
-    hits = F.filter(F.zip_with(words, before, side), lambda x: x.isNotNull())
-    return F.aggregate(hits, F.lit(0), lambda a, x: a + x).cast("double") / (F.size(hits) + 1)
-
-
 def label_of(compound: Column) -> Column:
     return F.when(compound >= 0.05, "positive").when(compound <= -0.05, "negative").otherwise("neutral")
 
 
 def sentiment(df: DataFrame) -> DataFrame:
     """Of the text and, as shares, of its sentences of five words or more (all neutral if there are none)."""
-    word = F.regexp_extract_all
-    df = df.withColumn("compound", sentiment_of(tx.lower(F.col("words")))).withColumn("sentiment", label_of(F.col("compound")))
-    each = F.transform(F.filter("sents", lambda s: F.size(word(s, F.lit(r"\p{L}+"), F.lit(0))) >= 5), lambda s: label_of(sentiment_of(word(F.lower(s), F.lit(r"\p{L}+"), F.lit(0)))))
-    df = df.withColumn("each_", each)
-    share = lambda name: tx.ratio(F.size(F.filter("each_", lambda x: x == name)), F.size("each_"))
-    none = F.size("each_") == 0
-    return df.withColumns({"positive_share": share("positive"), "negative_share": share("negative"), "neutral_share": F.when(none, F.lit(1.0)).otherwise(share("neutral"))}).drop("each_")
+    # (hits for - hits against) / (hits + 1), -1 to 1; a negation right before turns a hit round.
+    df = df.withColumn("compound", _count("hit_sum").cast("double") / (_count("hits") + 1)).withColumn("sentiment", label_of(F.col("compound")))
+    n, neutral = _count("rated"), _count("rated") - _count("positive") - _count("negative")
+    return df.withColumns({"positive_share": tx.ratio(_count("positive"), n), "negative_share": tx.ratio(_count("negative"), n), "neutral_share": F.when(n == 0, F.lit(1.0)).otherwise(tx.ratio(neutral, n))})
 
 
 def _among(words, listed: list[str]) -> Column:
@@ -136,12 +122,11 @@ def _holding(texts, listed: list[str]) -> Column:
 
 def emotions(df: DataFrame) -> DataFrame:
     """Hits of each emotion, the dominant one (the first of the greatest; joy without hits) and hits a token."""
-    df = df.withColumn("lower_", tx.lower(F.col("toks")))
-    df = df.withColumns({k: _among("lower_", v).cast("long") for k, v in lex.EMOTIONS.items()})
+    df = df.withColumns({k: _count(k) for k in lex.EMOTIONS})
     names = list(lex.EMOTIONS)
     top = F.greatest(*names)
     first = reduce(lambda acc, k: F.when(F.col(k) == top, F.lit(k)).otherwise(acc), reversed(names), F.lit("joy"))
-    return df.withColumns({"dominant_emotion": first, "emotional_intensity": tx.ratio(sum((F.col(k) for k in names[1:]), F.col(names[0])), F.size("toks"))}).drop("lower_")
+    return df.withColumns({"dominant_emotion": first, "emotional_intensity": tx.ratio(sum((F.col(k) for k in names[1:]), F.col(names[0])), _count("tokens"))})
 
 
 def emotion_profile(df: DataFrame) -> DataFrame:
@@ -186,24 +171,18 @@ def _penalty(value: Column, *steps: tuple[float, float]) -> Column:
 def user_experience(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Clarity, distractions, fit for an audience, and their mix."""
     text = tx.text_or_empty(F.col(text_col))
-    long_sentences = F.size(F.filter("sents", lambda s: F.size(F.regexp_extract_all(s, F.lit(r"\p{L}+"), F.lit(0))) > 25))
-    df = df.withColumns({"asl_": tx.ratio(F.size("words"), F.size("sents")), "hard_": tx.ratio(F.size(F.filter("words", lambda w: F.length(w) > 6)) * 100, F.size("words")), "long_sentences": long_sentences.cast("long")})
+    df = df.withColumns({"asl_": tx.ratio(_count("words"), _count("sentences")), "hard_": tx.ratio(_count("long_words") * 100, _count("words")), "long_sentences": _count("long_sentences")})
     clarity = 100.0 - _penalty(F.col("asl_"), (25, 30), (20, 20), (15, 10)) - _penalty(F.col("hard_"), (30, 30), (20, 20), (10, 10))
-    parts = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    df = df.withColumn("three_", F.sort_array(tx.ngrams(parts, 3)))
-    # A trigram counts where it stands for the third time in the sorted row.
-    skip = lambda k: F.slice("three_", F.lit(k + 1), F.greatest(F.size("three_") - k, F.lit(0)))
-    third = F.zip_with(F.zip_with("three_", skip(2), lambda a, c: F.when(a == c, a)), F.concat(F.array(F.lit(None).cast("string")), F.col("three_")), lambda a, b: F.when(a.isNotNull() & (b.isNull() | (a != b)), a))
-    repeated = F.size(F.filter(third, lambda x: x.isNotNull()))
+    caps = F.regexp_count(text, F.lit(r"(?=[A-Z])(?<![\p{L}\p{N}_])[A-Z]{2,}+(?![\p{L}\p{N}_])"))
     df = df.withColumns({
-        "clarity": clarity, "caps": F.size(F.filter(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: w.rlike("^[A-Z][A-Z]+$"))).cast("long"), "exclamations": F.regexp_count(text, F.lit("!")).cast("long"),
-        "ellipses": F.regexp_count(text, F.lit(r"\.\.\.")).cast("long"), "repeated_trigrams": repeated.cast("long"),
+        "clarity": clarity, "caps": caps.cast("long"), "exclamations": F.regexp_count(text, F.lit("!")).cast("long"),
+        "ellipses": F.regexp_count(text, F.lit(r"\.\.\.")).cast("long"), "repeated_trigrams": F.col("repeated_"),
     })
     kinds = (F.col("caps") > 3).cast("int") + (F.col("exclamations") > 5).cast("int") + (F.col("ellipses") > 5).cast("int") + (F.col("repeated_trigrams") > 0).cast("int")
-    word, sentence = tx.ratio(tx.total_length(F.col("words")), F.size("toks")), tx.ratio(F.size("toks"), F.size("sents"))
+    word, sentence = tx.ratio(_count("characters"), _count("tokens")), tx.ratio(_count("tokens"), _count("sentences"))
     fit = 70.0 + F.when(word > 6, -20.0).when(word < 4, 10.0).otherwise(0.0) + F.when(sentence > 20, -20.0).when(sentence < 10, 10.0).otherwise(0.0)
     df = df.withColumns({"distraction_level": F.least(F.lit(100.0), 20.0 * kinds), "audience_fit": F.least(F.greatest(fit, F.lit(0.0)), F.lit(100.0))})
-    return df.withColumn("ux_score", 0.4 * F.col("clarity") + 0.3 * (100.0 - F.col("distraction_level")) + 0.3 * F.col("audience_fit")).drop("asl_", "hard_", "three_")
+    return df.withColumn("ux_score", 0.4 * F.col("clarity") + 0.3 * (100.0 - F.col("distraction_level")) + 0.3 * F.col("audience_fit")).drop("asl_", "hard_")
 
 
 def experience_rules() -> list[tuple[str, str, int, Column]]:
