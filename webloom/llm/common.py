@@ -91,6 +91,23 @@ def broadcast_if_small(df: DataFrame, rows: int, most: int = 100_000) -> DataFra
     return F.broadcast(df) if rows <= min(most, BROADCAST_BYTES // width) else df
 
 
+#: Bits of a bitmap in a row of it, and of a whole one at most (16 MB).
+BITMAP_ROW, MOST_BITS = 1 << 15, 1 << 27
+
+
+def perhaps_among(df: DataFrame, key: str, ids: DataFrame, id_col: str, rows: int) -> DataFrame:
+    """df without most of the rows whose key is none of the ids (`rows` of them), so that a join by exchange moves less. All tasks get a bitmap of the
+    ids' hashes, 16 bits or more an id up to MOST_BITS; a row that it lets through may still match nothing."""
+    bits = min(MOST_BITS, max(BITMAP_ROW, 1 << (16 * rows).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    hashed = ids.select(place(id_col).alias("_bm_place"))
+    maps = hashed.groupBy(F.floor(F.col("_bm_place") / BITMAP_ROW).alias("_bm_row")).agg(F.bitmap_construct_agg(F.col("_bm_place") % BITMAP_ROW).alias("_bm_bits"))
+    at = (place(key) % BITMAP_ROW).cast("int")
+    byte = F.conv(F.hex(F.substring("_bm_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = F.call_function("shiftright", byte, at % 8).bitwiseAND(F.lit(1)) == 1
+    return df.join(F.broadcast(maps), (F.floor(place(key) / BITMAP_ROW) == F.col("_bm_row")) & there, "left_semi")
+
+
 def dealt_anew(column: str) -> Column:
     """The same number as an expression of its own: an aggregate keyed by it is exchanged once more before a join, as
     one row a key, and the other side's exchange stands right below the join, so that AQE can split a hot key over tasks."""
