@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.dom import elements
-from ..sources.sinks import kept
+from ..sources.sinks import kept_rows
 from . import content, metadata, seo, structure
 from . import text_analysis as ta
 
@@ -30,7 +30,7 @@ def recommended(rules: list[tuple[str, str, int, Column]]) -> Column:
 
 def analyze_pages(pages: DataFrame) -> DataFrame:
     """Pages parsed and their main text analysed: metadata, SEO scores, and the analysis of the text."""
-    e = kept(elements(pages))  # parsed once; each part reads the columns it uses
+    e = kept_rows(elements(pages))  # parsed once; each part reads the columns it uses
     main = content.main_content(pages, e).select("page_id", F.col("text").alias("main_text"))
     df = metadata.metadata(pages, e).join(structure.headings(e), "page_id", "left").join(main, "page_id", "left")
     df = seo.relevance_score(seo.url_score(seo.heading_score(seo.meta_score(df))), "main_text")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import analysis, content, metadata, relational, seo, structure
 from ..sources.dom import elements, strings
 from ..sources.readers import table
-from ..sources.sinks import kept
+from ..sources.sinks import kept_rows
 
 #: One page; # stands for the page's id. Paragraph texts are given below, so that the SQL can say their lengths.
 INTRO = "This guide says what item # is for, how long it lasts, where it comes from and why people who tried it once come back for a second one."
@@ -60,7 +60,7 @@ def rich_source(spark, sf_dir: str) -> DataFrame:
 def rich_pages(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The pages and their elements, parsed once and kept as a table, of which each part of a query reads the columns it uses."""
     pages = rich_source(spark, sf_dir)
-    return pages, kept(elements(pages))
+    return pages, kept_rows(elements(pages))
 
 
 def joined(c: str | Column) -> Column:
