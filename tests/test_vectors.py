@@ -119,3 +119,16 @@ def test_keywords_are_merged_whole(spark):
     size, total = math.sqrt(sum(r["weight"] ** 2 for r in w.values())), sum(r["tf"] for r in w.values())
     want = sorted(((-round(round(r["weight"] / size, 9) + round(r["tf"] / total, 9), 9), t) for t, r in w.items()))[:5]
     assert [(-r["score"], r["term"]) for r in got] == want
+
+
+@pytest.mark.parametrize("most", [200_000, 20, 0])
+def test_common_and_rare_terms_make_the_same_factors(spark, df, monkeypatch, most):
+    """Entries of rare terms are joined, those of common ones are not; no table of entries is left, and what is exchanged for common terms are sums."""
+    w, h, _ = vectors.factorise(vectors.topic_entries(df), rounds=3)
+    monkeypatch.setattr(vectors, "MOST_TERMS", most)
+    got_w, got_h, (common, x), _ = vectors.corpus_factors(df, "doc_id", 3, 3)
+    of = lambda rows, key: {r[key]: r["x"] for r in rows.collect()}
+    terms_ = of(got_h, "term") | dict(zip(common, x.tolist()))
+    assert len(common) <= most and (most or not common) and got_h.isEmpty() == (most == 200_000)
+    for got, want in ((of(got_w, "doc_id"), of(w, "doc_id")), (terms_, of(h, "term"))):
+        assert got.keys() == want.keys() and all(np.allclose(got[i], want[i], rtol=1e-8) for i in want)
