@@ -86,9 +86,10 @@ BROADCAST_BYTES = 24 << 20
 
 
 def broadcast_if_small(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
-    """A broadcast hint only where the counted rows are few and their bytes, by the schema, small; beyond that the join shuffles."""
+    """A broadcast hint only where the counted rows are few and their bytes, by the schema, small; beyond that the join is by sorting. Without a hint Spark
+    would go by the size of the files, which compress: 10 MB of them may hold millions of ids."""
     width = 48 + sum(8 if isinstance(f.dataType, NumericType) else 128 for f in df.schema.fields)
-    return F.broadcast(df) if rows <= min(most, BROADCAST_BYTES // width) else df
+    return F.broadcast(df) if rows <= min(most, BROADCAST_BYTES // width) else df.hint("merge")
 
 
 #: Bits of a bitmap in a row of it, and of a whole one at most (16 MB).

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, tidy
+from .common import BROADCAST_BYTES, checkpoint, tidy
 
 
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,6 +48,10 @@ def contract(batches):
         yield pa.record_batch([pa.array(node), pa.array(root)], names=["a", "b"])
 
 
+#: Links beyond which their joins are by sorting, whatever the size of their files says: a row of two ids is 64 bytes in a broadcast.
+MOST_SENT = BROADCAST_BYTES // 64
+
+
 @tidy
 def _contract(batches):
     yield from contract(batches)
@@ -62,16 +66,17 @@ def components(links: DataFrame, contracted: bool = False, rounds: int = 60) ->
     edges = links.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
     edges = checkpoint(edges if contracted else edges.mapInArrow(_contract, "a bigint, b bigint"))
     for _ in range(rounds):
+        joined = (lambda df: df.hint("merge")) if edges.count() > MOST_SENT else (lambda df: df)
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.where("b > a").join(joined(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+        small = down.join(joined(least), "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         edges = checkpoint(small.where("a <> b").distinct().mapInArrow(_contract, "a bigint, b bigint").distinct())
         child = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-        if child.where("n > 1").isEmpty() and edges.select("b").distinct().join(child, F.col("b") == F.col("a"), "left_semi").isEmpty():
+        if child.where("n > 1").isEmpty() and edges.select("b").distinct().join(joined(child), F.col("b") == F.col("a"), "left_semi").isEmpty():
             break
     else:
         raise RuntimeError("components did not settle")

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, checkpoint, limit_batches, read, tidy, written
-from .components import components, contract, roots
+from .components import MOST_SENT, components, contract, roots
 from .wordhash import mix, word_slices
 
 BLOCK, BLOCK_BYTES = 2048, 8 << 20
@@ -361,8 +361,10 @@ def jaccard_components(df: DataFrame, k: int = 3, percent: int = 90, id_col: str
     parts = max(16, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 3)
 
     classes = own.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"))
+    # Counted by what all hold: tables of ids are joined by sorting beyond the limit of broadcasts, not by the size of their compressed files.
+    sent = (lambda df: df.hint("merge")) if own.count() > MOST_SENT else (lambda df: df)
     cells = _tied(docs.select("text").mapInArrow(_prefix_ties(k, percent, parts), "part int, pack binary"), parts)
-    members = classes.where("rep IS NOT NULL").join(cells.select(F.col("node").alias("d1"), F.col("root").alias("cell")), "d1")
+    members = classes.where("rep IS NOT NULL").join(sent(cells.select(F.col("node").alias("d1"), F.col("root").alias("cell"))), "d1")
     members = checkpoint(members.select("cell", "rep", "weight", "d1", "d2", "n"))
     wanted = broadcast_if_small(members, members.count(), MOST_BROADCAST)
     texts = docs.join(wanted, F.col("doc_id") == F.col("rep")).select("text", "cell", "rep", "weight", "d1", "d2", "n")
@@ -370,9 +372,9 @@ def jaccard_components(df: DataFrame, k: int = 3, percent: int = 90, id_col: str
 
     second = checkpoint(_tied(sets.select("cell", "rep", "tokens").mapInArrow(_cell_ties(percent, parts), "part int, pack binary"), parts))
     # Blocks are cut by number and by bytes, so a task holds two of BLOCK_BYTES, or two sets.
-    weighed = second.join(members.groupBy(F.col("rep").alias("node")).agg((8 * F.sum("n")).alias("bytes")), "node")
+    weighed = second.join(sent(members.groupBy(F.col("rep").alias("node")).agg((8 * F.sum("n")).alias("bytes"))), "node")
     crowd = weighed.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    placed = second.join(crowd, "root").select(F.col("node").alias("rep"), "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
+    placed = second.join(sent(crowd), "root").select(F.col("node").alias("rep"), "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
     tasks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     placed = placed.select("*", tasks.alias("other"))
     placed = placed.select("rep", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("own"), F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("task"))
@@ -388,7 +390,7 @@ def jaccard_components(df: DataFrame, k: int = 3, percent: int = 90, id_col: str
         edges = edges.union(held.join(held.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").select("rep", "b"))
     trees = components(edges)
     links = found.where("links IS NOT NULL").groupBy("a").agg(F.sum("links").alias("links"))
-    grouped = classes.join(trees.select(F.col("node").alias("rep"), "root"), "rep", "left").join(links.select(F.col("a").alias("rep"), "links"), "rep", "left")
+    grouped = classes.join(sent(trees.select(F.col("node").alias("rep"), "root")), "rep", "left").join(sent(links.select(F.col("a").alias("rep"), "links")), "rep", "left")
     grouped = grouped.where("root IS NOT NULL OR weight > 1").select("d1", "d2", "n", F.coalesce("root", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     out = own.join(grouped, ["d1", "d2", "n"], "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
